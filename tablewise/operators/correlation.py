@@ -12,7 +12,7 @@ from tablewise.functions.numeric import finite
 from tablewise.operators.joins import lookup_join
 from tablewise.operators.ordering import average_ranks
 from tablewise.operators.shape import numeric_columns
-from tablewise.session import is_small
+from tablewise.session import is_small, reliable_checkpoint
 
 # Kendall compares ranks digit by digit in this base, and chunks the second rank.
 DIGIT_BITS = 4
@@ -42,6 +42,11 @@ def corr_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return df.agg(*measures).select(F.explode(cells).alias("_p")).select("_p.*")
 
 
+def _reused(df: DataFrame, small: bool) -> DataFrame:
+    """Large frames that several branches read are materialised once."""
+    return df if small else reliable_checkpoint(df)
+
+
 def _complete_pairs(df: DataFrame, left: str, right: str) -> DataFrame:
     pairs = df.select(finite(F.col(left)).alias("x"), finite(F.col(right)).alias("y"))
     return pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -52,10 +57,10 @@ def corr_spearman(df: DataFrame, left: str, right: str, *, small: bool | None =
     pairs = _complete_pairs(df, left, right)
     if small is None:
         small = is_small(pairs)
-    cells = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cell"))
+    cells = _reused(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cell")), small)
     rank_x = average_ranks(pairs, "x", small=small).select(F.col("x").alias("_x"), F.col("average_rank").alias("rx"))
     rank_y = average_ranks(pairs, "y", small=small).select(F.col("y").alias("_y"), F.col("average_rank").alias("ry"))
-    ranked = lookup_join(cells, rank_x, "x", "_x", small=small)
+    ranked = _reused(lookup_join(cells, rank_x, "x", "_x", small=small), small)
     ranked = lookup_join(ranked, rank_y, "y", "_y", small=small)
     middle = cells.agg(((F.sum("cell") + 1) / 2.0).alias("_mid"))
     dx, dy = F.col("rx") - F.col("_mid"), F.col("ry") - F.col("_mid")
@@ -101,9 +106,9 @@ def corr_kendall(
     by_digit, by_scan = ("xr", "yr") if distinct_x <= distinct_y else ("yr", "xr")
     positions = max(1, -(-max(1, min(distinct_x, distinct_y) - 1).bit_length() // DIGIT_BITS))
 
-    cells = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cell"))
-    cells = lookup_join(cells, ranks["x"], "x", "_x", small=small)
-    cells = lookup_join(cells, ranks["y"], "y", "_y", small=small).select("xr", "yr", "cell")
+    cells = _reused(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cell")), small)
+    cells = _reused(lookup_join(cells, ranks["x"], "x", "_x", small=small), small)
+    cells = _reused(lookup_join(cells, ranks["y"], "y", "_y", small=small).select("xr", "yr", "cell"), small)
 
     levels = F.array(*[
         F.struct(
