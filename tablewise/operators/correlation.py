@@ -15,7 +15,7 @@ from tablewise.operators.shape import numeric_columns
 from tablewise.session import is_small, reliable_checkpoint
 
 # Kendall compares ranks digit by digit in this base, and chunks the second rank.
-DIGIT_BITS = 4
+DIGIT_BITS = 3
 DIGITS = 1 << DIGIT_BITS
 RANK_CHUNK = 65_536
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tablewise.functions.dates import period_key, period_range_key
 from tablewise.functions.numeric import clamp, severity_name, severity_rank
 from tablewise.operators.ordering import row_numbers
+from tablewise.session import reliable_checkpoint
 
 TREND_TERMS = ("trend", "spike", "change", "degradation", "drift")
 LEVELS = (1, 2, 3, 4)
@@ -90,8 +91,12 @@ def _level_labels(rows: DataFrame) -> DataFrame:
 
 
 def rca_members(anomalies: DataFrame) -> DataFrame:
-    """Every anomaly with ``component``, the lowest severity level its group reaches."""
-    rows = normalized_anomalies(anomalies)
+    """Every anomaly with ``component``, the lowest severity level its group reaches.
+
+    The records are read several times, so the detectors behind them run once, into a
+    checkpoint.
+    """
+    rows = reliable_checkpoint(normalized_anomalies(anomalies))
     labels = _level_labels(rows)
     chosen = F.element_at(F.array(*[F.col(f"l{level}") for level in LEVELS]), F.col("_level"))
     return rows.crossJoin(F.broadcast(labels)).withColumn("component", chosen).drop(*[f"l{level}" for level in LEVELS])
@@ -106,12 +111,7 @@ def _reasons(members: DataFrame) -> DataFrame:
         (F.col("_most") > 1)
         | F.exists(F.col("_levels"), lambda v: F.array_contains(F.col("_levels"), v + 1))
     ).select("component", F.lit("similar_severity").alias("reason"))
-    keys = members.select("component", "_level", *[c for c in members.columns if c not in ("component", "_level")])
-    shared = (
-        keys.select(
-            "component", "_level", "_column", "_period_key", "anomaly_type", "_trend",
-        )
-    )
+    shared = members.select("component", "_column", "_period_key", "anomaly_type", "_trend")
     entries = F.array_compact(F.array(
         F.when(F.col("_column") != "", F.struct(F.lit("same_column").alias("reason"), F.col("_column").alias("key"))),
         F.when(F.col("_period_key") != "", F.struct(
@@ -197,7 +197,7 @@ def rca_causes(anomalies: DataFrame, profiled_columns: DataFrame | None = None,
     ``profiled_columns`` (``column``), plus ``extra_evidence`` context items (thresholds,
     strategy steps, patterns).
     """
-    groups = rca_components(anomalies)
+    groups = reliable_checkpoint(rca_components(anomalies))
     evidence = F.col("anomaly_count") + F.lit(extra_evidence)
     if profiled_columns is not None:
         profiled = profiled_columns.select("column").distinct()
@@ -239,7 +239,7 @@ def rca_related(anomalies: DataFrame) -> DataFrame:
 
     Pairs are counted from the group sizes, never listed.
     """
-    rows = normalized_anomalies(anomalies)
+    rows = reliable_checkpoint(normalized_anomalies(anomalies))
     sizes = _shared_keys(rows).groupBy("reason", "key").agg(F.count(F.lit(1)).alias("members"))
     levels = rows.groupBy("_level").agg(F.count(F.lit(1)).alias("_n"))
     per_level = levels.agg(*[
