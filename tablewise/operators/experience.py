@@ -17,16 +17,20 @@ from tablewise.functions.jsonfn import property_value
 from tablewise.functions.numeric import clamp, shape_similarity
 from tablewise.functions.text import keyword_tokens, label_slug
 from tablewise.operators.graph import lineage
+from tablewise.operators.joins import lookup_join
 
 # Words ignored in run keywords.
 KEYWORD_STOPWORDS = (
     "a", "ad", "agli", "ai", "al", "alla", "alle", "analisi", "analizza", "analysis", "anche", "che", "col",
     "come", "con", "da", "dato", "dati", "dei", "del", "della", "delle", "di", "ed", "e", "gli", "ha", "hanno", "i",
     "il", "in", "la", "le", "lo", "metric", "nel", "nella", "nelle", "non", "o", "per", "piu", "quale", "quali", "su",
+    "the", "this", "tra", "un", "una",
 )
 # Insights that describe strategies and reports.
-STRATEGY_LABELS = ("analytical_strategy", "recommended_analytical_steps", "autonomous_recommendations")
-REPORT_LABELS = ("report", "final_report", "executive_summary")
+STRATEGY_LABELS = (
+    "operational_recommendations", "trend_analysis", "anomaly_analysis", "segmentation_analysis", "knowledge_analysis_steps",
+)
+REPORT_LABELS = ("analysis_report", "local_final_report")
 # Weights of run similarity and of experience matching.
 SIMILARITY_WEIGHTS = {
     "columns": 0.26, "primary_metric": 0.20, "time_axis": 0.12, "source_type": 0.10, "roles": 0.14, "shape": 0.10,
@@ -201,7 +205,7 @@ def experience_build(
     base, increment = EXPERIENCE_CONFIDENCE[kind]
     experience_id = F.concat(F.lit(f"experience.{kind}."), label_slug(F.col("key")))
     members = values.where(F.col("item_kind") == kind).select("run_id", F.col("value").alias("key"))
-    facts = members.join(runs, "run_id").groupBy("key").agg(
+    facts = lookup_join(members, runs.withColumnRenamed("run_id", "_run"), "run_id", "_run", small=small).groupBy("key").agg(
         F.count(F.lit(1)).alias("evidence_count"),
         F.max("created_at").alias("updated_at"),
         F.min(F.when(F.col("primary_metric") != "", F.col("primary_metric"))).alias("_metric"),
