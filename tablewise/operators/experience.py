@@ -18,6 +18,7 @@ from tablewise.functions.numeric import clamp, shape_similarity
 from tablewise.functions.text import keyword_tokens, label_slug
 from tablewise.operators.graph import lineage
 from tablewise.operators.joins import lookup_join
+from tablewise.session import reliable_checkpoint
 
 # Words ignored in run keywords.
 KEYWORD_STOPWORDS = (
@@ -184,7 +185,11 @@ def experience_steps(metric: Column, time_axis: Column, has_anomalies: Column, h
 
 
 def _run_values(nodes: DataFrame, edges: DataFrame, small: bool | None) -> tuple[DataFrame, DataFrame]:
-    """Runs, and ``run_id, item_kind, value`` for their metric, columns, anomalies and causes."""
+    """Runs, and ``run_id, item_kind, value`` for their metric, columns, anomalies and causes.
+
+    The values are the base of every experience kind, so the lineage behind them is walked
+    once, into a checkpoint.
+    """
     runs = run_table(nodes)
     buckets = F.create_map(*[F.lit(v) for v in ("columns", "column", "anomalies", "anomaly", "root_causes", "root_cause")])
     rows = lineage(nodes, edges, small=small)
@@ -192,28 +197,32 @@ def _run_values(nodes: DataFrame, edges: DataFrame, small: bool | None) -> tuple
     linked = rows.select("run_id", F.try_element_at(buckets, F.col("bucket")).alias("item_kind"), value.alias("value"))
     metrics = runs.select("run_id", F.lit("metric").alias("item_kind"), F.col("primary_metric").alias("value"))
     values = linked.unionByName(metrics).where(F.col("item_kind").isNotNull() & (F.coalesce("value", F.lit("")) != ""))
-    return runs, values.distinct()
+    return runs, reliable_checkpoint(values.distinct())
 
 
 def experience_build(
     nodes: DataFrame, edges: DataFrame, kind: str, *, small: bool | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Experience of one kind (metric, anomaly, root_cause) shared by at least two runs."""
+    """Headers and items of one kind (metric, anomaly, root_cause) shared by at least two runs."""
     if kind not in EXPERIENCE_CONFIDENCE:
         raise ValueError(f"unknown experience kind: {kind}")
-    runs, values = _run_values(nodes, edges, small)
+    return _build_kind(*_run_values(nodes, edges, small), kind, small)
+
+
+def _build_kind(runs: DataFrame, values: DataFrame, kind: str, small: bool | None) -> tuple[DataFrame, DataFrame]:
     base, increment = EXPERIENCE_CONFIDENCE[kind]
     experience_id = F.concat(F.lit(f"experience.{kind}."), label_slug(F.col("key")))
     members = values.where(F.col("item_kind") == kind).select("run_id", F.col("value").alias("key"))
     facts = lookup_join(members, runs.withColumnRenamed("run_id", "_run"), "run_id", "_run", small=small).groupBy("key").agg(
-        F.count(F.lit(1)).alias("evidence_count"),
-        F.max("created_at").alias("updated_at"),
+        F.count(F.lit(1)).alias("evidence_count"), F.max("created_at").alias("updated_at"),
         F.min(F.when(F.col("primary_metric") != "", F.col("primary_metric"))).alias("_metric"),
         F.min_by("time_axis", F.when(F.col("time_axis") != "", F.col("run_id"))).alias("_axis"),
     ).where(F.col("evidence_count") >= 2)
+    facts = reliable_checkpoint(facts)
     shared = members.join(facts.select("key"), "key", "left_semi").join(values, "run_id").select("key", "item_kind", "value")
     own = F.col("item_kind") == kind
     items = shared.where(~own).unionByName(facts.select("key", F.lit(kind).alias("item_kind"), F.col("key").alias("value"))).distinct()
+    items = reliable_checkpoint(items)
     flags = items.groupBy("key").agg(
         F.max(F.col("item_kind") == "anomaly").alias("_anomalies"),
         F.max((F.col("item_kind") == "root_cause") & is_infrastructure(F.col("value"))).alias("_infrastructure"),
@@ -237,13 +246,14 @@ def experience_build(
         F.round(F.least(F.lit(1.0), F.lit(base) + F.col("evidence_count") * increment), 2).alias("confidence"),
         "evidence_count", "updated_at",
     )
-    all_items = items.unionByName(extra).distinct().select(experience_id.alias("experience_id"), "item_kind", "value")
+    all_items = items.unionByName(extra.distinct()).select(experience_id.alias("experience_id"), "item_kind", "value")
     return headers, all_items
 
 
 def experience_all(nodes: DataFrame, edges: DataFrame, *, small: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Metric, anomaly and root-cause experience together."""
-    built = [experience_build(nodes, edges, kind, small=small) for kind in EXPERIENCE_CONFIDENCE]
+    runs, values = _run_values(nodes, edges, small)
+    built = [_build_kind(runs, values, kind, small) for kind in EXPERIENCE_CONFIDENCE]
     headers, items = built[0]
     for more_headers, more_items in built[1:]:
         headers, items = headers.unionByName(more_headers), items.unionByName(more_items)

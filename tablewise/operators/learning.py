@@ -88,7 +88,7 @@ def keyword_score(request: str, keywords: Column) -> Column:
     clean = F.transform(keywords, lambda k: F.trim(F.regexp_replace(F.lower(k), r"\s+", " ")))
     hits = F.filter(clean, lambda k: (k != "") & F.when(
         F.contains(k, F.lit(" ")), F.contains(text, k)
-    ).otherwise(text.rlike(F.concat(F.lit(r"\b\Q"), k, F.lit(r"\E\w*\b")))))
+    ).otherwise(F.rlike(text, F.concat(F.lit(r"\b\Q"), k, F.lit(r"\E\w*\b")))))
     return F.least(F.lit(1.0), F.size(hits) / 4.0)
 
 
