@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.numeric import clamp, cosine, safe_ratio
-from tablewise.functions.text import keyword_match, text_ratio, text_ratio_upper_bound, word_tokens
+from tablewise.functions.text import WORD_CHAR, keyword_match, text_ratio, text_ratio_upper_bound, word_tokens
 from tablewise.operators.joins import latest_per_key
 
 OUTCOMES = ("correct", "partial", "incorrect")
@@ -88,16 +88,16 @@ def keyword_score(request: str, keywords: Column) -> Column:
     clean = F.transform(keywords, lambda k: F.trim(F.regexp_replace(F.lower(k), r"\s+", " ")))
     hits = F.filter(clean, lambda k: (k != "") & F.when(
         F.contains(k, F.lit(" ")), F.contains(text, k)
-    ).otherwise(F.rlike(text, F.concat(F.lit(r"\b\Q"), k, F.lit(r"\E\w*\b")))))
+    ).otherwise(F.rlike(text, F.concat(F.lit(rf"(?<!{WORD_CHAR})\Q"), k, F.lit(r"\E")))))
     return F.least(F.lit(1.0), F.size(hits) / 4.0)
 
 
-def learning_rank(patterns: DataFrame, learned: DataFrame, request: str) -> DataFrame:
+def learning_rank(patterns: DataFrame, learned: DataFrame, request: str, digits: int = 4) -> DataFrame:
     """Patterns (``pattern_id, confidence_score, trigger_keywords``) by learned confidence and keyword fit."""
     stats = learned.select("pattern_id", F.col("confidence").alias("_learned"))
     joined = patterns.join(stats, "pattern_id", "left")
     confidence = F.round(F.coalesce("_learned", "confidence_score", F.lit(0.0)), 4)
-    score = F.round(F.least(F.lit(1.0), F.coalesce("_learned", "confidence_score", F.lit(0.0)) * 0.75 + keyword_score(request, F.col("trigger_keywords")) * 0.25), 4)
+    score = F.round(F.least(F.lit(1.0), F.coalesce("_learned", "confidence_score", F.lit(0.0)) * 0.75 + keyword_score(request, F.col("trigger_keywords")) * 0.25), digits)
     return joined.select("pattern_id", confidence.alias("confidence"), score.alias("recommendation_score")).orderBy(
         F.desc("confidence"), F.desc("recommendation_score"), "pattern_id"
     )

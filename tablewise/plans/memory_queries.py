@@ -299,14 +299,14 @@ def _(spark, folder):
 @SET.add("learning_rank", LOG_SQL + """
 , p AS (SELECT DISTINCT 'p' || (p_partkey % 60) AS pattern_id, p_partkey % 60 AS k FROM part)
 SELECT p.pattern_id, round(coalesce(confidence, k / 100.0), 4)::DOUBLE AS confidence,
- round(least(1.0, coalesce(confidence, k / 100.0) * 0.75 + (CASE WHEN k % 2 = 0 THEN 0.5 ELSE 0.25 END) * 0.25), 4)::DOUBLE AS recommendation_score FROM p LEFT JOIN l USING (pattern_id)""")
+ round(least(1.0, coalesce(confidence, k / 100.0) * 0.75 + (CASE WHEN k % 2 = 0 THEN 0.5 ELSE 0.25 END) * 0.25), 6)::DOUBLE AS recommendation_score FROM p LEFT JOIN l USING (pattern_id)""")
 def _(spark, folder):
     k = F.col("p_partkey") % 60
     patterns = table(spark, folder, "part").select(
         F.concat(F.lit("p"), k.cast("string")).alias("pattern_id"), (k / 100.0).alias("confidence_score"),
         F.when(k % 2 == 0, F.array(F.lit("trend"), F.lit("per mese"), F.lit("zzz"))).otherwise(F.array(F.lit("TREND"), F.lit("end"))).alias("trigger_keywords"),
     ).distinct()
-    return learning.learning_rank(patterns, learning.learning_confidence(usage_log(spark, folder)), "Analizza i trends per mese")
+    return learning.learning_rank(patterns, learning.learning_confidence(usage_log(spark, folder)), "Analizza i trends per mese", digits=6)
 
 
 FEEDBACK_SQL = """

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tablewise.functions import jsonfn, numeric, text
 from tablewise.operators import learning
-from tablewise.operators.counts import count_occurrences  # noqa: F401 - re-exported for notebooks
 from tablewise.plans.registry import QuerySet, table
 
 SET = QuerySet()
@@ -70,7 +69,7 @@ def _(spark, folder):
 
 
 @SET.add("fn_keyword_match", """
-SELECT doc_id, regexp_matches(lower(text), '\\bthe\\w*\\b') AS word, contains(lower(text), 'of the') AS phrase FROM documents WHERE lang = 'en'""")
+SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])the') AS word, contains(lower(text), 'of the') AS phrase FROM documents WHERE lang = 'en'""")
 def _(spark, folder):
     lowered = F.lower("text")
     return table(spark, folder, "documents").where("lang = 'en'").select(
@@ -155,11 +154,11 @@ PATTERNS = {
 
 @SET.add("text_tagging", """
 WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents),
- m AS (SELECT doc_id, 'trend_analysis' AS pattern, 0.1 AS base, regexp_matches(t, '\\btrend\\w*\\b')::INT + regexp_matches(t, '\\bandamento\\w*\\b')::INT
-   + regexp_matches(t, '\\bthe\\w*\\b')::INT + regexp_matches(t, '\\bth\\w*\\b')::INT AS matches FROM d
-  UNION ALL SELECT doc_id, 'quality_audit', 0.1, regexp_matches(t, '\\bquality\\w*\\b')::INT + regexp_matches(t, '\\bmissing\\w*\\b')::INT + contains(t, 'of the')::INT
-   + regexp_matches(t, '\\band\\w*\\b')::INT FROM d
-  UNION ALL SELECT doc_id, 'prose', 0.2, regexp_matches(t, '\\bles\\w*\\b')::INT + regexp_matches(t, '\\bder\\w*\\b')::INT + regexp_matches(t, '\\bque\\w*\\b')::INT
+ m AS (SELECT doc_id, 'trend_analysis' AS pattern, 0.1 AS base, regexp_matches(t, '(^|[^\\p{L}\\p{N}_])trend')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])andamento')::INT
+   + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])the')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])th')::INT AS matches FROM d
+  UNION ALL SELECT doc_id, 'quality_audit', 0.1, regexp_matches(t, '(^|[^\\p{L}\\p{N}_])quality')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])missing')::INT + contains(t, 'of the')::INT
+   + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])and')::INT FROM d
+  UNION ALL SELECT doc_id, 'prose', 0.2, regexp_matches(t, '(^|[^\\p{L}\\p{N}_])les')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])der')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])que')::INT
    + contains(t, 'on the')::INT FROM d)
 SELECT doc_id, pattern, matches, round(least(0.99, base + least(0.85, matches * 0.22)), 4)::DOUBLE AS confidence FROM m WHERE matches > 0""")
 def _(spark, folder):
@@ -171,12 +170,12 @@ PACKS = {"english": ["the", "and", "that", "of"], "french": ["les", "que", "des"
 
 @SET.add("text_packs", """
 WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[_/-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents),
- s AS (SELECT doc_id, least(0.7, 0.08 * (regexp_matches(t, '\\bthe\\w*\\b')::INT + regexp_matches(t, '\\band\\w*\\b')::INT + regexp_matches(t, '\\bthat\\w*\\b')::INT + regexp_matches(t, '\\bof\\w*\\b')::INT))
-   + CASE WHEN regexp_matches(t, '\\benglish\\w*\\b') THEN 0.2 ELSE 0 END AS e,
-  least(0.7, 0.08 * (regexp_matches(t, '\\bles\\w*\\b')::INT + regexp_matches(t, '\\bque\\w*\\b')::INT + regexp_matches(t, '\\bdes\\w*\\b')::INT + regexp_matches(t, '\\bpas\\w*\\b')::INT))
-   + CASE WHEN regexp_matches(t, '\\bfrench\\w*\\b') THEN 0.2 ELSE 0 END AS f,
-  least(0.7, 0.08 * (regexp_matches(t, '\\bder\\w*\\b')::INT + regexp_matches(t, '\\bund\\w*\\b')::INT + regexp_matches(t, '\\bsch\\w*\\b')::INT))
-   + CASE WHEN regexp_matches(t, '\\bgerman\\w*\\b') THEN 0.2 ELSE 0 END + 0.06 AS g FROM d)
+ s AS (SELECT doc_id, least(0.7, 0.08 * (regexp_matches(t, '(^|[^\\p{L}\\p{N}_])the')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])and')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])that')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])of')::INT))
+   + CASE WHEN regexp_matches(t, '(^|[^\\p{L}\\p{N}_])english') THEN 0.2 ELSE 0 END AS e,
+  least(0.7, 0.08 * (regexp_matches(t, '(^|[^\\p{L}\\p{N}_])les')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])que')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])des')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])pas')::INT))
+   + CASE WHEN regexp_matches(t, '(^|[^\\p{L}\\p{N}_])french') THEN 0.2 ELSE 0 END AS f,
+  least(0.7, 0.08 * (regexp_matches(t, '(^|[^\\p{L}\\p{N}_])der')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])und')::INT + regexp_matches(t, '(^|[^\\p{L}\\p{N}_])sch')::INT))
+   + CASE WHEN regexp_matches(t, '(^|[^\\p{L}\\p{N}_])german') THEN 0.2 ELSE 0 END + 0.06 AS g FROM d)
 SELECT doc_id, CASE WHEN e >= f AND e >= g THEN 'english' WHEN f >= g THEN 'french' ELSE 'german' END AS pack, round(greatest(e, f, g), 4)::DOUBLE AS score FROM s
 WHERE round(greatest(e, f, g), 4) >= 0.18""")
 def _(spark, folder):
