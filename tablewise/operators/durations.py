@@ -9,6 +9,7 @@ from tablewise.functions.dates import as_timestamp, elapsed
 from tablewise.functions.numeric import finite
 from tablewise.operators.aggregates import numeric_profile
 from tablewise.operators.ordering import exact_quantiles
+from tablewise.session import reused
 
 
 def datetime_shift(df: DataFrame, column: str, hours: int = 1, output: str | None = None) -> DataFrame:
@@ -57,7 +58,7 @@ def _valid_hours(df: DataFrame, start: str, end: str) -> DataFrame:
 
 def duration_between_dates(df: DataFrame, start: str, end: str, *, small: bool | None = None) -> DataFrame:
     """Rows with both dates and a non-negative span: count, mean, median, min, max hours."""
-    spans = _valid_hours(df, start, end).where(F.col("hours") >= 0)
+    spans = reused(_valid_hours(df, start, end).where(F.col("hours") >= 0))
     medians = exact_quantiles(spans, "hours", [0.5], small=small)
     stats = spans.agg(
         F.count("hours").alias("valid_rows"),
@@ -90,7 +91,7 @@ def long_tail(p95: Column, median: Column) -> Column:
 
 def activation_profile(df: DataFrame, start: str, end: str, unit: str = "days", *, small: bool | None = None) -> DataFrame:
     """Distribution of a duration: counts, percentiles, spread, IQR outliers, long tail."""
-    spans = df.select(elapsed(as_timestamp(df, start), as_timestamp(df, end), unit).alias("duration"))
+    spans = reused(df.select(elapsed(as_timestamp(df, start), as_timestamp(df, end), unit).alias("duration")))
     profile = numeric_profile(spans, ["duration"], small=small)
     fence = profile.select(
         (F.col("p25") - 1.5 * F.col("iqr")).alias("_low"), (F.col("p75") + 1.5 * F.col("iqr")).alias("_high")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewise.functions.numeric import clamp, cosine, safe_ratio
 from tablewise.functions.text import WORD_CHAR, keyword_match, text_ratio, text_ratio_upper_bound, word_tokens
 from tablewise.operators.joins import latest_per_key
+from tablewise.session import spread
 
 OUTCOMES = ("correct", "partial", "incorrect")
 TERMINAL_STATUSES = ("completed", "failed", "cancelled")
@@ -121,7 +122,7 @@ def history_similarity(
     rows = history.where((F.col("source_type") == source_type) & (F.col("feedback_score") >= minimum_feedback))
     embedded = F.col("embedding").isNotNull() if vector is not None and "embedding" in history.columns else F.lit(False)
     wanted = F.lit(request)
-    by_text = rows.where(~embedded & (text_ratio_upper_bound(F.col("description"), wanted) >= threshold)).withColumn(
+    by_text = spread(rows).where(~embedded & (text_ratio_upper_bound(F.col("description"), wanted) >= threshold)).withColumn(
         "similarity", text_ratio(wanted, F.col("description"))
     ).withColumn("method", F.lit("text"))
     found = by_text
@@ -222,16 +223,17 @@ def pattern_tags(texts: DataFrame, key: str, text: str, patterns: dict[str, tupl
     ``patterns``: name to (base confidence, keywords). Whole texts are searched.
     """
     clean = F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " "))
-    rows = texts.select(key, clean.alias("_t"))
+    rows = spread(texts.select(key, text)).select(key, clean.alias("_t"))
     hits = {name: sum((keyword_match(F.col("_t"), k).cast("int") for k in keywords), F.lit(0)) for name, (_b, keywords) in patterns.items()}
+    # Counts are exploded before they are used, so that every keyword is searched once per text.
     found = F.explode(F.array(*[
-        F.struct(
-            F.lit(name).alias("pattern"), hits[name].alias("matches"),
-            F.round(F.least(F.lit(0.99), F.lit(base) + F.least(F.lit(0.85), hits[name] * 0.22)), 4).alias("confidence"),
-        )
+        F.struct(F.lit(name).alias("pattern"), hits[name].alias("matches"), F.lit(float(base)).alias("_base"))
         for name, (base, _k) in patterns.items()
     ]))
-    return rows.select(key, found.alias("_p")).select(key, "_p.*").where(F.col("matches") > 0)
+    confidence = F.round(F.least(F.lit(0.99), F.col("_base") + F.least(F.lit(0.85), F.col("matches") * 0.22)), 4)
+    return rows.select(key, found.alias("_p")).select(key, "_p.*").where(F.col("matches") > 0).select(
+        key, "pattern", "matches", confidence.alias("confidence")
+    )
 
 
 def pack_scores(
@@ -243,7 +245,7 @@ def pack_scores(
 
     import re
 
-    rows = texts.select(key, normal(F.col(text)).alias("_t"))
+    rows = spread(texts.select(key, text)).select(key, normal(F.col(text)).alias("_t"))
     names = [re.sub(r"[_\-/]+", " ", c.lower()) for c in columns]
 
     def in_columns(term: str) -> bool:
@@ -258,7 +260,8 @@ def pack_scores(
         score = score + F.when(keyword_match(F.col("_t"), " ".join(re.sub(r"[_\-/]+", " ", pack.lower()).split())), 0.2).otherwise(0.0)
         scores.append(F.struct(F.round(F.least(score, F.lit(0.99)), 4).alias("score"), F.lit(-len(scores)).alias("_order"), F.lit(pack).alias("pack")))
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return rows.select(key, best.alias("_b")).select(key, "_b.pack", "_b.score").where(F.col("score") >= minimum)
+    # Exploding a one-element array keeps the filter from repeating the keyword search.
+    return rows.select(key, F.explode(F.array(best)).alias("_b")).select(key, "_b.pack", "_b.score").where(F.col("score") >= minimum)
 
 
 def latest_entries(df: DataFrame, keys: Sequence[str], order: str, limit: int) -> DataFrame:

@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.plans.registry import QuerySet, table
+from tablewise.session import shared_folder
 from tablewise.sources import catalog, files, sql
 
 SET = QuerySet()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder; machine-local only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="tablewise-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _as_csv(spark, df: DataFrame, name: str, separator: str = ",") -> str:
-    path = f"{scratch(spark, name)}.csv"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}.csv"
     df.write.option("header", True).option("sep", separator).csv(path)
     return path
 

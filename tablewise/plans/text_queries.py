@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewise.functions import jsonfn, numeric, text
 from tablewise.operators import learning
 from tablewise.plans.registry import QuerySet, table
+from tablewise.session import spread
 
 SET = QuerySet()
 
@@ -97,7 +98,7 @@ def _(spark, folder):
     """Ratio of each turn to the one before it in the conversation."""
     turns = table(spark, folder, "conversations")
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
-    return turns.join(before, ["conv_id", "turn"]).select(
+    return spread(turns.join(before, ["conv_id", "turn"])).select(
         "conv_id", "turn", F.round(text.text_ratio(F.col("text"), F.col("before")), 6).alias("ratio"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,14 +53,50 @@ def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
     return df.count() <= max_rows
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a temporary one only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="tablewise-")
+    return _local_folders[application]
+
+
+_local_folders: dict[str, str] = {}
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="tablewise-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as Parquet in the shared folder and go on from there.
+
+    The lineage is cut, lost executors lose nothing, later readers prune columns, and the
+    size of the result is known from its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tablewise/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reused(df: DataFrame) -> DataFrame:
+    """A frame that several aggregates read: materialised once when a join stands behind it.
+
+    A plain scan is read again instead, since its columns are pruned at the source.
+    """
+    return reliable_checkpoint(df) if len(_leaf_sizes(df)) > 1 else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before per-row work that is heavy on the CPU.
+
+    Only for inputs so small that the scan makes fewer splits than there are cores; bigger
+    inputs come with enough splits and are left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+    units = {"k": 2 ** 10, "m": 2 ** 20, "g": 2 ** 30}
+    split_bytes = int(float(split[:-1]) * units[split[-1]]) if split[-1] in units else int(split)
+    return df.repartition(cores) if sum(_leaf_sizes(df)) < split_bytes * cores else df
