@@ -58,19 +58,37 @@ def sniff_csv(spark: SparkSession, path: str) -> CsvFormat:
     return CsvFormat(encoding, delimiter, tuple(warnings))
 
 
+def _cp1252_pairs() -> tuple[str, str]:
+    """Characters that latin-1 and cp1252 read differently, and what cp1252 means by them."""
+    codes = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]
+    return "".join(map(chr, codes)), "".join(bytes([c]).decode("cp1252") for c in codes)
+
+
+def _as_cp1252(df: DataFrame) -> DataFrame:
+    """Text read as latin-1, corrected to cp1252; Spark reads no cp1252 itself."""
+    latin, windows = _cp1252_pairs()
+    table = str.maketrans(latin, windows)
+    return df.select(*[
+        (F.translate(F.col(f"`{f.name}`"), latin, windows) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(f.name.translate(table))
+        for f in df.schema
+    ])
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: CsvFormat | None = None
 ) -> DataFrame:
     """CSV with a header; give ``schema`` to save the inference pass."""
     reader = spark.read.option("header", True)
+    windows = fmt is not None and fmt.encoding == "windows-1252"
     if fmt:
-        reader = reader.option("sep", fmt.delimiter).option("encoding", fmt.encoding)
-    return reader.csv(path, schema=schema) if schema else reader.option("inferSchema", True).csv(path)
+        reader = reader.option("sep", fmt.delimiter).option("encoding", "ISO-8859-1" if windows else fmt.encoding)
+    df = reader.csv(path, schema=schema) if schema else reader.option("inferSchema", True).csv(path)
+    return _as_cp1252(df) if windows else df
 
 
 def csv_header(spark: SparkSession, path: str, fmt: CsvFormat) -> list[str]:
     """Column names as written, before Spark renames duplicates."""
-    first = spark.read.option("encoding", fmt.encoding).text(path).select(F.col("value").cast("binary").alias("v")).take(1)
+    first = spark.read.text(path).select(F.col("value").cast("binary").alias("v")).take(1)
     if not first:
         return []
     codec = "utf-8-sig" if fmt.encoding == "UTF-8" else fmt.encoding
