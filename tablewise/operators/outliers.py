@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.functions.numeric import safe_ratio
+from tablewise.functions.numeric import finite, safe_ratio
 from tablewise.operators.aggregates import numeric_profile
 from tablewise.operators.ordering import exact_quantiles
-from tablewise.operators.shape import long_numbers, row_hash
+from tablewise.operators.shape import row_hash, row_to_long
 
 METHODS = ("iqr", "zscore", "modified_zscore")
 Z_LIMIT = 3.0
@@ -34,53 +34,65 @@ def outlier_limits(df: DataFrame, columns: Sequence[str], *, small: bool | None
     )
 
 
-def _hit(method: str, value: Column) -> Column:
-    """Whether ``value`` is an outlier, given the columns of ``outlier_limits``."""
+LIMIT_FIELDS = ("median", "iqr", "mad", "mean", "std_pop", "lower_bound", "upper_bound")
+
+
+def _hit(method: str, value: Column, limits: Column) -> Column:
+    """Whether ``value`` is an outlier under the limits of its column."""
     if method == "iqr":
-        return (value < F.col("lower_bound")) | (value > F.col("upper_bound"))
+        return (value < limits["lower_bound"]) | (value > limits["upper_bound"])
     if method == "zscore":
-        return (F.col("std_pop") > 0) & (F.abs(safe_ratio(value - F.col("mean"), F.col("std_pop"))) > Z_LIMIT)
+        return (limits["std_pop"] > 0) & (F.abs(safe_ratio(value - limits["mean"], limits["std_pop"])) > Z_LIMIT)
     if method == "modified_zscore":
-        score = safe_ratio(0.6745 * (value - F.col("median")), F.col("mad"))
-        return (F.col("mad") > 0) & (F.abs(score) > MODIFIED_Z_LIMIT)
+        score = safe_ratio(0.6745 * (value - limits["median"]), limits["mad"])
+        return (limits["mad"] > 0) & (F.abs(score) > MODIFIED_Z_LIMIT)
     raise ValueError(f"unsupported outlier method: {method}")
 
 
+def _with_limits(df: DataFrame, columns: Sequence[str], small: bool | None) -> DataFrame:
+    """``df`` with the limits of all columns as one struct per column, from a single broadcast row."""
+    one_row = outlier_limits(df, columns, small=small).agg(*[
+        F.max(F.when(F.col("column") == c, F.struct(*LIMIT_FIELDS))).alias(f"_limits_{i}") for i, c in enumerate(columns)
+    ])
+    return df.crossJoin(F.broadcast(one_row))
+
+
 def outlier_rows(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), methods: Sequence[str] = METHODS, *,
     small: bool | None = None,
 ) -> DataFrame:
     """One row per (row, column, method) hit: ``row_id, column, method, value`` and the limits.
 
-    ``row_id`` is the joined keys, or a hash of the whole row when there is no key.
+    ``row_id`` is the joined keys, or a hash of the whole row when there is no key. Rows are
+    tested in place; only hits are multiplied out.
     """
     identity = (
         F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else row_hash(df).cast("string")
     )
-    cells = long_numbers(df.withColumn("row_id", identity), columns, ["row_id"]).where(F.col("value").isNotNull())
-    limited = cells.join(F.broadcast(outlier_limits(df, columns, small=small)), "column")
-    hits = F.array_compact(F.array(*[
-        F.when(_hit(m, F.col("value")), F.struct(F.lit(m).alias("method"), F.lit(i).alias("method_order")))
-        for i, m in enumerate(methods)
-    ]))
-    return limited.select("*", F.explode(hits).alias("_h")).select("*", "_h.method", "_h.method_order").drop("_h")
+    hits = []
+    for i, c in enumerate(columns):
+        value = finite(F.col(f"`{c}`"))
+        for order, method in enumerate(methods):
+            hits.append(F.when(_hit(method, value, F.col(f"_limits_{i}")), F.struct(
+                F.lit(c).alias("column"), F.lit(method).alias("method"), F.lit(order).alias("method_order"),
+                value.alias("value"), F.col(f"_limits_{i}").alias("limits"),
+            )))
+    found = _with_limits(df, columns, small).select(identity.alias("row_id"), F.explode(F.array_compact(F.array(*hits))).alias("_h"))
+    return found.select("row_id", "_h.column", "_h.method", "_h.method_order", "_h.value", "_h.limits.*")
 
 
 def outlier_counts(
     df: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHODS, *, small: bool | None = None
 ) -> DataFrame:
     """``column, method, outlier_count, outlier_percent`` without listing the rows."""
-    cells = long_numbers(df, columns).where(F.col("value").isNotNull())
-    counted = (
-        cells.join(F.broadcast(outlier_limits(df, columns, small=small)), "column")
-        .groupBy("column")
-        .agg(
-            F.count(F.lit(1)).alias("valid_count"),
-            *[F.count_if(_hit(m, F.col("value"))).alias(m) for m in methods],
-        )
-    )
+    measures = []
+    for i, c in enumerate(columns):
+        value = finite(F.col(f"`{c}`"))
+        measures.append(F.count(value).alias(f"{c}__valid_count"))
+        measures += [F.count_if(_hit(m, value, F.col(f"_limits_{i}"))).alias(f"{c}__{m}") for m in methods]
+    long = row_to_long(_with_limits(df, columns, small).agg(*measures), columns, ["valid_count", *methods])
     found = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("outlier_count")) for m in methods]))
-    return counted.select("column", "valid_count", found.alias("_h")).select(
+    return long.where(F.col("valid_count") > 0).select("column", "valid_count", found.alias("_h")).select(
         "column",
         "_h.method",
         "_h.outlier_count",

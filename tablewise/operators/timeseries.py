@@ -44,38 +44,54 @@ def _pick_by_span(days: Column, choices: list[tuple[int | None, str]]) -> Column
     return picked.otherwise(choices[-1][1])
 
 
-def _adaptive_buckets(
-    df: DataFrame, time: str, choices: list[tuple[int | None, str]], measures: list[Column], extra: list[Column]
-) -> tuple[DataFrame, DataFrame]:
-    """Rows bucketed by the frequency the covered span asks for, and the matching spine."""
-    rows = df.select(as_timestamp(df, time).alias("_at"), *extra).where(F.col("_at").isNotNull())
-    names = [name for _, name in choices]
-    # Daily pre-aggregation is not reused for other measures, so the span is its own tiny row.
-    span = rows.agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi")).where(F.col("_lo").isNotNull())
+# How each aggregation is rebuilt from daily partial results.
+_DAILY = {
+    "count": (lambda x: {"_a": F.count(F.lit(1))}, lambda: F.sum("_a")),
+    "sum": (lambda x: {"_a": F.sum(x)}, lambda: F.sum("_a")),
+    "mean": (lambda x: {"_a": F.sum(x), "_b": F.count(x)}, lambda: F.try_divide(F.sum("_a"), F.sum("_b").cast("double"))),
+    "min": (lambda x: {"_a": F.min(x)}, lambda: F.min("_a")),
+    "max": (lambda x: {"_a": F.max(x)}, lambda: F.max("_a")),
+}
+
+
+def _adaptive_trend(df: DataFrame, time: str, value: str | None, aggregation: str, choices: list[tuple[int | None, str]]) -> DataFrame:
+    """``period, value, frequency`` with the frequency the covered span asks for.
+
+    The rows are read once, into one partial result per day; the span and the final buckets
+    both come from those.
+    """
+    partial, final = _DAILY[aggregation]
+    columns = [] if value is None else [F.col(value).alias("_x")]
+    rows = df.select(as_timestamp(df, time).alias("_at"), *columns).where(F.col("_at").isNotNull())
+    daily = rows.groupBy(F.col("_at").cast("date").alias("_day")).agg(
+        F.min("_at").alias("_lo"), F.max("_at").alias("_hi"),
+        *[measure.alias(name) for name, measure in partial("_x").items()],
+    )
+    span = daily.agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where(F.col("_lo").isNotNull())
     whole_days = F.floor(F.timestamp_diff("SECOND", F.col("_lo"), F.col("_hi")) / 86400)
     span = span.withColumn("frequency", _pick_by_span(whole_days, choices))
 
     def by_frequency(build) -> Column:
         chosen = None
-        for name in names:
-            value = build(name)
-            chosen = F.when(F.col("frequency") == name, value) if chosen is None else chosen.when(
-                F.col("frequency") == name, value
-            )
+        for _limit, name in choices:
+            branch = build(name)
+            chosen = F.when(F.col("frequency") == name, branch) if chosen is None else chosen.when(F.col("frequency") == name, branch)
         return chosen
 
     bucketed = (
-        rows.crossJoin(F.broadcast(span.select("frequency")))
-        .groupBy("frequency", by_frequency(lambda name: bucket(F.col("_at"), name)).alias("period"))
-        .agg(*measures)
+        daily.crossJoin(F.broadcast(span.select("frequency")))
+        .groupBy("frequency", by_frequency(lambda name: bucket(F.col("_day"), name)).alias("period"))
+        .agg(final().alias("value"))
     )
+    if aggregation not in FILL_WITH_ZERO:
+        return bucketed.where(F.col("value").isNotNull()).select("period", "value", "frequency")
     spine = span.select(
         "frequency",
-        F.explode(
-            by_frequency(lambda name: _spine(bucket(F.col("_lo"), name), bucket(F.col("_hi"), name), name))
-        ).alias("period"),
+        F.explode(by_frequency(lambda name: _spine(bucket(F.col("_lo"), name), bucket(F.col("_hi"), name), name))).alias("period"),
+    )
+    return spine.join(bucketed.drop("frequency"), "period", "left").select(
+        "period", F.coalesce("value", F.lit(0)).alias("value"), "frequency"
     )
-    return bucketed, spine
 
 
 def time_trend(df: DataFrame, time: str, value: str | None = None, aggregation: str = "count") -> DataFrame:
@@ -84,26 +100,13 @@ def time_trend(df: DataFrame, time: str, value: str | None = None, aggregation:
     count and sum show empty buckets as 0; mean, min and max leave them out.
     """
     if value is None or aggregation == "count":
-        aggregation, measure, extra = "count", F.count(F.lit(1)), []
-    else:
-        functions = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
-        measure, extra = functions[aggregation](F.col(value)), [F.col(value)]
-    bucketed, spine = _adaptive_buckets(
-        df, time, [(730, "Y"), (90, "M"), (None, "D")], [measure.alias("value")], extra
-    )
-    if aggregation in FILL_WITH_ZERO:
-        joined = spine.join(bucketed.drop("frequency"), "period", "left")
-        return joined.select("period", F.coalesce("value", F.lit(0)).alias("value"), "frequency")
-    return bucketed.where(F.col("value").isNotNull()).select("period", "value", "frequency")
+        value, aggregation = None, "count"
+    return _adaptive_trend(df, time, value, aggregation, [(730, "Y"), (90, "M"), (None, "D")])
 
 
 def event_volume_trend(df: DataFrame, time: str) -> DataFrame:
     """Row counts per day, per week above 120 days, per month above 730 days; gaps are 0."""
-    bucketed, spine = _adaptive_buckets(
-        df, time, [(730, "M"), (120, "W"), (None, "D")], [F.count(F.lit(1)).alias("value")], []
-    )
-    joined = spine.join(bucketed.drop("frequency"), "period", "left")
-    return joined.select("period", F.coalesce("value", F.lit(0)).alias("value"), "frequency")
+    return _adaptive_trend(df, time, None, "count", [(730, "M"), (120, "W"), (None, "D")])
 
 
 def trend_stats(

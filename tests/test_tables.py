@@ -56,6 +56,15 @@ def test_top_and_grouped_metrics(spark):
     assert pairs(aggregates.numeric_aggregation(empty, "v", "sum", "g"), "group", "value") == {"A": 0.0, None: 2.0}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_duplicates_of_a_hot_row(spark, small):
+    rows = [("hot", None)] * 400 + [(f"u{i}", float(i)) for i in range(300)] + [("pair", 1.0)] * 2
+    df = spark.createDataFrame(rows, "k string, v double")
+    row = quality.duplicate_detection(df, small=small).first()
+    assert (row.row_count, row.duplicate_rows, row.duplicate_groups_rows) == (702, 400, 402)
+    assert [tuple(r) for r in quality.duplicate_sample(df, small=small).collect()] == [("hot", None, 400), ("pair", 1.0, 2)]
+
+
 def test_nulls_and_duplicates(spark):
     df = spark.createDataFrame([("A", 1.0), ("A", 1.0), (None, 2.0), ("B", None), ("B", None)], "categoria string, valore double")
     found = {r.column: (r.null_count, r.null_percent, r.total_nulls) for r in quality.null_detection(df).collect()}
