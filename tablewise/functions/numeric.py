@@ -29,6 +29,13 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(bottom != 0, numerator.cast("double") / bottom)
 
 
+def accurate_sum(value: Column) -> Column:
+    """Aggregate sum that adds whole and fractional parts apart, so long sums keep their digits
+    and hardly depend on the order of the rows."""
+    whole = F.floor(value).cast("double")
+    return F.sum(whole) + F.sum(value - whole)
+
+
 def severity_from_ratio(ratio: Column) -> Column:
     size = F.abs(finite(ratio))
     return (

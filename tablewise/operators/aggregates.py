@@ -19,7 +19,7 @@ from tablewise.operators.shape import (
     row_to_long,
     value_counts,
 )
-from tablewise.session import is_small
+from tablewise.session import is_small, reliable_checkpoint
 
 PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
 
@@ -110,11 +110,11 @@ def numeric_profile(
     fields = ["count", "missing_count", "mean", "min", "max", "sum", "variance"]
     shares = [p / 100 for p in PERCENTILES]
     if small:
-        # One pass for everything but the MAD, one more for the MAD.
+        # One pass for everything but the MAD, into a single kept row; one more for the MAD.
         quantiles = [
             F.percentile(_known(df, c), F.array(*[F.lit(s) for s in shares])).alias(f"{c}__quantiles") for c in names
         ]
-        first = df.agg(*base, *quantiles)
+        first = reliable_checkpoint(df.agg(*base, *quantiles))
         medians = first.select(*[F.col(f"`{c}__quantiles`")[2].alias(f"_{i}") for i, c in enumerate(names)])
         mads = df.crossJoin(F.broadcast(medians)).agg(
             *[

@@ -9,6 +9,7 @@ from tablewise.functions.numeric import safe_ratio, to_number
 from tablewise.operators.counts import count_occurrences
 from tablewise.operators.durations import elapsed_summary
 from tablewise.operators.timeseries import event_volume_trend
+from tablewise.session import reused
 
 TOP_DIMENSIONS = 6
 SHOWN_PERIODS = 12
@@ -93,6 +94,7 @@ def ticket_overview(
     df: DataFrame, status: str, opened: str, closed: str, *, small: bool | None = None
 ) -> dict[str, DataFrame]:
     """Counts by status, closures per bucket, their ends and peak, and the elapsed time."""
+    df = reused(df.select(status, opened, closed))
     closures = event_volume_trend(df.where(F.col(closed).isNotNull()), closed)
     return {
         "by_status": count_occurrences(df, status, None),

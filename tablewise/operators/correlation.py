@@ -108,7 +108,8 @@ def corr_kendall(
 
     cells = _reused(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cell")), small)
     cells = _reused(lookup_join(cells, ranks["x"], "x", "_x", small=small), small)
-    cells = _reused(lookup_join(cells, ranks["y"], "y", "_y", small=small).select("xr", "yr", "cell"), small)
+    # Five branches read the ranked cells from here on.
+    cells = reliable_checkpoint(lookup_join(cells, ranks["y"], "y", "_y", small=small).select("xr", "yr", "cell"))
 
     levels = F.array(*[
         F.struct(

@@ -77,6 +77,7 @@ def duration_between_dates(df: DataFrame, start: str, end: str, *, small: bool |
 
 def elapsed_summary(df: DataFrame, start: str, end: str, *, small: bool | None = None) -> DataFrame:
     """``duration_between_dates`` with the number of rows left out."""
+    df = reused(df.select(start, end))
     counted = df.agg(F.count(F.lit(1)).alias("total_rows"))
     return (
         duration_between_dates(df, start, end, small=small)
@@ -119,6 +120,7 @@ def activation_profile(df: DataFrame, start: str, end: str, unit: str = "days",
 
 def activation_by_method(df: DataFrame, metric: str, method: str, *, small: bool | None = None) -> DataFrame:
     """Mean metric per method, the leading method flagged, and the overall long-tail flag."""
+    df = reused(df.select(metric, method))
     means = (
         df.where(F.col(method).isNotNull())
         .groupBy(F.col(method).alias("method"))

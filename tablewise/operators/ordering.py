@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.functions.numeric import finite
+from tablewise.functions.numeric import accurate_sum, finite
 from tablewise.session import is_small, reliable_checkpoint
 
 BUCKETS = 256
@@ -226,59 +226,65 @@ def lag_in_chunks(
 def top_share_sum(df: DataFrame, order: str, value: str, take: Column, *, small: bool | None = None) -> DataFrame:
     """Sum and count of ``value`` over the last ``take`` rows by (order, value), and the rest.
 
-    ``take`` is computed from ``n``. Only the boundary moment is ordered, and there only the
-    distinct values, so ties on one moment do not pile up in one task.
+    ``take`` is computed from ``n``. The large way counts rows per distinct (moment, value),
+    finds the moment where the count from the end is reached, and orders only the values of
+    that one moment, so neither the table nor a tie on one moment ends up in one task.
     """
     rows = df.select(F.col(order).alias("_t"), F.col(value).alias("_x")).where(
         F.col("_t").isNotNull() & F.col("_x").isNotNull()
     )
     if small is None:
         small = is_small(rows)
+    if small:
+        latest = Window.partitionBy(F.lit(0)).orderBy(F.desc("_t"), F.desc("_x"))
+        everything = Window.partitionBy(F.lit(0))
+        numbered = rows.withColumn("_i", F.row_number().over(latest)).withColumn("n", F.count(F.lit(1)).over(everything))
+        recent = F.col("_i") <= F.col("take")
+        return numbered.withColumn("take", take.cast("bigint")).groupBy("n", "take").agg(
+            accurate_sum(F.when(recent, F.col("_x"))).alias("recent_sum"),
+            F.coalesce(accurate_sum(F.when(~recent, F.col("_x"))), F.lit(0.0)).alias("baseline_sum"),
+            F.min(F.when(recent, F.col("_t"))).alias("recent_from"),
+            F.max("_t").alias("recent_to"),
+        )
     moments = rows.withColumn("_t", F.unix_micros(F.col("_t").cast("timestamp")).cast("double"))
-    totals = moments.agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("sum_all")).withColumn(
-        "take", take.cast("bigint")
+    cells = reliable_checkpoint(moments.groupBy("_t", "_x").agg(F.count(F.lit(1)).alias("_n")))
+    per_moment = reliable_checkpoint(
+        cells.groupBy("_t").agg(F.sum("_n").alias("_n"), accurate_sum(F.col("_n") * F.col("_x")).alias("_sx"))
     )
-    cells = moments.groupBy("_t", "_x").agg(F.count(F.lit(1)).alias("_n"))
-    per_moment = cells.groupBy("_t").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_x")).alias("_sx"))
-    boundary = _kth_from_end(per_moment, "_t", totals.select(F.col("take").alias("_want")), small)
-    later = (
-        per_moment.crossJoin(F.broadcast(boundary.select(F.col("_t").alias("_edge"), "_rest")))
-        .agg(
-            F.sum(F.when(F.col("_t") > F.col("_edge"), F.col("_n"))).alias("_n_after"),
-            F.sum(F.when(F.col("_t") > F.col("_edge"), F.col("_sx"))).alias("_sx_after"),
-            F.max("_edge").alias("_edge"),
-            F.max(F.when(F.col("_t") > F.col("_edge"), F.col("_t"))).alias("_t_last"),
-        )
+    totals = per_moment.agg(
+        F.sum("_n").alias("n"), accurate_sum(F.col("_sx")).alias("sum_all"), F.max("_t").alias("_t_last")
+    ).withColumn("take", take.cast("bigint"))
+    boundary = reliable_checkpoint(_kth_from_end(per_moment, "_t", totals.select(F.col("take").alias("_want"))))
+    after = per_moment.crossJoin(F.broadcast(boundary.select(F.col("_t").alias("_edge")))).agg(
+        accurate_sum(F.when(F.col("_t") > F.col("_edge"), F.col("_sx"))).alias("_after"), F.max("_edge").alias("_edge")
     )
-    ties = cells.join(F.broadcast(boundary.select(F.col("_t"), "_rest")), "_t").select("_x", "_n", "_rest")
-    tie_values = ties.groupBy("_x").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_x")).alias("_sx"))
-    cut = _kth_from_end(tie_values, "_x", boundary.select(F.col("_rest").alias("_want")), small)
-    tie_sum = (
-        tie_values.crossJoin(F.broadcast(cut.select(F.col("_x").alias("_cut"), F.col("_rest").alias("_at_cut"))))
-        .agg(
-            F.sum(F.when(F.col("_x") > F.col("_cut"), F.col("_sx"))).alias("_above"),
-            F.max(F.col("_cut") * F.col("_at_cut")).alias("_at"),
-        )
+    ties = reliable_checkpoint(
+        cells.join(F.broadcast(boundary.select("_t")), "_t", "left_semi").select("_x", "_n", (F.col("_n") * F.col("_x")).alias("_sx"))
     )
-    recent = F.coalesce("_sx_after", F.lit(0.0)) + F.coalesce("_above", F.lit(0.0)) + F.coalesce("_at", F.lit(0.0))
+    cut = reliable_checkpoint(_kth_from_end(ties, "_x", boundary.select(F.col("_rest").alias("_want"))))
+    tied = ties.crossJoin(F.broadcast(cut.select(F.col("_x").alias("_cut"), F.col("_rest").alias("_at_cut")))).agg(
+        accurate_sum(F.when(F.col("_x") > F.col("_cut"), F.col("_sx"))).alias("_above"),
+        F.max(F.col("_cut") * F.col("_at_cut")).alias("_at"),
+    )
+    recent_sum = F.coalesce("_after", F.lit(0.0)) + F.coalesce("_above", F.lit(0.0)) + F.coalesce("_at", F.lit(0.0))
+
+    def moment(name: str) -> Column:
+        return F.timestamp_micros(F.col(name).cast("bigint")).cast("timestamp_ntz")
+
     return (
-        totals.crossJoin(F.broadcast(later))
-        .crossJoin(F.broadcast(tie_sum))
+        totals.crossJoin(F.broadcast(after))
+        .crossJoin(F.broadcast(tied))
         .select(
-            "n",
-            "take",
-            recent.alias("recent_sum"),
-            (F.col("sum_all") - recent).alias("baseline_sum"),
-            F.timestamp_micros(F.col("_edge").cast("bigint")).cast("timestamp_ntz").alias("recent_from"),
-            F.timestamp_micros(F.coalesce("_t_last", "_edge").cast("bigint")).cast("timestamp_ntz").alias("recent_to"),
+            "n", "take", recent_sum.alias("recent_sum"), (F.col("sum_all") - recent_sum).alias("baseline_sum"),
+            moment("_edge").alias("recent_from"), moment("_t_last").alias("recent_to"),
         )
     )
 
 
-def _kth_from_end(counts: DataFrame, value: str, want: DataFrame, small: bool) -> DataFrame:
+def _kth_from_end(counts: DataFrame, value: str, want: DataFrame) -> DataFrame:
     """The value at which the count from the top reaches ``_want``; ``_rest`` still needed there."""
     base = counts.select(F.struct(F.lit(0).alias("_all")).alias("_k"), F.col(value).alias("_v"), "_n")
-    bucketed = base.withColumn("_b", F.lit(0)) if small else _with_bucket(base, F.lit(0), BUCKETS)
+    bucketed = _with_bucket(base, F.lit(0), BUCKETS)
     offsets = (
         _bucket_offsets(bucketed)
         .crossJoin(F.broadcast(want))

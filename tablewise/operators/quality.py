@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.numeric import to_number
@@ -59,11 +59,10 @@ def completeness_total(df: DataFrame) -> DataFrame:
 
 def null_detection(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Columns with nulls, most first, with the table-wide total on each row."""
-    cells = _missing_long(df)
-    total = cells.agg(F.sum("missing_count").alias("total_nulls"))
+    # One row per column of the table, so the window stays tiny.
+    cells = _missing_long(df).withColumn("total_nulls", F.sum("missing_count").over(Window.partitionBy(F.lit(0))))
     found = (
         cells.where(F.col("missing_count") > 0)
-        .crossJoin(F.broadcast(total))
         .select(
             "column",
             F.col("missing_count").alias("null_count"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewise.operators import graph, graph_quality
 from tablewise.operators.graph import PROPERTIES
 from tablewise.plans.registry import QuerySet, table
+from tablewise.session import reliable_checkpoint
 
 SET = QuerySet()
 
@@ -92,6 +93,12 @@ def analysis_graph(spark, folder):
     return nodes, united
 
 
+def stored_graph(spark, folder, build=analysis_graph):
+    """The derived graph written out as two tables, as a kept graph would be."""
+    nodes, edges = build(spark, folder)
+    return reliable_checkpoint(nodes), reliable_checkpoint(edges)
+
+
 GRAPH_SQL = """
 WITH deep AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(l_returnflag) AS flag, max(l_linestatus) AS status
    FROM lineitem WHERE l_discount >= 0.09 GROUP BY 1, 2, 3, 4),
@@ -152,14 +159,14 @@ def _(spark, folder):
 SELECT n.type AS neighbor_type, b.relationship, b.direction, count(*) AS links, count(DISTINCT b.id) AS nodes
 FROM b JOIN nodes n ON n.id = b.other GROUP BY 1, 2, 3""")
 def _(spark, folder):
-    found = graph.neighbors(*analysis_graph(spark, folder))
+    found = graph.neighbors(*stored_graph(spark, folder))
     return found.groupBy("neighbor_type", "relationship", "direction").agg(
         F.count(F.lit(1)).alias("links"), F.count_distinct("id").alias("nodes"))
 
 
 @SET.add("graph_lineage", GRAPH_SQL + "SELECT run_id, bucket, count(*) AS elements FROM lineage GROUP BY 1, 2")
 def _(spark, folder):
-    return graph.lineage_counts(graph.lineage(*analysis_graph(spark, folder)))
+    return graph.lineage_counts(graph.lineage(*stored_graph(spark, folder)))
 
 
 @SET.add("graph_runs_with_anomaly", GRAPH_SQL + """
@@ -197,7 +204,7 @@ SELECT kind, label, CASE WHEN a = 1 AND b = 1 THEN 'common' WHEN b = 1 THEN 'add
 
 @SET.add("run_diff", GRAPH_SQL + _DIFF_SQL.format(a="'analysis_run:7'", b="'analysis_run:32'"))
 def _(spark, folder):
-    return graph.run_diff(*analysis_graph(spark, folder), "analysis_run:7", "analysis_run:32")
+    return graph.run_diff(*stored_graph(spark, folder), "analysis_run:7", "analysis_run:32")
 
 
 @SET.add("run_changes", GRAPH_SQL + """
@@ -215,7 +222,7 @@ def _(spark, folder):
     a="(SELECT id FROM nodes WHERE type = 'analysis_run' ORDER BY created_at DESC, id DESC LIMIT 1 OFFSET 1)",
     b="(SELECT id FROM nodes WHERE type = 'analysis_run' ORDER BY created_at DESC, id DESC LIMIT 1)"))
 def _(spark, folder):
-    return graph.latest_run_diff(*analysis_graph(spark, folder))
+    return graph.latest_run_diff(*stored_graph(spark, folder))
 
 
 @SET.add("graph_upsert", GRAPH_SQL + """
@@ -256,7 +263,7 @@ def _(spark, folder):
 , v AS (SELECT id FROM nodes WHERE type IN ('analysis_run', 'dataset', 'root_cause'))
 SELECT relationship, count(*) AS edges FROM edges WHERE source IN (FROM v) AND target IN (FROM v) GROUP BY 1""")
 def _(spark, folder):
-    nodes, edges = analysis_graph(spark, folder)
+    nodes, edges = stored_graph(spark, folder)
     kept = graph.induced_edges(nodes.where("type in ('analysis_run', 'dataset', 'root_cause')"), edges)
     return kept.groupBy("relationship").agg(F.count(F.lit(1)).alias("edges"))
 
@@ -311,14 +318,14 @@ DIRTY_SQL = GRAPH_SQL + """
 SELECT missing_end, relationship, count(*) AS edges FROM (SELECT 'source' AS missing_end, relationship FROM de WHERE source NOT IN (SELECT id FROM dn)
 UNION ALL SELECT 'target', relationship FROM de WHERE target NOT IN (SELECT id FROM dn)) GROUP BY 1, 2""")
 def _(spark, folder):
-    found = graph.dangling_edges(*dirty_graph(spark, folder))
+    found = graph.dangling_edges(*stored_graph(spark, folder, dirty_graph))
     return found.groupBy("missing_end", "relationship").agg(F.count(F.lit(1)).alias("edges"))
 
 
 @SET.add("graph_endpoint_types", GRAPH_SQL + """
 SELECT relationship, s.type AS source_type, t.type AS target_type, count(*) AS edges FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target GROUP BY 1, 2, 3""")
 def _(spark, folder):
-    found = graph.endpoint_types(*analysis_graph(spark, folder))
+    found = graph.endpoint_types(*stored_graph(spark, folder))
     return found.groupBy("relationship", "source_type", "target_type").agg(F.count(F.lit(1)).alias("edges"))
 
 
@@ -353,7 +360,7 @@ _EDGE_ISSUES = """
 
 @SET.add("kg_validate_edges", DIRTY_SQL + _EDGE_ISSUES)
 def _(spark, folder):
-    nodes, edges = dirty_graph(spark, folder)
+    nodes, edges = stored_graph(spark, folder, dirty_graph)
     checked = graph_quality.checked_edges(edges, graph_quality.checked_nodes(nodes))
     return graph_quality.edge_issues(checked).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("issues"))
 
@@ -371,7 +378,7 @@ def _(spark, folder):
 @SET.add("kg_isolated", GRAPH_SQL + """
 SELECT type, 'warning' AS severity, count(*) AS nodes FROM nodes WHERE id NOT IN (SELECT source FROM edges) AND id NOT IN (SELECT target FROM edges) GROUP BY 1""")
 def _(spark, folder):
-    found = graph_quality.isolated_nodes(*analysis_graph(spark, folder))
+    found = graph_quality.isolated_nodes(*stored_graph(spark, folder))
     return found.groupBy("type", "severity").agg(F.count(F.lit(1)).alias("nodes"))
 
 
@@ -387,7 +394,7 @@ SELECT 'invalid' AS status, (SELECT count(*) FILTER (accepted) FROM ns) AS accep
  (SELECT round(count(*) FILTER (accepted) / count(*), 6) FROM ns) AS node_acceptance_ratio,
  (SELECT round(count(*) FILTER (accepted) / count(*), 6) FROM eg) AS edge_acceptance_ratio, true AS can_consume, false AS can_write""")
 def _(spark, folder):
-    return graph_quality.quality_report(graph_quality.validate_graph(*dirty_graph(spark, folder)))
+    return graph_quality.quality_report(graph_quality.validate_graph(*stored_graph(spark, folder, dirty_graph)))
 
 
 @SET.add("kg_dimensions", DIRTY_SQL + f"""
@@ -403,12 +410,12 @@ def _(spark, folder):
    coalesce(sum(issues) FILTER (severity = 'info'), 0)::BIGINT AS infos FROM d LEFT JOIN c ON d.dimension = c.dimension GROUP BY 1)
 SELECT *, CASE WHEN errors > 0 THEN 'fail' WHEN warnings + infos > 0 THEN 'warn' ELSE 'pass' END AS status FROM t""")
 def _(spark, folder):
-    return graph_quality.quality_dimensions(graph_quality.validate_graph(*dirty_graph(spark, folder)).issues)
+    return graph_quality.quality_dimensions(graph_quality.validate_graph(*stored_graph(spark, folder, dirty_graph)).issues)
 
 
 @SET.add("kg_governed_read", GRAPH_SQL + "SELECT type, count(*) AS nodes FROM nodes GROUP BY 1")
 def _(spark, folder):
-    nodes, _edges, _report = graph_quality.governed_read(*analysis_graph(spark, folder), mode="enforce")
+    nodes, _edges, _report = graph_quality.governed_read(*stored_graph(spark, folder), mode="enforce")
     return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("nodes"))
 
 
@@ -418,7 +425,7 @@ UNION ALL SELECT 'consistency.analysis_timestamp_invalid', 'error', count(*) FRO
 UNION ALL SELECT 'consistency.root_cause_without_anomaly_evidence', 'warning', count(*) FROM nodes WHERE type = 'root_cause'
   AND id NOT IN (SELECT source FROM edges WHERE relationship = 'EXPLAINS_ANOMALY') HAVING count(*) > 0""")
 def _(spark, folder):
-    nodes, edges = dirty_graph(spark, folder)
+    nodes, edges = stored_graph(spark, folder, dirty_graph)
     issues = graph_quality.consistency_issues(nodes, edges)
     return issues.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("issues"))
 

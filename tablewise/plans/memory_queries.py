@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions import numeric
 from tablewise.operators import experience, learning, ranking
-from tablewise.plans.graph_queries import GRAPH_SQL, analysis_graph
+from tablewise.plans.graph_queries import GRAPH_SQL, stored_graph
 from tablewise.plans.registry import QuerySet, table
 from tablewise.streaming import monitors
 
@@ -32,7 +32,7 @@ PROFILE = {
    WHERE r.type = 'analysis_run')
 SELECT run_id, label, round(score, 4) AS score FROM s WHERE score > 0 ORDER BY round(score, 4) DESC, created_at DESC, run_id DESC LIMIT 20""")
 def _(spark, folder):
-    return experience.run_similarity(*analysis_graph(spark, folder), PROFILE, 20)
+    return experience.run_similarity(*stored_graph(spark, folder), PROFILE, 20)
 
 
 @SET.add("recurring_patterns", GRAPH_SQL + """
@@ -43,7 +43,7 @@ def _(spark, folder):
  r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY occurrences DESC, value) AS rank FROM c)
 SELECT kind, value, occurrences, rank::INT AS rank, round(0.45 + 0.55 * (SELECT count(DISTINCT kind) FROM r) / 6, 4) AS confidence FROM r WHERE rank <= 8""")
 def _(spark, folder):
-    return experience.recurring_patterns(*analysis_graph(spark, folder))
+    return experience.recurring_patterns(*stored_graph(spark, folder))
 
 
 _EXPERIENCE = GRAPH_SQL + """
@@ -78,7 +78,7 @@ def _heads_sql(kind):
 
 def _heads(kind):
     def run(spark, folder):
-        return experience.experience_build(*analysis_graph(spark, folder), kind)[0]
+        return experience.experience_build(*stored_graph(spark, folder), kind)[0]
 
     return run
 
@@ -89,13 +89,13 @@ for _name, _kind in (("experience_metric", "metric"), ("experience_anomaly", "an
 
 @SET.add("experience_steps", _EXPERIENCE + "SELECT experience_id, value AS step FROM items WHERE item_kind = 'step' AND experience_id LIKE 'experience.metric%'")
 def _(spark, folder):
-    _heads_table, items = experience.experience_build(*analysis_graph(spark, folder), "metric")
+    _heads_table, items = experience.experience_build(*stored_graph(spark, folder), "metric")
     return items.where("item_kind = 'step'").select("experience_id", F.col("value").alias("step"))
 
 
 @SET.add("experience_items", _EXPERIENCE + "SELECT item_kind, count(*) AS items, count(DISTINCT value) AS distinct_values FROM items GROUP BY 1")
 def _(spark, folder):
-    _heads_table, items = experience.experience_all(*analysis_graph(spark, folder))
+    _heads_table, items = experience.experience_all(*stored_graph(spark, folder))
     return items.groupBy("item_kind").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("value").alias("distinct_values"))
 
 
@@ -112,7 +112,7 @@ _SCORED = """
 
 @SET.add("experience_match", _EXPERIENCE + _SCORED + "SELECT * FROM mt")
 def _(spark, folder):
-    return experience.experience_match(*experience.experience_all(*analysis_graph(spark, folder)), MATCH_PROFILE, 10)
+    return experience.experience_match(*experience.experience_all(*stored_graph(spark, folder)), MATCH_PROFILE, 10)
 
 
 @SET.add("experience_recommend", _EXPERIENCE + _SCORED + """
@@ -121,14 +121,14 @@ def _(spark, folder):
  p AS (SELECT *, CASE WHEN lower(step) LIKE '%verifica infrastrutturale%' THEN 'high' WHEN lower(step) LIKE '%outlier%' OR lower(step) LIKE '%segmentazione%' THEN 'medium' ELSE 'low' END AS priority FROM g)
 SELECT step, priority, confidence, sources FROM p ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, confidence DESC, step LIMIT 5""")
 def _(spark, folder):
-    return experience.experience_recommend(*experience.experience_all(*analysis_graph(spark, folder)), MATCH_PROFILE, 5)
+    return experience.experience_recommend(*experience.experience_all(*stored_graph(spark, folder)), MATCH_PROFILE, 5)
 
 
 @SET.add("experience_find", _EXPERIENCE + """
 SELECT experience_id, kind, key, confidence, evidence_count, updated_at FROM heads WHERE experience_id IN (
   SELECT experience_id FROM items WHERE item_kind = 'anomaly' AND value = 'sudden_change') AND kind = 'metric'""")
 def _(spark, folder):
-    built = experience.experience_build(*analysis_graph(spark, folder), "metric")
+    built = experience.experience_build(*stored_graph(spark, folder), "metric")
     return experience.experience_find(*built, "anomaly", "SUDDEN_change")
 
 
@@ -137,7 +137,7 @@ def _(spark, folder):
  r AS (SELECT *, row_number() OVER (PARTITION BY item_kind ORDER BY frequency DESC, value) AS rank FROM c)
 SELECT item_kind, value, frequency, rank::INT AS rank, round(least(1.0, 0.3 + frequency * 0.12), 2)::DOUBLE AS confidence FROM r WHERE rank <= 5""")
 def _(spark, folder):
-    return experience.experience_tops(experience.experience_all(*analysis_graph(spark, folder))[1])
+    return experience.experience_tops(experience.experience_all(*stored_graph(spark, folder))[1])
 
 
 @SET.add("exp_upsert", _EXPERIENCE + """
@@ -147,7 +147,7 @@ def _(spark, folder):
    (SELECT 'm' || string_agg(DISTINCT lower(value), '|' ORDER BY lower(value)) FROM items i WHERE i.experience_id = h.experience_id AND item_kind = 'metric')) AS sig FROM heads h)
 SELECT experience_id, kind, key, confidence, evidence_count, updated_at FROM heads WHERE experience_id IN (SELECT max(experience_id) FROM sg GROUP BY sig)""")
 def _(spark, folder):
-    return experience.experience_upsert(*experience.experience_all(*analysis_graph(spark, folder)))
+    return experience.experience_upsert(*experience.experience_all(*stored_graph(spark, folder)))
 
 
 CANDIDATES_SQL = """
