@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.numeric import accurate_sum, finite
-from tablewise.session import is_small, reliable_checkpoint
+from tablewise.session import is_small, reliable_checkpoint, reused
 
 BUCKETS = 256
 SKETCH_ACCURACY = 2000
@@ -179,9 +179,11 @@ def row_numbers(
 
     The large way range-partitions on (keys, order), pins the partitions with a checkpoint,
     numbers rows inside each partition and adds the rows of earlier partitions. ``order_by``
-    must be a total order.
+    must be a total order. An input behind joins is materialised first, since both the size
+    check and the sampling of range boundaries would otherwise compute it again.
     """
     if small is None:
+        df = reused(df)
         small = is_small(df)
     if small:
         return df.withColumn(output, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)))
