@@ -4,12 +4,22 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tablewise.llm import bpe, token_files
+from tablewise.llm import bpe, repeats, simhash, token_files
 from tablewise.plans.registry import QuerySet, table
 
 SET = QuerySet()
 
 
+@SET.add("op7_simhash")
+def _(spark, folder):
+    return simhash.component_report(table(spark, folder, "documents"))
+
+
+@SET.add("op8_suffix_dedup")
+def _(spark, folder):
+    return repeats.repeat_report(table(spark, folder, "documents"))
+
+
 @SET.add("op9_bpe_codec")
 def _(spark, folder):
     return bpe.encode_and_decode(
