@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tablewise.llm import bpe, repeats, simhash, token_files
+from tablewise.llm import bpe, decontaminate, repeats, simhash, token_files
 from tablewise.plans.registry import QuerySet, table
 
 SET = QuerySet()
 
 
+@SET.add("op4_decontamination", decontaminate.CONTAMINATION_SQL)
+def _(spark, folder):
+    return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @SET.add("op7_simhash")
 def _(spark, folder):
     return simhash.component_report(table(spark, folder, "documents"))
