@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 
-from tablewise.llm import bpe, decontaminate, repeats, simhash, token_files
+from tablewise.llm import bpe, decontaminate, language, repeats, simhash, token_files
 from tablewise.plans.registry import QuerySet, table
 
 SET = QuerySet()
 
 
+@SET.add("pipeline")
+def _(spark, folder):
+    return corpus_pipeline.run(spark, folder)
+
+
+@SET.add("op1_language")
+def _(spark, folder):
+    return language.language_report(table(spark, folder, "documents"))
+
+
 @SET.add("op4_decontamination", decontaminate.CONTAMINATION_SQL)
 def _(spark, folder):
     return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -18,13 +18,12 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import text_slices, written
+from tablewise.llm.common import row_key, text_slices, written
 from tablewise.llm.components import components
 
 SEED = 42
@@ -33,38 +32,40 @@ BLOCK_HASHES = 1 << 16
 BLOCK_PAIRS = 1 << 20
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Majority bits of the hashes of all shingles, as an unsigned number."""
+def signature(text: str | None, words: int, lanes: int = 1) -> np.ndarray:
+    """Majority bits of the hashes of all shingles, for as many hash seeds as there are lanes."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return np.zeros(lanes, np.uint64)
     count = max(1, len(tokens) - words + 1)
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((lanes, 64), np.int64)
     for start in range(0, count, BLOCK_HASHES):
         stop = min(start + BLOCK_HASHES, count)
         if len(tokens) < words:
-            shingles = iter([tokens])
+            joined = [b" ".join(tokens)]
         else:
-            shingles = zip(*(itertools.islice(tokens, start + i, stop + i) for i in range(words)))
-        hashes = array("Q", [xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8), bitorder="little").reshape(-1, 64)
-        ones += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+            joined = [b" ".join(s) for s in zip(*(itertools.islice(tokens, start + i, stop + i) for i in range(words)))]
+        for lane in range(lanes):
+            hashes = array("Q", [xxhash.xxh64_intdigest(s, SEED + lane) for s in joined])
+            ones[lane] += np.unpackbits(np.frombuffer(hashes, np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > count, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def _fingerprints(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _signatures(words: int, lanes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for part in text_slices(batches):
-            prints = np.array([fingerprint(t, words) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints)], ["doc_id", "fp"])
+            found = np.stack([signature(t, words, lanes) for t in part.column(part.schema.get_field_index("text")).to_pylist()]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * lanes), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], lists], ["doc_id", "_k1", "_k2", "sig"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed number."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(_fingerprints(words), "doc_id long, fp long")
+def signatures(docs: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
+    """(doc_id, _k1, _k2, sig, node): the fingerprint's signed 64-bit lanes and a number that names it."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), "text")
+    marked = texts.mapInArrow(_signatures(words, lanes), "doc_id long, _k1 long, _k2 long, sig array<long>")
+    return marked.withColumn("node", F.col("sig")[0] if lanes == 1 else F.xxhash64("sig"))
 
 
 def near_shifts(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -86,70 +87,90 @@ def joined_roots(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.
             return step[parent]
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Members of two tiles and the roots that they are linked to, without the roots themselves."""
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, whole: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the two tiles (b's after a's) and the roots that they are linked to, without the roots themselves.
+
+    Tiles are arrays of (fingerprint, lane). The first lanes have to be within ``radius``
+    and all lanes together within ``whole``.
+    """
     a, b = a.view(np.uint64), b.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
-    both = a if same else np.concatenate([a, b])
-    parent, shift = np.arange(len(both)), 0 if same else len(a)
-    rows = max(1, BLOCK_PAIRS // max(1, len(b)))
+    parent, shift = np.arange(len(a) + (0 if same else len(b))), 0 if same else len(a)
+    rows, first = max(1, BLOCK_PAIRS // max(1, len(b))), np.ascontiguousarray(b[:, 0])
     for start in range(0, len(a), rows):
-        i, j = np.nonzero(np.bitwise_count(a[start : start + rows, None] ^ b[None, :]) <= radius)
-        keep = i + start != j + shift
+        i, j = np.nonzero(np.bitwise_count(a[start : start + rows, 0, None] ^ first[None, :]) <= radius)
+        i += start
+        keep = i != j + shift
+        if whole is not None and keep.any():
+            keep &= np.bitwise_count(a[i] ^ b[j]).sum(1) <= whole
         if keep.any():
-            parent = joined_roots(parent, i[keep] + start, j[keep] + shift)
-    moved = np.flatnonzero(parent != np.arange(len(both)))
-    return both[moved].view(np.int64), both[parent[moved]].view(np.int64)
+            parent = joined_roots(parent, i[keep], j[keep] + shift)
+    moved = np.flatnonzero(parent != np.arange(len(parent)))
+    return moved, parent[moved]
 
 
-def _compare(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compare(radius: int, whole: int | None, lanes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for batch in batches:
             members, roots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                member, root = tile_links(a.values.to_numpy(), b.values.to_numpy(), radius, same)
-                members.append(member)
-                roots.append(root)
+            numbers = lambda column: [np.ascontiguousarray(x.values.to_numpy()) for x in batch.column(column)]
+            for a, b, x, y, same in zip(numbers(0), numbers(1), numbers(2), numbers(3), batch.column(4).to_pylist()):
+                member, root = tile_links(a.reshape(-1, lanes), b.reshape(-1, lanes), radius, same, whole)
+                names = x if same else np.concatenate([x, y])
+                members.append(names[member])
+                roots.append(names[root])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(members)), pa.array(np.concatenate(roots))], ["a", "b"])
 
     return run
 
 
-def links(prints: DataFrame, radius: int = 3, parts: int = 4, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) that join all fingerprints (``fp``, distinct) within the radius of each other."""
+def links(prints: DataFrame, radius: int = 3, parts: int = 4, tile: int = TILE, lanes: int = 1, whole: int | None = None) -> DataFrame:
+    """Edges (a, b) that join all distinct fingerprints (``node``, ``sig``) that are near each other."""
     width = 64 // parts
+    word = F.col("sig")[0]
     counts = [
-        F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1 if parts > 1 else -1))).cast("int") for i in range(parts)
+        F.bit_count(F.shiftrightunsigned(word, width * i).bitwiseAND(F.lit((1 << width) - 1 if parts > 1 else -1))).cast("int") for i in range(parts)
     ]
-    celled = prints.select("fp", F.array(*counts).alias("cell"))
+    celled = prints.select("node", "sig", F.array(*counts).alias("cell"))
     # At most (width + 1) ** parts cells: 83,521 for four parts.
-    sizes = celled.groupBy("cell").agg(F.ceil(F.count("fp") / tile).alias("tiles"))
+    sizes = celled.groupBy("cell").agg(F.ceil(F.count("node") / tile).alias("tiles"))
     tiles = written(
         celled.join(F.broadcast(sizes), "cell")
-        .groupBy("cell", F.pmod(F.xxhash64("fp"), "tiles").alias("tile")).agg(F.collect_list("fp").alias("fps"))
+        .groupBy("cell", F.pmod(F.xxhash64("node"), "tiles").alias("tile")).agg(F.collect_list(F.struct("node", "sig")).alias("all"))
+        .select("cell", "tile", F.flatten("all.sig").alias("sigs"), F.col("all.node").alias("nodes"))
     )
     shifts = F.array(*[F.array(*[F.lit(x) for x in s]) for s in near_shifts(parts, radius)])
     near = tiles.select(
-        F.col("cell").alias("own"), F.col("tile").alias("own_tile"), F.col("fps").alias("own_fps"), F.explode(shifts).alias("shift")
+        F.col("cell").alias("own"), F.col("tile").alias("own_tile"), F.col("sigs").alias("own_sigs"), F.col("nodes").alias("own_nodes"), F.explode(shifts).alias("shift")
     ).withColumn("cell", F.zip_with("own", "shift", lambda x, y: x + y)).drop("shift")
     pairs = near.join(tiles, "cell").where((F.col("own") != F.col("cell")) | (F.col("own_tile") <= F.col("tile")))
     same = (F.col("own") == F.col("cell")) & (F.col("own_tile") == F.col("tile"))
-    return pairs.select("own_fps", "fps", same.alias("same")).mapInArrow(_compare(radius), "a long, b long")
+    return pairs.select("own_sigs", "sigs", "own_nodes", "nodes", same.alias("same")).mapInArrow(_compare(radius, whole, lanes), "a long, b long")
+
+
+def linked_documents(
+    docs: DataFrame, words: int = 3, radius: int = 3, parts: int = 4, tile: int = TILE, lanes: int = 1, whole: int | None = None
+) -> DataFrame:
+    """Per document: doc_id, _k1, _k2, sig, component_id (the smallest ``doc_id`` reachable over links) and keeper, that document's _k1 and _k2."""
+    marked = written(signatures(docs, words, lanes))
+    least = F.min(F.struct("_k1", "_k2"))
+    prints = written(marked.groupBy("node").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("first_id"), least.alias("first_row")))
+    roots = components(links(prints.select("node", "sig"), radius, parts, tile, lanes, whole))
+    named = prints.select(F.col("node").alias("_node"), "first_id", "first_row")
+    grouped = named.join(roots, F.col("_node") == F.col("node")).groupBy("root").agg(F.min("first_id").alias("least_id"), F.min("first_row").alias("least_row"))
+    linked = roots.join(written(grouped), "root").select("node", "least_id", "least_row")
+    every = written(named.join(linked, F.col("_node") == F.col("node"), "left").select(
+        "_node", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("least_row", "first_row").alias("keeper")))
+    return marked.join(every, F.col("node") == F.col("_node")).drop("_node", "node")
 
 
-def linked_documents(docs: DataFrame, words: int = 3, radius: int = 3, parts: int = 4, tile: int = TILE) -> DataFrame:
-    """Per document its ``fp`` and ``component_id``, the smallest ``doc_id`` reachable over links."""
-    marked = written(fingerprints(docs, words))
-    prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(prints.select("fp"), radius, parts, tile))
-    grouped = prints.join(roots, prints["fp"] == roots["node"])
-    firsts = written(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    linked = roots.join(firsts, "root").select(F.col("node").alias("fp"), "component_id")
-    named = written(
-        prints.join(linked, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "first_id").alias("component_id")))
-    return marked.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
+def without_near_copies(docs: DataFrame, words: int, radius: int, whole: int | None = None, lanes: int = 1, parts: int = 1) -> DataFrame:
+    """One row of each group of near copies (that of the smallest ``doc_id``), with its columns as they are."""
+    kept = linked_documents(docs, words, radius, parts, lanes=lanes, whole=whole).select("keeper.*").distinct()
+    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id"), F.col("text")))))
+    return keyed.join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(docs.columns)
 
 
 def component_report(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """``linked_documents`` with the fingerprint as 16 hexadecimal digits."""
     return linked_documents(docs, words, radius).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex(F.col("sig")[0]), 16, "0")).alias("fingerprint"), "component_id")

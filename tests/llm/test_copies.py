@@ -57,9 +57,9 @@ def test_simhash_components(spark, radius, parts, tile):
     prints = {i: brute_fingerprint(t) for i, t in zip(ids, texts)}
     expected = brute_components(prints, radius)
     assert len(set(expected.values())) < len(texts)
-    found = rows(simhash.linked_documents(docs_frame(spark, texts, ids), radius=radius, parts=parts, tile=tile), "doc_id", "fp", "component_id")
+    found = rows(simhash.linked_documents(docs_frame(spark, texts, ids), radius=radius, parts=parts, tile=tile), "doc_id", "sig", "component_id")
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    assert found == sorted(((i, signed(prints[i]), expected[i]) for i in ids), key=str)
+    assert found == sorted(((i, [signed(prints[i])], expected[i]) for i in ids), key=str)
 
 
 def test_simhash_of_few_rows(spark):
@@ -71,8 +71,19 @@ def test_simhash_of_few_rows(spark):
 def test_tile_links_give_a_forest():
     a = np.zeros(3000, np.int64)
     a[:] = 1 << (np.arange(3000) % 3)
-    members, roots = simhash.tile_links(np.unique(a), np.unique(a), 2, True)
-    assert len(members) == 2 and set(roots) == {1}
+    tile = np.unique(a)[:, None]
+    members, roots = simhash.tile_links(tile, tile, 2, True)
+    assert members.tolist() == [1, 2] and set(roots) == {0}
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    base, other = fresh(400), fresh(400)
+    near = base[:200] + ["changed"] + base[201:]
+    texts = [" ".join(t) for t in (other, base, near, base, fresh(300), other[:100] + fresh(300))]
+    kept = simhash.without_near_copies(docs_frame(spark, texts, [9, 4, 2, 3, 8, 7]), 5, 16, whole=48, lanes=4)
+    assert [r[0] for r in rows(kept, "doc_id", "text")] == [2, 7, 8, 9] and "label" in kept.columns
 
 
 def test_components_of_chains_and_stars(spark):
