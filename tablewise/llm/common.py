@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,11 @@ def word_count(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(spaces + 1).cast("long")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once even where lambdas in ``body`` use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(identity: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(identity.cast("string")) % folds

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 
-from tablewise.llm import bpe, decontaminate, language, repeats, simhash, token_files
+from tablewise.llm import bpe, decontaminate, language, licenses, repeats, simhash, token_files, urls
 from tablewise.plans.registry import QuerySet, table
 
 SET = QuerySet()
@@ -26,6 +26,16 @@ def _(spark, folder):
     return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@SET.add("op5_url_filter")
+def _(spark, folder):
+    return urls.judge(table(spark, folder, "pages"))
+
+
+@SET.add("op6_licenses")
+def _(spark, folder):
+    return licenses.license_report(table(spark, folder, "documents"))
+
+
 @SET.add("op7_simhash")
 def _(spark, folder):
     return simhash.component_report(table(spark, folder, "documents"))
