@@ -5,7 +5,9 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 
-from tablewise.llm import bpe, decontaminate, language, licenses, repeats, simhash, token_files, urls
+from pyspark.sql import functions as F
+
+from tablewise.llm import bpe, decontaminate, language, licenses, neighbours, quality, repeats, simhash, token_files, urls
 from tablewise.plans.registry import QuerySet, table
 
 SET = QuerySet()
@@ -21,6 +23,16 @@ def _(spark, folder):
     return language.language_report(table(spark, folder, "documents"))
 
 
+@SET.add("op2_neighbours")
+def _(spark, folder):
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@SET.add("op3_quality")
+def _(spark, folder):
+    return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @SET.add("op4_decontamination", decontaminate.CONTAMINATION_SQL)
 def _(spark, folder):
     return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
