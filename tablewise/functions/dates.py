@@ -98,10 +98,10 @@ def has_time(moment: Column) -> Column:
 
 
 def period_key(value: Column) -> Column:
-    """``YYYY-MM`` found in the text, else its first 20 characters."""
+    """``YYYY-MM`` found in the text, else the whole text."""
     text = F.coalesce(value, F.lit(""))
     month = F.regexp_extract(text, r"\d{4}-\d{2}", 0)
-    return F.when(month != "", month).otherwise(F.substring(text, 1, 20))
+    return F.when(month != "", month).otherwise(text)
 
 
 def period_range_key(start: Column, end: Column) -> Column:

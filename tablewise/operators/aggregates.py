@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.dates import as_timestamp
 from tablewise.functions.numeric import finite, safe_ratio
-from tablewise.operators.ordering import exact_quantiles
+from tablewise.operators.ordering import exact_quantiles, quantiles_of_counts, value_counts_of
 from tablewise.operators.shape import (
     categorical_columns,
     datetime_columns,
@@ -19,7 +19,6 @@ from tablewise.operators.shape import (
     row_to_long,
     value_counts,
 )
-from tablewise.session import is_small, reliable_checkpoint
 
 PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
 
@@ -55,11 +54,9 @@ def _known(df: DataFrame, column: str) -> Column:
     return F.when(~is_missing(df, column), F.col(f"`{column}`").cast("double"))
 
 
-def summary_numeric(df: DataFrame, columns: Sequence[str] | None = None, *, small: bool | None = None) -> DataFrame:
+def summary_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: count, sum, mean, median, min, max, std (sample), missing."""
     names = list(columns or numeric_columns(df))
-    if small is None:
-        small = is_small(df.select(*names))
     measures: list[Column] = []
     for c in names:
         v = _known(df, c)
@@ -72,20 +69,16 @@ def summary_numeric(df: DataFrame, columns: Sequence[str] | None = None, *, smal
             F.when(F.count(v) > 1, F.stddev_samp(v)).when(F.count(v) == 1, 0.0).alias(f"{c}__std"),
             F.count_if(is_missing(df, c)).alias(f"{c}__missing"),
         ]
-        if small:
-            measures.append(F.percentile(v, F.lit(0.5)).alias(f"{c}__median"))
     fields = ["count", "sum", "mean", "min", "max", "std", "missing"]
-    long = row_to_long(df.agg(*measures), names, fields + (["median"] if small else []))
-    if not small:
-        medians = exact_quantiles(
-            long_numbers(df, names), "value", [0.5], ["column"], edge_key="column", small=False
-        ).select("column", F.element_at("quantiles", 1).alias("median"))
-        long = long.join(F.broadcast(medians), "column", "left")
+    medians = exact_quantiles(long_numbers(df, names), "value", [0.5], ["column"], edge_key="column").select(
+        "column", F.element_at("quantiles", 1).alias("median")
+    )
+    long = row_to_long(df.agg(*measures), names, fields).join(F.broadcast(medians), "column", "left")
     return long.where(F.col("count") > 0).select("column", *fields[:3], "median", *fields[3:])
 
 
 def numeric_profile(
-    df: DataFrame, columns: Sequence[str] | None = None, *, small: bool | None = None
+    df: DataFrame, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Robust statistics per numeric column: seven percentiles, spread and MAD.
 
@@ -93,8 +86,6 @@ def numeric_profile(
     per column.
     """
     names = list(columns or numeric_columns(df))
-    if small is None:
-        small = is_small(df.select(*names))
     base: list[Column] = []
     for c in names:
         v = _known(df, c)
@@ -109,35 +100,20 @@ def numeric_profile(
         ]
     fields = ["count", "missing_count", "mean", "min", "max", "sum", "variance"]
     shares = [p / 100 for p in PERCENTILES]
-    if small:
-        # One pass for everything but the MAD, into a single kept row; one more for the MAD.
-        quantiles = [
-            F.percentile(_known(df, c), F.array(*[F.lit(s) for s in shares])).alias(f"{c}__quantiles") for c in names
-        ]
-        first = reliable_checkpoint(df.agg(*base, *quantiles))
-        medians = first.select(*[F.col(f"`{c}__quantiles`")[2].alias(f"_{i}") for i, c in enumerate(names)])
-        mads = df.crossJoin(F.broadcast(medians)).agg(
-            *[
-                F.percentile(F.abs(_known(df, c) - F.col(f"_{i}")), F.lit(0.5)).alias(f"{c}__mad")
-                for i, c in enumerate(names)
-            ]
-        )
-        long = row_to_long(first.crossJoin(F.broadcast(mads)), names, [*fields, "quantiles", "mad"])
-    else:
-        cells = long_numbers(df, names).where(F.col("value").isNotNull())
-        quantiles = exact_quantiles(cells, "value", shares, ["column"], edge_key="column", small=False)
-        medians = quantiles.select("column", F.element_at("quantiles", 3).alias("_median"))
-        spread = cells.join(F.broadcast(medians), "column").select(
-            "column", F.abs(F.col("value") - F.col("_median")).alias("value")
-        )
-        mads = exact_quantiles(spread, "value", [0.5], ["column"], edge_key="column", small=False).select(
-            "column", F.element_at("quantiles", 1).alias("mad")
-        )
-        long = (
-            row_to_long(df.agg(*base), names, fields)
-            .join(F.broadcast(quantiles.drop("n")), "column", "left")
-            .join(F.broadcast(mads), "column", "left")
-        )
+    # The counts of every column's values are written once; medians, percentiles and MAD all come from them.
+    counts = value_counts_of(long_numbers(df, names), finite(F.col("value")), ["column"])
+    quantiles = quantiles_of_counts(counts, shares, ["column"], edge_key="column")
+    medians = quantiles.select("column", F.col("quantiles")[2].alias("_median"))
+    spread = counts.select("_k.column", "_v", "_n").join(F.broadcast(medians), "column").where(F.col("_v").isNotNull()).select(
+        "column", F.abs(F.col("_v") - F.col("_median")).alias("value"), "_n"
+    )
+    apart = value_counts_of(spread, F.col("value"), ["column"], F.col("_n"))
+    mads = quantiles_of_counts(apart, [0.5], ["column"], edge_key="column").select("column", F.col("quantiles")[0].alias("mad"))
+    long = (
+        row_to_long(df.agg(*base), names, fields)
+        .join(F.broadcast(quantiles.drop("n")), "column", "left")
+        .join(F.broadcast(mads), "column", "left")
+    )
     std = F.sqrt("variance")
     return long.where(F.col("count") > 0).select(
         "column",
@@ -158,9 +134,9 @@ def numeric_profile(
     )
 
 
-def summary_categorical(df: DataFrame, top: int = 5, max_columns: int = 10) -> DataFrame:
-    """First categorical columns: ``column, distinct_values, missing, rank, value, count``."""
-    names = categorical_columns(df)[:max_columns]
+def summary_categorical(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Categorical columns: ``column, distinct_values, missing, rank, value, count``."""
+    names = categorical_columns(df)
     counts = value_counts(df, names)
     totals = counts.groupBy("column").agg(
         F.count("value").alias("distinct_values"),
@@ -170,16 +146,16 @@ def summary_categorical(df: DataFrame, top: int = 5, max_columns: int = 10) -> D
     leaders = (
         counts.where(F.col("value").isNotNull())
         .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= top)
     )
+    leaders = leaders.where(F.col("rank") <= top) if top else leaders
     return totals.join(leaders, "column", "left").select(
         "column", "distinct_values", "missing", "rank", "value", "count"
     )
 
 
 def time_ranges(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """First five date columns: ``column, min, max, valid_values``."""
-    names = list(columns or datetime_columns(df))[:5]
+    """Date columns: ``column, min, max, valid_values``."""
+    names = list(columns or datetime_columns(df))
     measures = []
     for c in names:
         moment = as_timestamp(df, c)
@@ -191,15 +167,15 @@ def time_ranges(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return long.where(F.col("valid_values") > 0)
 
 
-def frequency_table(df: DataFrame, column: str, top: int = 10) -> DataFrame:
-    """Top non-null values with their share of the non-null rows."""
+def frequency_table(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
+    """Non-null values, the top ones if ``top`` is given, with their share of the non-null rows."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(
         F.count(F.lit(1)).alias("count")
     )
     totals = counts.agg(F.sum("count").alias("non_null_count"), F.count(F.lit(1)).alias("unique_count"))
+    ordered = counts.orderBy(F.desc("count"), "value")
     return (
-        counts.orderBy(F.desc("count"), "value")
-        .limit(top)
+        (ordered.limit(top) if top else ordered)
         .crossJoin(F.broadcast(totals))
         .select(
             "value",
@@ -211,9 +187,9 @@ def frequency_table(df: DataFrame, column: str, top: int = 10) -> DataFrame:
     )
 
 
-def latency_percentiles(df: DataFrame, value: str, failed: Column, *, small: bool | None = None) -> DataFrame:
+def latency_percentiles(df: DataFrame, value: str, failed: Column) -> DataFrame:
     """p50 and p95 by lower index, with the error rate."""
-    ranks = exact_quantiles(df, value, [0.5, 0.95], lower=True, small=small)
+    ranks = exact_quantiles(df, value, [0.5, 0.95], lower=True)
     errors = df.agg(
         F.count(F.lit(1)).alias("requests"), F.avg(failed.cast("double")).alias("error_rate")
     )

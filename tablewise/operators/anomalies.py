@@ -45,7 +45,7 @@ def _records(
         F.create_map(*details).cast("map<string,string>").alias("evidence"),
     )
     identity = F.concat_ws(
-        "|", "anomaly_type", "affected_column", F.coalesce("affected_period", F.lit("")),
+        "|", "anomaly_type", F.coalesce("affected_column", F.lit("")), F.coalesce("affected_period", F.lit("")),
         F.coalesce(F.col("observed_value").cast("string"), F.lit("")), F.coalesce("row_id", F.lit("")), "method",
     )
     return (
@@ -56,11 +56,10 @@ def _records(
 
 
 def numeric_anomalies(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), methods: Sequence[str] = METHODS, *,
-    small: bool | None = None,
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), methods: Sequence[str] = METHODS
 ) -> DataFrame:
     """One record per (row, column, method); severity from the distance to the median in IQRs."""
-    hits = outlier_rows(df, columns, keys, methods, small=small)
+    hits = outlier_rows(df, columns, keys, methods)
     observed, median, iqr = (F.round(c, 4) for c in ("value", "median", "iqr"))
     scale = F.when(iqr != 0, F.abs(iqr)).otherwise(F.abs(median))
     ratio = F.when(scale == 0, F.lit(1.0)).otherwise(F.abs(observed - median) / scale)
@@ -122,7 +121,7 @@ def ts_sudden_changes(
 
 
 def recent_vs_baseline(
-    df: DataFrame, time: str, value: str, recent_rows: int | None = None, *, small: bool | None = None
+    df: DataFrame, time: str, value: str, recent_rows: int | None = None
 ) -> DataFrame:
     """Mean of the last k rows by time (k = max(2, n/3)) against all earlier rows.
 
@@ -130,7 +129,7 @@ def recent_vs_baseline(
     """
     rows = df.select(as_timestamp(df, time).alias("t"), finite(F.col(value)).alias("x"))
     take = F.lit(max(1, recent_rows)) if recent_rows else F.greatest(F.lit(2), F.floor(F.col("n") / 3))
-    sums = top_share_sum(rows, "t", "x", take, small=small)
+    sums = top_share_sum(rows, "t", "x", take)
     baseline = safe_ratio(F.col("baseline_sum"), F.col("n") - F.col("take"))
     recent = safe_ratio(F.col("recent_sum"), F.col("take"))
     return sums.where(F.col("n") > F.col("take")).select(
@@ -146,10 +145,10 @@ def recent_vs_baseline(
 
 def degradation(
     df: DataFrame, time: str, value: str, *, recent_rows: int | None = None, min_points: int = 6,
-    threshold: float = 20.0, higher_is_worse: bool = True, small: bool | None = None,
+    threshold: float = 20.0, higher_is_worse: bool = True,
 ) -> DataFrame:
     """A record when the recent rows are worse than the earlier ones by ``threshold`` percent."""
-    compared = recent_vs_baseline(df, time, value, recent_rows, small=small).where(F.col("n") >= min_points)
+    compared = recent_vs_baseline(df, time, value, recent_rows).where(F.col("n") >= min_points)
     change = F.col("change_percent")
     worse = compared.where(change >= threshold if higher_is_worse else change <= -threshold)
     period = F.concat_ws("/", F.col("recent_from").cast("string"), F.col("recent_to").cast("string"))
@@ -243,19 +242,18 @@ def detect_all(
     multiplier: float = 2.0,
     growth_threshold: float = 50.0,
     degradation_threshold: float = 20.0,
-    small: bool | None = None,
 ) -> DataFrame:
     """Every detector that applies to the table, united and deduplicated."""
     columns = list(numeric or numeric_columns(df))
     dates = datetime_columns(df)
     time = time or (dates[0] if dates else None)
     value = value or preferred_metric(columns)
-    parts = [numeric_anomalies(df, columns, keys, small=small)] if columns else []
+    parts = [numeric_anomalies(df, columns, keys)] if columns else []
     if time:
         parts.append(ts_spikes(df, time, value, frequency=frequency, window=window, multiplier=multiplier))
         parts.append(ts_sudden_changes(df, time, value, frequency=frequency, window=window, threshold=growth_threshold))
         if value:
-            parts.append(degradation(df, time, value, threshold=degradation_threshold, small=small))
+            parts.append(degradation(df, time, value, threshold=degradation_threshold))
     if sla:
         parts.append(sla_violations(df, sla.get("column", value), sla["threshold"], sla.get("operator", "<=")))
     return anomaly_dedup(anomaly_union(parts))

@@ -11,9 +11,6 @@ from tablewise.operators.durations import elapsed_summary
 from tablewise.operators.timeseries import event_volume_trend
 from tablewise.session import reused
 
-TOP_DIMENSIONS = 6
-SHOWN_PERIODS = 12
-
 
 def _total(column: str | None) -> Column:
     return F.coalesce(F.sum(to_number(F.col(column))), F.lit(0.0)) if column else F.lit(None).cast("double")
@@ -37,16 +34,17 @@ def business_totals(df: DataFrame, revenue: str | None, cost: str | None, churn:
 
 def business_by_dim(
     df: DataFrame, dimension: str, revenue: str | None, cost: str | None, churn: str | None = None,
-    limit: int = TOP_DIMENSIONS,
+    limit: int | None = None,
 ) -> DataFrame:
     """The totals per value of a dimension (null kept), best margin first."""
     grouped = df.groupBy(F.col(dimension).cast("string").alias("name")).agg(
         _total(revenue).alias("revenue"), _total(cost).alias("cost"), _mean(churn).alias("churn_rate")
     )
-    return _with_margin(grouped).orderBy(F.desc_nulls_last("margin"), "name").limit(limit)
+    ordered = _with_margin(grouped).orderBy(F.desc_nulls_last("margin"), "name")
+    return ordered.limit(limit) if limit else ordered
 
 
-def business_periods(df: DataFrame, period: str, revenue: str, limit: int | None = SHOWN_PERIODS) -> DataFrame:
+def business_periods(df: DataFrame, period: str, revenue: str, limit: int | None = None) -> DataFrame:
     """Revenue per period in text order."""
     grouped = df.groupBy(F.col(period).cast("string").alias("period")).agg(_total(revenue).alias("revenue"))
     ordered = grouped.orderBy("period")
@@ -55,7 +53,7 @@ def business_periods(df: DataFrame, period: str, revenue: str, limit: int | None
 
 def business_trend(df: DataFrame, period: str, revenue: str) -> DataFrame:
     """First and last period with their revenue and growth; empty below two periods."""
-    periods = business_periods(df, period, revenue, None)
+    periods = business_periods(df, period, revenue)
     ends = periods.agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("period").alias("first_period"),
@@ -70,7 +68,7 @@ def business_trend(df: DataFrame, period: str, revenue: str) -> DataFrame:
 
 
 def business_extremes(by_channel: DataFrame, by_segment: DataFrame | None = None) -> DataFrame:
-    """Lowest margin rate, highest cost ratio and highest churn among the shown dimension rows."""
+    """Lowest margin rate, highest cost ratio and highest churn among the dimension rows."""
     cost_ratio = F.coalesce(safe_ratio(F.col("cost"), F.col("revenue")), F.lit(-1.0))
     worst = by_channel.agg(
         F.min_by(F.struct("name", F.col("margin_rate").alias("value")), F.struct(F.coalesce("margin_rate", F.lit(999.0)), "name")).alias("m"),
@@ -91,13 +89,13 @@ def business_extremes(by_channel: DataFrame, by_segment: DataFrame | None = None
 
 
 def ticket_overview(
-    df: DataFrame, status: str, opened: str, closed: str, *, small: bool | None = None
+    df: DataFrame, status: str, opened: str, closed: str
 ) -> dict[str, DataFrame]:
     """Counts by status, closures per bucket, their ends and peak, and the elapsed time."""
     df = reused(df.select(status, opened, closed))
     closures = event_volume_trend(df.where(F.col(closed).isNotNull()), closed)
     return {
-        "by_status": count_occurrences(df, status, None),
+        "by_status": count_occurrences(df, status),
         "closures": closures,
         "closure_ends": df.agg(
             F.count(closed).alias("valid_closures"), F.min(closed).alias("first_closure"), F.max(closed).alias("last_closure")
@@ -107,5 +105,5 @@ def ticket_overview(
                 F.max("value").alias("peak_closures"),
             )
         ),
-        "elapsed": elapsed_summary(df, opened, closed, small=small),
+        "elapsed": elapsed_summary(df, opened, closed),
     }

@@ -12,7 +12,7 @@ from tablewise.functions.numeric import finite
 from tablewise.operators.joins import lookup_join
 from tablewise.operators.ordering import average_ranks
 from tablewise.operators.shape import numeric_columns
-from tablewise.session import is_small, reliable_checkpoint
+from tablewise.session import reliable_checkpoint
 
 # Kendall compares ranks digit by digit in this base, and chunks the second rank.
 DIGIT_BITS = 3
@@ -42,26 +42,19 @@ def corr_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return df.agg(*measures).select(F.explode(cells).alias("_p")).select("_p.*")
 
 
-def _reused(df: DataFrame, small: bool) -> DataFrame:
-    """Large frames that several branches read are materialised once."""
-    return df if small else reliable_checkpoint(df)
-
-
 def _complete_pairs(df: DataFrame, left: str, right: str) -> DataFrame:
     pairs = df.select(finite(F.col(left)).alias("x"), finite(F.col(right)).alias("y"))
     return pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
-def corr_spearman(df: DataFrame, left: str, right: str, *, small: bool | None = None) -> DataFrame:
+def corr_spearman(df: DataFrame, left: str, right: str) -> DataFrame:
     """Pearson on average ranks of one pair; the ranks come from per-value counts."""
     pairs = _complete_pairs(df, left, right)
-    if small is None:
-        small = is_small(pairs)
-    cells = _reused(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cell")), small)
-    rank_x = average_ranks(pairs, "x", small=small).select(F.col("x").alias("_x"), F.col("average_rank").alias("rx"))
-    rank_y = average_ranks(pairs, "y", small=small).select(F.col("y").alias("_y"), F.col("average_rank").alias("ry"))
-    ranked = _reused(lookup_join(cells, rank_x, "x", "_x", small=small), small)
-    ranked = lookup_join(ranked, rank_y, "y", "_y", small=small)
+    cells = reliable_checkpoint(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cell")))
+    rank_x = average_ranks(cells, "x", count="cell").select(F.col("x").alias("_x"), F.col("average_rank").alias("rx"))
+    rank_y = average_ranks(cells, "y", count="cell").select(F.col("y").alias("_y"), F.col("average_rank").alias("ry"))
+    ranked = lookup_join(cells, rank_x, "x", "_x")
+    ranked = lookup_join(ranked, rank_y, "y", "_y")
     middle = cells.agg(((F.sum("cell") + 1) / 2.0).alias("_mid"))
     dx, dy = F.col("rx") - F.col("_mid"), F.col("ry") - F.col("_mid")
     sums = ranked.crossJoin(F.broadcast(middle)).agg(
@@ -82,7 +75,7 @@ def _tied_pairs(counts: DataFrame, by: str, output: str) -> DataFrame:
 
 
 def corr_kendall(
-    df: DataFrame, left: str, right: str, *, small: bool | None = None, rank_chunk: int = RANK_CHUNK
+    df: DataFrame, left: str, right: str, *, rank_chunk: int = RANK_CHUNK
 ) -> DataFrame:
     """Kendall tau-b without comparing pairs of rows.
 
@@ -92,24 +85,21 @@ def corr_kendall(
     per digit, in chunks of the y rank with offsets for earlier chunks. That is one shuffle of
     cells times digits instead of all pairs.
     """
-    pairs = _complete_pairs(df, left, right)
-    if small is None:
-        small = is_small(pairs)
+    cells = reliable_checkpoint(_complete_pairs(df, left, right).groupBy("x", "y").agg(F.count(F.lit(1)).alias("cell")))
     ranks = {
-        side: average_ranks(pairs, side, small=small).select(
+        side: average_ranks(cells, side, count="cell").select(
             F.col(side).alias(f"_{side}"), (F.col("dense_rank") - 1).alias(f"{side}r")
         )
         for side in ("x", "y")
     }
     # Two scalars that set how many digits the ranks have; the shorter side goes by digit.
-    distinct_x, distinct_y = pairs.agg(F.count_distinct("x"), F.count_distinct("y")).first()
+    distinct_x, distinct_y = cells.agg(F.count_distinct("x"), F.count_distinct("y")).first()
     by_digit, by_scan = ("xr", "yr") if distinct_x <= distinct_y else ("yr", "xr")
     positions = max(1, -(-max(1, min(distinct_x, distinct_y) - 1).bit_length() // DIGIT_BITS))
 
-    cells = _reused(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cell")), small)
-    cells = _reused(lookup_join(cells, ranks["x"], "x", "_x", small=small), small)
+    cells = lookup_join(cells, ranks["x"], "x", "_x")
     # Five branches read the ranked cells from here on.
-    cells = reliable_checkpoint(lookup_join(cells, ranks["y"], "y", "_y", small=small).select("xr", "yr", "cell"))
+    cells = reliable_checkpoint(lookup_join(cells, ranks["y"], "y", "_y").select("xr", "yr", "cell"))
 
     levels = F.array(*[
         F.struct(

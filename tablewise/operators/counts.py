@@ -14,7 +14,7 @@ OTHER_LABEL = "ALTRO"
 
 
 def count_occurrences(
-    df: DataFrame, column: str, limit: int | None = 10, groups: Sequence[dict] = ()
+    df: DataFrame, column: str, limit: int | None = None, groups: Sequence[dict] = ()
 ) -> DataFrame:
     """``value, count`` by descending count, ties by value; nulls under the null label."""
     value = semantic_group(F.col(column), groups) if groups else null_label(F.col(column))
@@ -23,7 +23,7 @@ def count_occurrences(
     return ordered.limit(limit) if limit else ordered
 
 
-def occurrence_totals(df: DataFrame, column: str, limit: int = 10) -> DataFrame:
+def occurrence_totals(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """Shown values, distinct non-null values and records of one column."""
     per_value = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     label = null_label(F.col("_v"))
@@ -32,19 +32,20 @@ def occurrence_totals(df: DataFrame, column: str, limit: int = 10) -> DataFrame:
         .agg(F.sum("_n").alias("_n"), F.count("_v").alias("_known"))
         .agg(
             F.sum("_n").alias("total_records"),
-            F.least(F.count(F.lit(1)), F.lit(limit)).cast("bigint").alias("displayed_unique_values"),
+            F.least(F.count(F.lit(1)), F.lit(limit) if limit else F.count(F.lit(1))).cast("bigint").alias("displayed_unique_values"),
             F.sum("_known").alias("non_null_unique_values"),
         )
     )
 
 
-def related_counts(df: DataFrame, related: Sequence[str], limit: int = 10) -> DataFrame:
-    """Top counts of up to three related columns as ``column, value, count, rank``."""
-    cells = long_texts(df, list(related)[:3]).groupBy("column", null_label(F.col("value")).alias("value")).agg(
+def related_counts(df: DataFrame, related: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Counts of the related columns as ``column, value, count, rank``, the top ``limit`` of each if given."""
+    cells = long_texts(df, related).groupBy("column", null_label(F.col("value")).alias("value")).agg(
         F.count(F.lit(1)).alias("count")
     )
     best = Window.partitionBy("column").orderBy(F.desc("count"), "value")
-    return cells.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    ranked = cells.withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= limit) if limit else ranked
 
 
 def semantic_group(column: Column, groups: Sequence[dict]) -> Column:
@@ -123,14 +124,11 @@ def share_of_total(df: DataFrame, column: str) -> DataFrame:
 
 
 def top_n(
-    df: DataFrame, target: str, value: str | None = None, aggregation: str = "count", limit: int = 10
+    df: DataFrame, target: str, value: str | None = None, aggregation: str = "count", limit: int | None = None
 ) -> DataFrame:
     """``value, metric``: top groups by a metric (null group kept) or by count (null label)."""
     if value is None or aggregation == "count":
         return count_occurrences(df, target, limit).select("value", F.col("count").alias("metric"))
     grouped = grouped_metric(df, target, value, aggregation)
-    return (
-        grouped.select(F.col("group").alias("value"), F.col("value").alias("metric"))
-        .orderBy(F.desc_nulls_last("metric"), "value")
-        .limit(limit)
-    )
+    ordered = grouped.select(F.col("group").alias("value"), F.col("value").alias("metric")).orderBy(F.desc_nulls_last("metric"), "value")
+    return ordered.limit(limit) if limit else ordered

@@ -56,10 +56,10 @@ def _valid_hours(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.select(hours.alias("hours"))
 
 
-def duration_between_dates(df: DataFrame, start: str, end: str, *, small: bool | None = None) -> DataFrame:
+def duration_between_dates(df: DataFrame, start: str, end: str) -> DataFrame:
     """Rows with both dates and a non-negative span: count, mean, median, min, max hours."""
     spans = reused(_valid_hours(df, start, end).where(F.col("hours") >= 0))
-    medians = exact_quantiles(spans, "hours", [0.5], small=small)
+    medians = exact_quantiles(spans, "hours", [0.5])
     stats = spans.agg(
         F.count("hours").alias("valid_rows"),
         F.avg("hours").alias("average_hours"),
@@ -75,12 +75,12 @@ def duration_between_dates(df: DataFrame, start: str, end: str, *, small: bool |
     )
 
 
-def elapsed_summary(df: DataFrame, start: str, end: str, *, small: bool | None = None) -> DataFrame:
+def elapsed_summary(df: DataFrame, start: str, end: str) -> DataFrame:
     """``duration_between_dates`` with the number of rows left out."""
     df = reused(df.select(start, end))
     counted = df.agg(F.count(F.lit(1)).alias("total_rows"))
     return (
-        duration_between_dates(df, start, end, small=small)
+        duration_between_dates(df, start, end)
         .crossJoin(F.broadcast(counted))
         .withColumn("excluded_rows", F.col("total_rows") - F.col("valid_rows"))
     )
@@ -90,10 +90,10 @@ def long_tail(p95: Column, median: Column) -> Column:
     return F.coalesce((median > 0) & (p95 / median >= 2), F.lit(False))
 
 
-def activation_profile(df: DataFrame, start: str, end: str, unit: str = "days", *, small: bool | None = None) -> DataFrame:
+def activation_profile(df: DataFrame, start: str, end: str, unit: str = "days") -> DataFrame:
     """Distribution of a duration: counts, percentiles, spread, IQR outliers, long tail."""
     spans = reused(df.select(elapsed(as_timestamp(df, start), as_timestamp(df, end), unit).alias("duration")))
-    profile = numeric_profile(spans, ["duration"], small=small)
+    profile = numeric_profile(spans, ["duration"])
     fence = profile.select(
         (F.col("p25") - 1.5 * F.col("iqr")).alias("_low"), (F.col("p75") + 1.5 * F.col("iqr")).alias("_high")
     )
@@ -118,7 +118,7 @@ def activation_profile(df: DataFrame, start: str, end: str, unit: str = "days",
     )
 
 
-def activation_by_method(df: DataFrame, metric: str, method: str, *, small: bool | None = None) -> DataFrame:
+def activation_by_method(df: DataFrame, metric: str, method: str) -> DataFrame:
     """Mean metric per method, the leading method flagged, and the overall long-tail flag."""
     df = reused(df.select(metric, method))
     means = (
@@ -128,7 +128,7 @@ def activation_by_method(df: DataFrame, metric: str, method: str, *, small: bool
         .where(F.col("mean_metric").isNotNull())
     )
     leader = means.agg(F.max_by("method", F.struct("mean_metric", "method")).alias("_leader"))
-    tail = exact_quantiles(df, metric, [0.5, 0.95], small=small).select(
+    tail = exact_quantiles(df, metric, [0.5, 0.95]).select(
         F.col("quantiles")[0].alias("median"), F.col("quantiles")[1].alias("p95")
     )
     return means.crossJoin(F.broadcast(leader)).crossJoin(F.broadcast(tail)).select(

@@ -81,14 +81,14 @@ def _overlap(values: DataFrame, wanted: Sequence[str], name: str) -> DataFrame:
     return counted.select("run_id", score.alias(name))
 
 
-def run_similarity(nodes: DataFrame, edges: DataFrame, profile: dict, limit: int = 5, *, small: bool | None = None) -> DataFrame:
+def run_similarity(nodes: DataFrame, edges: DataFrame, profile: dict, limit: int = 5) -> DataFrame:
     """``run_id, label, score``: runs most like a profile.
 
     ``profile``: columns, primary_metric, time_axis, source_type, roles, row_count,
     column_count, keywords. Every part is a count per run, never a set per run.
     """
     runs = run_table(nodes)
-    rows = lineage(nodes, edges, small=small)
+    rows = lineage(nodes, edges)
     labels = rows.select("run_id", "bucket", _clean(F.col("label")).alias("value"))
     columns = labels.where("bucket = 'columns'").select("run_id", "value")
     roles = rows.where("bucket = 'columns'").select("run_id", _clean(_prop("semantic_role")).alias("value"))
@@ -122,9 +122,9 @@ def run_similarity(nodes: DataFrame, edges: DataFrame, profile: dict, limit: int
     return scored.orderBy(F.desc("score"), F.desc("created_at"), F.desc("run_id")).limit(limit).drop("created_at")
 
 
-def pattern_values(nodes: DataFrame, edges: DataFrame, run_ids: DataFrame | None = None, *, small: bool | None = None) -> DataFrame:
+def pattern_values(nodes: DataFrame, edges: DataFrame, run_ids: DataFrame | None = None) -> DataFrame:
     """``kind, value`` once per occurrence in the chosen runs (``run_ids: run_id``)."""
-    runs, rows = run_table(nodes), lineage(nodes, edges, small=small)
+    runs, rows = run_table(nodes), lineage(nodes, edges)
     if run_ids is not None:
         chosen = run_ids.select("run_id").distinct()
         runs, rows = runs.join(chosen, "run_id", "left_semi"), rows.join(chosen, "run_id", "left_semi")
@@ -148,12 +148,12 @@ def pattern_values(nodes: DataFrame, edges: DataFrame, run_ids: DataFrame | None
 
 
 def recurring_patterns(
-    nodes: DataFrame, edges: DataFrame, run_ids: DataFrame | None = None, limit: int = 8, *, small: bool | None = None
+    nodes: DataFrame, edges: DataFrame, run_ids: DataFrame | None = None, limit: int = 8
 ) -> DataFrame:
     """``kind, value, occurrences, rank, confidence``: values seen at least twice (once for one run)."""
     chosen = run_table(nodes).select("run_id") if run_ids is None else run_ids.select("run_id")
     support = chosen.agg(F.count_distinct("run_id").alias("_runs"))
-    counted = pattern_values(nodes, edges, run_ids, small=small).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("occurrences"))
+    counted = pattern_values(nodes, edges, run_ids).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("occurrences"))
     kept = counted.crossJoin(F.broadcast(support)).where(
         F.col("occurrences") >= F.when(F.col("_runs") <= 1, 1).otherwise(2)
     )
@@ -184,7 +184,7 @@ def experience_steps(metric: Column, time_axis: Column, has_anomalies: Column, h
     return F.when(F.size(steps) > 0, F.array_distinct(steps)).otherwise(F.array(F.lit(STEP_COMPARE)))
 
 
-def _run_values(nodes: DataFrame, edges: DataFrame, small: bool | None) -> tuple[DataFrame, DataFrame]:
+def _run_values(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs, and ``run_id, item_kind, value`` for their metric, columns, anomalies and causes.
 
     The values are the base of every experience kind, so the lineage behind them is walked
@@ -192,7 +192,7 @@ def _run_values(nodes: DataFrame, edges: DataFrame, small: bool | None) -> tuple
     """
     runs = run_table(nodes)
     buckets = F.create_map(*[F.lit(v) for v in ("columns", "column", "anomalies", "anomaly", "root_causes", "root_cause")])
-    rows = lineage(nodes, edges, small=small)
+    rows = lineage(nodes, edges)
     value = F.coalesce(F.when(F.trim("label") != "", F.trim("label")), F.when(F.col("bucket") == "anomalies", _prop("anomaly_type")))
     linked = rows.select("run_id", F.try_element_at(buckets, F.col("bucket")).alias("item_kind"), value.alias("value"))
     metrics = runs.select("run_id", F.lit("metric").alias("item_kind"), F.col("primary_metric").alias("value"))
@@ -201,27 +201,28 @@ def _run_values(nodes: DataFrame, edges: DataFrame, small: bool | None) -> tuple
 
 
 def experience_build(
-    nodes: DataFrame, edges: DataFrame, kind: str, *, small: bool | None = None
+    nodes: DataFrame, edges: DataFrame, kind: str
 ) -> tuple[DataFrame, DataFrame]:
     """Headers and items of one kind (metric, anomaly, root_cause) shared by at least two runs."""
     if kind not in EXPERIENCE_CONFIDENCE:
         raise ValueError(f"unknown experience kind: {kind}")
-    return _build_kind(*_run_values(nodes, edges, small), kind, small)
+    return _build_kind(*_run_values(nodes, edges), kind)
 
 
-def _build_kind(runs: DataFrame, values: DataFrame, kind: str, small: bool | None) -> tuple[DataFrame, DataFrame]:
+def _build_kind(runs: DataFrame, values: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     base, increment = EXPERIENCE_CONFIDENCE[kind]
     experience_id = F.concat(F.lit(f"experience.{kind}."), label_slug(F.col("key")))
     members = values.where(F.col("item_kind") == kind).select("run_id", F.col("value").alias("key"))
-    facts = lookup_join(members, runs.withColumnRenamed("run_id", "_run"), "run_id", "_run", small=small).groupBy("key").agg(
+    facts = lookup_join(members, runs.withColumnRenamed("run_id", "_run"), "run_id", "_run").groupBy("key").agg(
         F.count(F.lit(1)).alias("evidence_count"), F.max("created_at").alias("updated_at"),
         F.min(F.when(F.col("primary_metric") != "", F.col("primary_metric"))).alias("_metric"),
         F.min_by("time_axis", F.when(F.col("time_axis") != "", F.col("run_id"))).alias("_axis"),
     ).where(F.col("evidence_count") >= 2)
     facts = reliable_checkpoint(facts)
-    shared = members.join(facts.select("key"), "key", "left_semi").join(values, "run_id").select("key", "item_kind", "value")
-    own = F.col("item_kind") == kind
-    items = shared.where(~own).unionByName(facts.select("key", F.lit(kind).alias("item_kind"), F.col("key").alias("value"))).distinct()
+    # Members of one kind meet values of the other kinds only, each once for a run.
+    others = values.where(F.col("item_kind") != kind).select("run_id", "item_kind", "value").distinct()
+    shared = members.join(facts.select("key"), "key", "left_semi").distinct().join(others, "run_id").select("key", "item_kind", "value")
+    items = shared.unionByName(facts.select("key", F.lit(kind).alias("item_kind"), F.col("key").alias("value"))).distinct()
     items = reliable_checkpoint(items)
     flags = items.groupBy("key").agg(
         F.max(F.col("item_kind") == "anomaly").alias("_anomalies"),
@@ -250,10 +251,10 @@ def _build_kind(runs: DataFrame, values: DataFrame, kind: str, small: bool | Non
     return headers, all_items
 
 
-def experience_all(nodes: DataFrame, edges: DataFrame, *, small: bool | None = None) -> tuple[DataFrame, DataFrame]:
+def experience_all(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Metric, anomaly and root-cause experience together."""
-    runs, values = _run_values(nodes, edges, small)
-    built = [_build_kind(runs, values, kind, small) for kind in EXPERIENCE_CONFIDENCE]
+    runs, values = _run_values(nodes, edges)
+    built = [_build_kind(runs, values, kind) for kind in EXPERIENCE_CONFIDENCE]
     headers, items = built[0]
     for more_headers, more_items in built[1:]:
         headers, items = headers.unionByName(more_headers), items.unionByName(more_items)

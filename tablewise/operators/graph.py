@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.functions.jsonfn import drop_secrets, properties_match, property_value
-from tablewise.functions.text import search_tokens, slug, stable_hash, truncate
+from tablewise.functions.text import search_tokens, slug, stable_hash
 from tablewise.operators.joins import latest_per_key, lookup_join
 from tablewise.operators.shape import is_missing, row_to_long, value_counts
 
@@ -58,7 +58,7 @@ def upsert_edges(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def find_nodes(
     nodes: DataFrame, node_type: str | None = None, label_contains: str | None = None,
-    property_filters: dict[str, str] | None = None, limit: int = 50,
+    property_filters: dict[str, str] | None = None, limit: int | None = None,
 ) -> DataFrame:
     found = nodes
     if node_type:
@@ -67,23 +67,23 @@ def find_nodes(
         found = found.where(F.contains(F.lower("label"), F.lit(label_contains.lower())))
     if property_filters:
         found = found.where(properties_match(F.col("properties"), property_filters))
-    return found.orderBy("id").limit(limit)
+    return found.orderBy("id").limit(limit) if limit else found
 
 
 def find_edges(
     edges: DataFrame, relationship: str | None = None, source: str | None = None, target: str | None = None,
-    limit: int = 50,
+    limit: int | None = None,
 ) -> DataFrame:
     found = edges
     for column, wanted in (("relationship", relationship), ("source", source), ("target", target)):
         if wanted:
             found = found.where(F.col(column) == wanted)
-    return found.orderBy("source", "target", "relationship").limit(limit)
+    return found.orderBy("source", "target", "relationship").limit(limit) if limit else found
 
 
 def neighbors(
     nodes: DataFrame, edges: DataFrame, node_id: str | None = None, direction: str = "both",
-    relationship: str | None = None, limit: int | None = None, *, small: bool | None = None,
+    relationship: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """``id, neighbor_id, neighbor_type, neighbor_label, relationship, direction``.
 
@@ -101,20 +101,20 @@ def neighbors(
             ))
     united = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
     info = nodes.select("id", F.col("type").alias("neighbor_type"), F.col("label").alias("neighbor_label"))
-    found = lookup_join(united, info, "neighbor_id", "id", small=small)
+    found = lookup_join(united, info, "neighbor_id", "id")
     return found.orderBy("id", "neighbor_id", "relationship", "direction").limit(limit) if limit else found
 
 
-def lineage(nodes: DataFrame, edges: DataFrame, run_id: str | None = None, *, small: bool | None = None) -> DataFrame:
+def lineage(nodes: DataFrame, edges: DataFrame, run_id: str | None = None) -> DataFrame:
     """``run_id, bucket, node_id, label, properties``: everything linked to each run, once per bucket."""
     links = edges.withColumn("bucket", _mapping(LINEAGE_BUCKETS, F.col("relationship"))).where(F.col("bucket").isNotNull())
     runs = nodes.where(F.col("type") == "analysis_run").select(F.col("id").alias("_run"))
     if run_id:
         links = links.where(F.col("source") == run_id)
     distinct_links = links.select(F.col("source").alias("run_id"), "bucket", F.col("target").alias("node_id")).distinct()
-    of_runs = lookup_join(distinct_links, runs, "run_id", "_run", "left_semi", small=small)
+    of_runs = lookup_join(distinct_links, runs, "run_id", "_run", "left_semi")
     info = nodes.select(F.col("id").alias("_id"), "label", "properties")
-    return lookup_join(of_runs, info, "node_id", "_id", small=small)
+    return lookup_join(of_runs, info, "node_id", "_id")
 
 
 def lineage_counts(lineage_rows: DataFrame) -> DataFrame:
@@ -127,11 +127,9 @@ def _haystack() -> Column:
     return F.lower(F.concat_ws(" ", "id", "type", "label", properties))
 
 
-def search(nodes: DataFrame, text: str, types: Sequence[str] = ANALYSIS_TYPES, limit: int | None = 30) -> DataFrame:
+def search(nodes: DataFrame, text: str, types: Sequence[str] = ANALYSIS_TYPES, limit: int | None = None) -> DataFrame:
     """Nodes by the number of expanded query tokens their text holds: ``id, type, label, score``."""
-    score = F.lit(0)
-    for token in search_tokens(text):
-        score = score + F.contains(_haystack(), F.lit(token)).cast("int")
+    score = F.size(F.filter(search_tokens(F.lit(text)), lambda token: F.contains(_haystack(), token)))
     if text:
         score = F.when((score == 0) & F.contains(_haystack(), F.lit(text.lower())), 1).otherwise(score)
     found = nodes.where(F.col("type").isin(*types)).select("id", "type", "label", score.alias("score")).where("score > 0")
@@ -139,43 +137,42 @@ def search(nodes: DataFrame, text: str, types: Sequence[str] = ANALYSIS_TYPES, l
 
 
 def runs_with_anomaly(
-    nodes: DataFrame, edges: DataFrame, question: str, limit: int = 30, *, small: bool | None = None
+    nodes: DataFrame, edges: DataFrame, question: str, limit: int | None = None
 ) -> DataFrame:
     """Runs that detected one of the anomalies found by the question."""
-    anomalies = search(nodes, question, ["anomaly"], 50).select("id")
+    anomalies = search(nodes, question, ["anomaly"]).select("id")
     detected = edges.where(F.col("relationship") == "DETECTED_ANOMALY")
-    hits = detected.join(F.broadcast(anomalies), F.col("target") == F.col("id"), "left_semi")
+    hits = detected.join(anomalies, F.col("target") == F.col("id"), "left_semi")
     runs = nodes.where(F.col("type") == "analysis_run").select("id", "label")
     matched = hits.groupBy("source").agg(F.max("target").alias("matched_anomaly"))
-    return lookup_join(matched, runs, "source", "id", small=small).select(
-        F.col("source").alias("run_id"), "label", "matched_anomaly"
-    ).orderBy("run_id").limit(limit)
+    found = lookup_join(matched, runs, "source", "id").select(F.col("source").alias("run_id"), "label", "matched_anomaly")
+    return found.orderBy("run_id").limit(limit) if limit else found
 
 
-def dangling_edges(nodes: DataFrame, edges: DataFrame, *, small: bool | None = None) -> DataFrame:
+def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose source or target is not a node: ``source, target, relationship, missing_end``."""
     ids = nodes.select("id").distinct()
     keep = ["source", "target", "relationship"]
     missing = [
-        lookup_join(edges, ids, end, "id", "left_anti", small=small).select(*keep, F.lit(end).alias("missing_end"))
+        lookup_join(edges, ids, end, "id", "left_anti").select(*keep, F.lit(end).alias("missing_end"))
         for end in ("source", "target")
     ]
     return missing[0].unionByName(missing[1])
 
 
-def endpoint_types(nodes: DataFrame, edges: DataFrame, *, small: bool | None = None) -> DataFrame:
+def endpoint_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with the types of both ends."""
     source_types = nodes.select("id", F.col("type").alias("source_type"))
     target_types = nodes.select("id", F.col("type").alias("target_type"))
-    typed = lookup_join(edges, source_types, "source", "id", small=small)
-    return lookup_join(typed, target_types, "target", "id", small=small)
+    typed = lookup_join(edges, source_types, "source", "id")
+    return lookup_join(typed, target_types, "target", "id")
 
 
-def induced_edges(visible: DataFrame, edges: DataFrame, *, small: bool | None = None) -> DataFrame:
+def induced_edges(visible: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends among the visible nodes."""
     ids = visible.select("id").distinct()
-    kept = lookup_join(edges, ids, "source", "id", "left_semi", small=small)
-    return lookup_join(kept, ids, "target", "id", "left_semi", small=small)
+    kept = lookup_join(edges, ids, "source", "id", "left_semi")
+    return lookup_join(kept, ids, "target", "id", "left_semi")
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -188,15 +185,11 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def latest_runs(nodes: DataFrame, limit: int = 5) -> DataFrame:
+def latest_runs(nodes: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest runs by ``created_at``, ties by id."""
     created = F.coalesce(property_value(F.col("properties"), "created_at"), F.lit(""))
-    return (
-        nodes.where(F.col("type") == "analysis_run")
-        .withColumn("created_at", created)
-        .orderBy(F.desc("created_at"), F.desc("id"))
-        .limit(limit)
-    )
+    found = nodes.where(F.col("type") == "analysis_run").withColumn("created_at", created).orderBy(F.desc("created_at"), F.desc("id"))
+    return found.limit(limit) if limit else found
 
 
 def _labels(rows: DataFrame) -> DataFrame:
@@ -219,14 +212,14 @@ def _diff(labels_a: DataFrame, labels_b: DataFrame) -> DataFrame:
     return merged.select("kind", "label", state.alias("state"))
 
 
-def run_diff(nodes: DataFrame, edges: DataFrame, run_a: str, run_b: str, *, small: bool | None = None) -> DataFrame:
+def run_diff(nodes: DataFrame, edges: DataFrame, run_a: str, run_b: str) -> DataFrame:
     """``kind, label, state``: what two runs share, what ``run_b`` added, what it lost.
 
     For anomalies and causes, added means new and removed means resolved.
     """
     kinds = ("dataset", "columns", "insights", "anomalies", "root_causes")
     rows = [
-        _labels(lineage(nodes, edges, run, small=small)).where(F.col("kind").isin(*kinds)) for run in (run_a, run_b)
+        _labels(lineage(nodes, edges, run)).where(F.col("kind").isin(*kinds)) for run in (run_a, run_b)
     ]
     return _diff(rows[0], rows[1])
 
@@ -248,14 +241,14 @@ def run_changes(nodes: DataFrame, run_a: str, run_b: str) -> DataFrame:
     )
 
 
-def latest_run_diff(nodes: DataFrame, edges: DataFrame, *, small: bool | None = None) -> DataFrame:
+def latest_run_diff(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``run_diff`` of the two newest runs (older first); empty below two runs."""
     newest = latest_runs(nodes, 2).select("id", "created_at")
     ends = newest.agg(
         F.max_by("id", F.struct("created_at", "id")).alias("b"), F.min_by("id", F.struct("created_at", "id")).alias("a"),
     ).where(F.col("a") != F.col("b"))
     rows = lineage(
-        nodes, edges.join(F.broadcast(newest.select("id")), F.col("source") == F.col("id"), "left_semi"), small=small
+        nodes, edges.join(F.broadcast(newest.select("id")), F.col("source") == F.col("id"), "left_semi")
     )
     labels = _labels(rows).where(F.col("kind").isin("dataset", "columns", "insights", "anomalies", "root_causes"))
     tagged = labels.crossJoin(F.broadcast(ends))
@@ -312,9 +305,9 @@ def graph_from_run(
     rows = df.agg(F.count(F.lit(1)).alias("rows"))
     extra = F.create_map(*[p for k, v in (metadata or {}).items() for p in (F.lit(k), F.lit(str(v)))]).cast(PROPERTIES)
     run_node = node(
-        rows, run, "analysis_run", truncate(F.lit(request or "Analysis"), 120),
+        rows, run, "analysis_run", F.lit(request or "Analysis"),
         F.map_concat(drop_secrets(extra), properties(
-            created_at=F.lit(created_at), user_input=truncate(F.lit(request), 500), source_type=F.lit(source_type),
+            created_at=F.lit(created_at), user_input=F.lit(request), source_type=F.lit(source_type),
             row_count=F.col("rows"), column_count=F.lit(len(names)), primary_metric=F.lit(primary_metric),
             time_axis=F.lit(time_axis), confidence_score=F.lit(confidence_score),
         )),
@@ -351,7 +344,7 @@ def graph_from_run(
     ]
     if insights is not None:
         insight_id = F.concat(F.lit("insight:"), run, F.lit(":"), slug(F.col("name")))
-        nodes.append(node(insights, insight_id, "insight", F.col("name"), properties(summary=truncate(F.col("summary"), 500))))
+        nodes.append(node(insights, insight_id, "insight", F.col("name"), properties(summary=F.col("summary"))))
         edges.append(edge(insights, run, insight_id, "PRODUCED_INSIGHT", "GENERATED_INSIGHT"))
     anomaly_id = F.concat(F.lit("anomaly:"), F.col("anomaly_id"))
     if anomalies is not None:
@@ -363,7 +356,7 @@ def graph_from_run(
         cause_id = F.concat(F.lit("root_cause:"), F.col("cause_id"))
         nodes.append(node(causes, cause_id, "root_cause", F.col("title"), properties(
             severity=F.col("severity"), confidence_score=F.col("confidence_score"),
-            affected_metrics=F.array_join(F.slice("affected_metrics", 1, 10), ","),
+            affected_metrics=F.array_join("affected_metrics", ","),
         )))
         edges.append(edge(causes, run, cause_id, "IDENTIFIED_ROOT_CAUSE", "PROPOSED_ROOT_CAUSE"))
         if cause_members is not None:

@@ -1,46 +1,20 @@
-"""Joins against a side that is unique per key, safe when a few keys own most rows."""
+"""Joins against a side that is unique per key, and the latest row of a key."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.session import is_small
 
-HEAVY_KEYS = 1000
-
-
-def lookup_join(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", *,
-    small: bool | None = None,
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
     """Join ``left`` to ``right`` (unique per ``right_key``); ``right_key`` is dropped.
 
-    A small right side is joined as Spark sees fit. Otherwise keys that own at least
-    1/1000 of the left rows are split off: there are at most 1000 of them, so their lookup
-    rows have a fixed bound and are broadcast, while the rest is shuffled as usual.
+    One plain join, so that plans stay linear in their inputs. A key that owns many rows is
+    left to the adaptive skew join, which splits its rows over tasks; ``build_session``
+    turns that on.
     """
     renamed = right.withColumnRenamed(right_key, "_rk")
-    condition = F.col(left_key) == F.col("_rk")
-    if small is None:
-        small = is_small(right)
-    if small:
-        return left.join(renamed, condition, how).drop("_rk")
-    per_key = left.where(F.col(left_key).isNotNull()).groupBy(F.col(left_key).alias("_hk")).agg(
-        F.count(F.lit(1)).alias("_hn")
-    )
-    total = per_key.agg(F.sum("_hn").alias("_all"))
-    heavy = F.broadcast(
-        per_key.crossJoin(F.broadcast(total)).where(F.col("_hn") * HEAVY_KEYS >= F.col("_all")).select("_hk")
-    )
-    hot = left.join(heavy, F.col(left_key) == F.col("_hk"), "left_semi")
-    rest = left.join(heavy, F.col(left_key) == F.col("_hk"), "left_anti")
-    hot_right = F.broadcast(renamed.join(heavy, F.col("_rk") == F.col("_hk"), "left_semi"))
-    return (
-        hot.join(hot_right, condition, how)
-        .unionByName(rest.join(renamed, condition, how))
-        .drop("_rk")
-    )
+    return left.join(renamed, F.col(left_key) == F.col("_rk"), how).drop("_rk")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str] | list[Column]) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.numeric import clamp, cosine, safe_ratio
-from tablewise.functions.text import WORD_CHAR, keyword_match, text_ratio, text_ratio_upper_bound, word_tokens
+from tablewise.functions.text import WORD_CHAR, keyword_match, text_ratio, word_tokens
 from tablewise.operators.joins import latest_per_key
-from tablewise.session import spread
 
 OUTCOMES = ("correct", "partial", "incorrect")
 TERMINAL_STATUSES = ("completed", "failed", "cancelled")
@@ -18,7 +17,6 @@ TERMINAL_STATUSES = ("completed", "failed", "cancelled")
 POSITIVE_WORDS = ("utile", "positivo", "positive", "success", "successful", "ok", "yes", "si", "sì", "like")
 NEGATIVE_WORDS = ("non utile", "inutile", "negativo", "negative", "failure", "failed", "no", "dislike")
 PROMOTE_AT, DEMOTE_AT = 0.72, 0.28
-RECENT_ENTRIES = 200
 
 
 def feedback_kind(feedback: Column) -> Column:
@@ -116,13 +114,12 @@ def history_similarity(
 ) -> DataFrame:
     """Past requests of one source similar to a request, best first.
 
-    Embeddings are compared where both exist, texts otherwise. Texts whose lengths rule the
-    threshold out are dropped before the exact ratio is computed; the result is the same.
+    Embeddings are compared where both exist, texts otherwise by the share of words they have in common.
     """
     rows = history.where((F.col("source_type") == source_type) & (F.col("feedback_score") >= minimum_feedback))
     embedded = F.col("embedding").isNotNull() if vector is not None and "embedding" in history.columns else F.lit(False)
     wanted = F.lit(request)
-    by_text = spread(rows).where(~embedded & (text_ratio_upper_bound(F.col("description"), wanted) >= threshold)).withColumn(
+    by_text = rows.where(~embedded).withColumn(
         "similarity", text_ratio(wanted, F.col("description"))
     ).withColumn("method", F.lit("text"))
     found = by_text
@@ -158,24 +155,23 @@ def learning_trend(history: DataFrame, now: Column, days: int = 7) -> DataFrame:
     )
 
 
-def learned_keywords(history: DataFrame, text: str, liked: Column, limit: int = 10) -> DataFrame:
+def learned_keywords(history: DataFrame, text: str, liked: Column, limit: int | None = None) -> DataFrame:
     """Most frequent words of more than three characters in liked texts."""
     words = history.where(liked).select(F.explode(F.split(F.lower(F.trim(text)), r"\s+")).alias("keyword"))
-    return (
-        words.where(F.length("keyword") > 3).groupBy("keyword").agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(F.desc("count"), "keyword").limit(limit)
-    )
+    counted = words.where(F.length("keyword") > 3).groupBy("keyword").agg(F.count(F.lit(1)).alias("count"))
+    ordered = counted.orderBy(F.desc("count"), "keyword")
+    return ordered.limit(limit) if limit else ordered
 
 
-def next_actions(entries: DataFrame, request: str, limit: int = 5) -> DataFrame:
-    """Recommendations of the newest entries by token overlap, entry score and position.
+def next_actions(entries: DataFrame, request: str, limit: int | None = None, recent: int | None = None) -> DataFrame:
+    """Recommendations of the entries (the ``recent`` newest, if given) by token overlap, entry score and position.
 
     ``entries``: ``id, tags ARRAY<STRING>, recommendations ARRAY<STRING>, score``. The first
     occurrence of an action (newest entry, then position) decides its weight.
     """
     tokens = sorted({t for t in _words(request) if len(t) > 2})
     wanted = F.array(*[F.lit(t) for t in tokens]).cast("array<string>")
-    newest = entries.orderBy(F.desc("id")).limit(RECENT_ENTRIES)
+    newest = entries if recent is None else entries.orderBy(F.desc("id")).limit(recent)
     overlap = F.size(F.array_intersect(word_tokens(F.array_join("tags", " "), 3), wanted))
     listed = newest.select(
         "id", (overlap * 2.0 + F.coalesce("score", F.lit(0.0))).alias("_base"), F.posexplode("recommendations").alias("_pos", "_action")
@@ -183,7 +179,8 @@ def next_actions(entries: DataFrame, request: str, limit: int = 5) -> DataFrame:
     first = listed.where(F.coalesce("action", F.lit("")) != "").groupBy(F.lower("action").alias("_key")).agg(
         F.min_by(F.struct("action", "weight", "id", "_pos"), F.struct(-F.col("id"), F.col("_pos"))).alias("_f")
     )
-    return first.select("_f.*").orderBy(F.desc("weight"), F.desc("id"), "_pos").limit(limit).select("action", "weight")
+    ordered = first.select("_f.*").orderBy(F.desc("weight"), F.desc("id"), "_pos")
+    return (ordered.limit(limit) if limit else ordered).select("action", "weight")
 
 
 def _words(text: str) -> list[str]:
@@ -223,7 +220,7 @@ def pattern_tags(texts: DataFrame, key: str, text: str, patterns: dict[str, tupl
     ``patterns``: name to (base confidence, keywords). Whole texts are searched.
     """
     clean = F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " "))
-    rows = spread(texts.select(key, text)).select(key, clean.alias("_t"))
+    rows = texts.select(key, text).select(key, clean.alias("_t"))
     hits = {name: sum((keyword_match(F.col("_t"), k).cast("int") for k in keywords), F.lit(0)) for name, (_b, keywords) in patterns.items()}
     # Counts are exploded before they are used, so that every keyword is searched once per text.
     found = F.explode(F.array(*[
@@ -245,7 +242,7 @@ def pack_scores(
 
     import re
 
-    rows = spread(texts.select(key, text)).select(key, normal(F.col(text)).alias("_t"))
+    rows = texts.select(key, text).select(key, normal(F.col(text)).alias("_t"))
     names = [re.sub(r"[_\-/]+", " ", c.lower()) for c in columns]
 
     def in_columns(term: str) -> bool:

@@ -1,10 +1,8 @@
 """Exact order statistics and ranks that never sort a whole table in one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer, and a window
-without partitions sorts everything in one task. Both are used here only on inputs proven
-small. Beyond that, values are pre-aggregated to (value, count), cut into buckets of about
-equal size whose edges come from a mergeable sketch, and only the buckets that hold a wanted
-position are ordered.
+Values are pre-aggregated to (value, count), which is written once, and cut into buckets of about
+equal size whose edges come from a mergeable sketch; only the buckets that hold a wanted
+position are ordered. There is one way for inputs of every size.
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.numeric import accurate_sum, finite
-from tablewise.session import is_small, reliable_checkpoint, reused
+from tablewise.session import reliable_checkpoint, reused
 
 BUCKETS = 256
 SKETCH_ACCURACY = 2000
@@ -26,12 +24,12 @@ def pack_keys(keys: Sequence[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
 
 
-def _value_counts(df: DataFrame, value: Column, keys: Sequence[str]) -> DataFrame:
-    return (
-        df.select(pack_keys(keys).alias("_k"), value.alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy("_k", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+def value_counts_of(df: DataFrame, value: Column, keys: Sequence[str], count: Column | None = None) -> DataFrame:
+    """(_k, _v, _n), written once. A null value is kept with a count of zero, so that no group is lost."""
+    return reliable_checkpoint(
+        df.select(pack_keys(keys).alias("_k"), value.alias("_v"), (F.lit(1) if count is None else count).cast("long").alias("_n"))
+        .groupBy("_k", "_v").agg(F.sum("_n").alias("_n"))
+        .withColumn("_n", F.when(F.col("_v").isNull(), 0).otherwise(F.col("_n")))
     )
 
 
@@ -71,30 +69,29 @@ def exact_quantiles(
     *,
     lower: bool = False,
     edge_key: str | None = None,
-    small: bool | None = None,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Exact quantiles per key as ``keys..., n, quantiles ARRAY<DOUBLE>``.
 
     Linear interpolation between neighbours by default; ``lower=True`` takes the element at
     index ``floor((n-1)·q)``. ``edge_key`` names a key of few values (a metric name) whose
-    values have different ranges. ``small`` overrides the size check.
+    values have different ranges. A group without values, and without keys an empty input, gives
+    ``n`` 0 and null quantiles.
     """
-    number = finite(F.col(value))
-    if small is None:
-        small = is_small(df.select(*keys, value))
-    if small and not lower:
-        return df.groupBy(*keys).agg(
-            F.count(number).alias("n"),
-            F.percentile(number, F.array(*[F.lit(float(p)) for p in probabilities])).alias("quantiles"),
-        )
+    counts = value_counts_of(df, finite(F.col(value)), keys)
+    return quantiles_of_counts(counts, probabilities, keys, lower=lower, edge_key=edge_key, buckets=buckets)
 
-    counts = _value_counts(df, number, keys)
-    bucketed = (
-        counts.withColumn("_b", F.lit(0))
-        if small
-        else _with_bucket(counts, F.col(f"_k.{edge_key}") if edge_key else F.lit(0), buckets)
-    )
+
+def quantiles_of_counts(
+    every: DataFrame, probabilities: Sequence[float], keys: Sequence[str] = (), *,
+    lower: bool = False, edge_key: str | None = None, buckets: int = BUCKETS,
+) -> DataFrame:
+    """``exact_quantiles`` of written (_k, _v, _n)."""
+    if keys:
+        groups = every.groupBy("_k").agg(F.sum("_n").alias("n"))
+    else:
+        groups = every.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).select(pack_keys(()).alias("_k"), "n")
+    bucketed = _with_bucket(every.where(F.col("_v").isNotNull()), F.col(f"_k.{edge_key}") if edge_key else F.lit(0), buckets)
     offsets = _bucket_offsets(bucketed)
     position = F.lit(0.0)
     targets = []
@@ -125,32 +122,29 @@ def exact_quantiles(
         )
         .select("_k", "_v", "_total", F.explode("_hits.slot").alias("_slot"))
     )
-    slots = picked.groupBy("_k").agg(
-        F.max("_total").alias("n"),
-        *[F.max(F.when(F.col("_slot") == s, F.col("_v"))).alias(f"_s{s}") for s in range(2 * len(probabilities))],
-    )
+    slots = picked.groupBy("_k").agg(*[
+        F.max(F.when(F.col("_slot") == s, F.col("_v"))).alias(f"_s{s}") for s in range(2 * len(probabilities))
+    ])
     values = []
     for index, probability in enumerate(probabilities):
         position = F.lit(float(probability)) * (F.col("n") - 1)
         low, high = F.col(f"_s{2 * index}"), F.col(f"_s{2 * index + 1}")
         values.append(low if lower else low + (high - low) * (position - F.floor(position)))
-    return slots.select(
-        *[F.col(f"_k.{k}").alias(k) for k in keys], F.col("n"), F.array(*values).alias("quantiles")
+    found = groups.join(slots, groups["_k"].eqNullSafe(slots["_k"]), "left")
+    return found.select(
+        *[groups[f"_k.{k}"].alias(k) for k in keys], F.col("n"), F.when(F.col("n") > 0, F.array(*values)).alias("quantiles")
     )
 
 
 def average_ranks(
-    df: DataFrame, value: str, keys: Sequence[str] = (), *, edge_key: str | None = None,
-    small: bool | None = None, buckets: int = BUCKETS,
+    df: DataFrame, value: str, keys: Sequence[str] = (), *, count: str | None = None, edge_key: str | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
-    """One row per distinct value: ``keys..., value, n, average_rank, dense_rank``."""
-    if small is None:
-        small = is_small(df.select(*keys, value))
-    counts = _value_counts(df, finite(F.col(value)), keys)
-    if small:
-        bucketed = counts.withColumn("_b", F.lit(0))
-    else:
-        bucketed = _with_bucket(counts, F.col(f"_k.{edge_key}") if edge_key else F.lit(0), buckets)
+    """One row per distinct value: ``keys..., value, n, average_rank, dense_rank``.
+
+    ``count`` names a column that says for how many rows a row stands.
+    """
+    counts = value_counts_of(df, finite(F.col(value)), keys, F.col(count) if count else None).where(F.col("_v").isNotNull())
+    bucketed = _with_bucket(counts, F.col(f"_k.{edge_key}") if edge_key else F.lit(0), buckets)
     offsets = _bucket_offsets(bucketed).select("_k", "_b", "_before", "_distinct_before")
     inside = Window.partitionBy("_k", "_b").orderBy("_v")
     upto = F.col("_before") + F.sum("_n").over(inside)
@@ -173,21 +167,15 @@ def row_numbers(
     keys: Sequence[str] = (),
     *,
     output: str = "rank",
-    small: bool | None = None,
 ) -> DataFrame:
     """``row_number`` per key that holds up when one key, or no key, owns all the rows.
 
-    The large way range-partitions on (keys, order), pins the partitions with a checkpoint,
-    numbers rows inside each partition and adds the rows of earlier partitions. ``order_by``
-    must be a total order. An input behind joins is materialised first, since both the size
-    check and the sampling of range boundaries would otherwise compute it again.
+    The rows are range-partitioned on (keys, order), the partitions pinned with a written table,
+    rows numbered inside each partition and the rows of earlier partitions added. ``order_by``
+    must be a total order. An input behind joins is materialised first, since the sampling of
+    range boundaries would otherwise compute it again.
     """
-    if small is None:
-        df = reused(df)
-        small = is_small(df)
-    if small:
-        return df.withColumn(output, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)))
-    named = df.withColumn("_k", pack_keys(keys))
+    named = reused(df).withColumn("_k", pack_keys(keys))
     sorted_parts = reliable_checkpoint(
         named.repartitionByRange(F.col("_k"), *order_by).withColumn("_part", F.spark_partition_id())
     )
@@ -198,7 +186,7 @@ def row_numbers(
     numbered = sorted_parts.withColumn("_row", F.row_number().over(inside))
     return (
         numbered.join(offsets, ["_k", "_part"])
-        .withColumn(output, (F.col("_before") + F.col("_row")).cast("int" if small else "bigint"))
+        .withColumn(output, (F.col("_before") + F.col("_row")).cast("bigint"))
         .drop("_k", "_part", "_before", "_row")
     )
 
@@ -225,29 +213,15 @@ def lag_in_chunks(
     )
 
 
-def top_share_sum(df: DataFrame, order: str, value: str, take: Column, *, small: bool | None = None) -> DataFrame:
+def top_share_sum(df: DataFrame, order: str, value: str, take: Column) -> DataFrame:
     """Sum and count of ``value`` over the last ``take`` rows by (order, value), and the rest.
 
-    ``take`` is computed from ``n``. The large way counts rows per distinct (moment, value),
-    finds the moment where the count from the end is reached, and orders only the values of
+    ``take`` is computed from ``n``. Rows are counted per distinct (moment, value); one looks for the moment where the count from the end is reached, and orders only the values of
     that one moment, so neither the table nor a tie on one moment ends up in one task.
     """
     rows = df.select(F.col(order).alias("_t"), F.col(value).alias("_x")).where(
         F.col("_t").isNotNull() & F.col("_x").isNotNull()
     )
-    if small is None:
-        small = is_small(rows)
-    if small:
-        latest = Window.partitionBy(F.lit(0)).orderBy(F.desc("_t"), F.desc("_x"))
-        everything = Window.partitionBy(F.lit(0))
-        numbered = rows.withColumn("_i", F.row_number().over(latest)).withColumn("n", F.count(F.lit(1)).over(everything))
-        recent = F.col("_i") <= F.col("take")
-        return numbered.withColumn("take", take.cast("bigint")).groupBy("n", "take").agg(
-            accurate_sum(F.when(recent, F.col("_x"))).alias("recent_sum"),
-            F.coalesce(accurate_sum(F.when(~recent, F.col("_x"))), F.lit(0.0)).alias("baseline_sum"),
-            F.min(F.when(recent, F.col("_t"))).alias("recent_from"),
-            F.max("_t").alias("recent_to"),
-        )
     moments = rows.withColumn("_t", F.unix_micros(F.col("_t").cast("timestamp")).cast("double"))
     cells = reliable_checkpoint(moments.groupBy("_t", "_x").agg(F.count(F.lit(1)).alias("_n")))
     per_moment = reliable_checkpoint(
@@ -271,11 +245,12 @@ def top_share_sum(df: DataFrame, order: str, value: str, take: Column, *, small:
     recent_sum = F.coalesce("_after", F.lit(0.0)) + F.coalesce("_above", F.lit(0.0)) + F.coalesce("_at", F.lit(0.0))
 
     def moment(name: str) -> Column:
-        return F.timestamp_micros(F.col(name).cast("bigint")).cast("timestamp_ntz")
+        return F.timestamp_micros(F.col(name).cast("bigint")).cast(df.schema[order].dataType)
 
     return (
         totals.crossJoin(F.broadcast(after))
         .crossJoin(F.broadcast(tied))
+        .where(F.col("n") > 0)
         .select(
             "n", "take", recent_sum.alias("recent_sum"), (F.col("sum_all") - recent_sum).alias("baseline_sum"),
             moment("_edge").alias("recent_from"), moment("_t_last").alias("recent_to"),

@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from tablewise.functions.numeric import finite, safe_ratio
 from tablewise.operators.aggregates import numeric_profile
 from tablewise.operators.ordering import exact_quantiles
-from tablewise.operators.shape import row_hash, row_to_long
+from tablewise.operators.shape import row_to_long
 
 METHODS = ("iqr", "zscore", "modified_zscore")
 Z_LIMIT = 3.0
 MODIFIED_Z_LIMIT = 3.5
 
 
-def outlier_limits(df: DataFrame, columns: Sequence[str], *, small: bool | None = None) -> DataFrame:
+def outlier_limits(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column the statistics every method needs, one row per column."""
-    profile = numeric_profile(df, columns, small=small)
+    profile = numeric_profile(df, columns)
     population_std = F.sqrt(F.col("variance") * (F.col("count") - 1) / F.col("count"))
     return profile.select(
         "column",
@@ -49,25 +49,26 @@ def _hit(method: str, value: Column, limits: Column) -> Column:
     raise ValueError(f"unsupported outlier method: {method}")
 
 
-def _with_limits(df: DataFrame, columns: Sequence[str], small: bool | None) -> DataFrame:
+def _with_limits(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``df`` with the limits of all columns as one struct per column, from a single broadcast row."""
-    one_row = outlier_limits(df, columns, small=small).agg(*[
+    one_row = outlier_limits(df, columns).agg(*[
         F.max(F.when(F.col("column") == c, F.struct(*LIMIT_FIELDS))).alias(f"_limits_{i}") for i, c in enumerate(columns)
     ])
     return df.crossJoin(F.broadcast(one_row))
 
 
 def outlier_rows(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), methods: Sequence[str] = METHODS, *,
-    small: bool | None = None,
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), methods: Sequence[str] = METHODS
 ) -> DataFrame:
     """One row per (row, column, method) hit: ``row_id, column, method, value`` and the limits.
 
-    ``row_id`` is the joined keys, or a hash of the whole row when there is no key. Rows are
-    tested in place; only hits are multiplied out.
+    ``row_id`` is the keys as JSON, nulls kept, or the row's place in the input where there is
+    no key, so that different rows, equal ones included, stay apart. Rows are tested in place;
+    only hits are multiplied out.
     """
     identity = (
-        F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else row_hash(df).cast("string")
+        F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys]), {"ignoreNullFields": "false"})
+        if keys else F.monotonically_increasing_id().cast("string")
     )
     hits = []
     for i, c in enumerate(columns):
@@ -77,12 +78,12 @@ def outlier_rows(
                 F.lit(c).alias("column"), F.lit(method).alias("method"), F.lit(order).alias("method_order"),
                 value.alias("value"), F.col(f"_limits_{i}").alias("limits"),
             )))
-    found = _with_limits(df, columns, small).select(identity.alias("row_id"), F.explode(F.array_compact(F.array(*hits))).alias("_h"))
+    found = _with_limits(df, columns).select(identity.alias("row_id"), F.explode(F.array_compact(F.array(*hits))).alias("_h"))
     return found.select("row_id", "_h.column", "_h.method", "_h.method_order", "_h.value", "_h.limits.*")
 
 
 def outlier_counts(
-    df: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHODS, *, small: bool | None = None
+    df: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHODS
 ) -> DataFrame:
     """``column, method, outlier_count, outlier_percent`` without listing the rows."""
     measures = []
@@ -90,7 +91,7 @@ def outlier_counts(
         value = finite(F.col(f"`{c}`"))
         measures.append(F.count(value).alias(f"{c}__valid_count"))
         measures += [F.count_if(_hit(m, value, F.col(f"_limits_{i}"))).alias(f"{c}__{m}") for m in methods]
-    long = row_to_long(_with_limits(df, columns, small).agg(*measures), columns, ["valid_count", *methods])
+    long = row_to_long(_with_limits(df, columns).agg(*measures), columns, ["valid_count", *methods])
     found = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("outlier_count")) for m in methods]))
     return long.where(F.col("valid_count") > 0).select("column", "valid_count", found.alias("_h")).select(
         "column",
@@ -109,7 +110,7 @@ def extreme_from_summary(summary: DataFrame) -> DataFrame:
 
 
 def subset_vs_baseline(
-    df: DataFrame, subset: Column, metric: str, *, small: bool | None = None
+    df: DataFrame, subset: Column, metric: str
 ) -> DataFrame:
     """Median, p95 and outlier ratio of the non-negative metric, subset against all rows."""
     rows = df.select(F.coalesce(subset, F.lit(False)).alias("_in"), F.col(metric).cast("double").alias("_x"))
@@ -117,7 +118,7 @@ def subset_vs_baseline(
     both = rows.select(F.explode(sides).alias("side"), "_x")
     counts = rows.agg(F.count(F.lit(1)).alias("baseline_rows"), F.count_if("_in").alias("subset_rows"))
     positive = both.where(F.col("_x") >= 0)
-    quantiles = exact_quantiles(positive, "_x", [0.25, 0.5, 0.75, 0.95], ["side"], edge_key="side", small=small)
+    quantiles = exact_quantiles(positive, "_x", [0.25, 0.5, 0.75, 0.95], ["side"], edge_key="side")
     fences = quantiles.select(
         "side",
         F.col("quantiles")[1].alias("median"),

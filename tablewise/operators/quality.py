@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tablewise.functions.numeric import to_number
 from tablewise.operators.joins import lookup_join
 from tablewise.operators.shape import is_missing, row_to_long
-from tablewise.session import is_small
 
 OPERATORS = ("<=", "<", ">=", ">", "==", "!=")
 
@@ -74,39 +73,33 @@ def null_detection(df: DataFrame, limit: int | None = None) -> DataFrame:
     return found.limit(limit) if limit else found
 
 
-def _repeated_rows(df: DataFrame, small: bool) -> DataFrame:
+def _repeated_rows(df: DataFrame) -> DataFrame:
     """Every repeated row once, with ``_copies``; nulls compare equal.
 
-    Large tables are first reduced to rows whose 64-bit hash occurs twice, so whole rows of
+    The table is first reduced to rows whose 64-bit hash occurs twice, so whole rows of
     mostly unique data are never shuffled; the exact grouping then drops chance collisions.
     """
     names = [F.col(f"`{c}`") for c in df.columns]
-    rows = df
-    if not small:
-        hashed = df.withColumn("_hash", F.xxhash64(*names))
-        twice = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_hash")
-        rows = lookup_join(hashed, twice.withColumnRenamed("_hash", "_twice"), "_hash", "_twice", "left_semi", small=False).drop("_hash")
+    hashed = df.withColumn("_hash", F.xxhash64(*names))
+    twice = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(F.col("_hash").alias("_twice"))
+    rows = lookup_join(hashed, twice, "_hash", "_twice", "left_semi").drop("_hash")
     return rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > 1)
 
 
-def duplicate_detection(df: DataFrame, *, small: bool | None = None) -> DataFrame:
+def duplicate_detection(df: DataFrame) -> DataFrame:
     """Row count, surplus copies and rows that have a copy; nulls compare equal."""
-    if small is None:
-        small = is_small(df)
     total = df.agg(F.count(F.lit(1)).alias("row_count"))
     copies = F.col("_copies")
-    repeated = _repeated_rows(df, small).agg(
+    repeated = _repeated_rows(df).agg(
         F.coalesce(F.sum(copies - 1), F.lit(0)).alias("duplicate_rows"),
         F.coalesce(F.sum(copies), F.lit(0)).alias("duplicate_groups_rows"),
     )
     return total.crossJoin(F.broadcast(repeated))
 
 
-def duplicate_sample(df: DataFrame, limit: int = 5, *, small: bool | None = None) -> DataFrame:
+def duplicate_sample(df: DataFrame, limit: int = 5) -> DataFrame:
     """A few of the repeated rows with their number of copies."""
-    if small is None:
-        small = is_small(df)
-    repeated = _repeated_rows(df, small).withColumnRenamed("_copies", "copies")
+    repeated = _repeated_rows(df).withColumnRenamed("_copies", "copies")
     return repeated.orderBy(F.desc("copies"), *[F.col(f"`{c}`") for c in df.columns]).limit(limit)
 
 

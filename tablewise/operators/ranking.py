@@ -99,14 +99,14 @@ def recommend_rank(
     return ranked.withColumn("priority", priority)
 
 
-def decision_evidence(options: DataFrame, evidence: DataFrame, *, small: bool | None = None) -> DataFrame:
+def decision_evidence(options: DataFrame, evidence: DataFrame) -> DataFrame:
     """Per option: listed, present and missing evidence, and the mean evidence score.
 
     ``options``: ``option_id, evidence_ids``; ``evidence``: ``evidence_id, strength, reliability, confidence``.
     """
     listed = options.select("option_id", F.explode_outer("evidence_ids").alias("_eid"))
     scored = evidence.select("evidence_id", (F.col("strength") * F.col("reliability") * F.col("confidence")).alias("_score"))
-    joined = lookup_join(listed, scored, "_eid", "evidence_id", "left", small=small)
+    joined = lookup_join(listed, scored, "_eid", "evidence_id", "left")
     return joined.groupBy("option_id").agg(
         F.count("_eid").alias("listed"), F.count("_score").alias("present"),
         F.count_if(F.col("_eid").isNotNull() & F.col("_score").isNull()).alias("missing"),
@@ -114,9 +114,9 @@ def decision_evidence(options: DataFrame, evidence: DataFrame, *, small: bool |
     )
 
 
-def decision_scores(options: DataFrame, evidence: DataFrame, *, small: bool | None = None) -> DataFrame:
+def decision_scores(options: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every option with its score and whether it is kept."""
-    judged = options.join(decision_evidence(options, evidence, small=small), "option_id")
+    judged = options.join(decision_evidence(options, evidence), "option_id")
     adjusted = F.col("evidence_score") * F.col("present") / F.col("listed")
     score = F.round(clamp(
         F.col("base_confidence") * DECISION_BASE + adjusted * DECISION_EVIDENCE
@@ -127,8 +127,8 @@ def decision_scores(options: DataFrame, evidence: DataFrame, *, small: bool | No
 
 
 def decision_rank(
-    options: DataFrame, evidence: DataFrame, keys: Sequence[str] = (), *, small: bool | None = None
+    options: DataFrame, evidence: DataFrame, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Kept options by score, source and id; empty means abstain. Ranks every option, however many."""
-    kept = decision_scores(options, evidence, small=small).where("kept").drop("kept", "evidence_ids")
-    return row_numbers(kept, [F.desc("score"), F.col("source"), F.col("option_id")], keys, small=small)
+    kept = decision_scores(options, evidence).where("kept").drop("kept", "evidence_ids")
+    return row_numbers(kept, [F.desc("score"), F.col("source"), F.col("option_id")], keys)

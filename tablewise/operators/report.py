@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.numeric import safe_ratio
@@ -37,22 +37,22 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
     )
 
 
-def box_stats(df: DataFrame, metric: str, group: str | None = None, *, small: bool | None = None) -> DataFrame:
+def box_stats(df: DataFrame, metric: str, group: str | None = None) -> DataFrame:
     """Five-number summary, mean and sample std of a metric, overall or per group."""
     name = group or "group"
     rows = df.select(
         (F.col(group) if group else F.lit("all")).alias(name), F.col(metric).cast("double").alias("_x")
     ).where(F.col("_x").isNotNull())
     stats = rows.groupBy(name).agg(F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"))
-    marks = exact_quantiles(rows, "_x", [0.0, 0.25, 0.5, 0.75, 1.0], [name], small=small)
+    marks = exact_quantiles(rows, "_x", [0.0, 0.25, 0.5, 0.75, 1.0], [name])
     five = [F.col("quantiles")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))]
     joined = stats.join(marks.withColumnRenamed(name, "_g"), F.col(name).eqNullSafe(F.col("_g")))
     return joined.select(name, "n", *five, "mean", "std")
 
 
-def kpi_rows(df: DataFrame, metrics: Sequence[str], limit: int = 30) -> DataFrame:
-    """Row and column counts, then mean, sum, min and max of up to eight metrics."""
-    summary = summary_numeric(df, list(metrics)[:8])
+def kpi_rows(df: DataFrame, metrics: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Row and column counts, then mean, sum, min and max of the metrics."""
+    summary = summary_numeric(df, list(metrics))
     cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("mean", "sum", "min", "max")])
     per_metric = summary.select("column", F.explode(cells).alias("_c")).select(
         F.concat_ws(" ", "_c.measure", "column").alias("name"), F.col("_c.value").alias("value"),
@@ -64,23 +64,22 @@ def kpi_rows(df: DataFrame, metrics: Sequence[str], limit: int = 30) -> DataFram
     width = shape.select(F.lit("columns").alias("name"), F.lit(float(len(df.columns))).alias("value"), F.lit("structure").alias("kind"))
     united = shape.unionByName(width).unionByName(per_metric).dropDuplicates(["name", "value"])
     first = F.when(F.col("kind") == "volume", 0).when(F.col("kind") == "structure", 1).otherwise(2)
-    return united.orderBy(first, "name").limit(limit)
+    ordered = united.orderBy(first, "name")
+    return ordered.limit(limit) if limit else ordered
 
 
-def segment_leaders(df: DataFrame, columns: Sequence[str], shown: int = 20) -> DataFrame:
-    """Leading value and its share of the shown values, for columns worth segmenting by."""
+def segment_leaders(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Leading value and its share of all rows, for columns worth segmenting by."""
     counts = value_counts(df, columns).groupBy("column", null_label(F.col("value")).alias("value")).agg(
         F.sum("count").alias("count")
     )
-    best = Window.partitionBy("column").orderBy(F.desc("count"), "value")
-    top = counts.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= shown)
-    per_column = top.groupBy("column").agg(
+    per_column = counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("segments"),
-        F.max(F.when(F.col("_r") == 1, F.col("value"))).alias("leading_segment"),
+        F.min_by("value", F.struct(-F.col("count"), "value")).alias("leading_segment"),
         F.max("count").alias("leading_value"),
-        F.sum("count").alias("_shown"),
+        F.sum("count").alias("_all"),
     )
-    share = safe_ratio(F.col("leading_value"), F.col("_shown"))
+    share = safe_ratio(F.col("leading_value"), F.col("_all"))
     return per_column.where((F.col("segments") > 1) & (share < 0.95)).select(
         "column", "segments", "leading_segment", "leading_value",
         F.round(share * 100, 2).alias("leading_share_percent"),

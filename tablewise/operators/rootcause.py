@@ -226,12 +226,12 @@ def rca_causes(anomalies: DataFrame, profiled_columns: DataFrame | None = None,
     )
 
 
-def rca_rank(causes: DataFrame, keys: list[str] | None = None, *, small: bool | None = None) -> DataFrame:
+def rca_rank(causes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Causes by severity, confidence and evidence, ranked per ``keys`` (a run or tenant)."""
     order = [
         severity_rank(F.col("severity")).desc(), F.desc("confidence_score"), F.desc("evidence_count"), F.col("cause_id"),
     ]
-    return row_numbers(causes, order, keys or [], small=small)
+    return row_numbers(causes, order, keys or [])
 
 
 def rca_related(anomalies: DataFrame) -> DataFrame:

@@ -180,13 +180,13 @@ def trend_direction(points: DataFrame) -> DataFrame:
     )
 
 
-def weekly_mean_median(df: DataFrame, time: str, metric: str, *, small: bool | None = None) -> DataFrame:
+def weekly_mean_median(df: DataFrame, time: str, metric: str) -> DataFrame:
     """Mean and median of a metric per week ending on Sunday."""
     rows = df.select(week_end(as_timestamp(df, time)).alias("week_end"), finite(F.col(metric)).alias("_x")).where(
         F.col("week_end").isNotNull() & F.col("_x").isNotNull()
     )
     means = rows.groupBy("week_end").agg(F.avg("_x").alias("mean"))
-    medians = exact_quantiles(rows, "_x", [0.5], ["week_end"], small=small).select(
+    medians = exact_quantiles(rows, "_x", [0.5], ["week_end"]).select(
         "week_end", F.col("quantiles")[0].alias("median")
     )
     return means.join(medians, "week_end")
@@ -205,11 +205,11 @@ def concentration_threshold(quantiles: Column) -> Column:
     return F.when(fence > q3, F.least(p95, fence)).otherwise(p95)
 
 
-def daily_ratio(df: DataFrame, time: str, metric: str, *, small: bool | None = None) -> DataFrame:
+def daily_ratio(df: DataFrame, time: str, metric: str) -> DataFrame:
     """``day, outlier_count, total_count, outlier_ratio`` of days with outliers, with the
     threshold and the total; nothing below five valid rows."""
     valid = _metric_days(df, time, metric)
-    limits = exact_quantiles(valid, "metric", [0.25, 0.75, 0.95], small=small).where(F.col("n") >= 5).select(
+    limits = exact_quantiles(valid, "metric", [0.25, 0.75, 0.95]).where(F.col("n") >= 5).select(
         concentration_threshold(F.col("quantiles")).alias("threshold")
     )
     days = (
@@ -229,9 +229,9 @@ def top_days(days: DataFrame, limit: int = 10) -> DataFrame:
     return days.orderBy(F.desc("outlier_count"), "day").limit(limit)
 
 
-def temporal_concentration(df: DataFrame, time: str, metric: str, *, small: bool | None = None) -> DataFrame:
+def temporal_concentration(df: DataFrame, time: str, metric: str) -> DataFrame:
     """One row: outliers, threshold, top day, and whether one day holds half of them."""
-    days = daily_ratio(df, time, metric, small=small)
+    days = daily_ratio(df, time, metric)
     return days.agg(
         F.coalesce(F.sum("outlier_count"), F.lit(0)).alias("outlier_count"),
         round_to(F.max("threshold")).alias("outlier_threshold"),
@@ -246,12 +246,12 @@ def temporal_concentration(df: DataFrame, time: str, metric: str, *, small: bool
     )
 
 
-def daily_outlier_counts(df: DataFrame, time: str, metric: str, *, small: bool | None = None) -> DataFrame:
+def daily_outlier_counts(df: DataFrame, time: str, metric: str) -> DataFrame:
     """Days with values above q3 + 1.5·IQR of the non-negative values."""
     valid = df.select(finite(F.col(metric)).alias("metric"), as_timestamp(df, time).cast("date").alias("day")).where(
         F.col("metric") >= 0
     )
-    fence = exact_quantiles(valid, "metric", [0.25, 0.75], small=small).select(
+    fence = exact_quantiles(valid, "metric", [0.25, 0.75]).select(
         (F.col("quantiles")[1] + 1.5 * (F.col("quantiles")[1] - F.col("quantiles")[0])).alias("_fence")
     )
     return (

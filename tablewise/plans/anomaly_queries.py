@@ -37,7 +37,7 @@ def _outliers(method):
 for _name, _method, _hit in (
     ("outlier_iqr", "iqr", "iqr_hit"), ("outlier_zscore", "zscore", "z_hit"), ("outlier_modz", "modified_zscore", "mz_hit"),
 ):
-    SET.add(_name, _LIMITS + f"SELECT cast(event_id AS VARCHAR) AS row_id, value FROM h WHERE {_hit}")(_outliers(_method))
+    SET.add(_name, _LIMITS + f'''SELECT '{{"event_id":"' || event_id || '"}}' AS row_id, value FROM h WHERE {_hit}''')(_outliers(_method))
 
 
 @SET.add("outlier_counts", _LIMITS + """
@@ -50,7 +50,7 @@ def _(spark, folder):
 
 
 @SET.add("numeric_anomalies", _LIMITS + f"""
-SELECT cast(event_id AS VARCHAR) AS row_id, 'numeric_outlier' AS anomaly_type, {SEVERITY.format(r='r')} AS severity,
+SELECT '{{"event_id":"' || event_id || '"}}' AS row_id, 'numeric_outlier' AS anomaly_type, {SEVERITY.format(r='r')} AS severity,
   {CONFIDENCE.format(s=SEVERITY.format(r='r'))} AS confidence_score, 'value' AS affected_column, round(value, 4) AS observed_value,
   round(med, 4) AS expected_value, round(round(value, 4) - round(med, 4), 4) AS deviation, method FROM a""")
 def _(spark, folder):
@@ -59,7 +59,7 @@ def _(spark, folder):
 
 
 @SET.add("anomaly_dedup", _LIMITS + f"""
-SELECT cast(event_id AS VARCHAR) AS row_id, any_value({SEVERITY.format(r='r')}) AS severity,
+SELECT '{{"event_id":"' || event_id || '"}}' AS row_id, any_value({SEVERITY.format(r='r')}) AS severity,
   round(any_value(value), 4) AS observed_value, string_agg(method, ',' ORDER BY method) AS detection_methods,
   cast(count(*) AS INTEGER) AS detection_count FROM a GROUP BY event_id""")
 def _(spark, folder):
@@ -286,9 +286,9 @@ def _(spark, folder):
 
 
 @SET.add("rca_rank", _CAUSES + """
-SELECT 1 AS rank, ['low', 'medium', 'high', 'critical'][top] AS severity, n AS evidence_count FROM g""")
+SELECT 1::BIGINT AS rank, ['low', 'medium', 'high', 'critical'][top] AS severity, n AS evidence_count FROM g""")
 def _(spark, folder):
-    ranked = rootcause.rca_rank(rootcause.rca_causes(all_anomalies(spark, folder)), small=True)
+    ranked = rootcause.rca_rank(rootcause.rca_causes(all_anomalies(spark, folder)))
     return ranked.select("rank", "severity", "evidence_count")
 
 
@@ -366,13 +366,13 @@ def _(spark, folder):
 @SET.add("business_by_dim", f"""
 SELECT channel AS name, {_SUMS} FROM {SALES_SQL} GROUP BY 1 ORDER BY sum(revenue) - sum(cost) DESC, 1 LIMIT 6""")
 def _(spark, folder):
-    return _rounded(business.business_by_dim(sales(spark, folder), "channel", "revenue", "cost", "churn"))
+    return _rounded(business.business_by_dim(sales(spark, folder), "channel", "revenue", "cost", "churn", 6))
 
 
 @SET.add("business_periods", f"""
 SELECT month AS period, round(sum(revenue), 2) AS revenue FROM {SALES_SQL} GROUP BY 1 ORDER BY 1 LIMIT 12""")
 def _(spark, folder):
-    return business.business_periods(sales(spark, folder), "month", "revenue").withColumn("revenue", F.round("revenue", 2))
+    return business.business_periods(sales(spark, folder), "month", "revenue", 12).withColumn("revenue", F.round("revenue", 2))
 
 
 @SET.add("business_trend", f"""

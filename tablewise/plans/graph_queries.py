@@ -143,7 +143,7 @@ def _(spark, folder):
 SELECT id, type, label FROM nodes WHERE type = 'analysis_run' AND label LIKE '%7%' AND source_type = 'f' ORDER BY id LIMIT 50""")
 def _(spark, folder):
     nodes, _edges = analysis_graph(spark, folder)
-    return graph.find_nodes(nodes, "analysis_run", "7", {"source_type": "F"}).drop("properties")
+    return graph.find_nodes(nodes, "analysis_run", "7", {"source_type": "F"}, 50).drop("properties")
 
 
 @SET.add("graph_find_edges", GRAPH_SQL + """
@@ -156,24 +156,21 @@ def _(spark, folder):
 @SET.add("graph_neighbors", GRAPH_SQL + """
 , b AS (SELECT source AS id, target AS other, relationship, 'out' AS direction FROM edges
   UNION ALL SELECT target, source, relationship, 'in' FROM edges)
-SELECT n.type AS neighbor_type, b.relationship, b.direction, count(*) AS links, count(DISTINCT b.id) AS nodes
-FROM b JOIN nodes n ON n.id = b.other GROUP BY 1, 2, 3""")
+SELECT b.id, b.other AS neighbor_id, n.type AS neighbor_type, n.label AS neighbor_label, b.relationship, b.direction FROM b JOIN nodes n ON n.id = b.other""")
 def _(spark, folder):
-    found = graph.neighbors(*stored_graph(spark, folder))
-    return found.groupBy("neighbor_type", "relationship", "direction").agg(
-        F.count(F.lit(1)).alias("links"), F.count_distinct("id").alias("nodes"))
+    return graph.neighbors(*stored_graph(spark, folder)).select("id", "neighbor_id", "neighbor_type", "neighbor_label", "relationship", "direction")
 
 
-@SET.add("graph_lineage", GRAPH_SQL + "SELECT run_id, bucket, count(*) AS elements FROM lineage GROUP BY 1, 2")
+@SET.add("graph_lineage", GRAPH_SQL + "SELECT run_id, bucket, node_id, label FROM lineage")
 def _(spark, folder):
-    return graph.lineage_counts(graph.lineage(*analysis_graph(spark, folder)))
+    return graph.lineage(*stored_graph(spark, folder)).select("run_id", "bucket", "node_id", "label")
 
 
 @SET.add("graph_runs_with_anomaly", GRAPH_SQL + """
 , hit AS (SELECT id FROM nodes WHERE type = 'anomaly' AND (label LIKE '%sudden_change%' OR lower(severity) LIKE '%sudden_change%')
-   ORDER BY label, id LIMIT 50)
+)
 SELECT e.source AS run_id, n.label, max(e.target) AS matched_anomaly FROM edges e JOIN hit ON e.target = hit.id JOIN nodes n ON n.id = e.source
-WHERE e.relationship = 'DETECTED_ANOMALY' AND n.type = 'analysis_run' GROUP BY 1, 2 ORDER BY 1 LIMIT 30""")
+WHERE e.relationship = 'DETECTED_ANOMALY' AND n.type = 'analysis_run' GROUP BY 1, 2""")
 def _(spark, folder):
     return graph.runs_with_anomaly(*analysis_graph(spark, folder), "sudden_change")
 
@@ -185,14 +182,14 @@ def _(spark, folder):
 SELECT id, type, label, score FROM s WHERE score > 0 ORDER BY score DESC, lower(label), id LIMIT 30""")
 def _(spark, folder):
     nodes, _edges = analysis_graph(spark, folder)
-    return graph.search(nodes, "quali backlog della nation order?", ["root_cause", "report", "dataset"])
+    return graph.search(nodes, "quali backlog della nation order?", ["root_cause", "report", "dataset"], 30)
 
 
 @SET.add("latest_runs", GRAPH_SQL + """
 SELECT id, label, created_at FROM nodes WHERE type = 'analysis_run' ORDER BY created_at DESC, id DESC LIMIT 5""")
 def _(spark, folder):
     nodes, _edges = analysis_graph(spark, folder)
-    return graph.latest_runs(nodes).select("id", "label", "created_at")
+    return graph.latest_runs(nodes, 5).select("id", "label", "created_at")
 
 
 _DIFF_SQL = """
@@ -323,10 +320,9 @@ def _(spark, folder):
 
 
 @SET.add("graph_endpoint_types", GRAPH_SQL + """
-SELECT relationship, s.type AS source_type, t.type AS target_type, count(*) AS edges FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target GROUP BY 1, 2, 3""")
+SELECT source, target, relationship, s.type AS source_type, t.type AS target_type FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target""")
 def _(spark, folder):
-    found = graph.endpoint_types(*analysis_graph(spark, folder))
-    return found.groupBy("relationship", "source_type", "target_type").agg(F.count(F.lit(1)).alias("edges"))
+    return graph.endpoint_types(*stored_graph(spark, folder)).select("source", "target", "relationship", "source_type", "target_type")
 
 
 _NODE_ISSUES = """

@@ -234,20 +234,20 @@ def _(spark, folder):
 
 
 @SET.add("decision_rank", DECISION_SQL + """
-SELECT option_id, source, score, row_number() OVER (ORDER BY score DESC, source, option_id)::INT AS rank FROM sc WHERE score >= 0.4""")
+SELECT option_id, source, score, row_number() OVER (ORDER BY score DESC, source, option_id) AS rank FROM sc WHERE score >= 0.4""")
 def _(spark, folder):
     ranked = ranking.decision_rank(*_options(spark, folder))
-    return ranked.select("option_id", "source", "score", F.col("rank").cast("int").alias("rank"))
+    return ranked.select("option_id", "source", "score", "rank")
 
 
 @SET.add("rank_enumerate", """
-SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders""")
+SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders""")
 def _(spark, folder):
     from tablewise.operators.ordering import row_numbers
 
     orders = table(spark, folder, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice")
     ranked = row_numbers(orders, [F.desc("o_totalprice"), F.col("o_orderkey")], ["o_orderstatus"])
-    return ranked.select("o_orderstatus", "o_orderkey", F.col("rank").cast("int").alias("rank"))
+    return ranked.select("o_orderstatus", "o_orderkey", "rank")
 
 
 def usage_log(spark, folder):
@@ -433,7 +433,7 @@ def _(spark, folder):
         F.col("o_orderkey").alias("id"), F.array("o_orderpriority").alias("tags"), (F.col("o_totalprice") / 500000).alias("score"),
         F.array(text("ship ", F.col("o_orderpriority")), text("Check ", F.col("o_orderstatus")), text("call ", F.col("o_custkey") % 50)).alias("recommendations"),
     )
-    found = learning.next_actions(entries, "urgent or medium orders")
+    found = learning.next_actions(entries, "urgent or medium orders", 5, 200)
     return found.withColumn("weight", F.round("weight", 6))
 
 

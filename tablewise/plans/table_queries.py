@@ -34,7 +34,7 @@ def gaps(spark, folder):
 @SET.add("count_occurrences", f"""
 SELECT coalesce(flag, 'N/D') AS value, count(*) AS count FROM {GAPS_SQL} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def _(spark, folder):
-    return counts.count_occurrences(gaps(spark, folder), "flag")
+    return counts.count_occurrences(gaps(spark, folder), "flag", 10)
 
 
 @SET.add("occurrence_totals", f"""
@@ -50,7 +50,7 @@ WITH c AS (SELECT 'o_orderpriority' AS "column", o_orderpriority AS value, count
 SELECT "column", value, count, cast(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM c) WHERE rank <= 10""")
 def _(spark, folder):
-    return counts.related_counts(table(spark, folder, "orders"), ["o_orderpriority", "o_orderdate"])
+    return counts.related_counts(table(spark, folder, "orders"), ["o_orderpriority", "o_orderdate"], 10)
 
 
 GROUPS = [
@@ -114,7 +114,7 @@ def _(spark, folder):
 @SET.add("top_n_count", """
 SELECT cast(o_custkey AS VARCHAR) AS value, count(*) AS metric FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def _(spark, folder):
-    return counts.top_n(table(spark, folder, "orders"), "o_custkey")
+    return counts.top_n(table(spark, folder, "orders"), "o_custkey", limit=10)
 
 
 @SET.add("numeric_aggregation", f"""
@@ -170,7 +170,7 @@ SELECT t."column", distinct_values, missing, cast(rank AS INTEGER) AS rank, valu
   SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM c) r
 ON t."column" = r."column" WHERE rank <= 5""")
 def _(spark, folder):
-    return aggregates.summary_categorical(gaps(spark, folder))
+    return aggregates.summary_categorical(gaps(spark, folder), 5)
 
 
 @SET.add("time_ranges", """
@@ -211,7 +211,7 @@ SELECT value, count, round(count / (SELECT sum(count) FROM c) * 100, 4) AS share
   (SELECT count(*) FROM c) AS unique_count, (SELECT cast(sum(count) AS BIGINT) FROM c) AS non_null_count
 FROM c ORDER BY count DESC, value LIMIT 10""")
 def _(spark, folder):
-    return aggregates.frequency_table(gaps(spark, folder), "flag")
+    return aggregates.frequency_table(gaps(spark, folder), "flag", 10)
 
 
 GAP_COLUMNS = ["l_orderkey", "l_linenumber", "discount", "flag", "quantity", "status"]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tablewise.functions import jsonfn, numeric, text
 from tablewise.operators import learning
 from tablewise.plans.registry import QuerySet, table
-from tablewise.session import spread
 
 SET = QuerySet()
 
@@ -70,10 +69,10 @@ def _(spark, folder):
 
 
 @SET.add("fn_keyword_match", """
-SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])the') AS word, contains(lower(text), 'of the') AS phrase FROM documents WHERE lang = 'en'""")
+SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])the') AS word, contains(lower(text), 'of the') AS phrase FROM documents""")
 def _(spark, folder):
     lowered = F.lower("text")
-    return table(spark, folder, "documents").where("lang = 'en'").select(
+    return table(spark, folder, "documents").select(
         "doc_id", text.keyword_match(lowered, "the").alias("word"), text.keyword_match(lowered, "of the").alias("phrase"))
 
 
@@ -93,12 +92,16 @@ def _(spark, folder):
     return table(spark, folder, "part").select("p_partkey", F.round(score, 6).alias("shape"))
 
 
-@SET.add("fn_text_ratio")
+@SET.add("fn_text_ratio", r"""
+WITH t AS (SELECT conv_id, turn, regexp_replace(lower(trim(text)), '\s+', ' ', 'g') AS line, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]{1,})')) AS w FROM conversations)
+SELECT a.conv_id, a.turn, CASE WHEN a.line = b.line THEN 1.0 WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0
+ ELSE round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) END::DOUBLE AS ratio
+FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1""")
 def _(spark, folder):
     """Ratio of each turn to the one before it in the conversation."""
     turns = table(spark, folder, "conversations")
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
-    return spread(turns.join(before, ["conv_id", "turn"])).select(
+    return turns.join(before, ["conv_id", "turn"]).select(
         "conv_id", "turn", F.round(text.text_ratio(F.col("text"), F.col("before")), 6).alias("ratio"))
 
 
@@ -188,10 +191,15 @@ WITH w AS (SELECT unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) AS ke
 SELECT keyword, count(*) AS count FROM w WHERE length(keyword) > 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def _(spark, folder):
     rated = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
-    return learning.learned_keywords(rated, "text", F.col("quality") > 0.5)
+    return learning.learned_keywords(rated, "text", F.col("quality") > 0.5, 10)
 
 
-@SET.add("similar_history")
+@SET.add("similar_history", r"""
+WITH t AS (SELECT conv_id, turn, text, regexp_replace(lower(trim(text)), '\s+', ' ', 'g') AS line, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]{1,})')) AS w FROM conversations WHERE role = 'user'),
+q AS (SELECT line, w FROM t ORDER BY conv_id, turn LIMIT 1),
+s AS (SELECT t.conv_id || '-' || t.turn AS id, CASE WHEN t.line = q.line THEN 1.0 WHEN len(t.w) = 0 OR len(q.w) = 0 THEN 0.0
+ ELSE round(len(list_intersect(t.w, q.w)) / len(list_distinct(list_concat(t.w, q.w))), 6) END::DOUBLE AS similarity FROM t, q)
+SELECT id, similarity FROM s WHERE similarity >= 0.2""")
 def _(spark, folder):
     """Past requests of the same role as similar as the ratio asks, over whole texts."""
     turns = table(spark, folder, "conversations")
@@ -200,4 +208,4 @@ def _(spark, folder):
         F.lit(1.0).alias("feedback_score"), F.lit(1).alias("success_count"),
     )
     request = turns.where("role = 'user'").orderBy("conv_id", "turn").first().text
-    return learning.history_similarity(history, request, "user", threshold=0.5).select("id", F.round("similarity", 6).alias("similarity"))
+    return learning.history_similarity(history, request, "user", threshold=0.2).select("id", F.round("similarity", 6).alias("similarity"))

@@ -313,7 +313,7 @@ def _(spark, folder):
 
 
 @SET.add("fn_period_key", """
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'no period in this long text'[1:20]
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'no period in this long text'
   WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m')
   ELSE strftime(o_orderdate, '%Y-%m') || '-' || strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m') END AS period FROM orders""")
 def _(spark, folder):

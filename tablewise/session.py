@@ -1,4 +1,4 @@
-"""Session settings, size checks and lineage cuts shared by every operator."""
+"""Session settings and lineage cuts shared by every operator."""
 
 from __future__ import annotations
 
@@ -7,12 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# An aggregate that keeps one buffer per group in memory is only used below these bounds.
-SMALL_PLAN_BYTES = 64 * 1024 * 1024
-COUNTABLE_LEAF_BYTES = 8 * 1024 ** 3
-SMALL_ROWS = 4_000_000
-UNKNOWN_BYTES = 2 ** 60
-
 
 def build_session(app_name: str = "tablewise", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for."""
@@ -32,27 +26,6 @@ def build_session(app_name: str = "tablewise", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def _leaf_sizes(df: DataFrame) -> list[int]:
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-
-
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """True when ``df`` is proven to have at most about ``max_rows`` rows.
-
-    The optimizer's size is taken where it is already small. Otherwise the rows are
-    counted, but only where the inputs are small enough that counting is cheap; bigger
-    inputs count as large without running anything.
-    """
-    plan_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if plan_bytes <= SMALL_PLAN_BYTES:
-        return True
-    known = [size for size in _leaf_sizes(df) if size < UNKNOWN_BYTES]
-    if sum(known) > COUNTABLE_LEAF_BYTES:
-        return False
-    return df.count() <= max_rows
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -81,22 +54,9 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 
 
 def reused(df: DataFrame) -> DataFrame:
-    """A frame that several aggregates read: materialised once when a join stands behind it.
+    """A frame that several aggregates read, materialised once where more than one input stands behind it.
 
     A plain scan is read again instead, since its columns are pruned at the source.
     """
-    return reliable_checkpoint(df) if len(_leaf_sizes(df)) > 1 else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before per-row work that is heavy on the CPU.
-
-    Only for inputs so small that the scan makes fewer splits than there are cores; bigger
-    inputs come with enough splits and are left alone.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
-    units = {"k": 2 ** 10, "m": 2 ** 20, "g": 2 ** 30}
-    split_bytes = int(float(split[:-1]) * units[split[-1]]) if split[-1] in units else int(split)
-    return df.repartition(cores) if sum(_leaf_sizes(df)) < split_bytes * cores else df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return reliable_checkpoint(df) if leaves.size() > 1 else df

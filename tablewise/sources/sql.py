@@ -10,28 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 FORBIDDEN = (
     "ALTER", "CREATE", "DELETE", "DROP", "EXEC", "EXECUTE", "GRANT", "INSERT", "MERGE", "REVOKE", "TRUNCATE", "UPDATE",
 )
-ROW_LIMIT = 200
+
+
+#: Literals and quoted names, comments, or a single other character.
+PARTS = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|.", re.DOTALL)
 
 
 def check_read_only(sql: str) -> str:
     """The statement without comments, or an error unless it is one SELECT or WITH."""
-    text = re.sub(r"/\*.*?\*/", " ", re.sub(r"--[^\n]*", " ", sql or ""), flags=re.DOTALL)
-    statements = [part.strip() for part in text.split(";") if part.strip()]
+    # Literals and quoted names stay as they are; what looks like a comment or an end in them is text.
+    parts = [m.group(0) for m in PARTS.finditer(sql or "")]
+    kept = "".join(" " if p.startswith(("--", "/*")) else p for p in parts)
+    bare = "".join(" " if p.startswith(("--", "/*")) else " ''" if p[0] in "'\"`" else p for p in parts)
+    statements = [part.strip() for part in bare.split(";") if part.strip()]
     if not statements:
         raise ValueError("the query is empty")
     if len(statements) > 1:
         raise ValueError("only one statement is allowed")
     statement = statements[0]
+    whole = kept.strip().rstrip("; \t\r\n")
     if not re.match(r"\(*\s*(SELECT|WITH)\b", statement, flags=re.IGNORECASE):
         raise ValueError("only SELECT or WITH is allowed")
     blocked = sorted(set(re.findall(r"\b[A-Z_]+\b", statement.upper())) & set(FORBIDDEN))
     if blocked:
         raise ValueError(f"blocked words: {', '.join(blocked)}")
-    return statement
+    return whole
 
 
-def sql_readonly(spark: SparkSession, sql: str, limit: int = ROW_LIMIT) -> DataFrame:
-    return spark.sql(check_read_only(sql)).limit(limit)
+def sql_readonly(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
+    found = spark.sql(check_read_only(sql))
+    return found.limit(limit) if limit else found
 
 
 def jdbc_options(url: str, sql: str, *, user: str, password: str, driver: str | None = None, fetch_size: int = 10_000) -> dict[str, str]:

@@ -30,14 +30,13 @@ def test_spike_needs_a_low_multiplier_or_an_excluding_window(spark):
     assert [r.deviation for r in change] == [900.0]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_degradation(spark, small):
+def test_degradation(spark):
     df = months(spark, [10, 10, 11, 10, 11, 10, 20, 22], "latency")
-    row = anomalies.degradation(df, "mese", "latency", recent_rows=2, small=small).first()
+    row = anomalies.degradation(df, "mese", "latency", recent_rows=2).first()
     assert row.severity in ("high", "critical") and row.observed_value == 21.0
     assert row.affected_period.startswith("2026-07-01") and "/2026-08-01" in row.affected_period
     assert anomalies.degradation(df.limit(5), "mese", "latency").count() == 0
-    assert anomalies.degradation(df, "mese", "latency", recent_rows=2, higher_is_worse=False, small=small).count() == 0
+    assert anomalies.degradation(df, "mese", "latency", recent_rows=2, higher_is_worse=False).count() == 0
 
 
 def test_drift_and_sla(spark):

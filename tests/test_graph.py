@@ -36,8 +36,7 @@ def test_alias_is_a_warning(spark):
     assert graph_quality.quality_report(checked).first().status == "degraded"
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_each_defect_is_named(spark, small):
+def test_each_defect_is_named(spark):
     nodes = [
         ("dup", "dataset", "x", DATASET), ("dup", "dataset", "y", DATASET), ("", "dataset", "z", DATASET), ("odd", "Strange", "", {"Bad Key": "1"}),
         ("file", "python_file", "f", {}), ("alone", "anomaly", "a", {"severity": "low", "affected_column": "c"}), ("bare", "report", "r", None),
@@ -47,7 +46,7 @@ def test_each_defect_is_named(spark, small):
         ("run", "gone", "ANALYZED_DATASET", {}), ("run", "run", "SELF", {}), ("data", "run", "HAS_COLUMN", {}), ("run", "data2", "USES_DATASET", None),
         ("", "data", "has_column", {}), ("run", "bare", "GENERATED_REPORT", {}), ("run", "bare", "GENERATED_REPORT", {}),
     ]
-    checked = graph_quality.validate_graph(*build(spark, nodes, edges), small=small)
+    checked = graph_quality.validate_graph(*build(spark, nodes, edges))
     assert codes(checked) == sorted([
         "uniqueness.duplicate_node_id", "identity.node_id_missing_or_empty", "naming.node_type_not_lower_snake_case", "schema.unknown_node_type",
         "property.node_label_missing_or_empty", "naming.property_key_not_lower_snake_case", "property.required_node_property_missing",
@@ -88,13 +87,12 @@ def test_migration_takes_the_shortest_path(spark):
         graph_quality.migration_steps(steps, 3, 4)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_lookups(spark, small):
+def test_lookups(spark):
     nodes, edges = build(spark, [("col", "dataframe_column", "price", {"name": "price", "dtype": "double"})],
                          [("run", "col", "HAS_COLUMN", {}), ("data", "col", "HAS_COLUMN", {}), ("run", "data", "USES_DATASET", {})])
-    around = graph.neighbors(nodes, edges, "col", "in", small=small).collect()
+    around = graph.neighbors(nodes, edges, "col", "in").collect()
     assert sorted(r.neighbor_id for r in around) == ["data", "run"]
-    assert {(r.bucket, r.elements) for r in graph.lineage_counts(graph.lineage(nodes, edges, small=small)).collect()} == {("dataset", 1), ("columns", 1)}
+    assert {(r.bucket, r.elements) for r in graph.lineage_counts(graph.lineage(nodes, edges)).collect()} == {("dataset", 1), ("columns", 1)}
     with pytest.raises(ValueError):
         graph.neighbors(nodes, edges, "col", "up")
     assert graph.find_nodes(nodes, property_filters={"SOURCE_TYPE": "csv"}).count() == 0
@@ -148,16 +146,15 @@ def test_recommendations(spark):
     assert [r.candidate_id for r in ranking.recommend_rank(df, maximum_risk="low", limit=1).collect()] == ["safe"]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_decisions(spark, small):
+def test_decisions(spark):
     options = spark.createDataFrame(
         [(s, s, 0.7, "low", ["e1", "e2"] if s != "anomaly" else ["e1", "lost"]) for s in ("strategy", "anomaly", "root_cause", "recommendation")]
         + [("none", "strategy", 0.9, "low", ["lost"])], "option_id string, source string, base_confidence double, risk string, evidence_ids array<string>")
     evidence = spark.createDataFrame([("e1", 0.9, 0.9, 0.9), ("e2", 0.8, 0.9, 0.9)], "evidence_id string, strength double, reliability double, confidence double")
-    ranked = ranking.decision_rank(options, evidence, small=small).orderBy("rank").collect()
+    ranked = ranking.decision_rank(options, evidence).orderBy("rank").collect()
     assert [r.option_id for r in ranked] == ["recommendation", "root_cause", "strategy", "anomaly"]
     assert ranked[-1].missing == 1
-    assert ranking.decision_rank(options, evidence.limit(0), small=small).count() == 0
+    assert ranking.decision_rank(options, evidence.limit(0)).count() == 0
 
 
 def test_learning(spark):
@@ -172,7 +169,7 @@ def test_history_and_actions(spark):
     rows = [(1, "count orders per month", "csv", 0.9, 3, None), (2, "something else entirely", "csv", 0.9, 3, None), (3, "count orders per month", "sql", 0.9, 3, None)]
     df = spark.createDataFrame(rows, "id int, description string, source_type string, feedback_score double, success_count int, embedding array<double>")
     found = learning.history_similarity(df, "Count  orders per months", "csv", vector=[1.0, 0.0]).collect()
-    assert [(r.id, r.method) for r in found] == [(1, "text")] and found[0].similarity > 0.9
+    assert [(r.id, r.method) for r in found] == [(1, "text")] and found[0].similarity == 0.6
     entries = spark.createDataFrame([(1, ["sales"], ["Call", "Ship"], 0.5), (2, ["other"], ["call ", ""], 0.9)], "id int, tags array<string>, recommendations array<string>, score double")
     assert [(r.action, r.weight) for r in learning.next_actions(entries, "sales plan").collect()] == [("Ship", 3.4), ("call", 1.9)]
 
@@ -182,3 +179,19 @@ def test_gates_fail_on_missing_evidence(spark):
              "unsupported_requests_passed", "backup_restore_passed", "retention_delete_passed", "monitoring_passed", "open_critical_bugs")
     empty = spark.range(1).select(*[F.lit(None).alias(n) for n in names])
     assert {r.passed for r in learning.readiness_gates(empty).collect()} == {False}
+
+
+def leaves(frame):
+    return frame._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_lookups_read_their_inputs_once(spark, tmp_path):
+    for name, schema in (("nodes", "id string, type string, label string, properties map<string,string>"),
+                         ("edges", "source string, target string, relationship string, properties map<string,string>")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
+    nodes, edges = (spark.read.parquet(str(tmp_path / name)) for name in ("nodes", "edges"))
+    assert leaves(graph.lineage(nodes, edges)) == 3
+    assert leaves(graph.endpoint_types(nodes, edges)) == 3
+    assert leaves(graph.induced_edges(nodes, edges)) == 3
+    assert leaves(graph.dangling_edges(nodes, edges)) == 4
+    assert leaves(graph_quality.checked_edges(edges, graph_quality.checked_nodes(nodes))) <= 12

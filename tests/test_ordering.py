@@ -1,4 +1,4 @@
-"""The large ways must equal the small ways and plain numpy, hot values and hot keys included."""
+"""Order statistics and ranks against plain numpy, hot values, hot keys and empty groups included."""
 
 import math
 import random
@@ -25,12 +25,11 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id long, key string, value double").cache()
 
 
-@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("lower", [True, False])
-def test_quantiles_match_numpy(skewed, small, lower):
+def test_quantiles_match_numpy(skewed, lower):
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.95, 1.0]
     rows = skewed.collect()
-    found = exact_quantiles(skewed, "value", probabilities, ["key"], small=small, lower=lower, buckets=16).collect()
+    found = exact_quantiles(skewed, "value", probabilities, ["key"], lower=lower, buckets=16).collect()
     assert len(found) == 4
     for row in found:
         values = [r.value for r in rows if r.key == row.key and r.value is not None]
@@ -43,16 +42,15 @@ def test_quantiles_match_numpy(skewed, small, lower):
         assert np.allclose(row.quantiles, expected)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_ranks_and_row_numbers(skewed, small):
+def test_ranks_and_row_numbers(skewed):
     values = sorted(r.value for r in skewed.collect() if r.value is not None)
-    ranks = {r.value: r for r in average_ranks(skewed, "value", small=small, buckets=8).collect()}
+    ranks = {r.value: r for r in average_ranks(skewed, "value", buckets=8).collect()}
     distinct = sorted(set(values))
     for value, row in ranks.items():
         positions = [i + 1 for i, v in enumerate(values) if v == value]
         assert row.average_rank == pytest.approx(sum(positions) / len(positions))
         assert row.dense_rank == distinct.index(value) + 1
-    numbered = row_numbers(skewed, [F.desc_nulls_last("value"), F.col("id")], ["key"], small=small).collect()
+    numbered = row_numbers(skewed, [F.desc_nulls_last("value"), F.col("id")], ["key"]).collect()
     for key in {r.key for r in numbered}:
         group = sorted((r for r in numbered if r.key == key), key=lambda r: r.rank)
         assert [r.rank for r in group] == list(range(1, len(group) + 1))
@@ -85,8 +83,8 @@ def _average_rank(values):
     return [sum(i + 1 for i, v in enumerate(order) if v == x) / order.count(x) for x in values]
 
 
-@pytest.mark.parametrize("small, spread", [(True, 3), (True, 40), (True, 5000), (False, 40)])
-def test_rank_correlations_match_brute_force(spark, small, spread):
+@pytest.mark.parametrize("spread", [3, 40, 5000])
+def test_rank_correlations_match_brute_force(spark, spread):
     rng = random.Random(spread)
     rows = []
     for _ in range(250):
@@ -96,9 +94,9 @@ def test_rank_correlations_match_brute_force(spark, small, spread):
     rows += [(None, 1.0), (2.0, None)]
     df = spark.createDataFrame(rows, "a double, b double")
     xs, ys = [r[0] for r in rows[:250]], [r[1] for r in rows[:250]]
-    kendall = corr_kendall(df, "a", "b", small=small, rank_chunk=7).first().correlation
+    kendall = corr_kendall(df, "a", "b", rank_chunk=7).first().correlation
     assert kendall == pytest.approx(_tau_b(xs, ys), abs=1e-12)
-    spearman = corr_spearman(df, "a", "b", small=small).first().correlation
+    spearman = corr_spearman(df, "a", "b").first().correlation
     assert spearman == pytest.approx(np.corrcoef(_average_rank(xs), _average_rank(ys))[0, 1], abs=1e-12)
 
 
@@ -108,12 +106,28 @@ def test_constant_column_has_no_correlation(spark):
     assert corr_spearman(df, "a", "b").first().correlation is None
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_lookup_join_splits_hot_keys(skewed, spark, how):
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_lookup_join_reads_each_side_once(skewed, spark, how):
     right = spark.createDataFrame([("hot", 1), ("a", 2), ("zz", 3)], "name string, code int")
-    plain = lookup_join(skewed, right, "key", "name", how, small=True)
-    split = lookup_join(skewed, right, "key", "name", how, small=False)
-    assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    found = lookup_join(skewed, right, "key", "name", how)
+    leaves = found._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves == skewed._jdf.queryExecution().optimizedPlan().collectLeaves().size() + 1
+    codes = {"hot": 1, "a": 2, "zz": 3}
+    rows = [tuple(r) for r in skewed.collect()]
+    at = skewed.columns.index("key")
+    expected = {
+        "inner": [(*r, codes[r[at]]) for r in rows if r[at] in codes], "left": [(*r, codes.get(r[at])) for r in rows],
+        "left_semi": [r for r in rows if r[at] in codes], "left_anti": [r for r in rows if r[at] not in codes],
+    }[how]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_groups_without_values_stay(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None), (None, 5.0)], "k string, v double")
+    found = {r.k: (r.n, r.quantiles) for r in exact_quantiles(df, "v", [0.5], ["k"]).collect()}
+    assert found == {"a": (2, [2.0]), "b": (0, None), None: (1, [5.0])}
+    assert [tuple(r) for r in exact_quantiles(df.limit(0), "v", [0.5]).collect()] == [(0, None)]
+    assert [tuple(r) for r in exact_quantiles(df.where("k = 'b'"), "v", [0.5], lower=True).collect()] == [(0, None)]
 
 
 def test_latest_per_key(spark):
@@ -132,14 +146,13 @@ def test_lag_in_chunks_matches_plain_lag(spark):
         last[tenant] = payload
 
 
-@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("moments", [1, 3, 400])
-def test_recent_sum_with_ties(spark, small, moments):
+def test_recent_sum_with_ties(spark, moments):
     rng = random.Random(moments)
     rows = [(f"2024-01-01 00:{rng.randrange(moments) // 60:02d}:{rng.randrange(moments) % 60:02d}", float(rng.randint(1, 9)))
             for _ in range(300)]
     df = spark.createDataFrame(rows, "t string, x double").withColumn("t", F.col("t").cast("timestamp_ntz"))
-    row = top_share_sum(df, "t", "x", F.greatest(F.lit(2), F.floor(F.col("n") / 3)), small=small).first()
+    row = top_share_sum(df, "t", "x", F.greatest(F.lit(2), F.floor(F.col("n") / 3))).first()
     ordered = sorted(rows)
     assert row.take == 100
     assert row.recent_sum == pytest.approx(sum(v for _, v in ordered[-100:]))

@@ -56,13 +56,12 @@ def test_top_and_grouped_metrics(spark):
     assert pairs(aggregates.numeric_aggregation(empty, "v", "sum", "g"), "group", "value") == {"A": 0.0, None: 2.0}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_duplicates_of_a_hot_row(spark, small):
+def test_duplicates_of_a_hot_row(spark):
     rows = [("hot", None)] * 400 + [(f"u{i}", float(i)) for i in range(300)] + [("pair", 1.0)] * 2
     df = spark.createDataFrame(rows, "k string, v double")
-    row = quality.duplicate_detection(df, small=small).first()
+    row = quality.duplicate_detection(df).first()
     assert (row.row_count, row.duplicate_rows, row.duplicate_groups_rows) == (702, 400, 402)
-    assert [tuple(r) for r in quality.duplicate_sample(df, small=small).collect()] == [("hot", None, 400), ("pair", 1.0, 2)]
+    assert [tuple(r) for r in quality.duplicate_sample(df).collect()] == [("hot", None, 400), ("pair", 1.0, 2)]
 
 
 def test_nulls_and_duplicates(spark):
@@ -96,15 +95,14 @@ def test_empty_text_is_not_missing(spark):
     assert pairs(quality.completeness(df), "column", "missing_count") == {"nota": 2, "v": 1}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_numeric_profile(spark, small):
-    row = aggregates.numeric_profile(numbers(spark, range(1, 101)), ["value"], small=small).first()
+def test_numeric_profile(spark):
+    row = aggregates.numeric_profile(numbers(spark, range(1, 101)), ["value"]).first()
     assert (row.p50, row.p90) == (50.5, pytest.approx(90.1))
-    row = aggregates.numeric_profile(numbers(spark, [1, 2, 3, 4, 5]), ["value"], small=small).first()
+    row = aggregates.numeric_profile(numbers(spark, [1, 2, 3, 4, 5]), ["value"]).first()
     assert (row.iqr, row.range, row.mad) == (2.0, 4.0, 1.0)
-    row = aggregates.numeric_profile(numbers(spark, [7, None]), ["value"], small=small).first()
+    row = aggregates.numeric_profile(numbers(spark, [7, None]), ["value"]).first()
     assert (row["count"], row.missing_count, row.variance, row.std) == (1, 1, 0.0, 0.0)
-    summary = aggregates.summary_numeric(numbers(spark, [1, 2, 3, 10]), ["value"], small=small).first()
+    summary = aggregates.summary_numeric(numbers(spark, [1, 2, 3, 10]), ["value"]).first()
     assert (summary["median"], summary["sum"]) == (2.5, 16.0)
 
 
