@@ -16,6 +16,7 @@ from tablewise.operators.outliers import METHODS, outlier_rows
 from tablewise.operators.quality import threshold_check
 from tablewise.operators.shape import datetime_columns, numeric_columns
 from tablewise.operators.timeseries import trend_stats
+from tablewise.session import reliable_checkpoint
 
 ROW_COUNT = "__row_count__"
 PREFERRED_METRIC_TERMS = ("duration", "durata", "tempo", "time", "latency", "latenza", "sla", "hours", "minuti")
@@ -79,14 +80,14 @@ def _points(df, time, value, frequency, window, aggregation) -> DataFrame:
 
 def ts_spikes(
     df: DataFrame, time: str, value: str | None = None, *, frequency: str = "MS", window: int = 3,
-    aggregation: str = "mean", multiplier: float = 2.0, exclude_current: bool = False,
+    aggregation: str = "mean", multiplier: float = 2.0, exclude_current: bool = False, points: DataFrame | None = None,
 ) -> DataFrame:
     """Buckets above rolling mean + ``multiplier``·rolling std.
 
     The rolling window includes the tested bucket, so a window of 3 can never reach a
     multiplier of 2; ``exclude_current`` tests against the buckets before it instead.
     """
-    points = _points(df, time, value, frequency, window, aggregation)
+    points = points or _points(df, time, value, frequency, window, aggregation)
     if exclude_current:
         from pyspark.sql import Window
 
@@ -108,10 +109,10 @@ def ts_spikes(
 
 def ts_sudden_changes(
     df: DataFrame, time: str, value: str | None = None, *, frequency: str = "MS", window: int = 3,
-    aggregation: str = "mean", threshold: float = 50.0,
+    aggregation: str = "mean", threshold: float = 50.0, points: DataFrame | None = None,
 ) -> DataFrame:
     """Buckets whose growth over the previous one reaches ``threshold`` percent either way."""
-    points = _points(df, time, value, frequency, window, aggregation)
+    points = points or _points(df, time, value, frequency, window, aggregation)
     growth = F.col("growth_percent")
     return _records(
         points.where(F.abs(growth) >= threshold), "sudden_change", severity_from_ratio(F.abs(growth) / threshold),
@@ -250,8 +251,10 @@ def detect_all(
     value = value or preferred_metric(columns)
     parts = [numeric_anomalies(df, columns, keys)] if columns else []
     if time:
-        parts.append(ts_spikes(df, time, value, frequency=frequency, window=window, multiplier=multiplier))
-        parts.append(ts_sudden_changes(df, time, value, frequency=frequency, window=window, threshold=growth_threshold))
+        # One row for each bucket; both detectors of changes over time read it.
+        points = reliable_checkpoint(_points(df, time, value, frequency, window, "mean"))
+        parts.append(ts_spikes(df, time, value, multiplier=multiplier, points=points))
+        parts.append(ts_sudden_changes(df, time, value, threshold=growth_threshold, points=points))
         if value:
             parts.append(degradation(df, time, value, threshold=degradation_threshold))
     if sla:
