@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.session import reliable_checkpoint
+from tablewise.session import shared_folder
 
 SLICE_BYTES = 8 * 1024 * 1024
 #: Arguments of ``hash_bucket`` are decimal ids as text, as the held-out folds are defined.
@@ -20,8 +21,10 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, safe from lost executors."""
-    return reliable_checkpoint(df)
+    """``df`` as a Parquet table in the shared folder: computed once, safe from lost executors, in little room."""
+    path = f"{shared_folder(df.sparkSession)}/tablewise/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:

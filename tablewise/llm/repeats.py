@@ -6,13 +6,14 @@ at the same offset, so the work goes by anchors instead of by every byte:
 
 1. Each text gives its anchors with a hash of the anchor's gram and a hash of all the bytes that
    the anchor's windows cover. Repeats inside one slice of texts are resolved there.
-2. Anchors are sorted by (gram, context). All but the first of equal contexts are repeats;
-   grams with several contexts are where a shared passage begins, ends or is edited.
-3. Only the windows of those anchors are sorted as suffixes: prefix hashes and binary search
-   give common prefixes, in a mergesort, and equal ones are verified on the bytes. Each
-   slice gives its distinct windows, which meet by a 128-bit hash of their bytes.
+2. Anchors are sorted by (gram, context) over range partitions. All but the first of equal contexts
+   are repeats; grams with several contexts are where a shared passage begins, ends or is edited.
+3. Only the contexts of those anchors are compared by their bytes: the windows of the contexts
+   of one gram are sorted as suffixes, by a mergesort that finds common prefixes with prefix hashes and binary
+   search, and equal ones are verified on the bytes.
 
-Hot grams are dealt by their context, hot contexts and windows by the slice-wise resolution.
+Grams with more contexts than ``HOT_CONTEXTS``, or at the edge of a range partition, are dealt by
+their windows instead, after each slice has reduced equal windows to one; so no key is hot.
 
 A null text counts as empty; a null ``doc_id`` comes before all others. Rows that repeat a
 ``doc_id`` are one document for the order: the same place in them is not a repeat of itself, and what goes from one goes from the other.
@@ -27,17 +28,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewise.llm.common import row_key, text_buffer, text_slices, written
+from tablewise.llm.common import binary_array, row_key, text_buffer, text_slices, written
 from tablewise.llm.suffixes import PrefixHash, anchors, hash_sort, merged_spans
 
 LENGTH = 100
-GRAM = 16
-SLICE = 4 * 1024 * 1024
-BUCKETS = 1 << 16
-ANCHOR, SPAN, WINDOWS = 0, 1, 2
+GRAM = 32
+#: Under 4 MB of text at once, so that the tables of powers stay at that size.
+SLICE = 3 * 1024 * 1024
+HOT_CONTEXTS = 2_000
+ANCHOR, SPAN, CONTEXT, HOT = 0, 1, 2, 3
 ROW = "kind int, a long, b long, doc long, c long"
 _NAMES = ["kind", "a", "b", "doc", "c"]
 
@@ -114,134 +118,191 @@ def _find_anchors(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Sorted rows in blocks that end where the last column (a group's id) changes."""
-    rest: list[np.ndarray] | None = None
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows in blocks that end where the first column changes; the last block is the last group."""
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
-        block = [c.to_numpy() for c in batch.columns[:columns]]
-        if not len(block[0]):
+        if not batch.num_rows:
             continue
-        block = [np.concatenate(x) for x in zip(rest, block)] if rest is not None else block
-        change = np.flatnonzero(block[-1][1:] != block[-1][:-1])
-        cut = int(change[-1]) + 1 if len(change) else 0
-        rest = [x[cut:] for x in block]
-        if cut:
-            yield tuple(x[:cut] for x in block)
-    if rest is not None:
-        yield tuple(rest)
+        key = batch.column(0).to_numpy()
+        change = np.flatnonzero(key[1:] != key[:-1])
+        if rest and rest[-1].column(0)[-1].as_py() != key[0]:
+            yield pa.concat_batches(rest)
+            rest = []
+        if len(change):
+            cut = int(change[-1]) + 1
+            yield pa.concat_batches([*rest, batch.slice(0, cut)])
+            rest = [batch.slice(cut)]
+        else:
+            rest.append(batch)
+    if rest:
+        yield pa.concat_batches(rest)
 
 
 def _compare_contexts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (a, b, doc, c, hot, group), sorted: repeats of a context, and contexts that share a gram."""
+    """Rows (a, b, doc, c) of a range partition, sorted: repeats of a context, and contexts that share a gram."""
+
+    def judged(block, edge):
+        a, b, doc, c = (x.to_numpy() for x in block.columns)
+        c, several = c >> 1, (c & 1).astype(bool)
+        place, low, high = c >> 20, (c >> 20) - (c >> 10 & 1023), (c >> 20) - (c >> 10 & 1023) + (c & 1023)
+        same = np.zeros(len(a), bool)
+        same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        later = same & _later(np.arange(len(a)), same, doc, place)
+        yield _spans(doc[later], low[later], high[later] + length)
+        fresh = np.append(True, a[1:] != a[:-1])
+        group = np.cumsum(fresh) - 1
+        contexts = np.bincount(group, weights=~same)
+        shared = (contexts > 1) | np.maximum.reduceat(several, np.flatnonzero(fresh))
+        hot = contexts > HOT_CONTEXTS
+        # A group at the partition's edge may go on in the next partition, so that all of it is dealt by windows.
+        for place_ in edge:
+            hot[place_] = shared[place_] = True
+        for kind, groups in ((CONTEXT, shared & ~hot), (HOT, shared & hot)):
+            chosen = groups[group] & ~same
+            yield _batch(kind, low[chosen], high[chosen], doc[chosen], a[chosen])
 
     def run(batches):
-        for a, b, doc, c, hot, group in _grouped(batches, 6):
-            c, several = c >> 1, (c & 1).astype(bool)
-            place, low, high = c >> 20, (c >> 20) - (c >> 10 & 1023), (c >> 20) - (c >> 10 & 1023) + (c & 1023)
-            same = np.zeros(len(a), bool)
-            same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-            index = np.arange(len(a))
-            later = same & _later(index, same, doc, place)
-            yield _spans(doc[later], low[later], high[later] + length)
-            fresh = np.append(True, a[1:] != a[:-1])
-            owner = np.cumsum(fresh) - 1
-            contexts = np.bincount(owner, weights=~same)
-            shared = (contexts[owner] > 1) | np.maximum.reduceat(several, np.flatnonzero(fresh))[owner] | hot.astype(bool)
-            chosen = shared & ~same
-            yield _batch(WINDOWS, low[chosen], high[chosen], doc[chosen], place[chosen])
+        before = None
+        for number, block in enumerate(_grouped(batches)):
+            if before is not None:
+                yield from judged(before, [0] if number == 1 else [])
+            before = block
+        if before is not None:
+            yield from judged(before, [0, -1])
 
     return run
 
 
-def _sort_windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (_k1, text, marks): repeats inside a slice, and the slice's distinct windows with their hashes."""
+def _gathered(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    bounds = np.append(0, np.cumsum(sizes))
+    packed = data[np.repeat(begin - bounds[:-1], sizes) + np.arange(bounds[-1])]
+    return binary_array(packed, bounds).cast(pa.binary())
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in the third column as compressed bytes, which take less room in shuffles and tables."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = pa.array([squeeze((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], texts], ["_k1", "_k2", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, with the bytes of their texts in place of the packed ones."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        texts, held, start = [], 0, 0
+        for row, packed in enumerate(batch.column(column).to_pylist(), 1):
+            texts.append(open_(packed))
+            held += len(texts[-1])
+            if held >= SLICE or row == batch.num_rows:
+                part = batch.slice(start, row - start)
+                yield part.set_column(column, "text", pa.array(texts, pa.large_binary()))
+                texts, held, start = [], 0, row
+
+
+def _read_contexts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (_k1, packed, marks): the bytes of the marked contexts, of hot ones those of each distinct window."""
+
+    def rows_of(part, data, offsets):
+        marks = part.column(2)
+        owner = np.repeat(np.arange(len(part)), np.diff(marks.offsets.to_numpy()))
+        kind, low, high, key = (marks.flatten().field(i).to_numpy() for i in range(4))
+        keys = part.column(0).to_numpy()
+        room = high + length <= (offsets[1:] - offsets[:-1])[owner]  # rows that share an id may differ in length
+        at = np.flatnonzero((kind == CONTEXT) & room)
+        yield _with_data(_batch(CONTEXT, low[at], high[at], keys[owner[at]], key[at]), _gathered(data, offsets[owner[at]] + low[at], high[at] - low[at] + length))
+        at = np.flatnonzero((kind == HOT) & room)
+        sizes = high[at] - low[at] + 1
+        places = np.unique(np.repeat(offsets[owner[at]] + low[at] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum()))
+        if not len(places):
+            return
+        text = np.searchsorted(offsets, places, "right") - 1
+        doc, local = keys[text], places - offsets[text]
+        later, first = _repeated(data, places, doc, local, length)
+        yield _with_data(_spans(doc[later], local[later], local[later] + length), None)
+        raw = memoryview(np.ascontiguousarray(data))
+        hashed = np.fromiter((xxhash.xxh3_64_intdigest(raw[p : p + length]) for p in places[first].tolist()), np.uint64, len(first))
+        yield _with_data(_batch(CONTEXT, local[first], local[first], doc[first], hashed), _gathered(data, places[first], np.full(len(first), length)))
 
     def run(batches):
-        for part in text_slices(batches, limit=SLICE):
-            data, offsets = text_buffer(part.column(1))
-            marks = part.column(2)
-            rows = np.repeat(np.arange(len(part)), np.diff(marks.offsets.to_numpy()))
-            kind, first, last = (marks.flatten().field(i).to_numpy() for i in range(3))
-            at = np.flatnonzero(kind == WINDOWS)
-            sizes = last[at] - first[at] + 1
-            start = np.repeat(first[at] + offsets[rows[at]] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
-            room = np.repeat(offsets[rows[at] + 1] - length, sizes)  # rows that share an id may differ in length
-            places = np.unique(start[start <= room])
-            if not len(places):
-                continue
-            owner = np.searchsorted(offsets, places, "right") - 1
-            doc, local = part.column(0).to_numpy()[owner], places - offsets[owner]
-            ranked = np.lexsort((local, doc))
-            places, doc, local = places[ranked], doc[ranked], local[ranked]
-            order, same = hash_sort(PrefixHash(data), places, length)
-            later = same & _later(order, same, doc, local)
-            yield _spans(doc[order[later]], local[order[later]], local[order[later]] + length)
-            kept = order[~same]
-            raw = memoryview(np.ascontiguousarray(data))
-            wide = b"".join(xxhash.xxh3_128_digest(raw[p : p + length]) for p in places[kept].tolist())
-            both = np.frombuffer(wide, "<i8").reshape(-1, 2)
-            yield _batch(WINDOWS, both[:, 0], both[:, 1], doc[kept], local[kept])
+        for part in _unpacked(batches, 1):
+            yield from rows_of(part, *text_buffer(part.column(1)))
 
     return run
 
 
+def _with_data(rows: pa.RecordBatch, data: pa.Array | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(len(rows), pa.binary()) if data is None else data], [*_NAMES, "data"])
+
+
+def _repeated(data, places, doc, local, length) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows at ``places``: which come after an equal one, and the first of each distinct one."""
+    ranked = np.lexsort((local, doc))
+    order, same = hash_sort(PrefixHash(data), places[ranked], length)
+    order = ranked[order]
+    later = same & _later(order, same, doc, local)
+    return order[later], order[~same]
+
+
 def _compare_windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (c, doc, a, data) sorted by c: windows that also start earlier in a context of the same key."""
+
     def run(batches):
-        for a, b, doc, c, _ in _grouped(batches, 5):
-            same = np.zeros(len(a), bool)
-            same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-            later = same & _later(np.arange(len(a)), same, doc, c)
-            yield _spans(doc[later], c[later], c[later] + length)
+        for block in _grouped(batches):
+            data, offsets = text_buffer(block.column(3))
+            doc, start, sizes = block.column(1).to_numpy(), block.column(2).to_numpy(), np.diff(offsets) - length + 1
+            row = np.repeat(np.arange(len(block)), sizes)
+            within = np.arange(sizes.sum()) - np.repeat(np.append(0, np.cumsum(sizes)[:-1]), sizes)
+            docs, local = doc[row], start[row] + within
+            later, _ = _repeated(data, offsets[row] + within, docs, local, length)
+            yield _spans(docs[later], local[later], local[later] + length)
 
     return run
 
 
-def _heavy_buckets(rows: DataFrame) -> list[int]:
-    """Hash buckets of grams with over four times the mean of rows: a quarter of all buckets at most."""
-    counts = rows.groupBy(F.pmod("a", F.lit(BUCKETS)).alias("bucket")).agg(F.count("a").alias("n")).collect()
-    mean = sum(r.n for r in counts) / BUCKETS
-    return [r.bucket for r in counts if r.n > 4 * mean + 200]
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Documents that hold repeats: ``_k1``, ``_k2``, ``text`` and ``spans`` (merged, in bytes)."""
+    """Documents that hold repeats: ``_k1``, ``_k2``, ``packed`` (the text, compressed) and ``spans`` (in bytes)."""
     keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text"))
     rows = written(keyed.select("_k1", "text").mapInArrow(_find_anchors(length, gram), ROW))
-    found = rows.where(F.col("kind") == ANCHOR)
-    hot = F.pmod("a", F.lit(BUCKETS)).isin(_heavy_buckets(found))
-    dealt = found.select("a", "b", "doc", "c", hot.cast("int").alias("hot"), F.when(hot, F.xxhash64("a", "b")).otherwise(F.col("a")).alias("group"))
-    contexts = written(
-        dealt.repartition("group").sortWithinPartitions("group", "a", "b", "doc", "c").mapInArrow(_compare_contexts(length), ROW))
+    found = rows.where(F.col("kind") == ANCHOR).select("a", "b", "doc", "c")
+    contexts = written(found.repartitionByRange("a", "b").sortWithinPartitions("a", "b", "doc", "c").mapInArrow(_compare_contexts(length), ROW))
     marks = (
         contexts.unionByName(rows.where(F.col("kind") == SPAN))
-        .groupBy("doc").agg(F.collect_list(F.struct("kind", "a", "b")).alias("marks"))
+        .groupBy("doc").agg(F.collect_list(F.struct("kind", "a", "b", "c")).alias("marks"))
     )
-    flagged = written(keyed.join(marks, F.col("_k1") == F.col("doc")).select("_k1", "_k2", "text", "marks"))
-    windows = written(flagged.select("_k1", "text", "marks").mapInArrow(_sort_windows(length), ROW))
+    packed = keyed.mapInArrow(_packed, "_k1 long, _k2 long, packed binary")
+    flagged = written(packed.join(marks, F.col("_k1") == F.col("doc")).select("_k1", "_k2", "packed", "marks"))
+    read = written(flagged.select("_k1", "packed", "marks").mapInArrow(_read_contexts(length), f"{ROW}, data binary"))
     met = (
-        windows.where(F.col("kind") == WINDOWS).select("a", "b", "doc", "c", F.col("a").alias("group"))
-        .repartition("a").sortWithinPartitions("a", "b", "doc", "c").mapInArrow(_compare_windows(length), ROW)
+        read.where(F.col("kind") == CONTEXT).select("c", "doc", "a", "data")
+        .repartition("c").sortWithinPartitions("c").mapInArrow(_compare_windows(length), ROW)
     )
     more = (
-        met.unionByName(windows.where(F.col("kind") == SPAN))
-        .groupBy("doc").agg(F.collect_list(F.struct("kind", "a", "b")).alias("more"))
+        met.unionByName(read.where(F.col("kind") == SPAN).drop("data"))
+        .groupBy("doc").agg(F.collect_list(F.struct("kind", "a", "b", "c")).alias("more"))
     )
     spans = F.filter(F.concat("marks", F.coalesce("more", F.array())), lambda m: m["kind"] == SPAN)
-    return flagged.join(more, F.col("_k1") == F.col("doc"), "left").select("_k1", "_k2", "text", spans.alias("spans"))
+    found = flagged.join(more, F.col("_k1") == F.col("doc"), "left").select("_k1", "_k2", "packed", spans.alias("spans"))
+    return found.where(F.size("spans") > 0)
+
+
+def _kept_bytes(data: bytes, spans: pa.Array) -> tuple[bytes, int]:
+    """The bytes outside the spans, and the number of maximal runs removed."""
+    starts, ends = merged_spans(*(np.minimum(spans.field(i).to_numpy(), len(data)) for i in (1, 2)))
+    starts, ends = starts[starts < ends], ends[starts < ends]
+    edges = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(data)]
+    return b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2])), len(starts)
 
 
 def _cut(frames: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(frames, limit=SLICE):
+    for part in _unpacked(frames, 2):
         removed, counts, kept, texts = [], [], [], []
-        for text, spans in zip(part.column(2).to_pylist(), part.column(3)):
-            data = (text or "").encode()
-            values = spans.values
-            starts, ends = merged_spans(*(np.minimum(values.field(i).to_numpy(), len(data)) for i in (1, 2)))
-            starts, ends = starts[starts < ends], ends[starts < ends]
-            edges = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(data)]
-            left = b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2]))
+        for data, spans in zip(part.column(2).to_pylist(), part.column(3)):
+            left, number = _kept_bytes(data, spans.values)
             removed.append(len(data) - len(left))
-            counts.append(len(starts))
+            counts.append(number)
             kept.append(left.decode("utf-8", "ignore") if keep_text else hashlib.sha256(left).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [part.column(0), part.column(1), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.string())],
@@ -258,6 +319,52 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, keep_text: bool = True) ->
     return cut.dropDuplicates(["_k1", "_k2"])
 
 
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        texts = [None if t is None else squeeze(t.encode()) for t in batch.column(at).to_pylist()]
+        yield batch.set_column(at, "text", pa.array(texts, pa.binary()))
+
+
+def _cut_rows(columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with packed texts and, last, spans: the cut texts and whether anything was cut."""
+
+    def run(batches):
+        open_ = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            start, held, texts, changed = 0, 0, [], []
+            spans = batch.column(batch.schema.get_field_index("_spans"))
+            for row, (packed, own) in enumerate(zip(batch.column(at).to_pylist(), spans), 1):
+                data = None if packed is None else open_(packed)
+                cut = data is not None and own.is_valid
+                if cut:
+                    data = _kept_bytes(data, own.values)[0]
+                texts.append(None if data is None else data.decode("utf-8", "ignore"))
+                changed.append(cut)
+                held += len(data or b"")
+                if held >= SLICE or row == batch.num_rows:
+                    part = batch.slice(start, row - start).set_column(at, "text", pa.array(texts, pa.string()))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:columns], pa.array(changed)], [*part.schema.names[:columns], "_changed"])
+                    start, held, texts, changed = row, 0, [], []
+
+    return run
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows with their cut texts, and ``_changed``; a row of which nothing is left goes.
+
+    A character of which a byte goes is left out.
+    """
+    found = repeated_spans(docs, length).select("_k1", "_k2", F.col("spans").alias("_spans")).dropDuplicates(["_k1", "_k2"])
+    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id"), F.col("text")))))
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in keyed.schema])
+    joined = keyed.mapInArrow(_pack_rows, schema).join(found, ["_k1", "_k2"], "left").select(*docs.columns, "_spans")
+    cut = joined.mapInArrow(_cut_rows(len(docs.columns)), T.StructType([*docs.schema, T.StructField("_changed", T.BooleanType())]))
+    return cut.where(~F.col("_changed") | (F.col("text") != ""))
+
+
 def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document what was removed and the digest of the bytes that stay."""
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -7,7 +7,8 @@ from functools import lru_cache
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-MASK = (1 << 64) - 1
+#: Places that fit beside a gram's hash: stretches of under 16 MB are looked at at once.
+PLACE_BITS = 24
 
 
 @lru_cache(maxsize=2)
@@ -69,10 +70,12 @@ def anchors(hashes: PrefixHash, ends: np.ndarray, starts: np.ndarray, length: in
     that equal windows have equal anchors at equal offsets.
     """
     n, none = len(hashes.data), np.zeros(0, np.int64)
+    if n >> PLACE_BITS:
+        raise ValueError("too many bytes at once")
     if n < length:
         return none, none, none, np.zeros(0, np.uint64)
     grams = mixed(hashes.all_of(gram))
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(PLACE_BITS)  # the same for all inputs: it says which bits of a hash count
     key = (grams << bits) | np.arange(len(grams), dtype=np.uint64)
     width, reach = length - gram + 1, 1
     while 2 * reach <= width:

@@ -130,13 +130,24 @@ def repeating_texts(seed, count=60):
     return texts + [texts[-1], texts[-2] + "!"]
 
 
-@pytest.mark.parametrize("seed,slice_bytes", [(1, None), (2, 900), (4, 300)])
-def test_repeats_equal_brute_force(spark, monkeypatch, seed, slice_bytes):
+def with_setting(run, hot_contexts):
+    def changed(batches):
+        repeats.HOT_CONTEXTS = hot_contexts
+        return run(batches)
+
+    return changed
+
+
+@pytest.mark.parametrize("seed,hot_contexts", [(1, None), (2, 1), (4, None)])
+def test_repeats_equal_brute_force(spark, monkeypatch, seed, hot_contexts):
     texts = repeating_texts(seed)
     ids = [7 * i % 1009 for i in range(len(texts))]
     frame = docs_frame(spark, texts, ids).repartition(3)
-    if slice_bytes:
-        monkeypatch.setattr(repeats, "BUCKETS", 4)
+    if hot_contexts:
+        # The code of a lambda goes to the workers by name, so that they need the setting too.
+        for name in ("_compare_contexts",):
+            source = getattr(repeats, name)
+            monkeypatch.setattr(repeats, name, lambda length, source=source: with_setting(source(length), hot_contexts))
     found = rows(repeats.repeat_report(frame), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert found == brute_repeats(zip(ids, texts), 100)
 
