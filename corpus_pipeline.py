@@ -33,12 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that also start earlier; documents of which nothing is left go."""
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id"), F.col("text")))))
-    cut = repeats.cut_texts(docs).select("_k1", "_k2", F.col("kept").alias("_kept_text"))
-    text = F.coalesce("_kept_text", "text")
-    found = keyed.join(cut, ["_k1", "_k2"], "left").where(F.col("_kept_text").isNull() | (F.col("_kept_text") != ""))
-    counted = F.when(F.col("_kept_text").isNull(), F.col("n_chars")).otherwise(F.length("_kept_text").cast("long"))
-    return found.withColumn("n_chars", counted).withColumn("text", text).select(docs.columns)
+    counted = F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return repeats.without_repeats(docs).withColumn("n_chars", counted).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
