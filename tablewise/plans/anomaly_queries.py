@@ -70,23 +70,19 @@ def _(spark, folder):
 
 
 _DAILY = """
-WITH b AS (SELECT cast(ts AS DATE) AS period, avg(value) AS v FROM events WHERE event_type = 'error' GROUP BY 1),
+WITH b AS (SELECT cast(ts AS DATE) AS period, avg(value) AS v FROM events GROUP BY 1),
  p AS (SELECT period, round(v, 4) AS v, round(avg(v) OVER r, 4) AS rm, round(stddev_samp(v) OVER r, 4) AS rs,
    round((v / lag(v) OVER o - 1) * 100, 4) AS g FROM b
    WINDOW o AS (ORDER BY period), r AS (ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
 
 
-def _errors(spark, folder):
-    return table(spark, folder, "events").where("event_type = 'error'")
-
-
 @SET.add("ts_spike", _DAILY + f"""
 SELECT 'time_series_spike' AS anomaly_type, {SEVERITY.format(r='abs((v - rm) / rs)')} AS severity,
   {CONFIDENCE.format(s=SEVERITY.format(r='abs((v - rm) / rs)'))} AS confidence_score, 'value' AS affected_column,
   cast(period AS VARCHAR) AS affected_period, v AS observed_value, rm AS expected_value, round(v - rm, 4) AS deviation,
   'rolling_mean_std' AS method FROM p WHERE rs > 0 AND v > rm + 1.0 * rs""")
 def _(spark, folder):
-    found = anomalies.ts_spikes(_errors(spark, folder), "ts", "value", frequency="D", multiplier=1.0)
+    found = anomalies.ts_spikes(table(spark, folder, "events"), "ts", "value", frequency="D", multiplier=1.0)
     return found.select("affected_period", *PUBLIC)
 
 
@@ -96,7 +92,7 @@ SELECT 'sudden_change' AS anomaly_type, {SEVERITY.format(r='abs(g) / 15.0')} AS
   cast(period AS VARCHAR) AS affected_period, v AS observed_value, rm AS expected_value, g AS deviation,
   'period_over_period_growth' AS method FROM p WHERE abs(g) >= 15.0""")
 def _(spark, folder):
-    found = anomalies.ts_sudden_changes(_errors(spark, folder), "ts", "value", frequency="D", threshold=15.0)
+    found = anomalies.ts_sudden_changes(table(spark, folder, "events"), "ts", "value", frequency="D", threshold=15.0)
     return found.select("affected_period", *PUBLIC)
 
 

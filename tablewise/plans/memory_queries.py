@@ -180,7 +180,7 @@ def _(spark, folder):
 
 
 @SET.add("candidate_build", """
-WITH a AS (SELECT DISTINCT CASE event_type WHEN 'error' THEN 'sla_violation' ELSE 'numeric_outlier' END AS t, event_type AS c FROM events WHERE value > 100),
+WITH a AS (SELECT DISTINCT CASE event_type WHEN 'error' THEN 'sla_violation' ELSE 'numeric_outlier' END AS t, event_type AS c FROM events),
  x AS (SELECT 'anomaly' AS source, 'Validate anomaly ' || t || ' on ' || c AS action, 0.72 AS confidence, 'medium' AS risk,
    CASE t WHEN 'sla_violation' THEN 0.9 ELSE 0.55 END AS urgency FROM a
    UNION ALL SELECT DISTINCT 'root_cause', 'Investigate root cause: supplier ' || s_nationkey, 0.68, 'medium', 0.9 FROM supplier
@@ -189,7 +189,7 @@ SELECT source || ':' || sha256(source || '|' || action)[1:16] AS candidate_id, a
  urgency::DOUBLE AS urgency, risk, 'general' AS domain, source FROM x""")
 def _(spark, folder):
     error = F.col("event_type") == "error"
-    anomalies = table(spark, folder, "events").where("value > 100").select(
+    anomalies = table(spark, folder, "events").select(
         F.when(error, "sla_violation").otherwise("numeric_outlier").alias("anomaly_type"), F.col("event_type").alias("affected_column"),
         F.when(error, "high").otherwise("low").alias("severity"),
     )

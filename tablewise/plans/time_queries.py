@@ -113,12 +113,12 @@ def _(spark, folder):
 
 
 @SET.add("time_trend_gaps", """
-WITH e AS (SELECT cast(ts AS DATE) AS d FROM events WHERE event_type = 'error' AND value > 250),
+WITH t AS (SELECT CASE WHEN event_type = 'error' AND value > 250 THEN cast(ts AS DATE) END AS d FROM events), e AS (SELECT d FROM t WHERE d IS NOT NULL),
  s AS (SELECT cast(x AS DATE) AS d FROM generate_series((SELECT min(d) FROM e)::TIMESTAMP, (SELECT max(d) FROM e)::TIMESTAMP, INTERVAL 1 DAY) t(x))
 SELECT s.d AS period, count(e.d) AS value, 'D' AS frequency FROM s LEFT JOIN e ON s.d = e.d GROUP BY 1""")
 def _(spark, folder):
-    rare = table(spark, folder, "events").where("event_type = 'error' AND value > 250")
-    return timeseries.time_trend(rare, "ts")
+    rare = F.when((F.col("event_type") == "error") & (F.col("value") > 250), F.col("ts"))
+    return timeseries.time_trend(table(spark, folder, "events").withColumn("ts", rare), "ts")
 
 
 _STATS = """
