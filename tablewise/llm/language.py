@@ -25,6 +25,8 @@ PER_LABEL = 150
 MAX_LABELS = 64
 TRAIN_BYTES = 6_000
 UNKNOWN = "und"
+#: Text looked at at once; a word's features and marginals take many times its bytes.
+SLICE = 2 * 1024 * 1024
 FOLDS, HELD_FOLD = 4, 2
 RESULT = "doc_id long, lang_pred string, score double"
 
@@ -70,7 +72,7 @@ def fit_language(sample: list[tuple[str, str]], seed: int = 0) -> Model | None:
 
 def _predict(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE):
             words = _words(part.column(1))
             shares = label_shares(model, words) if model else np.zeros((len(part), 1))
             best, some = shares.argmax(1), (np.diff(words.offsets) > 0) & (model is not None)
@@ -90,7 +92,7 @@ def keep_clear(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     """The rows, as they are, whose text has a language with at least this score."""
 
     def run(batches):
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE):
             words = _words(part.column(part.schema.get_field_index("text")))
             shares = label_shares(model, words) if model else np.zeros((len(part), 1))
             yield part.filter(pa.array((np.diff(words.offsets) > 0) & (shares.max(1) >= least)))
@@ -102,7 +104,7 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
     """Every word of every text with its language and marginal: (doc_id, place, word, lang_pred, score)."""
 
     def run(batches):
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE):
             words = _words(part.column(1))
             marginals = word_marginals(model, words)
             best = marginals.argmax(1)

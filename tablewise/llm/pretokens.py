@@ -18,7 +18,8 @@ import pyarrow as pa
 from tablewise.llm.common import binary_array
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-CACHE_ENTRIES = 700_000
+#: Distinct pre-tokens whose ids are kept; the slower library gets the larger store.
+RANK_ENTRIES, FILE_ENTRIES = 200_000, 700_000
 #: Letters that may follow an apostrophe as a pre-token of its own.
 SHORT_FORMS = ("s", "t", "m", "d", "re", "ve", "ll")
 
@@ -102,8 +103,8 @@ def _short_forms(data, kinds, first, run, starts, quote) -> None:
 class Encoder:
     """Ids of whole texts from a function that encodes a list of distinct pre-tokens."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]) -> None:
-        self.encode_pieces = encode
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], entries: int) -> None:
+        self.encode_pieces, self.entries = encode, entries
         self.cache: dict[bytes, bytes] = {}
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +118,7 @@ class Encoder:
         pieces = binary_array(data, np.append(starts, len(data))).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
+        if len(cache) > self.entries:
             cache.clear()
         unknown = [p for p in distinct if p not in cache]
         for piece, ids in zip(unknown, self.encode_pieces(unknown) if unknown else ()):
@@ -145,7 +146,7 @@ def rank_encoder(path: str, pattern: str) -> Encoder:
     import tiktoken
 
     library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=rank_table(path), special_tokens={})
-    return Encoder(lambda pieces: [library.encode_ordinary(p.decode()) for p in pieces])
+    return Encoder(lambda pieces: [library.encode_ordinary(p.decode()) for p in pieces], RANK_ENTRIES)
 
 
 @lru_cache(maxsize=4)
@@ -165,7 +166,7 @@ def file_encoder(path: str) -> Encoder:
         np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces)), out=cuts[1:])
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
-    return Encoder(encode)
+    return Encoder(encode, FILE_ENTRIES)
 
 
 @lru_cache(maxsize=4)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -11,9 +9,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 PLACE_BITS = 24
 
 
-@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
+    """Powers of the base and of its inverse modulo 2 ** 64; made anew each time, since a kept table fills idle workers."""
     inverse = pow(BASE, -1, 1 << 64)
     tables = []
     for factor in (BASE, inverse):
