@@ -15,9 +15,9 @@ from tablewise.llm.common import row_key, written
 
 #: A document stays if this much of its words' marginals agrees on one language.
 LEAST_LANGUAGE_SCORE = 0.5
-#: Near copies: shingles of five words. At a similarity of 0.8 fingerprints differ in about 9.7 of 64
-#: bits, and in 39 of 256 bits over four hash seeds.
-SHINGLE_WORDS, LANES, LANE_RADIUS, WHOLE_RADIUS = 5, 4, 16, 48
+#: Near copies: sets of five-word shingles with a Jaccard similarity of 0.8, computed exactly for every pair within
+#: two radii of the fingerprints, which differ in about 9.7 of 64 and 39 of 256 bits at that similarity.
+SHINGLE_WORDS, LANES, LANE_RADIUS, WHOLE_RADIUS, LEAST_SIMILARITY = 5, 4, 24, 72, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of exact or near copies."""
-    return simhash.without_near_copies(docs, SHINGLE_WORDS, LANE_RADIUS, WHOLE_RADIUS, LANES)
+    return simhash.without_near_copies(docs, SHINGLE_WORDS, LANE_RADIUS, WHOLE_RADIUS, LANES, least=LEAST_SIMILARITY)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,10 @@ size, and a pair of tiles is compared with numpy's exclusive-or and bit counts.
 gives the edges of a spanning forest of its links, never all pairs, and links are followed
 over all tiles by ``components``.
 
+Near copies (``without_near_copies``) are distinct texts whose sets of shingles have a Jaccard
+similarity of ``least``. Fingerprints of the sets only propose them: the groups that they link are cut into
+tiles again, which hold the sets, and each link is computed exactly before it counts.
+
 A null or empty text has fingerprint zero and is linked like any other. Repeated rows share
 their fingerprint. A null ``doc_id`` takes part but never names a component that has an id.
 """
@@ -30,6 +34,19 @@ SEED = 42
 TILE = 4096
 BLOCK_HASHES = 1 << 16
 BLOCK_PAIRS = 1 << 20
+#: Sets of shingles in one tile, and what a set counts besides its hashes, so that a tile has few thousand of them.
+SET_BYTES, SET_EXTRA = 4 * 1024 * 1024, 1024
+
+
+def _shingles(tokens: list[bytes], words: int) -> Iterator[list[bytes]]:
+    """All shingles in blocks; a text of fewer words is one shingle."""
+    count = max(1, len(tokens) - words + 1)
+    for start in range(0, count, BLOCK_HASHES):
+        stop = min(start + BLOCK_HASHES, count)
+        if len(tokens) < words:
+            yield [b" ".join(tokens)]
+        else:
+            yield [b" ".join(s) for s in zip(*(itertools.islice(tokens, start + i, stop + i) for i in range(words)))]
 
 
 def signature(text: str | None, words: int, lanes: int = 1) -> np.ndarray:
@@ -39,18 +56,36 @@ def signature(text: str | None, words: int, lanes: int = 1) -> np.ndarray:
         return np.zeros(lanes, np.uint64)
     count = max(1, len(tokens) - words + 1)
     ones = np.zeros((lanes, 64), np.int64)
-    for start in range(0, count, BLOCK_HASHES):
-        stop = min(start + BLOCK_HASHES, count)
-        if len(tokens) < words:
-            joined = [b" ".join(tokens)]
-        else:
-            joined = [b" ".join(s) for s in zip(*(itertools.islice(tokens, start + i, stop + i) for i in range(words)))]
+    for joined in _shingles(tokens, words):
         for lane in range(lanes):
             hashes = array("Q", [xxhash.xxh64_intdigest(s, SEED + lane) for s in joined])
             ones[lane] += np.unpackbits(np.frombuffer(hashes, np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     return np.packbits(2 * ones > count, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; none for a text without words."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    found = [np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64, len(joined)) for joined in _shingles(tokens, words)]
+    return np.unique(np.concatenate(found))
+
+
+def set_signature(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """Majority bits of a set of shingles, each counted once; further lanes mix the hashes anew."""
+    ones = np.zeros((lanes, 64), np.int64)
+    for start in range(0, len(hashes), BLOCK_HASHES):
+        mixed = hashes[start : start + BLOCK_HASHES]
+        for lane in range(lanes):
+            if lane:
+                mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+                mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                mixed ^= mixed >> np.uint64(31)
+            ones[lane] += np.unpackbits(mixed.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def _signatures(words: int, lanes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for part in text_slices(batches):
@@ -163,9 +198,105 @@ def linked_documents(
     return marked.join(every, F.col("node") == F.col("_node")).drop("_node", "node")
 
 
-def without_near_copies(docs: DataFrame, words: int, radius: int, whole: int | None = None, lanes: int = 1, parts: int = 1) -> DataFrame:
-    """One row of each group of near copies (that of the smallest ``doc_id``), with its columns as they are."""
-    kept = linked_documents(docs, words, radius, parts, lanes=lanes, whole=whole).select("keeper.*").distinct()
+def _set_signatures(words: int, lanes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches):
+        for part in text_slices(batches):
+            sets = [shingle_set(t, words) for t in part.column(3).to_pylist()]
+            found = np.stack([set_signature(s, lanes) for s in sets]).view(np.int64)
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * lanes), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], lists, pa.array(nodes)], ["doc_id", "_k1", "_k2", "sig", "node"])
+
+    return run
+
+
+def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches):
+        for part in text_slices(batches):
+            sets = [shingle_set(t, words).tobytes() for t in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], ["node", "root", "sig", "shingles"])
+
+    return run
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared part of two sorted sets; two empty sets are equal."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return float(len(b) == 0)
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common / (len(a) + len(b) - common)
+
+
+def similar_links(sides: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], radius: int, whole: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places and the roots that pairs within both radii whose similarity is ``least`` link them to, without the roots themselves.
+
+    Where two ``sides`` are given, only pairs of both are compared. A pair that other pairs have linked already isn't computed.
+    """
+    sigs, sizes, group = sigs.view(np.uint64), np.array([len(s) for s in sets], np.int64), np.arange(len(sets))
+    cross = len(set(sides.tolist())) > 1
+    for i in range(1, len(sets)):
+        small, large = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
+        fits = (group[:i] != group[i]) & (small >= least * large - 1)
+        if cross:
+            fits &= sides[:i] != sides[i]
+        places = np.flatnonzero(fits)
+        differ = np.bitwise_count(sigs[places] ^ sigs[i])
+        near = places[(differ[:, 0] <= radius) & (differ.sum(1) <= whole)]
+        while len(near):
+            j, near = near[0], near[1:]
+            if jaccard(sets[i], sets[j]) >= least:
+                low, high = sorted((group[i], group[j]))
+                group[group == high] = low
+                near = near[group[near] != group[i]]
+    moved = np.flatnonzero(group != np.arange(len(group)))
+    return moved, group[moved]
+
+
+def _compare_sets(radius: int, whole: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches):
+        for batch in batches:
+            for rows in batch.column(0):
+                sides, nodes, sigs, sets = (rows.values.field(i) for i in range(4))
+                nodes, lists = nodes.to_numpy(), np.array(sigs.to_pylist(), np.int64)
+                member, root = similar_links(sides.to_numpy(), lists, [np.frombuffer(s.as_buffer(), np.uint64) for s in sets], radius, whole, least)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[member]), pa.array(nodes[root])], ["a", "b"])
+
+    return run
+
+
+def similar_edges(docs: DataFrame, prints: DataFrame, words: int, radius: int, whole: int, least: float, near: DataFrame, set_bytes: int = SET_BYTES) -> DataFrame:
+    """Edges (a, b) that join, within the groups ``near`` (node, root), all sets of shingles whose similarity is ``least``.
+
+    A group of any size is cut into tiles, and a pair of tiles is compared by itself.
+    """
+    named = prints.select(F.col("node").alias("_node"), "sig", "first_row.*")
+    rows = named.join(near, F.col("_node") == F.col("node")).select("node", "root", "sig", "_k1", "_k2")
+    texts = rows.join(docs.select(*row_key(F.col("doc_id"), F.col("text")), "text"), ["_k1", "_k2"]).select("node", "root", "sig", "text")
+    # Rows that repeat both id and text give their set several times.
+    sets = written(texts.mapInArrow(_sets(words), "node long, root long, sig array<long>, shingles binary").dropDuplicates(["node"]))
+    sizes = sets.groupBy("root").agg(F.ceil(F.sum(F.octet_length("shingles") + SET_EXTRA) / set_bytes).alias("tiles"))
+    own = F.pmod(F.xxhash64("node"), "tiles")
+    dealt = sets.join(sizes, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    pairs = dealt.groupBy("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return pairs.agg(F.collect_list(F.struct("own", "node", "sig", "shingles")).alias("all")).select("all").mapInArrow(_compare_sets(radius, whole, least), "a long, b long")
+
+
+def without_near_copies(
+    docs: DataFrame, words: int, radius: int, whole: int, lanes: int = 1, parts: int = 1, least: float = 0.8, set_bytes: int = SET_BYTES
+) -> DataFrame:
+    """One row of each group of near copies (that of the smallest ``doc_id``), with its columns as they are.
+
+    Texts are linked where their sets of shingles have a Jaccard similarity of ``least``.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), "text")
+    marked = written(texts.mapInArrow(_set_signatures(words, lanes), "doc_id long, _k1 long, _k2 long, sig array<long>, node long"))
+    prints = written(marked.groupBy("node").agg(F.first("sig").alias("sig"), F.min(F.struct("_k1", "_k2")).alias("first_row")))
+    near = components(links(prints.select("node", "sig"), radius, parts, lanes=lanes, whole=whole))
+    roots = components(similar_edges(docs, prints, words, radius, whole, least, near, set_bytes))
+    named = prints.select(F.col("node").alias("_node"), "first_row").join(roots, F.col("_node") == F.col("node"), "left")
+    kept = named.groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min("first_row").alias("keeper")).select("keeper.*")
     keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id"), F.col("text")))))
     return keyed.join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(docs.columns)
 
