@@ -15,8 +15,9 @@ at the same offset, so the work goes by anchors instead of by every byte:
 Grams with more contexts than ``HOT_CONTEXTS``, or at the edge of a range partition, are dealt by
 their windows instead, after each slice has reduced equal windows to one; so no key is hot.
 
-A null text counts as empty; a null ``doc_id`` comes before all others. Rows that repeat a
-``doc_id`` are one document for the order: the same place in them is not a repeat of itself, and what goes from one goes from the other.
+A null text counts as empty; a null ``doc_id`` comes before all others. Rows of one ``doc_id`` (or
+none) with different texts are documents of their own, in the order of a hash of their texts. Rows that repeat both
+are one document: the same place in them is not a repeat of itself, and what goes from one goes from the other.
 Texts shorter than ``length`` bytes lose nothing.
 """
 
@@ -42,27 +43,35 @@ GRAM = 32
 SLICE = 3 * 1024 * 1024
 HOT_CONTEXTS = 2_000
 ANCHOR, SPAN, CONTEXT, HOT = 0, 1, 2, 3
-ROW = "kind int, a long, b long, doc long, c long"
-_NAMES = ["kind", "a", "b", "doc", "c"]
+#: ``doc`` and ``row`` are a row's two keys; together they name a document and give its place in the order.
+ROW = "kind int, a long, b long, doc long, row long, c long"
+_NAMES = ["kind", "a", "b", "doc", "row", "c"]
+KEYS = np.dtype([("doc", np.int64), ("row", np.int64)])
+
+
+def _keys(doc: pa.Array, row: pa.Array) -> np.ndarray:
+    keys = np.empty(len(doc), KEYS)
+    keys["doc"], keys["row"] = doc.to_numpy(), row.to_numpy()
+    return keys
 
 
 def _batch(kind, a, b, doc, c) -> pa.RecordBatch:
     signed = lambda x: pa.array(np.ascontiguousarray(x).astype(np.uint64).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), signed(a), signed(b), signed(doc), signed(c)], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), signed(a), signed(b), signed(doc["doc"]), signed(doc["row"]), signed(c)], _NAMES)
 
 
 def _spans(docs, starts, ends) -> pa.RecordBatch:
     """Merged spans of each document."""
-    order = np.argsort(docs, kind="stable")
+    order = np.lexsort((docs["row"], docs["doc"]))
     docs, starts, ends = docs[order], starts[order], ends[order]
     cuts = np.append(np.flatnonzero(np.append(True, docs[1:] != docs[:-1])), len(docs)) if len(docs) else np.zeros(1, int)
-    found = [(docs[i], *merged_spans(starts[i:j], ends[i:j])) for i, j in zip(cuts[:-1], cuts[1:])]
+    found = [merged_spans(starts[i:j], ends[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
     if not found:
         none = np.zeros(0, np.int64)
-        return _batch(SPAN, none, none, none, none)
+        return _batch(SPAN, none, none, np.zeros(0, KEYS), none)
     return _batch(
-        SPAN, np.concatenate([s for _, s, _ in found]), np.concatenate([e for _, _, e in found]),
-        np.repeat(np.array([d for d, _, _ in found]), [len(s) for _, s, _ in found]), np.zeros(sum(len(s) for _, s, _ in found), np.int64))
+        SPAN, np.concatenate([s for s, _ in found]), np.concatenate([e for _, e in found]),
+        np.repeat(docs[cuts[:-1]], [len(s) for s, _ in found]), np.zeros(sum(len(s) for s, _ in found), np.int64))
 
 
 def _later(order, same, docs, places):
@@ -86,8 +95,8 @@ def _blocks(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
 def _find_anchors(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for part in text_slices(batches, limit=SLICE):
-            data, offsets = text_buffer(part.column(1))
-            keys = part.column(0).to_numpy()
+            data, offsets = text_buffer(part.column(2))
+            keys = _keys(part.column(0), part.column(1))
             rows = []
             for begin, end, bounds in _blocks(data, offsets, length):
                 block = data[begin:end]
@@ -102,7 +111,7 @@ def _find_anchors(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]]
             doc, ha, hc, place, low, high = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 6
             if not len(doc):
                 continue
-            order = np.lexsort((place, doc, hc, ha))
+            order = np.lexsort((place, doc["row"], doc["doc"], hc, ha))
             same = np.zeros(len(order), bool)
             same[1:] = (ha[order][1:] == ha[order][:-1]) & (hc[order][1:] == hc[order][:-1])
             later = same & _later(order, same, doc, low)
@@ -140,10 +149,11 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare_contexts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (a, b, doc, c) of a range partition, sorted: repeats of a context, and contexts that share a gram."""
+    """Rows (a, b, doc, row, c) of a range partition, sorted: repeats of a context, and contexts that share a gram."""
 
     def judged(block, edge):
-        a, b, doc, c = (x.to_numpy() for x in block.columns)
+        a, b, c = (block.column(i).to_numpy() for i in (0, 1, 4))
+        doc = _keys(block.column(2), block.column(3))
         c, several = c >> 1, (c & 1).astype(bool)
         place, low, high = c >> 20, (c >> 20) - (c >> 10 & 1023), (c >> 20) - (c >> 10 & 1023) + (c & 1023)
         same = np.zeros(len(a), bool)
@@ -203,17 +213,16 @@ def _unpacked(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Rec
 
 
 def _read_contexts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (_k1, packed, marks): the bytes of the marked contexts, of hot ones those of each distinct window."""
+    """Rows (_k1, _k2, packed, marks): the bytes of the marked contexts, of hot ones those of each distinct window."""
 
     def rows_of(part, data, offsets):
-        marks = part.column(2)
+        marks = part.column(3)
         owner = np.repeat(np.arange(len(part)), np.diff(marks.offsets.to_numpy()))
         kind, low, high, key = (marks.flatten().field(i).to_numpy() for i in range(4))
-        keys = part.column(0).to_numpy()
-        room = high + length <= (offsets[1:] - offsets[:-1])[owner]  # rows that share an id may differ in length
-        at = np.flatnonzero((kind == CONTEXT) & room)
+        keys = _keys(part.column(0), part.column(1))
+        at = np.flatnonzero(kind == CONTEXT)
         yield _with_data(_batch(CONTEXT, low[at], high[at], keys[owner[at]], key[at]), _gathered(data, offsets[owner[at]] + low[at], high[at] - low[at] + length))
-        at = np.flatnonzero((kind == HOT) & room)
+        at = np.flatnonzero(kind == HOT)
         sizes = high[at] - low[at] + 1
         places = np.unique(np.repeat(offsets[owner[at]] + low[at] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum()))
         if not len(places):
@@ -227,8 +236,8 @@ def _read_contexts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         yield _with_data(_batch(CONTEXT, local[first], local[first], doc[first], hashed), _gathered(data, places[first], np.full(len(first), length)))
 
     def run(batches):
-        for part in _unpacked(batches, 1):
-            yield from rows_of(part, *text_buffer(part.column(1)))
+        for part in _unpacked(batches, 2):
+            yield from rows_of(part, *text_buffer(part.column(2)))
 
     return run
 
@@ -239,7 +248,7 @@ def _with_data(rows: pa.RecordBatch, data: pa.Array | None) -> pa.RecordBatch:
 
 def _repeated(data, places, doc, local, length) -> tuple[np.ndarray, np.ndarray]:
     """Of windows at ``places``: which come after an equal one, and the first of each distinct one."""
-    ranked = np.lexsort((local, doc))
+    ranked = np.lexsort((local, doc["row"], doc["doc"]))
     order, same = hash_sort(PrefixHash(data), places[ranked], length)
     order = ranked[order]
     later = same & _later(order, same, doc, local)
@@ -247,12 +256,12 @@ def _repeated(data, places, doc, local, length) -> tuple[np.ndarray, np.ndarray]
 
 
 def _compare_windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (c, doc, a, data) sorted by c: windows that also start earlier in a context of the same key."""
+    """Rows (c, doc, row, a, data) sorted by c: windows that also start earlier in a context of the same key."""
 
     def run(batches):
         for block in _grouped(batches):
-            data, offsets = text_buffer(block.column(3))
-            doc, start, sizes = block.column(1).to_numpy(), block.column(2).to_numpy(), np.diff(offsets) - length + 1
+            data, offsets = text_buffer(block.column(4))
+            doc, start, sizes = _keys(block.column(1), block.column(2)), block.column(3).to_numpy(), np.diff(offsets) - length + 1
             row = np.repeat(np.arange(len(block)), sizes)
             within = np.arange(sizes.sum()) - np.repeat(np.append(0, np.cumsum(sizes)[:-1]), sizes)
             docs, local = doc[row], start[row] + within
@@ -265,26 +274,27 @@ def _compare_windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Documents that hold repeats: ``_k1``, ``_k2``, ``packed`` (the text, compressed) and ``spans`` (in bytes)."""
     keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text"))
-    rows = written(keyed.select("_k1", "text").mapInArrow(_find_anchors(length, gram), ROW))
-    found = rows.where(F.col("kind") == ANCHOR).select("a", "b", "doc", "c")
-    contexts = written(found.repartitionByRange("a", "b").sortWithinPartitions("a", "b", "doc", "c").mapInArrow(_compare_contexts(length), ROW))
+    rows = written(keyed.mapInArrow(_find_anchors(length, gram), ROW))
+    found = rows.where(F.col("kind") == ANCHOR).select("a", "b", "doc", "row", "c")
+    contexts = written(found.repartitionByRange("a", "b").sortWithinPartitions("a", "b", "doc", "row", "c").mapInArrow(_compare_contexts(length), ROW))
     marks = (
         contexts.unionByName(rows.where(F.col("kind") == SPAN))
-        .groupBy("doc").agg(F.collect_list(F.struct("kind", "a", "b", "c")).alias("marks"))
+        .groupBy("doc", "row").agg(F.collect_list(F.struct("kind", "a", "b", "c")).alias("marks"))
     )
     packed = keyed.mapInArrow(_packed, "_k1 long, _k2 long, packed binary")
-    flagged = written(packed.join(marks, F.col("_k1") == F.col("doc")).select("_k1", "_k2", "packed", "marks"))
-    read = written(flagged.select("_k1", "packed", "marks").mapInArrow(_read_contexts(length), f"{ROW}, data binary"))
+    own = (F.col("_k1") == F.col("doc")) & (F.col("_k2") == F.col("row"))
+    flagged = written(packed.join(marks, own).select("_k1", "_k2", "packed", "marks"))
+    read = written(flagged.mapInArrow(_read_contexts(length), f"{ROW}, data binary"))
     met = (
-        read.where(F.col("kind") == CONTEXT).select("c", "doc", "a", "data")
+        read.where(F.col("kind") == CONTEXT).select("c", "doc", "row", "a", "data")
         .repartition("c").sortWithinPartitions("c").mapInArrow(_compare_windows(length), ROW)
     )
     more = (
         met.unionByName(read.where(F.col("kind") == SPAN).drop("data"))
-        .groupBy("doc").agg(F.collect_list(F.struct("kind", "a", "b", "c")).alias("more"))
+        .groupBy("doc", "row").agg(F.collect_list(F.struct("kind", "a", "b", "c")).alias("more"))
     )
     spans = F.filter(F.concat("marks", F.coalesce("more", F.array())), lambda m: m["kind"] == SPAN)
-    found = flagged.join(more, F.col("_k1") == F.col("doc"), "left").select("_k1", "_k2", "packed", spans.alias("spans"))
+    found = flagged.join(more, own, "left").select("_k1", "_k2", "packed", spans.alias("spans"))
     return found.where(F.size("spans") > 0)
 
 
