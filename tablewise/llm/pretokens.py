@@ -8,6 +8,8 @@ pre-token is given to the tokenizer's library once and its ids are copied to its
 from __future__ import annotations
 
 import base64
+import json
+import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
@@ -101,16 +103,29 @@ def _short_forms(data, kinds, first, run, starts, quote) -> None:
 
 
 class Encoder:
-    """Ids of whole texts from a function that encodes a list of distinct pre-tokens."""
+    """Ids of whole texts from a function that encodes a list of distinct pre-tokens.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], entries: int) -> None:
-        self.encode_pieces, self.entries = encode, entries
+    What matches ``added`` is a piece of its own, and texts are pre-tokenised only between such pieces.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], entries: int, added: re.Pattern[bytes] | None = None) -> None:
+        self.encode_pieces, self.entries, self.added = encode, entries, added
         self.cache: dict[bytes, bytes] = {}
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (little-endian unsigned 32-bit) and the offsets of each text in them."""
-        starts = pretoken_starts(data, offsets)
-        return self.piece_ids(data, starts, offsets)
+        spans = self._added_spans(data, offsets) if self.added else []
+        if not spans:
+            return self.piece_ids(data, pretoken_starts(data, offsets), offsets)
+        begin, end = np.array(spans, np.int64).T
+        starts = pretoken_starts(data, np.concatenate([offsets, begin, end]))
+        last = np.searchsorted(begin, starts, "right") - 1
+        inside = (last >= 0) & (starts > begin[last]) & (starts < end[last])
+        return self.piece_ids(data, starts[~inside], offsets)
+
+    def _added_spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        raw = np.ascontiguousarray(data)
+        return [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()) if b > a for m in self.added.finditer(raw, a, b)]
 
     def piece_ids(self, data: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(starts):
@@ -149,16 +164,26 @@ def rank_encoder(path: str, pattern: str) -> Encoder:
     return Encoder(lambda pieces: [library.encode_ordinary(p.decode()) for p in pieces], RANK_ENTRIES)
 
 
+def added_pattern(path: str) -> re.Pattern[bytes] | None:
+    """The added tokens of a tokenizer file as they occur in texts, the longest of those that begin together."""
+    with open(path, encoding="utf-8") as file:
+        tokens = [t for t in json.load(file).get("added_tokens") or [] if t["content"]]
+    if any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what is beside them are not supported")
+    contents = sorted((t["content"].encode() for t in tokens), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, contents))) if contents else None
+
+
 @lru_cache(maxsize=4)
-def file_encoder(path: str) -> Encoder:
-    """Encodes by a tokenizer file, with the tokenizers library; special tokens are plain text."""
+def file_encoder(path: str, added_tokens: bool = False) -> Encoder:
+    """Encodes by a tokenizer file, with the tokenizers library; the file's added tokens get their own ids or are plain text."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    library.encode_special_tokens = not added_tokens
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
         found = library.encode([p.decode() for p in pieces], is_pretokenized=True, add_special_tokens=False)
@@ -166,7 +191,7 @@ def file_encoder(path: str) -> Encoder:
         np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces)), out=cuts[1:])
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
-    return Encoder(encode, FILE_ENTRIES)
+    return Encoder(encode, FILE_ENTRIES, added_pattern(path) if added_tokens else None)
 
 
 @lru_cache(maxsize=4)

@@ -66,4 +66,4 @@ def _(spark, folder):
 
 @SET.add("op10_token_files")
 def _(spark, folder):
-    return token_files.token_file_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_file_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)

@@ -4,6 +4,9 @@ ORC keeps the ids with integer run-length encoding in stripes that separate task
 row indexes and a Bloom filter on ``doc_id``. Each row has its place among its file's ids, so
 that any task can tell a document's global start from the sums of the files before.
 
+With ``added_tokens`` an added token of the tokenizer file that stands in a text gets its own id, as the library
+does by default; without, it is plain text.
+
 Null and empty texts hold only the end id. A null ``doc_id`` sorts first; rows with equal ids
 follow each other. Columns beside ``doc_id`` and ``text`` aren't read.
 """
@@ -33,9 +36,9 @@ ORC_OPTIONS = {
 }
 
 
-def _encode_sorted(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode_sorted(path: str, end_id: int, added_tokens: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        encoder, part, before = file_encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, before = file_encoder(path, added_tokens), TaskContext.get().partitionId(), 0
         for rows in text_slices(batches):
             data, offsets = text_buffer(rows.column(1))
             ids, cuts = encoder.ids(data, offsets)
@@ -51,12 +54,12 @@ def _encode_sorted(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> None:
+def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, added_tokens: bool = False) -> None:
     """Encode by the tokenizer file ``path`` and write ORC files in ``folder``."""
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-        .mapInArrow(_encode_sorted(path, end_id), FILE_SCHEMA)
+        .mapInArrow(_encode_sorted(path, end_id, added_tokens), FILE_SCHEMA)
         .write.options(**ORC_OPTIONS).orc(folder)
     )
 
@@ -82,10 +85,10 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def token_file_report(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def token_file_report(docs: DataFrame, path: str, end_id: int = END_ID, added_tokens: bool = False) -> DataFrame:
     """Write the files in the shared folder, read them back, and say what each document has there."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/tablewise/{uuid.uuid4().hex}"
-    write_token_files(docs, path, folder, end_id)
+    write_token_files(docs, path, folder, end_id, added_tokens)
     rows = with_start(read_token_files(spark, folder)).select("doc_id", "start", "n_tokens", "ids")
     return rows.mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
