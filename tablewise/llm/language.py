@@ -1,12 +1,13 @@
 """Language of texts and of their words, by a conditional random field learned from labelled documents.
 
-``fit_language`` learns from a bounded sample: about ``per_label`` documents of each of the
-``max_labels`` most frequent labels, of at most ``train_bytes`` bytes, chosen by a hash of their id, and
-from mixtures of their passages, so that transitions between languages are learned too.
+``fit_language`` learns from a bounded sample: of every label the ``per_label`` documents with the smallest
+hashes, however long or many they are, and from mixtures of their passages, so that transitions between languages
+are learned too. Of a document over ``train_bytes`` bytes a passage of whole words is taken.
 
 A text that is null or has no letter is ``und`` with score 0. Repeated rows get equal results;
 columns beside ``doc_id`` and ``text`` are never inputs of a prediction. Ties go to the label that
-sorts first. Where nothing can be learned (no labelled row), every text is ``und``.
+sorts first. Where nothing can be learned (no labelled row), every text is ``und``, and ``keep_clear``
+fails where it would drop all documents for that.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewise.llm.common import fold, text_buffer, text_slices
 from tablewise.llm.crf import Model, Words, fit, label_shares, word_marginals, words_of
 
 PER_LABEL = 150
-MAX_LABELS = 64
 TRAIN_BYTES = 6_000
 UNKNOWN = "und"
 #: Text looked at at once; a word's features and marginals take many times its bytes.
@@ -39,17 +40,46 @@ def held_out(identity):
     return F.coalesce(fold(identity, FOLDS) == HELD_FOLD, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_label: int = PER_LABEL, max_labels: int = MAX_LABELS, train_bytes: int = TRAIN_BYTES) -> list[tuple[str, str]]:
-    """(text, label) of a bounded sample of the rows outside the held-out fold."""
-    usable = (fold(F.col("doc_id"), FOLDS) != HELD_FOLD) & F.col("lang").isNotNull() & (F.octet_length("text") <= train_bytes) & F.col("text").rlike(r"\p{L}")
-    counts = docs.where(usable).groupBy("lang").agg(F.count("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(max_labels).collect()
-    if not counts:
-        return []
-    share = F.lit(0)
-    for row in counts:
-        share = F.when(F.col("lang") == row.lang, min(1_000_000, 1_000_000 * per_label // row.n)).otherwise(share)
-    chosen = docs.where(usable & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)).select("doc_id", "text", "lang")
-    rows = chosen.limit(2 * per_label * len(counts) + 100).collect()
+def _passages(train_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches):
+        for part in text_slices(batches):
+            texts = [_passage(t, h, train_bytes) for t, h in zip(part.column(1).to_pylist(), part.column(3).to_pylist())]
+            yield part.set_column(1, "text", pa.array(texts, pa.string()))
+
+    return run
+
+
+def _passage(text: str, number: int, train_bytes: int) -> str:
+    """At most ``train_bytes`` bytes of a text, from a place that ``number`` chooses, as whole words with a letter in them."""
+    data = text.encode()
+    if len(data) <= train_bytes:
+        return text
+    start = number % (len(data) - train_bytes + 1)
+    found = _whole_words(data, start, train_bytes)
+    if not any(map(str.isalpha, found)):
+        letter = next(i for i, c in enumerate(text) if c.isalpha())
+        found = data[len(text[:letter].encode()) :][:train_bytes].decode("utf-8", "ignore")
+    return found
+
+
+def _whole_words(data: bytes, start: int, size: int) -> str:
+    found = data[start : start + size].decode("utf-8", "ignore")
+    words = found.split()
+    first = bool(start) and not data[start - 1 : start + 1].isspace() and not found[:1].isspace()
+    last = start + size < len(data) and not data[start + size : start + size + 1].isspace() and not found[-1:].isspace()
+    inner = words[first : len(words) - last]
+    return " ".join(inner) if inner else found
+
+
+def training_sample(docs: DataFrame, per_label: int = PER_LABEL, train_bytes: int = TRAIN_BYTES) -> list[tuple[str, str]]:
+    """(text, label) of a bounded sample of the rows outside the held-out fold, of every label."""
+    usable = docs.where((fold(F.col("doc_id"), FOLDS) != HELD_FOLD) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    hashed = usable.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    # Spark keeps only the first ``per_label`` of each label in every task before it brings a label's rows together.
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    chosen = hashed.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_label).select("lang", "h")
+    found = hashed.join(F.broadcast(chosen), ["lang", "h"]).select("doc_id", "text", "lang", F.col("h").bitwiseAND((1 << 62) - 1).alias("h"))
+    rows = found.mapInArrow(_passages(train_bytes), "doc_id long, text string, lang string, h long").distinct().collect()
     return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))]
 
 
@@ -89,7 +119,9 @@ def predict_language(docs: DataFrame, model: Model | None, keep: str = "doc_id")
 
 
 def keep_clear(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
-    """The rows, as they are, whose text has a language with at least this score."""
+    """The rows, as they are, whose text has a language with at least this score; an error where texts stand without a model."""
+    if model is None and not docs.where(F.col("text").rlike(r"\p{L}")).isEmpty():
+        raise ValueError("no language was learned: no labelled text outside the held-out fold")
 
     def run(batches):
         for part in text_slices(batches, limit=SLICE):
