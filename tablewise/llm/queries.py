@@ -7,7 +7,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, decontaminate, language, licenses, neighbours, quality, repeats, simhash, token_files, urls
+from tablewise.llm import bpe, chat, decontaminate, language, lexical, licenses, neighbours, quality, repeats, simhash, token_files, urls
 from tablewise.plans.registry import QuerySet, table
 
 SET = QuerySet()
@@ -67,3 +67,13 @@ def _(spark, folder):
 @SET.add("op10_token_files")
 def _(spark, folder):
     return token_files.token_file_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
+
+
+@SET.add("op11_lexical_search", lexical.RANKED_SQL)
+def _(spark, folder):
+    return lexical.ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@SET.add("op12_chat_format", chat.CONVERSATION_SQL)
+def _(spark, folder):
+    return chat.conversation_report(chat.with_control_conversation(table(spark, folder, "conversations")))
