@@ -130,7 +130,13 @@ class Encoder:
     def piece_ids(self, data: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
-        pieces = binary_array(data, np.append(starts, len(data))).dictionary_encode()
+        return self.encoded(binary_array(data, np.append(starts, len(data))), np.searchsorted(starts, offsets))
+
+    def encoded(self, pieces: pa.Array, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and where the ids begin of the pieces that ``firsts`` names."""
+        if not len(pieces):
+            return np.zeros(0, "<u4"), np.zeros(len(firsts), np.int64)
+        pieces = pieces.dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         cache = self.cache
         if len(cache) > self.entries:
@@ -145,7 +151,7 @@ class Encoder:
         placed = table.take(pieces.indices)
         _, cuts, raw = placed.buffers()
         ends = np.frombuffer(cuts, np.int64)[placed.offset : placed.offset + len(placed) + 1] // 4
-        return np.frombuffer(raw, "<u4")[ends[0] : ends[-1]], (ends - ends[0])[np.searchsorted(starts, offsets)]
+        return np.frombuffer(raw, "<u4")[ends[0] : ends[-1]], (ends - ends[0])[firsts]
 
 
 @lru_cache(maxsize=4)
@@ -175,7 +181,7 @@ def added_pattern(path: str) -> re.Pattern[bytes] | None:
 
 
 @lru_cache(maxsize=4)
-def file_encoder(path: str, added_tokens: bool = False) -> Encoder:
+def file_encoder(path: str, added_tokens: bool = False, entries: int = FILE_ENTRIES) -> Encoder:
     """Encodes by a tokenizer file, with the tokenizers library; the file's added tokens get their own ids or are plain text."""
     import os
 
@@ -191,7 +197,7 @@ def file_encoder(path: str, added_tokens: bool = False) -> Encoder:
         np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces)), out=cuts[1:])
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
-    return Encoder(encode, FILE_ENTRIES, added_pattern(path) if added_tokens else None)
+    return Encoder(encode, entries, added_pattern(path) if added_tokens else None)
 
 
 @lru_cache(maxsize=4)

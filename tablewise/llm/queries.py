@@ -7,7 +7,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, chat, decontaminate, language, lexical, licenses, neighbours, quality, repeats, simhash, token_files, urls
+from tablewise.llm import alignment, bpe, chat, decontaminate, language, lexical, licenses, neighbours, quality, repeats, simhash, token_files, urls
 from tablewise.plans.registry import QuerySet, table
 
 SET = QuerySet()
@@ -77,3 +77,9 @@ def _(spark, folder):
 @SET.add("op12_chat_format", chat.CONVERSATION_SQL)
 def _(spark, folder):
     return chat.conversation_report(chat.with_control_conversation(table(spark, folder, "conversations")))
+
+
+@SET.add("op13_token_alignment")
+def _(spark, folder):
+    return alignment.alignment_report(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
