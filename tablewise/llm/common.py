@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tablewise.session import shared_folder
 
 SLICE_BYTES = 8 * 1024 * 1024
+#: Ids that occur again are looked up in a table that is sent to all executors, up to so many.
+KEPT_IDS = 100_000
 #: Arguments of ``hash_bucket`` are decimal ids as text, as the held-out folds are defined.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII characters other than digits and lower-case letters.
@@ -64,6 +66,47 @@ def row_key(identity: Column, text: Column) -> list[Column]:
     ]
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them (Spark doesn't tell upper from lower case)."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def with_document_keys(docs: DataFrame, first: str = "_k1", second: str = "_k2") -> DataFrame:
+    """The rows with two columns that tell documents apart as ``row_key`` does.
+
+    The second is the hash only where a row's id is missing or occurs again; elsewhere it is 0, which takes no
+    room in shuffles and tables. If over ``KEPT_IDS`` ids occur again, it is the hash everywhere.
+    """
+    one, two = row_key(F.col("doc_id"), F.col("text"))
+    several = written(docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias(first)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(first))
+    count = several.count()
+    if count > KEPT_IDS:
+        return docs.withColumns({first: one, second: two})
+    again = F.col("doc_id").isNull()
+    if not count:
+        return docs.withColumns({first: one, second: F.when(again, two).otherwise(F.lit(0).cast("long"))})
+    marked = docs.withColumns({first: one, second: two}).join(F.broadcast(several.withColumnRenamed(first, f"{first}_again")), F.col(first) == F.col(f"{first}_again"), "left")
+    again = again | F.col(f"{first}_again").isNotNull()
+    return marked.withColumn(second, F.when(again, F.col(second)).otherwise(F.lit(0).cast("long"))).drop(f"{first}_again")
+
+
+def hash_sample(rows: DataFrame, identity: list[str], wanted: int, total: int) -> DataFrame:
+    """The ``wanted`` of ``total`` rows whose hashes are smallest, all if they are fewer.
+
+    A bound that four times as many rows pass spares sorting the rest; it never comes down to nothing.
+    """
+    place = F.xxhash64(*identity)
+    if total > 8 * wanted:
+        rows = rows.where(place <= -(2 ** 63) + (2 ** 64 * 4 * wanted) // total)
+    return rows.orderBy(place, *identity).limit(wanted)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``limit`` bytes of text (one row at least)."""
     for batch in batches:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import row_key, word_count, word_line, written
+from tablewise.llm.common import free_names, row_key, word_count, word_line, written
 
 SIZE = 10
 SLOP = 5
@@ -133,6 +133,14 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
     return written(hits.join(held, ["_k1", "_k2"], "left"))
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+    """The rows in whose texts no window occurs, with their columns of any name as they are."""
+    first, second = free_names(docs.columns, "_k1", "_k2")
+    hit = contamination(docs.select("doc_id", "text"), items, size).select(F.col("_k1").alias(first), F.col("_k2").alias(second))
+    keyed = docs.withColumns(dict(zip((first, second), row_key(F.col("doc_id"), F.col("text")))))
+    return keyed.join(hit, [first, second], "left_anti").select(docs.columns)
+
+
 def contamination_report(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """Per document the counts of words, of hit words and of items, and the digest of the items' ids."""
     found = contamination(docs, items, size)

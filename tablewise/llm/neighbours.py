@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import written
+from tablewise.llm.common import hash_sample, written
 
 SAMPLE = 20_000
 #: Vectors for each list, within these numbers of lists.
@@ -33,7 +33,13 @@ COPY_RATIO = 1.03
 HIDING = 0.4
 PART_ROWS = 4_096
 DEGREE = 12
+#: Nearest centroids among which a centroid's neighbours are chosen, and centroids far from each other where searches begin.
+NEAR, ENTRIES = 64, 64
+#: Rows that the lists read for a query hold at least, for each neighbour asked for.
+READ_ROWS = 40
 BEAM = 48
+#: Rows whose distances to all centroids are held at once.
+BLOCK = 512
 #: Lists up to this times the distance of the nearest centroid are read.
 PROBE_RATIO = 1.15
 
@@ -42,6 +48,7 @@ PROBE_RATIO = 1.15
 class Index:
     centroids: np.ndarray
     graph: np.ndarray  # neighbours of each centroid
+    entries: np.ndarray  # where searches begin
 
 
 def usable(vector: Column) -> Column:
@@ -67,8 +74,8 @@ def balanced_means(sample: np.ndarray, lists: int, rounds: int = 20, weight: flo
     spread = max(float(sample.var(0).sum()), 1e-12)
     load = np.full(len(centroids), len(sample) / len(centroids))
     for _ in range(rounds):
-        cost = squared(sample, centroids) + weight * spread * (load * len(centroids) / len(sample) - 1)
-        owner = cost.argmin(1)
+        fuller = weight * spread * (load * len(centroids) / len(sample) - 1)
+        owner = np.concatenate([(squared(sample[i : i + BLOCK], centroids) + fuller).argmin(1) for i in range(0, len(sample), BLOCK)])
         load = 0.5 * load + 0.5 * np.bincount(owner, minlength=len(centroids))
         sums = np.zeros_like(centroids)
         np.add.at(sums, owner, sample)
@@ -81,23 +88,45 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :], 0)
 
 
+def _neighbours(centroids: np.ndarray, begin: int) -> np.ndarray:
+    """Neighbours of a block of centroids: of the nearest ones first those that no neighbour nearer than the centroid hides."""
+    block = centroids[begin : begin + BLOCK]
+    own, many = np.arange(len(block)), min(NEAR, len(centroids) - 1)
+    away = squared(block, centroids)
+    away[own, own + begin] = np.inf
+    near = np.argsort(away, 1, kind="stable")[:, :many]
+    away = np.take_along_axis(away, near, 1)
+    kept = np.zeros(near.shape, bool)
+    for rank in range(many):
+        fits = kept.sum(1) < DEGREE
+        for earlier in range(rank):
+            between = ((centroids[near[:, rank]] - centroids[near[:, earlier]]) ** 2).sum(1)
+            fits &= ~kept[:, earlier] | (between >= away[:, rank])
+        kept[:, rank] = fits
+    # The places left go to the nearest of the hidden ones.
+    order = np.argsort(~kept, 1, kind="stable")[:, : min(DEGREE, many)]
+    return np.take_along_axis(near, order, 1)
+
+
 def build_index(sample: np.ndarray, lists: int) -> Index:
     centroids = balanced_means(sample, lists)
-    between = squared(centroids, centroids)
-    np.fill_diagonal(between, np.inf)
-    nearest = np.argsort(between, 1, kind="stable")[:, : min(DEGREE, len(centroids) - 1)]
+    nearest = np.concatenate([_neighbours(centroids, begin) for begin in range(0, len(centroids), BLOCK)])
     # A ring keeps the graph connected.
     ring = np.roll(np.arange(len(centroids)), -1)[:, None]
-    return Index(centroids, np.concatenate([nearest, ring], 1))
+    entries, away = [0], ((centroids - centroids[0]) ** 2).sum(1)
+    while len(entries) < min(ENTRIES, len(centroids)) and away.max() > 0:
+        entries.append(int(away.argmax()))
+        away = np.minimum(away, ((centroids - centroids[entries[-1]]) ** 2).sum(1))
+    return Index(centroids, np.concatenate([nearest, ring], 1), np.array(entries))
 
 
 def search_graph(index: Index, query: np.ndarray, ratio: float = PROBE_RATIO, least: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids near the query, nearest first, and their distances: a best-first search from the first
-    centroid that goes on while what it can open next is within ratio of the nearest found, and for ``least`` steps."""
+    """Centroids near the query, nearest first, and their distances: a best-first search from the entry
+    points that goes on while what it can open next is within ratio of the nearest found, and for ``least`` steps."""
     away = lambda at: np.sqrt(((index.centroids[at] - query) ** 2).sum(-1))
     known = np.full(len(index.centroids), np.inf)
     closed = np.zeros(len(index.centroids), bool)
-    known[0] = away(0)
+    known[index.entries] = away(index.entries)
     for step in range(len(known)):
         at = int(np.where(closed, np.inf, known).argmin())
         if closed[at] or not np.isfinite(known[at]) or step >= least and known[at] > ratio * known.min():
@@ -115,7 +144,6 @@ def assigned_lists(index: Index, batch: np.ndarray, copies: int = COPIES, ratio:
     """(row, list) of every copy: the nearest list, and next ones within the ratio that no chosen centroid hides."""
     away = np.sqrt(squared(batch, index.centroids))
     order = np.argsort(away, 1, kind="stable")[:, : min(4 * copies, away.shape[1])]
-    between = np.sqrt(squared(index.centroids, index.centroids))
     rows, lists = [np.arange(len(batch))], [order[:, 0]]
     chosen = [order[:, 0]]
     count = np.ones(len(batch), int)
@@ -124,7 +152,8 @@ def assigned_lists(index: Index, batch: np.ndarray, copies: int = COPIES, ratio:
         distance = away[np.arange(len(batch)), candidate]
         fits = (distance <= ratio * away[np.arange(len(batch)), order[:, 0]]) & (count < copies)
         for earlier in chosen:
-            fits &= (earlier < 0) | (between[candidate, np.maximum(earlier, 0)] >= HIDING * distance)
+            between = np.sqrt(((index.centroids[candidate] - index.centroids[np.maximum(earlier, 0)]) ** 2).sum(1))
+            fits &= (earlier < 0) | (between >= HIDING * distance)
         chosen.append(np.where(fits, candidate, -1))
         count += fits
         rows.append(np.flatnonzero(fits))
@@ -138,8 +167,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _assign(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(begin, BLOCK)
                 row, of = assigned_lists(index, _matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(of.astype(np.int32))], ["vec_id", "v", "list"])
 
@@ -202,9 +232,8 @@ def _search_part(k: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.Dat
 
 
 def training_sample(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """A bounded sample of the vectors, chosen by a hash of their id."""
-    share = min(1_000_000, 1_000_000 * sample // max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share).select("vec_id", "v").limit(2 * sample).collect()
+    """The ``sample`` vectors whose ids have the smallest hashes."""
+    chosen = hash_sample(rows.select("vec_id", "v"), ["vec_id"], sample, rows.count()).collect()
     return np.array([r.v for r in sorted(chosen, key=lambda r: r.vec_id)])
 
 
@@ -220,7 +249,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, lists: int | None =
     for row in listed.groupBy("list").agg(F.count("list").alias("n")).collect():
         rows_in[row.list] = row.n
     # A vector has at most COPIES copies, so that these rows hold k others at least, if there are so many.
-    asked = written(rows.where(is_query).mapInArrow(_probe(index, probe_ratio, rows_in, COPIES * (k + 1)), "query_id long, q array<double>, list int"))
+    asked = written(rows.where(is_query).mapInArrow(_probe(index, probe_ratio, rows_in, max(COPIES * (k + 1), READ_ROWS * k)), "query_id long, q array<double>, list int"))
     # One row for each list: as many as there are centroids. Both sides of a list are cut into parts, and each meets each.
     cut = lambda side, name: side.groupBy("list").agg(F.ceil(F.count("list") / part_rows).cast("int").alias(name))
     sizes = F.broadcast(cut(listed, "parts").join(cut(asked, "query_parts"), "list"))

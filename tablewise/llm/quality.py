@@ -1,12 +1,12 @@
 """Quality scores of whole texts, by attention over their passages (see ``mil``).
 
-``fit_quality`` learns from a bounded sample: about ``rows`` labelled documents of at most ``train_bytes``
-bytes outside the held-out fold, chosen by a hash of their id. Labels, languages and sources are never
+``fit_quality`` learns from a bounded sample: the ``rows`` labels outside the held-out fold whose ids have the smallest
+hashes, of those that have a document; of a text over ``train_bytes`` bytes a stretch of that size is taken. Labels, languages and sources are never
 inputs of a score.
 
 A null text counts as empty; an empty text is one passage without features and gets a
 score too. Repeated rows get equal results. A document labelled both ways is learned both ways.
-Where nothing can be learned, every score is 0.5.
+Where no document outside the held-out fold has a label, every score is 0.5.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import fold, text_buffer, text_slices
+from tablewise.llm.common import fold, hash_sample, text_buffer, text_slices
 from tablewise.llm.mil import Model, fit, passages
 
 TRAIN_ROWS = 2_000
@@ -32,11 +32,28 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
     """(text, label) of a bounded sample of the labelled rows outside the held-out fold."""
     usable = labels.where((fold(F.col("doc_id"), FOLDS) != HELD_FOLD) & F.col("quality").isin(0, 1)).select(
         F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")).distinct()
-    share = min(1_000_000, 1_000_000 * rows // max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share).limit(2 * rows)
-    texts = docs.where(F.octet_length("text") <= train_bytes).select("doc_id", "text")
-    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_quality").limit(4 * rows).collect()
-    return [(r.text, r._quality) for r in sorted(found, key=lambda r: (r.doc_id, r._quality, r.text))]
+    usable = usable.join(docs.select("doc_id"), F.col("doc_id") == F.col("_id"), "left_semi")
+    chosen = hash_sample(usable, ["_id", "_quality"], rows, usable.count())
+    named = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    found = named.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_quality", "_h")
+    stretches = found.mapInArrow(_stretches(train_bytes), "doc_id long, text string, label int")
+    return [(r.text, r.label) for r in sorted(stretches.limit(4 * rows).collect(), key=lambda r: (r.doc_id, r.label, r.text))]
+
+
+def _stretches(train_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc_id, text, label, number): at most ``train_bytes`` bytes of each text, from a place that the number chooses."""
+
+    def stretch(text, number):
+        data = (text or "").encode()
+        start = number % max(1, len(data) - train_bytes + 1)
+        return data[start : start + train_bytes].decode("utf-8", "ignore")
+
+    def run(batches):
+        for part in text_slices(batches):
+            texts = [stretch(t, n) for t, n in zip(part.column(1).to_pylist(), part.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(texts, pa.string()), part.column(2)], ["doc_id", "text", "label"])
+
+    return run
 
 
 def fit_quality(sample: list[tuple[str, int]]) -> Model | None:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewise.llm.common import binary_array, row_key, text_buffer, text_slices, written
+from tablewise.llm.common import binary_array, free_names, text_buffer, text_slices, with_document_keys, written
 from tablewise.llm.suffixes import PrefixHash, anchors, hash_sort, merged_spans
 
 LENGTH = 100
@@ -271,9 +271,9 @@ def _compare_windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Documents that hold repeats: ``_k1``, ``_k2``, ``packed`` (the text, compressed) and ``spans`` (in bytes)."""
-    keyed = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text"))
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Of rows (_k1, _k2, text) those that hold repeats: ``_k1``, ``_k2``, ``packed`` (the text, compressed) and ``spans`` (in bytes)."""
+    keyed = keyed.select("_k1", "_k2", "text")
     rows = written(keyed.mapInArrow(_find_anchors(length, gram), ROW))
     found = rows.where(F.col("kind") == ANCHOR).select("a", "b", "doc", "row", "c")
     contexts = written(found.repartitionByRange("a", "b").sortWithinPartitions("a", "b", "doc", "row", "c").mapInArrow(_compare_contexts(length), ROW))
@@ -319,12 +319,12 @@ def _cut(frames: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.Recor
             ["_k1", "_k2", "n_removed", "n_spans", "kept"])
 
 
-def cut_texts(docs: DataFrame, length: int = LENGTH, keep_text: bool = True) -> DataFrame:
-    """``_k1``, ``_k2``, ``n_removed``, ``n_spans`` and ``kept`` (text, or its digest) of documents with repeats.
+def cut_texts(keyed: DataFrame, length: int = LENGTH, keep_text: bool = True) -> DataFrame:
+    """Of rows (_k1, _k2, text): ``_k1``, ``_k2``, ``n_removed``, ``n_spans`` and ``kept`` (text, or its digest) of documents with repeats.
 
     A character of which a byte goes is left out of the kept text; the digest is of the bytes.
     """
-    cut = repeated_spans(docs, length).mapInArrow(
+    cut = repeated_spans(keyed, length).mapInArrow(
         lambda batches: _cut(batches, keep_text), "_k1 long, _k2 long, n_removed long, n_spans long, kept string")
     return cut.dropDuplicates(["_k1", "_k2"])
 
@@ -345,8 +345,7 @@ def _cut_rows(columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         for batch in batches:
             at = batch.schema.get_field_index("text")
             start, held, texts, changed = 0, 0, [], []
-            spans = batch.column(batch.schema.get_field_index("_spans"))
-            for row, (packed, own) in enumerate(zip(batch.column(at).to_pylist(), spans), 1):
+            for row, (packed, own) in enumerate(zip(batch.column(at).to_pylist(), batch.column(columns)), 1):
                 data = None if packed is None else open_(packed)
                 cut = data is not None and own.is_valid
                 if cut:
@@ -356,31 +355,38 @@ def _cut_rows(columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 held += len(data or b"")
                 if held >= SLICE or row == batch.num_rows:
                     part = batch.slice(start, row - start).set_column(at, "text", pa.array(texts, pa.string()))
-                    yield pa.RecordBatch.from_arrays([*part.columns[:columns], pa.array(changed)], [*part.schema.names[:columns], "_changed"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:columns], pa.array(changed)], [*part.schema.names[:columns], batch.schema.names[columns]])
                     start, held, texts, changed = row, 0, [], []
 
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows with their cut texts, and ``_changed``; a row of which nothing is left goes.
+def without_repeats(docs: DataFrame, length: int = LENGTH, length_column: str | None = None) -> DataFrame:
+    """The rows with their cut texts; a row of which nothing is left goes.
 
-    A character of which a byte goes is left out.
+    A character of which a byte goes is left out. ``length_column`` names a column that gets the characters of cut
+    texts; all others beside ``text``, of any name, stay as they are.
     """
-    found = repeated_spans(docs, length).select("_k1", "_k2", F.col("spans").alias("_spans")).dropDuplicates(["_k1", "_k2"])
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id"), F.col("text")))))
+    first, second, spans = free_names(docs.columns, "_k1", "_k2", "_spans")
+    keyed = with_document_keys(docs, first, second)
+    found = repeated_spans(keyed.select(F.col(first).alias("_k1"), F.col(second).alias("_k2"), "text"), length)
+    found = found.select(F.col("_k1").alias(first), F.col("_k2").alias(second), F.col("spans").alias(spans)).dropDuplicates([first, second])
     schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in keyed.schema])
-    joined = keyed.mapInArrow(_pack_rows, schema).join(found, ["_k1", "_k2"], "left").select(*docs.columns, "_spans")
-    cut = joined.mapInArrow(_cut_rows(len(docs.columns)), T.StructType([*docs.schema, T.StructField("_changed", T.BooleanType())]))
-    return cut.where(~F.col("_changed") | (F.col("text") != ""))
+    joined = keyed.mapInArrow(_pack_rows, schema).join(found, [first, second], "left").select(*docs.columns, spans)
+    cut = joined.mapInArrow(_cut_rows(len(docs.columns)), T.StructType([*docs.schema, T.StructField(spans, T.BooleanType())]))
+    cut = cut.where(~F.col(spans) | (F.col("text") != ""))
+    if length_column:
+        counted = F.when(F.col(spans), F.length("text").cast(docs.schema[length_column].dataType)).otherwise(F.col(length_column))
+        cut = cut.withColumn(length_column, counted)
+    return cut.select(docs.columns)
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document what was removed and the digest of the bytes that stay."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    every = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("_whole"))
-    cut = cut_texts(docs, length, keep_text=False)
+    keyed = with_document_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    every = keyed.select("doc_id", "_k1", "_k2", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("_whole"))
+    cut = cut_texts(keyed.select("_k1", "_k2", "text"), length, keep_text=False)
     return every.join(cut, ["_k1", "_k2"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept", "_whole").alias("kept_sha256"))

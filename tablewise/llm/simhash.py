@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import row_key, text_slices, written
+from tablewise.llm.common import free_names, row_key, text_slices, written
 from tablewise.llm.components import components
 
 SEED = 42
@@ -296,9 +296,11 @@ def without_near_copies(
     near = components(links(prints.select("node", "sig"), radius, parts, lanes=lanes, whole=whole))
     roots = components(similar_edges(docs, prints, words, radius, whole, least, near, set_bytes))
     named = prints.select(F.col("node").alias("_node"), "first_row").join(roots, F.col("_node") == F.col("node"), "left")
-    kept = named.groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min("first_row").alias("keeper")).select("keeper.*")
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id"), F.col("text")))))
-    return keyed.join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(docs.columns)
+    kept = named.groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min("first_row").alias("keeper"))
+    first, second = free_names(docs.columns, "_k1", "_k2")
+    kept = kept.select(F.col("keeper._k1").alias(first), F.col("keeper._k2").alias(second))
+    keyed = docs.withColumns(dict(zip((first, second), row_key(F.col("doc_id"), F.col("text")))))
+    return keyed.join(kept, [first, second]).dropDuplicates([first, second]).select(docs.columns)
 
 
 def component_report(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -12,7 +13,7 @@ from helpers import DOCS
 from pyspark.sql import functions as F
 from test_decontaminate import words_of
 
-from tablewise.llm import language, simhash
+from tablewise.llm import language
 from tablewise.llm.pretokens import rank_table
 
 LANGUAGES = {"en": "the of and to in that is was for with", "de": "der die und das nicht ein ist mit von zu"}
@@ -59,14 +60,14 @@ def smallest(i):
 
 
 def brute_near(rows):
-    """One row of each group of signatures near each other: that of the smallest id."""
+    """One row of each group of texts whose sets of five-word shingles have a Jaccard similarity of 0.8: that of the smallest id."""
     rows = sorted({(r[0], r[1]): r for r in rows}.values(), key=lambda r: smallest(r[0]))
-    signs = [simhash.signature(r[1], corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.LANES) for r in rows]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in r[1] or "")) for r in rows]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            differ = np.bitwise_count(signs[i] ^ signs[j])
-            if differ[0] <= corpus_pipeline.LANE_RADIUS and differ.sum() <= corpus_pipeline.WHOLE_RADIUS:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 old, new = max(group[i], group[j]), min(group[i], group[j])
                 group = [new if g == old else g for g in group]
     return [r for i, r in enumerate(rows) if group[i] == i]
@@ -136,6 +137,18 @@ def test_stages_equal_plain_versions(spark, folder):
     assert sorted((tuple(r) for r in corpus_pipeline.run(spark, folder).collect()), key=str) == sorted(wanted, key=str)
 
 
+def test_stages_stand_clashing_names(spark, folder):
+    names = ["_k1", "_k2", "_spans", "_K1_", "root", "node", "sig", "keeper", "n", "spans", "packed", "term", "window", "start"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clashing = docs.withColumns({c: F.concat(F.lit(c), F.lit("|"), F.col("doc_id").cast("string")) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wanted = collected(stage(spark, docs, folder))
+        found = stage(spark, clashing, folder)
+        assert found.columns == clashing.columns and collected(found) == wanted, name
+        assert all(r[c] == (None if r.doc_id is None else f"{c}|{r.doc_id}") for r in found.collect() for c in names), name
+    assert corpus_pipeline.encode(spark, clashing, folder).count() == docs.count()
+
+
 def test_stages_keep_columns_and_stand_empty_tables(spark, folder):
     empty = spark.createDataFrame([], DOCS).withColumns({c: F.lit(1) for c in ("_kept", "words", "list")})
     for name, stage in corpus_pipeline.STAGES[:-1]:

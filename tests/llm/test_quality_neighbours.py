@@ -6,6 +6,7 @@ from helpers import docs_frame, odd_texts, rows
 from pyspark.sql import functions as F
 
 from tablewise.llm import mil, neighbours, quality
+from tablewise.llm.common import hash_sample
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -121,3 +122,48 @@ def test_few_vectors(spark):
     assert neighbours.nearest(frame_of(spark, [(0, [1.0])]), F.col("vec_id") % 100 == 0).collect() == []
     found = neighbours.nearest(frame_of(spark, [(0, [1.0, 0.0]), (3, [0.0, 1.0]), (1, [0.0, 1.0])]), F.col("vec_id") % 100 == 0)
     assert [(r.rank, r.vec_id) for r in found.orderBy("rank").collect()] == [(1, 1), (2, 3)]
+
+
+def test_sample_is_never_empty(spark):
+    rows = spark.range(5000).selectExpr("id as vec_id", "id % 7 as x")
+    whole = [r.vec_id for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(40).collect()]
+    assert [r.vec_id for r in hash_sample(rows, ["vec_id"], 40, 5000).collect()] == whole
+    assert hash_sample(rows, ["vec_id"], 6000, 5000).count() == 5000
+    bound = lambda total: -(2 ** 63) + (2 ** 64 * 4 * 20_000) // total
+    assert all(bound(10 ** n) > -(2 ** 63) for n in range(6, 20))  # counts far beyond any table leave a share
+
+
+def test_quality_learns_from_long_texts_only(spark):
+    texts = ["Good words here. " * 4000 if i % 2 else "BAD!! ### " * 6000 for i in range(30)]
+    labels = labels_frame(spark, [(i, i % 2) for i in range(30)] + [(i, 1) for i in range(1000, 9000)])
+    sample = quality.training_sample(docs_frame(spark, texts), labels)
+    assert len(sample) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(30)) and max(len(t) for t, _ in sample) <= quality.TRAIN_BYTES
+    assert all(r.predicted == r.doc_id % 2 for r in quality.quality_report(docs_frame(spark, texts), labels).collect())
+
+
+def test_index_of_many_lists_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    sample = rng.normal(size=(neighbours.SAMPLE, 64))
+    tracemalloc.start()
+    neighbours.balanced_means(sample, neighbours.MOST_LISTS, rounds=1)
+    index = neighbours.build_index(sample[:6000], neighbours.MOST_LISTS)
+    row, of = neighbours.assigned_lists(index, sample[: neighbours.BLOCK])
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 400 and len(np.unique(row)) == neighbours.BLOCK and len(index.centroids) == 4096
+
+
+def test_recall_with_many_lists(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(300, 16)) * 3
+    base = (centres[rng.integers(300, size=30_000)] + rng.normal(size=(30_000, 16))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>")
+    found = rows(neighbours.nearest(table, F.col("vec_id") % 300 == 0, lists=neighbours.MOST_LISTS), "query_id", "vec_id")
+    wide, pairs = base.astype(float), set()
+    for i in range(0, 30_000, 300):
+        away = ((wide - wide[i]) ** 2).sum(1)
+        away[i] = np.inf
+        pairs |= {(i, int(j)) for j in np.argsort(away, kind="stable")[:10]}
+    assert len(found) == len(pairs) and len(pairs & set(found)) / len(pairs) >= 0.9
