@@ -1,5 +1,6 @@
 """Documents to token digests: language, near copies, repeated passages, benchmark passages, tokens.
 
+Columns beside those of ``documents``, of any name, stay as they are until the last stage.
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and its result is
 written as Parquet and read again for the next. ``run`` applies all of them to ``documents``.
 """
@@ -8,10 +9,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tablewise.llm import bpe, decontaminate, language, repeats, simhash
-from tablewise.llm.common import row_key, written
+from tablewise.llm.common import written
 
 #: A document stays if this much of its words' marginals agrees on one language.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -21,27 +21,39 @@ SHINGLE_WORDS, LANES, LANE_RADIUS, WHOLE_RADIUS, LEAST_SIMILARITY = 5, 4, 24, 72
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose words agree on a language; those without letters or without a clear one go."""
+    """Documents whose words agree on a language; those without letters or without a clear one go.
+
+    Rows with a null ``doc_id`` or ``lang`` are judged by their texts like all others; repeated rows stay or go together; of
+    labels that share the highest score the one that sorts first counts. An empty table stays empty.
+    """
     model = language.fit_language(language.training_sample(docs))
     return language.keep_clear(docs, model, LEAST_LANGUAGE_SCORE)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of exact or near copies."""
+    """The document of smallest id of each group of exact or near copies.
+
+    A null ``doc_id`` is smaller than all others, and of rows with one id the one with the smaller hash of its text stays. Null
+    and empty texts have the empty set of shingles and are copies of each other. Rows that repeat both are one document.
+    """
     return simhash.without_near_copies(docs, SHINGLE_WORDS, LANE_RADIUS, WHOLE_RADIUS, LANES, least=LEAST_SIMILARITY)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that also start earlier; documents of which nothing is left go."""
-    counted = F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return repeats.without_repeats(docs).withColumn("n_chars", counted).select(docs.columns)
+    """Texts without the byte strings that also start earlier; documents of which nothing is left go.
+
+    Null, empty and short texts stay as they are. Documents are in order of ``doc_id``, null first, those of one id in order of a
+    hash of their texts; rows that repeat both lose the same bytes. ``n_chars`` is counted anew where something was cut.
+    """
+    return repeats.without_repeats(docs, length_column="n_chars")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of benchmark words occurs."""
-    hit = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("_k1", "_k2")
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id"), F.col("text")))))
-    return keyed.join(hit, ["_k1", "_k2"], "left_anti").select(docs.columns)
+    """Documents in which no window of benchmark words occurs.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; null and empty items have no windows.
+    """
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
