@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.numeric import clamp, cosine, safe_ratio
-from tablewise.functions.text import WORD_CHAR, keyword_match, text_ratio, word_tokens
-from tablewise.operators.joins import latest_per_key
+from tablewise.functions.text import WORD_CHAR, collapse_spaces, keyword_match, ratio_bound, text_ratio, word_tokens
+from tablewise.operators.joins import latest_per_key, spread
+from tablewise.operators.similarity import similar_classes, word_classes
 
 OUTCOMES = ("correct", "partial", "incorrect")
 TERMINAL_STATUSES = ("completed", "failed", "cancelled")
@@ -114,14 +115,14 @@ def history_similarity(
 ) -> DataFrame:
     """Past requests of one source similar to a request, best first.
 
-    Embeddings are compared where both exist, texts otherwise by the share of words they have in common.
+    Embeddings are compared where both exist, texts otherwise by their matching blocks; texts whose lengths alone
+    keep the ratio under the threshold are left out before. ``similar_requests`` compares all requests with each other.
     """
     rows = history.where((F.col("source_type") == source_type) & (F.col("feedback_score") >= minimum_feedback))
     embedded = F.col("embedding").isNotNull() if vector is not None and "embedding" in history.columns else F.lit(False)
     wanted = F.lit(request)
-    by_text = rows.where(~embedded).withColumn(
-        "similarity", text_ratio(wanted, F.col("description"))
-    ).withColumn("method", F.lit("text"))
+    near = rows.where(~embedded).where(ratio_bound(collapse_spaces(wanted), collapse_spaces(F.col("description"))) >= threshold)
+    by_text = near.withColumn("similarity", text_ratio(wanted, F.col("description"))).withColumn("method", F.lit("text"))
     found = by_text
     if vector is not None and "embedding" in history.columns:
         target = F.array(*[F.lit(float(v)) for v in vector])
@@ -132,6 +133,24 @@ def history_similarity(
     )
 
 
+def similar_requests(history: DataFrame, *, threshold: float = 0.6, minimum_feedback: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """All requests of the history against each other, within their source.
+
+    The first frame has (id, class): requests with the same words are one class, named by its smallest id. The second has
+    (class, other, members, other_members, similarity, ratio) of the classes that share the threshold of their words, with
+    ``text_ratio`` of the two requests that name them. Requests without a word are similar to none.
+    """
+    rows = history.where(F.col("feedback_score") >= minimum_feedback)
+    members, classes = word_classes(rows, "id", word_tokens(F.col("description")), "source_type")
+    pairs = similar_classes(classes, threshold)
+    named = rows.select(F.col("id").alias("_id"), "description").join(classes.select("class", "members"), F.col("_id") == F.col("class"))
+    named = named.groupBy("class").agg(F.min("description").alias("description"), F.max("members").alias("members"))
+    others = named.select(F.col("class").alias("other"), F.col("description").alias("_description"), F.col("members").alias("other_members"))
+    found = spread(pairs.join(named, "class").join(others, "other"))
+    return members, found.select(
+        "class", "other", "members", "other_members", "similarity", text_ratio(F.col("description"), F.col("_description")).alias("ratio"))
+
+
 def top_queries(history: DataFrame, source_type: str, limit: int = 5) -> DataFrame:
     rows = history.where(F.col("source_type") == source_type)
     return rows.orderBy(F.desc("feedback_score"), F.desc("execution_count"), "id").limit(limit)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions import jsonfn, numeric, text
 from tablewise.operators import learning
+from tablewise.operators.joins import spread
 from tablewise.plans.registry import QuerySet, table
 
 SET = QuerySet()
@@ -92,16 +93,32 @@ def _(spark, folder):
     return table(spark, folder, "part").select("p_partkey", F.round(score, 6).alias("shape"))
 
 
-@SET.add("fn_text_ratio", r"""
-WITH t AS (SELECT conv_id, turn, regexp_replace(lower(trim(text)), '\s+', ' ', 'g') AS line, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]{1,})')) AS w FROM conversations)
-SELECT a.conv_id, a.turn, CASE WHEN a.line = b.line THEN 1.0 WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0
- ELSE round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) END::DOUBLE AS ratio
-FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1""")
+#: Characters in matching blocks of the pairs ``p`` (k, l, a, b): cells of equal characters with the length of the
+#: run that begins there; in each stretch the longest block is taken, and the cells on both of its sides go on.
+MATCHED_SQL = r"""
+ca AS (SELECT k, l, unnest(string_split(a, '')) AS ch, generate_subscripts(string_split(a, ''), 1) AS i FROM p WHERE a <> b),
+cb AS (SELECT k, l, unnest(string_split(b, '')) AS ch, generate_subscripts(string_split(b, ''), 1) AS j FROM p WHERE a <> b),
+m AS (SELECT k, l, i, j, i - row_number() OVER (PARTITION BY k, l, i - j ORDER BY i) AS run FROM ca JOIN cb USING (k, l, ch)),
+r AS (SELECT 0 AS depth, k, l, 0::BIGINT AS stretch, i, j, max(i) OVER (PARTITION BY k, l, i - j, run) - i + 1 AS size FROM m
+ UNION ALL
+ SELECT depth + 1, k, l, CASE WHEN i < bi THEN stretch ELSE bi + bs END, i, j, CASE WHEN i < bi THEN least(size, bi - i, bj - j) ELSE size END
+ FROM (SELECT *, first_value(i) OVER w AS bi, first_value(j) OVER w AS bj, first_value(size) OVER w AS bs FROM r
+  WINDOW w AS (PARTITION BY k, l, stretch ORDER BY size DESC, i, j))
+ WHERE i < bi AND j < bj OR i >= bi + bs AND j >= bj + bs),
+s AS (SELECT k, l, sum(size) AS matched FROM (SELECT k, l, depth, stretch, max(size) AS size FROM r GROUP BY ALL) GROUP BY ALL),
+ratios AS (SELECT k, l, CASE WHEN a = b THEN 1.0 ELSE round(2.0 * coalesce(matched, 0) / (length(a) + length(b)), 6) END::DOUBLE AS ratio FROM p LEFT JOIN s USING (k, l))"""
+LINE_SQL = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
+
+
+@SET.add("fn_text_ratio", f"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, {LINE_SQL} AS line FROM conversations),
+p AS (SELECT x.conv_id AS k, x.turn AS l, x.line AS a, y.line AS b FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.turn = y.turn + 1),{MATCHED_SQL}
+SELECT k AS conv_id, l AS turn, ratio FROM ratios""")
 def _(spark, folder):
     """Ratio of each turn to the one before it in the conversation."""
     turns = table(spark, folder, "conversations")
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
-    return turns.join(before, ["conv_id", "turn"]).select(
+    return spread(turns.join(before, ["conv_id", "turn"])).select(
         "conv_id", "turn", F.round(text.text_ratio(F.col("text"), F.col("before")), 6).alias("ratio"))
 
 
@@ -194,18 +211,39 @@ def _(spark, folder):
     return learning.learned_keywords(rated, "text", F.col("quality") > 0.5, 10)
 
 
-@SET.add("similar_history", r"""
-WITH t AS (SELECT conv_id, turn, text, regexp_replace(lower(trim(text)), '\s+', ' ', 'g') AS line, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]{1,})')) AS w FROM conversations WHERE role = 'user'),
-q AS (SELECT line, w FROM t ORDER BY conv_id, turn LIMIT 1),
-s AS (SELECT t.conv_id || '-' || t.turn AS id, CASE WHEN t.line = q.line THEN 1.0 WHEN len(t.w) = 0 OR len(q.w) = 0 THEN 0.0
- ELSE round(len(list_intersect(t.w, q.w)) / len(list_distinct(list_concat(t.w, q.w))), 6) END::DOUBLE AS similarity FROM t, q)
-SELECT id, similarity FROM s WHERE similarity >= 0.2""")
-def _(spark, folder):
-    """Past requests of the same role as similar as the ratio asks, over whole texts."""
-    turns = table(spark, folder, "conversations")
-    history = turns.select(
+def _requests(spark, folder):
+    """Each turn as a past request of its role."""
+    return table(spark, folder, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("source_type"), F.col("text").alias("description"),
         F.lit(1.0).alias("feedback_score"), F.lit(1).alias("success_count"),
     )
-    request = turns.where("role = 'user'").orderBy("conv_id", "turn").first().text
-    return learning.history_similarity(history, request, "user", threshold=0.2).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+#: Share of their words that similar requests have in common; the words of the tables are invented.
+SIMILAR_FROM = 0.2
+CLASSES_SQL = rf"""
+t AS (SELECT conv_id || '-' || turn AS id, role, {LINE_SQL} AS line, list_sort(list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]{{1,}})'))) AS w FROM conversations),
+c AS (SELECT role, w, min(id) AS class, count(*) AS members FROM t WHERE len(w) > 0 GROUP BY ALL),
+pairs AS (SELECT * FROM (SELECT x.class, y.class AS other, x.members, y.members AS other_members, len(list_intersect(x.w, y.w)) AS shared, len(x.w) + len(y.w) AS sizes
+ FROM c x JOIN c y ON x.role = y.role AND x.class < y.class) WHERE shared / (sizes - shared) >= {SIMILAR_FROM})"""
+
+
+@SET.add("similar_history", f"""
+WITH RECURSIVE {CLASSES_SQL},
+p AS (SELECT class AS k, other AS l, x.line AS a, y.line AS b FROM pairs JOIN t x ON x.id = class JOIN t y ON y.id = other),{MATCHED_SQL}
+SELECT class, other, members, other_members, round(shared / (sizes - shared), 6)::DOUBLE AS similarity, ratio FROM pairs JOIN ratios ON k = class AND l = other""")
+def _(spark, folder):
+    """All past requests of a role against each other."""
+    _, pairs = learning.similar_requests(_requests(spark, folder), threshold=SIMILAR_FROM)
+    return pairs.select("class", "other", "members", "other_members", F.round("similarity", 6).alias("similarity"), F.round("ratio", 6).alias("ratio"))
+
+
+@SET.add("similar_history_members", f"""
+WITH {CLASSES_SQL},
+n AS (SELECT class, count(*) AS links FROM (SELECT class FROM pairs UNION ALL SELECT other FROM pairs) GROUP BY class)
+SELECT id, c.class, coalesce(links, 0) AS links FROM t JOIN c USING (role, w) LEFT JOIN n USING (class)""")
+def _(spark, folder):
+    """Each past request with its class and the number of other classes that are similar."""
+    members, pairs = learning.similar_requests(_requests(spark, folder), threshold=SIMILAR_FROM)
+    ends = pairs.select(F.explode(F.array("class", "other")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(ends, "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).cast("long").alias("links"))

@@ -16,7 +16,7 @@ def months(spark, values, name):
 def test_numeric_outlier(spark):
     df = spark.createDataFrame([(i, 10.0) for i in range(30)] + [(30, 100.0)], "id int, duration double")
     found = anomalies.anomaly_dedup(anomalies.numeric_anomalies(df, ["duration"], ["id"])).collect()
-    assert [(r.observed_value, r.row_id, r.severity) for r in found] == [(100.0, "30", "critical")]
+    assert [(r.observed_value, r.row_id, r.severity) for r in found] == [(100.0, '{"id":"30"}', "critical")]
     assert found[0].detection_methods == ["iqr", "zscore"] and found[0].method == "iqr" and found[0].detection_count == 2
 
 
