@@ -18,6 +18,7 @@ from tablewise.functions.numeric import clamp, shape_similarity
 from tablewise.functions.text import keyword_tokens, label_slug
 from tablewise.operators.graph import lineage
 from tablewise.operators.joins import lookup_join
+from tablewise.operators.ordering import row_numbers
 from tablewise.session import reliable_checkpoint
 
 # Words ignored in run keywords.
@@ -81,8 +82,8 @@ def _overlap(values: DataFrame, wanted: Sequence[str], name: str) -> DataFrame:
     return counted.select("run_id", score.alias(name))
 
 
-def run_similarity(nodes: DataFrame, edges: DataFrame, profile: dict, limit: int = 5) -> DataFrame:
-    """``run_id, label, score``: runs most like a profile.
+def run_similarity(nodes: DataFrame, edges: DataFrame, profile: dict, limit: int | None = None) -> DataFrame:
+    """``run_id, label, score``: runs by their likeness to a profile, the first ``limit`` of them if it is given.
 
     ``profile``: columns, primary_metric, time_axis, source_type, roles, row_count,
     column_count, keywords. Every part is a count per run, never a set per run.
@@ -119,7 +120,8 @@ def run_similarity(nodes: DataFrame, edges: DataFrame, profile: dict, limit: int
     for name, weight in SIMILARITY_WEIGHTS.items():
         score = score + parts[name] * weight
     scored = joined.select("run_id", "label", "created_at", F.round(clamp(score), 4).alias("score")).where("score > 0")
-    return scored.orderBy(F.desc("score"), F.desc("created_at"), F.desc("run_id")).limit(limit).drop("created_at")
+    ordered = scored.orderBy(F.desc("score"), F.desc("created_at"), F.desc("run_id"))
+    return (ordered.limit(limit) if limit else ordered).drop("created_at")
 
 
 def pattern_values(nodes: DataFrame, edges: DataFrame, run_ids: DataFrame | None = None) -> DataFrame:
@@ -147,8 +149,15 @@ def pattern_values(nodes: DataFrame, edges: DataFrame, run_ids: DataFrame | None
     return united.where(F.col("value") != "")
 
 
+def _ranked(rows: DataFrame, kind: str, order: list[Column], limit: int | None) -> DataFrame:
+    """``rank`` within each kind; kinds are few, so that only a rank that ends at ``limit`` is left to one task a kind."""
+    if limit is None:
+        return row_numbers(rows, order, [kind])
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where(F.col("rank") <= limit)
+
+
 def recurring_patterns(
-    nodes: DataFrame, edges: DataFrame, run_ids: DataFrame | None = None, limit: int = 8
+    nodes: DataFrame, edges: DataFrame, run_ids: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
     """``kind, value, occurrences, rank, confidence``: values seen at least twice (once for one run)."""
     chosen = run_table(nodes).select("run_id") if run_ids is None else run_ids.select("run_id")
@@ -157,8 +166,7 @@ def recurring_patterns(
     kept = counted.crossJoin(F.broadcast(support)).where(
         F.col("occurrences") >= F.when(F.col("_runs") <= 1, 1).otherwise(2)
     )
-    best = Window.partitionBy("kind").orderBy(F.desc("occurrences"), "value")
-    top = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    top = _ranked(kept, "kind", [F.desc("occurrences"), F.col("value")], limit)
     kinds = top.agg(F.count_distinct("kind").alias("_kinds"))
     confidence = F.round(clamp(0.45 * F.least(F.lit(1.0), F.col("_runs") / 5.0) + 0.55 * F.col("_kinds") / 6), 4)
     return top.crossJoin(F.broadcast(kinds)).select("kind", "value", "occurrences", "rank", confidence.alias("confidence"))
@@ -299,7 +307,7 @@ def experience_find(headers: DataFrame, items: DataFrame, item_kind: str, value:
     return headers.join(hits, "experience_id", "left_semi")
 
 
-def experience_match(headers: DataFrame, items: DataFrame, profile: dict[str, Sequence[str]], limit: int | None = 5) -> DataFrame:
+def experience_match(headers: DataFrame, items: DataFrame, profile: dict[str, Sequence[str]], limit: int | None = None) -> DataFrame:
     """``experience_id, score, confidence, evidence_count``; profile keys are item kinds."""
     score = F.lit(0.0)
     measures = []
@@ -323,29 +331,23 @@ def step_priority(step: Column) -> Column:
     )
 
 
-def experience_recommend(headers: DataFrame, items: DataFrame, profile: dict[str, Sequence[str]], limit: int = 5) -> DataFrame:
-    """``step, priority, confidence, sources``: steps of the best-matching experience."""
-    matched = experience_match(headers, items, profile, max(5, limit * 2))
-    steps = items.where(F.col("item_kind") == "step").join(F.broadcast(matched), "experience_id")
+def experience_recommend(headers: DataFrame, items: DataFrame, profile: dict[str, Sequence[str]], limit: int | None = None) -> DataFrame:
+    """``step, priority, confidence, sources``: steps of all matching experience, the first ``limit`` of them if it is given."""
+    matched = experience_match(headers, items, profile)
+    steps = items.where(F.col("item_kind") == "step").join(matched, "experience_id")
     confidence = F.round(F.least(F.lit(1.0), F.col("score") * 0.6 + F.col("confidence") * 0.4), 4)
     grouped = steps.groupBy(F.col("value").alias("step")).agg(
         F.max(confidence).alias("confidence"), F.count_distinct("experience_id").alias("sources")
     )
     rank = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
-    return (
-        grouped.withColumn("priority", step_priority(F.col("step")))
-        .orderBy(rank, F.desc("confidence"), "step")
-        .limit(limit)
-        .select("step", "priority", "confidence", "sources")
-    )
+    ordered = grouped.withColumn("priority", step_priority(F.col("step"))).orderBy(rank, F.desc("confidence"), "step")
+    return (ordered.limit(limit) if limit else ordered).select("step", "priority", "confidence", "sources")
 
 
-def experience_tops(items: DataFrame, limit: int = 5) -> DataFrame:
-    """Most common metrics, anomalies, causes and tags: ``item_kind, value, frequency, rank, confidence``."""
+def experience_tops(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Metrics, anomalies, causes and tags by how common they are: ``item_kind, value, frequency, rank, confidence``."""
     counted = items.where(F.col("item_kind").isin("metric", "anomaly", "root_cause", "tag")).groupBy("item_kind", "value").agg(
         F.count(F.lit(1)).alias("frequency")
     )
-    best = Window.partitionBy("item_kind").orderBy(F.desc("frequency"), "value")
-    return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).withColumn(
-        "confidence", F.round(F.least(F.lit(1.0), 0.3 + F.col("frequency") * 0.12), 2)
-    )
+    ranked = _ranked(counted, "item_kind", [F.desc("frequency"), F.col("value")], limit)
+    return ranked.withColumn("confidence", F.round(F.least(F.lit(1.0), 0.3 + F.col("frequency") * 0.12), 2))

@@ -385,8 +385,8 @@ def _(spark, folder):
 
 
 @SET.add("business_extremes", f"""
-WITH c AS (SELECT channel AS name, sum(revenue) AS r, sum(cost) AS c FROM {SALES_SQL} GROUP BY 1 ORDER BY sum(revenue) - sum(cost) DESC, 1 LIMIT 6),
- s AS (SELECT segment AS name, avg(churn) AS churn FROM {SALES_SQL} GROUP BY 1 ORDER BY sum(revenue) - sum(cost) DESC, 1 LIMIT 6)
+WITH c AS (SELECT channel AS name, sum(revenue) AS r, sum(cost) AS c FROM {SALES_SQL} GROUP BY 1),
+ s AS (SELECT segment AS name, avg(churn) AS churn FROM {SALES_SQL} GROUP BY 1)
 SELECT 'lowest_margin_rate' AS finding, arg_min(name, (r - c) / r) AS name, round(min((r - c) / r), 6) AS value FROM c
 UNION ALL SELECT 'highest_cost_ratio', arg_max(name, c / r), round(max(c / r), 6) FROM c
 UNION ALL SELECT 'highest_churn', arg_max(name, churn), round(max(churn), 6) FROM s""")

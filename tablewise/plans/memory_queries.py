@@ -41,7 +41,7 @@ def _(spark, folder):
   UNION ALL SELECT 'metrics', affected FROM lineage WHERE bucket = 'root_causes'),
  c AS (SELECT kind, value, count(*) AS occurrences FROM v GROUP BY 1, 2 HAVING count(*) >= 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY occurrences DESC, value) AS rank FROM c)
-SELECT kind, value, occurrences, rank::INT AS rank, round(0.45 + 0.55 * (SELECT count(DISTINCT kind) FROM r) / 6, 4) AS confidence FROM r WHERE rank <= 8""")
+SELECT kind, value, occurrences, rank, round(0.45 + 0.55 * (SELECT count(DISTINCT kind) FROM r) / 6, 4) AS confidence FROM r""")
 def _(spark, folder):
     return experience.recurring_patterns(*stored_graph(spark, folder))
 
@@ -87,9 +87,9 @@ for _name, _kind in (("experience_metric", "metric"), ("experience_anomaly", "an
     SET.add(_name, _heads_sql(_kind))(_heads(_kind))
 
 
-@SET.add("experience_steps", _EXPERIENCE + "SELECT experience_id, value AS step FROM items WHERE item_kind = 'step' AND experience_id LIKE 'experience.metric%'")
+@SET.add("experience_steps", _EXPERIENCE + "SELECT experience_id, value AS step FROM items WHERE item_kind = 'step'")
 def _(spark, folder):
-    _heads_table, items = experience.experience_build(*stored_graph(spark, folder), "metric")
+    _heads_table, items = experience.experience_all(*stored_graph(spark, folder))
     return items.where("item_kind = 'step'").select("experience_id", F.col("value").alias("step"))
 
 
@@ -106,36 +106,35 @@ _SCORED = """
 , sc AS (SELECT experience_id, round(0.35 * max((item_kind = 'metric' AND value = '1-urgent')::INT) + 0.2 * max((item_kind = 'column' AND value = 'brand#3')::INT)
    + 0.2 * max((item_kind = 'anomaly' AND value = 'sla_violation')::INT) + 0.15 * max((item_kind = 'root_cause' AND value = 'backlog nation 4')::INT)
    + 0.1 * max((item_kind = 'tag' AND value = 'recurring')::INT), 4)::DOUBLE AS score FROM items GROUP BY 1),
- mt AS (SELECT experience_id, score, confidence, evidence_count FROM sc JOIN heads USING (experience_id) WHERE score > 0
-   ORDER BY score DESC, confidence DESC, evidence_count DESC, experience_id DESC LIMIT 10)"""
+ mt AS (SELECT experience_id, score, confidence, evidence_count FROM sc JOIN heads USING (experience_id) WHERE score > 0)"""
 
 
 @SET.add("experience_match", _EXPERIENCE + _SCORED + "SELECT * FROM mt")
 def _(spark, folder):
-    return experience.experience_match(*experience.experience_all(*stored_graph(spark, folder)), MATCH_PROFILE, 10)
+    return experience.experience_match(*experience.experience_all(*stored_graph(spark, folder)), MATCH_PROFILE)
 
 
 @SET.add("experience_recommend", _EXPERIENCE + _SCORED + """
 , g AS (SELECT value AS step, max(round(least(1.0, score * 0.6 + confidence * 0.4), 4))::DOUBLE AS confidence, count(DISTINCT experience_id) AS sources
    FROM items JOIN mt USING (experience_id) WHERE item_kind = 'step' GROUP BY 1),
  p AS (SELECT *, CASE WHEN lower(step) LIKE '%verifica infrastrutturale%' THEN 'high' WHEN lower(step) LIKE '%outlier%' OR lower(step) LIKE '%segmentazione%' THEN 'medium' ELSE 'low' END AS priority FROM g)
-SELECT step, priority, confidence, sources FROM p ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, confidence DESC, step LIMIT 5""")
+SELECT step, priority, confidence, sources FROM p""")
 def _(spark, folder):
-    return experience.experience_recommend(*experience.experience_all(*stored_graph(spark, folder)), MATCH_PROFILE, 5)
+    return experience.experience_recommend(*experience.experience_all(*stored_graph(spark, folder)), MATCH_PROFILE)
 
 
 @SET.add("experience_find", _EXPERIENCE + """
 SELECT experience_id, kind, key, confidence, evidence_count, updated_at FROM heads WHERE experience_id IN (
-  SELECT experience_id FROM items WHERE item_kind = 'anomaly' AND value = 'sudden_change') AND kind = 'metric'""")
+  SELECT experience_id FROM items WHERE item_kind = 'anomaly' AND value = 'sudden_change')""")
 def _(spark, folder):
-    built = experience.experience_build(*stored_graph(spark, folder), "metric")
+    built = experience.experience_all(*stored_graph(spark, folder))
     return experience.experience_find(*built, "anomaly", "SUDDEN_change")
 
 
 @SET.add("experience_tops", _EXPERIENCE + """
 , c AS (SELECT item_kind, value, count(*) AS frequency FROM items WHERE item_kind IN ('metric', 'anomaly', 'root_cause', 'tag') GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY item_kind ORDER BY frequency DESC, value) AS rank FROM c)
-SELECT item_kind, value, frequency, rank::INT AS rank, round(least(1.0, 0.3 + frequency * 0.12), 2)::DOUBLE AS confidence FROM r WHERE rank <= 5""")
+SELECT item_kind, value, frequency, rank, round(least(1.0, 0.3 + frequency * 0.12), 2)::DOUBLE AS confidence FROM r""")
 def _(spark, folder):
     return experience.experience_tops(experience.experience_all(*stored_graph(spark, folder))[1])
 
@@ -422,8 +421,7 @@ def _(spark, folder):
 
 
 @SET.add("next_actions", """
-WITH e AS (SELECT o_orderkey AS id, o_orderpriority AS tag, ['ship ' || o_orderpriority, 'Check ' || o_orderstatus, 'call ' || (o_custkey % 50)] AS recs, o_totalprice / 500000 AS score
-   FROM orders ORDER BY id DESC LIMIT 200),
+WITH e AS (SELECT o_orderkey AS id, o_orderpriority AS tag, ['ship ' || o_orderpriority, 'Check ' || o_orderstatus, 'call ' || (o_custkey % 50)] AS recs, o_totalprice / 500000 AS score FROM orders),
  w AS (SELECT id, p - 1 AS pos, recs[p] AS action, (CASE WHEN tag IN ('1-URGENT', '3-MEDIUM') THEN 2.0 ELSE 0.0 END) + score + greatest(0, 1.0 - (p - 1) * 0.1) AS weight FROM e, generate_series(1, 3) t(p)),
  f AS (SELECT *, row_number() OVER (PARTITION BY lower(action) ORDER BY id DESC, pos) AS r FROM w)
 SELECT action, round(weight, 6) AS weight FROM f WHERE r = 1 ORDER BY weight DESC, id DESC, pos LIMIT 5""")
@@ -433,7 +431,7 @@ def _(spark, folder):
         F.col("o_orderkey").alias("id"), F.array("o_orderpriority").alias("tags"), (F.col("o_totalprice") / 500000).alias("score"),
         F.array(text("ship ", F.col("o_orderpriority")), text("Check ", F.col("o_orderstatus")), text("call ", F.col("o_custkey") % 50)).alias("recommendations"),
     )
-    found = learning.next_actions(entries, "urgent or medium orders", 5, 200)
+    found = learning.next_actions(entries, "urgent or medium orders", 5)
     return found.withColumn("weight", F.round("weight", 6))
 
 

@@ -33,6 +33,32 @@ def test_sniffing(spark, tmp_path, text, encoding, delimiter, expected):
     assert [r.b for r in rows] == [first, second]
 
 
+def test_folder_of_unlike_files(spark, tmp_path):
+    folder = tmp_path / "in put.csv"
+    folder.mkdir()
+    write(folder, "1.csv", "id;name\n1;a,b\n2;c\n".encode())
+    write(folder, "2 b.csv", 'id,name\n3,"x;y;z"\n4,d\n'.encode())
+    write(folder, "3.csv", "id;name\n5;città\n".encode("cp1252"))
+    write(folder, "4.csv", b"")
+    df, fmt = files.guarded_csv(spark, str(folder), max_rows=5)
+    assert sorted(map(tuple, df.collect())) == [(1, "a,b"), (2, "c"), (3, "x;y;z"), (4, "d"), (5, "città")] and len(fmt.warnings) == 2
+    with pytest.raises(ValueError, match="more than 4"):
+        files.guarded_csv(spark, str(folder), max_rows=4)
+    with pytest.raises(ValueError, match="delimiters.*1.csv"):
+        files.sniff_csv(spark, str(folder))
+    write(folder, "5.csv", b"id;other\n6;x\n")
+    with pytest.raises(ValueError, match="different columns.*5.csv"):
+        files.guarded_csv(spark, str(folder), max_rows=10)
+
+
+def test_delimiter_of_late_lines(spark, tmp_path):
+    text = "a;b\n" + "1,5;x,y\n" * 300 + "2;z\n" * 3000
+    assert files.sniff_csv(spark, write(tmp_path, "t.csv", text.encode())).delimiter == ";"
+    quoted = 'a,b\n"x\ny",1\n"p;q;r",2\n'
+    df, _fmt = files.guarded_csv(spark, write(tmp_path, "q.csv", quoted.encode()), max_rows=3)
+    assert _fmt.delimiter == ","
+
+
 @pytest.mark.parametrize("data, message", [(b"", "empty"), (b"a,a\n1,2\n", "duplicate"), (b"a,b\n", "no rows"), (b"a\n1\n2\n3\n", "more than")])
 def test_guards(spark, tmp_path, data, message):
     with pytest.raises(ValueError, match=message):
