@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.dates import as_timestamp
 from tablewise.functions.numeric import finite, safe_ratio
-from tablewise.operators.ordering import exact_quantiles, quantiles_of_counts, value_counts_of
+from tablewise.operators.ordering import column_quantiles, exact_quantiles
 from tablewise.operators.shape import (
     categorical_columns,
     datetime_columns,
     is_missing,
-    long_numbers,
+    literal_row,
     numeric_columns,
     row_to_long,
     value_counts,
@@ -70,11 +70,9 @@ def summary_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
             F.count_if(is_missing(df, c)).alias(f"{c}__missing"),
         ]
     fields = ["count", "sum", "mean", "min", "max", "std", "missing"]
-    medians = exact_quantiles(long_numbers(df, names), "value", [0.5], ["column"], edge_key="column").select(
-        "column", F.element_at("quantiles", 1).alias("median")
-    )
-    long = row_to_long(df.agg(*measures), names, fields).join(F.broadcast(medians), "column", "left")
-    return long.where(F.col("count") > 0).select("column", *fields[:3], "median", *fields[3:])
+    medians, row = column_quantiles(df, {c: finite(_known(df, c)) for c in names}, [0.5], measures)
+    known = literal_row(df, row, measures, {f"{c}__median": medians[c] and medians[c][0] for c in names})
+    return row_to_long(known, names, [*fields[:3], "median", *fields[3:]]).where(F.col("count") > 0)
 
 
 def numeric_profile(
@@ -82,8 +80,7 @@ def numeric_profile(
 ) -> DataFrame:
     """Robust statistics per numeric column: seven percentiles, spread and MAD.
 
-    The second pass for the MAD needs the medians first; they come back as one broadcast row
-    per column.
+    Two scans give the percentiles of all columns and two more, once the medians are known, their MADs.
     """
     names = list(columns or numeric_columns(df))
     base: list[Column] = []
@@ -99,34 +96,27 @@ def numeric_profile(
             F.when(F.count(v) > 1, F.var_samp(v)).when(F.count(v) == 1, 0.0).alias(f"{c}__variance"),
         ]
     fields = ["count", "missing_count", "mean", "min", "max", "sum", "variance"]
-    shares = [p / 100 for p in PERCENTILES]
-    # The counts of every column's values are written once; medians, percentiles and MAD all come from them.
-    counts = value_counts_of(long_numbers(df, names), finite(F.col("value")), ["column"])
-    quantiles = quantiles_of_counts(counts, shares, ["column"], edge_key="column")
-    medians = quantiles.select("column", F.col("quantiles")[2].alias("_median"))
-    spread = counts.select("_k.column", "_v", "_n").join(F.broadcast(medians), "column").where(F.col("_v").isNotNull()).select(
-        "column", F.abs(F.col("_v") - F.col("_median")).alias("value"), "_n"
-    )
-    apart = value_counts_of(spread, F.col("value"), ["column"], F.col("_n"))
-    mads = quantiles_of_counts(apart, [0.5], ["column"], edge_key="column").select("column", F.col("quantiles")[0].alias("mad"))
-    long = (
-        row_to_long(df.agg(*base), names, fields)
-        .join(F.broadcast(quantiles.drop("n")), "column", "left")
-        .join(F.broadcast(mads), "column", "left")
-    )
+    values = {c: finite(_known(df, c)) for c in names}
+    quantiles, row = column_quantiles(df, values, [p / 100 for p in PERCENTILES], base)
+    apart = {c: F.abs(values[c] - quantiles[c][PERCENTILES.index(50)]) for c in names if quantiles[c]}
+    mads = column_quantiles(df, apart, [0.5])[0] if apart else {}
+    percentiles = [f"p{p}" for p in PERCENTILES]
+    more = {f"{c}__{name}": quantiles[c] and quantiles[c][i] for c in names for i, name in enumerate(percentiles)}
+    more |= {f"{c}__mad": mads[c][0] if mads.get(c) else None for c in names}
+    long = row_to_long(literal_row(df, row, base, more), names, [*fields, *percentiles, "mad"])
     std = F.sqrt("variance")
     return long.where(F.col("count") > 0).select(
         "column",
         "count",
         "missing_count",
         "mean",
-        F.col("quantiles")[2].alias("median"),
+        F.col("p50").alias("median"),
         "min",
         "max",
         "sum",
-        *[F.col("quantiles")[i].alias(f"p{p}") for i, p in enumerate(PERCENTILES)],
+        *percentiles,
         (F.col("max") - F.col("min")).alias("range"),
-        (F.col("quantiles")[3] - F.col("quantiles")[1]).alias("iqr"),
+        (F.col("p75") - F.col("p25")).alias("iqr"),
         "variance",
         std.alias("std"),
         safe_ratio(std, F.abs("mean")).alias("cv"),

@@ -1,15 +1,18 @@
 """Exact order statistics and ranks that never sort a whole table in one task.
 
-Values are pre-aggregated to (value, count), which is written once, and cut into buckets of about
-equal size whose edges come from a mergeable sketch; only the buckets that hold a wanted
-position are ordered. There is one way for inputs of every size.
+Quantiles are selected in two scans of the source. The first one sketches, for each wanted position, a value
+below and one above it, between which about ``2 * MARGIN / accuracy`` of the rows lie. The second one keeps the distinct
+values between them with their counts, and only counts the rest; what is kept is ordered. Nothing is written.
+
+Ranks pre-aggregate the values to (value, count), which is written once, and cut into buckets of about
+equal size whose edges come from a mergeable sketch. There is one way for inputs of every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.numeric import accurate_sum, finite
@@ -17,6 +20,8 @@ from tablewise.session import reliable_checkpoint, reused
 
 BUCKETS = 256
 SKETCH_ACCURACY = 2000
+#: A sketch misses a rank by one part in its accuracy at most; brackets are wider, also by what rounding a position adds.
+ACCURACY, MARGIN = 10_000, 5
 
 
 def pack_keys(keys: Sequence[str]) -> Column:
@@ -50,48 +55,105 @@ def _with_bucket(counts: DataFrame, edge_key: Column, buckets: int) -> DataFrame
 def _bucket_offsets(bucketed: DataFrame) -> DataFrame:
     """Rows before each bucket and in total, per key; at most ``buckets`` rows per key."""
     running = Window.partitionBy("_k").orderBy("_b")
-    per_bucket = bucketed.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_bd"))
+    per_bucket = bucketed.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_bd"), F.max("_v").alias("_top"))
     return per_bucket.select(
         "_k",
         "_b",
         "_bn",
+        "_top",
         (F.sum("_bn").over(running) - F.col("_bn")).alias("_before"),
         (F.sum("_bd").over(running) - F.col("_bd")).alias("_distinct_before"),
         F.sum("_bn").over(Window.partitionBy("_k")).alias("_total"),
     )
 
 
+def _marks(probabilities: Sequence[float], accuracy: int) -> list[float]:
+    """For each probability one below and one above it."""
+    apart = MARGIN / accuracy
+    return [q for p in probabilities for q in (max(0.0, p - apart), min(1.0, p + apart))]
+
+
+def _cell(value: Column, brackets: Sequence[tuple[Column, Column]]) -> Column:
+    """Where a value lies: ``_b``, the number of brackets below it, and ``_w``, the value if it is inside of one."""
+    inside, below = F.lit(False), F.lit(0)
+    for low, high in brackets:
+        inside, below = inside | ((value >= low) & (value <= high)), below + (value > high).cast("int")
+    return F.struct(below.alias("_b"), F.when(inside, value).alias("_w"), value.alias("_v"))
+
+
+def _counted(cells: DataFrame) -> DataFrame:
+    """Rows (_k, _c) of cells as (_k, _b, _w, _v, _n): kept values one by one, those between two brackets as one row."""
+    return cells.where(F.col("_c._v").isNotNull()).groupBy("_k", "_c._b", "_c._w").agg(F.max("_c._v").alias("_v"), F.count(F.lit(1)).alias("_n"))
+
+
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probabilities: Sequence[float],
-    keys: Sequence[str] = (),
-    *,
-    lower: bool = False,
-    edge_key: str | None = None,
-    buckets: int = BUCKETS,
+    df: DataFrame, value: str, probabilities: Sequence[float], keys: Sequence[str] = (), *, lower: bool = False, accuracy: int = ACCURACY
 ) -> DataFrame:
     """Exact quantiles per key as ``keys..., n, quantiles ARRAY<DOUBLE>``.
 
     Linear interpolation between neighbours by default; ``lower=True`` takes the element at
-    index ``floor((n-1)·q)``. ``edge_key`` names a key of few values (a metric name) whose
-    values have different ranges. A group without values, and without keys an empty input, gives
-    ``n`` 0 and null quantiles.
+    index ``floor((n-1)·q)``. A group without values, and without keys an empty input, gives
+    ``n`` 0 and null quantiles. The input is read twice; one that stands on several is materialised first.
     """
-    counts = value_counts_of(df, finite(F.col(value)), keys)
-    return quantiles_of_counts(counts, probabilities, keys, lower=lower, edge_key=edge_key, buckets=buckets)
+    rows = reused(df).select(pack_keys(keys).alias("_k"), finite(F.col(value)).alias("_v"))
+    sketch = [F.count("_v").alias("n"), F.percentile_approx("_v", _marks(probabilities, accuracy), accuracy).alias("_m")]
+    groups = rows.groupBy("_k").agg(*sketch) if keys else rows.agg(*sketch).select(pack_keys(()).alias("_k"), "*")
+    # A group of few values keeps them all.
+    few = F.col("n") <= accuracy
+    bound = lambda at, all_: F.when(few, F.lit(all_)).otherwise(F.col("_m")[at])
+    brackets = groups.select("_k", *[
+        bound(2 * i + high, float("inf") if high else float("-inf")).alias(f"_{i}_{high}") for i in range(len(probabilities)) for high in (0, 1)])
+    met = rows.join(brackets, "_k") if keys else rows.crossJoin(F.broadcast(brackets.drop("_k")))
+    cell = _cell(F.col("_v"), [(F.col(f"_{i}_0"), F.col(f"_{i}_1")) for i in range(len(probabilities))])
+    slots = _picked(_counted(met.select("_k", cell.alias("_c"))), probabilities)
+    found = groups.join(slots, groups["_k"].eqNullSafe(slots["_k"]), "left")
+    return found.select(
+        *[groups[f"_k.{k}"].alias(k) for k in keys], F.col("n"), F.when(F.col("n") > 0, F.array(*_between(probabilities, lower))).alias("quantiles"))
 
 
-def quantiles_of_counts(
-    every: DataFrame, probabilities: Sequence[float], keys: Sequence[str] = (), *,
-    lower: bool = False, edge_key: str | None = None, buckets: int = BUCKETS,
-) -> DataFrame:
-    """``exact_quantiles`` of written (_k, _v, _n)."""
-    if keys:
-        groups = every.groupBy("_k").agg(F.sum("_n").alias("n"))
-    else:
-        groups = every.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).select(pack_keys(()).alias("_k"), "n")
-    bucketed = _with_bucket(every.where(F.col("_v").isNotNull()), F.col(f"_k.{edge_key}") if edge_key else F.lit(0), buckets)
+def column_quantiles(
+    df: DataFrame, values: dict[str, Column], probabilities: Sequence[float], extra: Sequence[Column] = (), accuracy: int = ACCURACY
+) -> tuple[dict[str, list[float] | None], Row]:
+    """Exact quantiles of several columns, by name, from two scans for all; with the row of ``extra`` aggregates from the first scan.
+
+    The results are few numbers and come back to the driver. A column without values has none.
+    """
+    names = list(values)
+    marks = _marks(probabilities, accuracy)
+    sketches = [c for i, n in enumerate(names) for c in (F.count(values[n]).alias(f"_n{i}"), F.percentile_approx(values[n], marks, accuracy).alias(f"_m{i}"))]
+    first = df.agg(*extra, *sketches).first()
+    wide, known = (float("-inf"), float("inf")), []
+    for i in range(len(names)):
+        count, found = first[f"_n{i}"], first[f"_m{i}"]
+        if count:
+            ends = [wide] * len(probabilities) if count <= accuracy else list(zip(found[::2], found[1::2]))
+            known.append(F.struct(F.lit(i).alias("_i"), *[F.lit(e).alias(f"_{p}_{high}") for p, pair in enumerate(ends) for high, e in enumerate(pair)]))
+    if not known:
+        return dict.fromkeys(names), first
+    # One value a row before the comparisons: for all columns in one row, they would be too long a method to compile.
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), values[n].alias("_v")) for i, n in enumerate(names)])).alias("_x")).select("_x.*")
+    brackets = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*known)).alias("_x")).select("_x.*")
+    met = long.where(F.col("_v").isNotNull()).join(F.broadcast(brackets), "_i")
+    cell = _cell(F.col("_v"), [(F.col(f"_{p}_0"), F.col(f"_{p}_1")) for p in range(len(probabilities))])
+    rows = met.select(F.struct(F.col("_i").alias("i")).alias("_k"), cell.alias("_c"))
+    slots = _picked(_counted(rows), probabilities)
+    counts = F.element_at(F.array(*[F.lit(first[f"_n{i}"]).cast("long") for i in range(len(names))]), F.col("_k.i") + 1)
+    picked = {r.i: list(r.q) for r in slots.withColumn("n", counts).select("_k.i", F.array(*_between(probabilities, False)).alias("q")).collect()}
+    return {name: picked.get(i) for i, name in enumerate(names)}, first
+
+
+def _between(probabilities: Sequence[float], lower: bool) -> list[Column]:
+    """Each quantile from the two elements beside its place among ``n``."""
+    values = []
+    for index, probability in enumerate(probabilities):
+        position = F.lit(float(probability)) * (F.col("n") - 1)
+        low, high = F.col(f"_s{2 * index}"), F.col(f"_s{2 * index + 1}")
+        values.append(low if lower else low + (high - low) * (position - F.floor(position)))
+    return values
+
+
+def _picked(bucketed: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """(_k, _s0, _s1, ...) of (_k, _b, _w, _v, _n): the elements at and after each wanted place."""
     offsets = _bucket_offsets(bucketed)
     position = F.lit(0.0)
     targets = []
@@ -103,15 +165,17 @@ def quantiles_of_counts(
         "_k",
         "_b",
         "_before",
-        "_total",
+        "_top",
         F.filter(
             F.array(*targets),
             lambda t: (t["at"] >= F.col("_before")) & (t["at"] < F.col("_before") + F.col("_bn")),
         ).alias("_targets"),
     ).where(F.size("_targets") > 0)
     upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_k", "_b").orderBy("_v"))
+    # Both sides of the join read all columns of the counts, so that Spark makes them once.
     picked = (
         bucketed.join(wanted, ["_k", "_b"])
+        .where(F.col("_v") <= F.col("_top"))
         .withColumn("_upto", upto)
         .withColumn(
             "_hits",
@@ -120,20 +184,12 @@ def quantiles_of_counts(
                 lambda t: (t["at"] >= F.col("_upto") - F.col("_n")) & (t["at"] < F.col("_upto")),
             ),
         )
-        .select("_k", "_v", "_total", F.explode("_hits.slot").alias("_slot"))
+        .select("_k", "_w", F.explode("_hits.slot").alias("_slot"))
     )
-    slots = picked.groupBy("_k").agg(*[
-        F.max(F.when(F.col("_slot") == s, F.col("_v"))).alias(f"_s{s}") for s in range(2 * len(probabilities))
+    value = F.coalesce("_w", F.raise_error(F.lit("a wanted place lies outside its bracket: the sketch missed it")).cast("double"))
+    return picked.groupBy("_k").agg(*[
+        F.max(F.when(F.col("_slot") == s, value)).alias(f"_s{s}") for s in range(2 * len(probabilities))
     ])
-    values = []
-    for index, probability in enumerate(probabilities):
-        position = F.lit(float(probability)) * (F.col("n") - 1)
-        low, high = F.col(f"_s{2 * index}"), F.col(f"_s{2 * index + 1}")
-        values.append(low if lower else low + (high - low) * (position - F.floor(position)))
-    found = groups.join(slots, groups["_k"].eqNullSafe(slots["_k"]), "left")
-    return found.select(
-        *[groups[f"_k.{k}"].alias(k) for k in keys], F.col("n"), F.when(F.col("n") > 0, F.array(*values)).alias("quantiles")
-    )
 
 
 def average_ranks(

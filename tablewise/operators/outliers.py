@@ -118,7 +118,7 @@ def subset_vs_baseline(
     both = rows.select(F.explode(sides).alias("side"), "_x")
     counts = rows.agg(F.count(F.lit(1)).alias("baseline_rows"), F.count_if("_in").alias("subset_rows"))
     positive = both.where(F.col("_x") >= 0)
-    quantiles = exact_quantiles(positive, "_x", [0.25, 0.5, 0.75, 0.95], ["side"], edge_key="side")
+    quantiles = exact_quantiles(positive, "_x", [0.25, 0.5, 0.75, 0.95], ["side"])
     fences = quantiles.select(
         "side",
         F.col("quantiles")[1].alias("median"),

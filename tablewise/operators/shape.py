@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,13 @@ def row_to_long(row: DataFrame, names: Sequence[str], measures: Sequence[str], n
     return row.select(F.explode(cells).alias("_cell")).select(f"_cell.{name}", *[f"_cell.{m}" for m in measures])
 
 
+def literal_row(df: DataFrame, row: Row, columns: Sequence[Column], more: dict[str, float | None]) -> DataFrame:
+    """One row of known values: those of the aggregates ``columns`` of ``df``, in their types, and ``more`` numbers."""
+    known = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in df.agg(*columns).schema]
+    added = [F.lit(v).cast("double").alias(name) for name, v in more.items()]
+    return df.sparkSession.range(0, 1, 1, 1).select(*known, *added)
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, value, count`` for every distinct value, nulls included."""
     return long_texts(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))

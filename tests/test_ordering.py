@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablewise.operators.correlation import corr_kendall, corr_spearman
 from tablewise.operators.joins import latest_per_key, lookup_join
 from tablewise.operators.ordering import (
-    average_ranks, exact_quantiles, lag_in_chunks, row_numbers, top_share_sum,
+    _cell, _counted, _marks, average_ranks, column_quantiles, exact_quantiles, lag_in_chunks, row_numbers, top_share_sum,
 )
 
 
@@ -26,10 +26,11 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("lower", [True, False])
-def test_quantiles_match_numpy(skewed, lower):
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_quantiles_match_numpy(skewed, lower, accuracy):
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.95, 1.0]
     rows = skewed.collect()
-    found = exact_quantiles(skewed, "value", probabilities, ["key"], lower=lower, buckets=16).collect()
+    found = exact_quantiles(skewed, "value", probabilities, ["key"], lower=lower, accuracy=accuracy).collect()
     assert len(found) == 4
     for row in found:
         values = [r.value for r in rows if r.key == row.key and r.value is not None]
@@ -158,3 +159,17 @@ def test_recent_sum_with_ties(spark, moments):
     assert row.recent_sum == pytest.approx(sum(v for _, v in ordered[-100:]))
     assert row.baseline_sum == pytest.approx(sum(v for _, v in ordered[:-100]))
     assert str(row.recent_from) == ordered[-100][0] and str(row.recent_to) == ordered[-1][0]
+
+
+def test_column_quantiles_keep_few_values(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=60_000).round(4), np.where(rng.random(60_000) < 0.4, 1.0, rng.integers(0, 50_000, 60_000))
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), [None] * 60_000)), "a double, b double, c double").cache()
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
+    found, row = column_quantiles(df, {n: F.col(n) for n in "abc"}, shares, [F.count(F.lit(1)).alias("rows")])
+    assert row["rows"] == 60_000 and found["c"] is None
+    for name, values in (("a", a), ("b", b)):
+        assert np.allclose(found[name], np.quantile(values, shares), rtol=0, atol=1e-12)
+    marks = df.select(F.percentile_approx("a", _marks([0.5], 10_000), 10_000)).first()[0]
+    cells = _counted(df.select(F.struct(F.lit(0)).alias("_k"), _cell(F.col("a"), [(F.lit(marks[0]), F.lit(marks[1]))]).alias("_c")))
+    assert cells.count() < 200  # what is ordered
