@@ -35,6 +35,8 @@ TILE = 4096
 BLOCK_HASHES = 1 << 16
 BLOCK_PAIRS = 1 << 20
 #: Sets of shingles in one tile, and what a set counts besides its hashes, so that a tile has few thousand of them.
+#: Text whose sets of shingles are made at once; they take many times its bytes.
+SET_SLICE = 2 * 1024 * 1024
 SET_BYTES, SET_EXTRA = 4 * 1024 * 1024, 1024
 
 
@@ -200,7 +202,7 @@ def linked_documents(
 
 def _set_signatures(words: int, lanes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SET_SLICE):
             sets = [shingle_set(t, words) for t in part.column(3).to_pylist()]
             found = np.stack([set_signature(s, lanes) for s in sets]).view(np.int64)
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
@@ -212,7 +214,7 @@ def _set_signatures(words: int, lanes: int) -> Callable[[Iterator[pa.RecordBatch
 
 def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SET_SLICE):
             sets = [shingle_set(t, words).tobytes() for t in part.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], ["node", "root", "sig", "shingles"])
 
