@@ -288,6 +288,88 @@ def _(spark, folder):
     return ranked.select("rank", "severity", "evidence_count")
 
 
+# The lines of a supplier and flag are one analysis; every tenth supplier and the flag N stand for "unknown", which is a
+# key as well. A supplier has two or three kinds of anomaly, so that an analysis can have several components.
+_ANALYSES = f"""
+WITH l AS (SELECT CASE WHEN l_suppkey % 10 <> 0 THEN l_suppkey END AS supplier, nullif(l_returnflag, 'N') AS flag, l_quantity AS q, l_discount AS d, l_tax AS x,
+   l_suppkey % 3 AS kind, strftime(l_shipdate, '%Y-%m') AS month FROM lineitem),
+ a AS (SELECT supplier, flag, 'numeric_outlier' AS t, {SEVERITY.format(r='q / 12')} AS severity, 'l_quantity' AS col, '' AS period FROM l WHERE q >= 48
+  UNION ALL SELECT supplier, flag, 'sla_violation', {SEVERITY.format(r='d * 12')}, 'l_discount', '' FROM l WHERE d >= 0.1 AND kind = 0
+  UNION ALL SELECT supplier, flag, 'sla_violation', {SEVERITY.format(r='d * 12')}, '', '' FROM l WHERE d <= 0.01 AND kind = 1
+  UNION ALL SELECT supplier, flag, 'time_series_spike', {SEVERITY.format(r='x * 40')}, 'l_tax', month FROM l WHERE x >= 0.08 AND kind = 2),
+ v AS (SELECT *, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS lvl FROM a),
+ p AS (SELECT supplier, flag, lvl, 'c' AS kind, col AS k FROM v WHERE col <> '' UNION SELECT supplier, flag, lvl, 'p', period FROM v WHERE period <> ''
+  UNION SELECT supplier, flag, lvl, 't', t FROM v UNION SELECT supplier, flag, lvl, 'x', '' FROM v WHERE t = 'time_series_spike'),
+ e AS (SELECT DISTINCT b.supplier, b.flag, b.lvl AS f, c.lvl AS g FROM p b JOIN p c ON b.supplier IS NOT DISTINCT FROM c.supplier
+   AND b.flag IS NOT DISTINCT FROM c.flag AND (b.kind = c.kind AND b.k = c.k OR abs(b.lvl - c.lvl) = 1)),
+ r AS (SELECT supplier, flag, f, g FROM e UNION SELECT e.supplier, e.flag, e.f, n.g FROM e JOIN e n ON e.supplier IS NOT DISTINCT FROM n.supplier
+   AND e.flag IS NOT DISTINCT FROM n.flag AND e.g = n.f),
+ w AS (SELECT supplier, flag, f, min(g) AS g FROM r GROUP BY ALL),
+ z AS (SELECT w.supplier, w.flag, w.f, min(n.g) AS component FROM w JOIN w n ON w.supplier IS NOT DISTINCT FROM n.supplier
+   AND w.flag IS NOT DISTINCT FROM n.flag AND w.g = n.f GROUP BY ALL),
+ m AS (SELECT v.*, component FROM v JOIN z ON v.supplier IS NOT DISTINCT FROM z.supplier AND v.flag IS NOT DISTINCT FROM z.flag AND lvl = f)"""
+
+
+def _supplier_anomalies(spark, folder):
+    """Anomaly records of the lines, with the columns that tell analyses apart."""
+    lines = table(spark, folder, "lineitem")
+    kind = F.col("l_suppkey") % 3
+    checks = (
+        ("numeric_outlier", "l_quantity", F.col("l_quantity") / 12, None, F.col("l_quantity") >= 48),
+        ("sla_violation", "l_discount", F.col("l_discount") * 12, None, (F.col("l_discount") >= 0.1) & (kind == 0)),
+        ("sla_violation", None, F.col("l_discount") * 12, None, (F.col("l_discount") <= 0.01) & (kind == 1)),
+        ("time_series_spike", "l_tax", F.col("l_tax") * 40, F.date_format("l_shipdate", "yyyy-MM-dd"), (F.col("l_tax") >= 0.08) & (kind == 2)),
+    )
+    records = [F.when(applies, F.struct(
+        F.lit(name).alias("anomaly_type"), F.lit(column).cast("string").alias("affected_column"), numeric.severity_from_ratio(ratio).alias("severity"),
+        (period if period is not None else F.lit(None)).cast("string").alias("affected_period"))) for name, column, ratio, period, applies in checks]
+    found = lines.select(
+        F.when(F.col("l_suppkey") % 10 != 0, F.col("l_suppkey")).alias("supplier"), F.nullif("l_returnflag", F.lit("N")).alias("flag"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), F.explode(F.array_compact(F.array(*records))).alias("_r"),
+    ).select("supplier", "flag", "line", "_r.*")
+    return found.select(
+        "*", F.concat_ws("|", "line", "anomaly_type").alias("anomaly_id"), numeric.confidence_for_severity(F.col("severity")).alias("confidence_score"))
+
+
+_ANALYSIS = ["supplier", "flag"]
+
+
+@SET.add("rca_components_keyed", _ANALYSES + f"""
+SELECT supplier, flag, component::INTEGER AS component, count(*) AS anomaly_count, ['low', 'medium', 'high', 'critical'][max(lvl)] AS severity,
+  round(avg({CONFIDENCE.format(s='severity')}), 4) AS confidence_score, coalesce(string_agg(DISTINCT nullif(col, ''), ',' ORDER BY nullif(col, '')), '') AS affected_metrics,
+  coalesce(string_agg(DISTINCT nullif(period, ''), ',' ORDER BY nullif(period, '')), '') AS affected_periods, string_agg(DISTINCT t, ',' ORDER BY t) AS anomaly_types
+FROM m GROUP BY supplier, flag, component""")
+def _(spark, folder):
+    found = rootcause.rca_components(_supplier_anomalies(spark, folder), _ANALYSIS)
+    lists = ("affected_metrics", "affected_periods", "anomaly_types")
+    return found.select(
+        *_ANALYSIS, "component", "anomaly_count", "severity", "confidence_score", *[F.array_join(c, ",").alias(c) for c in lists])
+
+
+@SET.add("rca_rank_keyed", _ANALYSES + f""",
+ g AS (SELECT supplier, flag, component, count(*) AS n, max(lvl) AS top, round(avg({CONFIDENCE.format(s='severity')}), 4) AS conf FROM m GROUP BY ALL)
+SELECT supplier, flag, ['low', 'medium', 'high', 'critical'][top] AS severity, n AS evidence_count,
+  round(least(0.99, conf + least(0.2, greatest(0, n - 1) * 0.03) + top * 0.03), 4) AS confidence_score,
+  row_number() OVER (PARTITION BY supplier, flag ORDER BY top DESC) AS rank FROM g""")
+def _(spark, folder):
+    ranked = rootcause.rca_rank(rootcause.rca_causes(_supplier_anomalies(spark, folder), keys=_ANALYSIS), _ANALYSIS)
+    return ranked.select(*_ANALYSIS, "severity", "evidence_count", "confidence_score", "rank")
+
+
+@SET.add("rca_related_keyed", _ANALYSES + """,
+ k AS (SELECT supplier, flag, 'same_column' AS reason, col AS key, count(*) AS c FROM v WHERE col <> '' GROUP BY ALL
+  UNION ALL SELECT supplier, flag, 'same_or_similar_period', period, count(*) FROM v WHERE period <> '' GROUP BY ALL
+  UNION ALL SELECT supplier, flag, 'same_anomaly_type', t, count(*) FROM v GROUP BY ALL
+  UNION ALL SELECT supplier, flag, 'trend_or_degradation_signal', 'trend', count(*) FROM v WHERE t = 'time_series_spike' GROUP BY ALL),
+ n AS (SELECT supplier, flag, count(*) FILTER (lvl = 1) AS n1, count(*) FILTER (lvl = 2) AS n2, count(*) FILTER (lvl = 3) AS n3,
+   count(*) FILTER (lvl = 4) AS n4 FROM v GROUP BY ALL)
+SELECT supplier, flag, reason, key, c AS members, c * (c - 1) // 2 AS related_pairs FROM k WHERE c > 1
+UNION ALL SELECT supplier, flag, 'similar_severity', 'adjacent', n1 + n2 + n3 + n4,
+  n1 * (n1 - 1) // 2 + n2 * (n2 - 1) // 2 + n3 * (n3 - 1) // 2 + n4 * (n4 - 1) // 2 + n1 * n2 + n2 * n3 + n3 * n4 FROM n""")
+def _(spark, folder):
+    return rootcause.rca_related(_supplier_anomalies(spark, folder), _ANALYSIS)
+
+
 @SET.add("fn_severity", """
 SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity / 10 >= 4 THEN 'critical' WHEN l_quantity / 10 >= 2.5 THEN 'high'
   WHEN l_quantity / 10 >= 1.25 THEN 'medium' ELSE 'low' END AS by_ratio, CASE WHEN l_quantity >= 50 THEN 'critical'

@@ -73,15 +73,18 @@ def related(a, b):
     }
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_components_match_pairwise_search(spark, seed):
+def random_anomalies(seed):
     rng = random.Random(seed)
     levels = rng.sample(list(RANK), rng.randint(1, 4)) if seed else ["low", "critical"]
-    rows = [
+    return [
         (f"a{i}", rng.choice(["numeric_outlier", "sla_violation"]) if seed % 2 else f"type{i}", rng.choice(levels), 0.5,
          f"c{rng.randint(0, 9)}_{i if seed < 3 else 0}", rng.choice([None, "2026-01"]) if seed > 3 else None)
         for i in range(rng.randint(2, 9))
     ]
+
+
+def pairwise_groups(rows):
+    """(size, reasons, ids) of every component, by comparing all pairs."""
     left, expected = set(range(len(rows))), []
     while left:
         stack, group, reasons = [left.pop()], set(), set()
@@ -96,9 +99,64 @@ def test_components_match_pairwise_search(spark, seed):
             for j in group:
                 if i < j:
                     reasons |= related(rows[i], rows[j])
-        expected.append((len(group), frozenset(reasons)))
+        expected.append((len(group), sorted(reasons), sorted(rows[i][0] for i in group)))
+    return sorted(expected)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_components_match_pairwise_search(spark, seed):
+    rows = random_anomalies(seed)
     found = rootcause.rca_components(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((r.anomaly_count, sorted(r.relationship_reasons)) for r in found) == sorted((n, sorted(r)) for n, r in expected)
+    assert sorted((r.anomaly_count, sorted(r.relationship_reasons)) for r in found) == sorted(g[:2] for g in pairwise_groups(rows))
+
+
+# Names of a run and a tenant, with nulls, an empty text and one analysis that holds most rows.
+ANALYSES = [("r1", 1), ("r1", 2), ("r1", None), (None, 1), (None, None), ("", None), ("r2", 1), ("r2", 2), ("r3", 1), ("r3", 2)]
+
+
+def keyed_anomalies(spark):
+    analyses = {key: random_anomalies(seed) for seed, key in enumerate(ANALYSES)}
+    analyses["hot", 1] = [(f"h{i}", ("trend_up", "sla_violation")[i % 2], ("low", "critical")[i % 2], 0.5, None, None) for i in range(3000)]
+    rows = [(*key, *row) for key, found in analyses.items() for row in found]
+    random.Random(5).shuffle(rows)
+    return analyses, spark.createDataFrame(rows, "run string, tenant int, " + SCHEMA)
+
+
+def test_keyed_components_match_pairwise_search_of_each_analysis(spark):
+    analyses, df = keyed_anomalies(spark)
+    hot = analyses.pop(("hot", 1))
+    found = {}
+    for r in rootcause.rca_components(df, ["run", "tenant"]).collect():
+        found.setdefault((r.run, r.tenant), []).append(r)
+    parts = found.pop(("hot", 1))
+    assert sorted((r.anomaly_count, r.anomaly_types) for r in parts) == [(1500, ["sla_violation"]), (1500, ["trend_up"])] and len(hot) == 3000
+    assert {k: sorted((r.anomaly_count, sorted(r.relationship_reasons)) for r in v) for k, v in found.items()} == {
+        k: sorted(g[:2] for g in pairwise_groups(rows)) for k, rows in analyses.items()}
+    ids = [r.group_id for v in [*found.values(), parts] for r in v]
+    assert len(set(ids)) == len(ids)
+    members = {}
+    for r in rootcause.rca_members(df, ["run", "tenant"]).where("run is null or run <> 'hot'").collect():
+        members.setdefault((r.run, r.tenant, r.component), []).append(r.anomaly_id)
+    assert sorted(((a, b), sorted(v)) for (a, b, _), v in members.items() if a and b) == sorted(
+        (k, g[2]) for k, rows in analyses.items() for g in pairwise_groups(rows) if k[0] and k[1])
+    assert rootcause.rca_components(df.limit(0), ["run", "tenant"]).collect() == []
+
+
+def test_keyed_anomalies_are_combined_before_the_shuffle(spark):
+    _, df = keyed_anomalies(spark)
+    plan = rootcause._properties(df, ["run", "tenant"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan and plan.index("Exchange") < plan.rindex("HashAggregate")
+
+
+def test_keyed_causes_rank_within_their_analysis(spark):
+    analyses, df = keyed_anomalies(spark)
+    profiled = spark.createDataFrame([("c1_0",), ("c2_0",)], "column string")
+    causes = rootcause.rca_rank(rootcause.rca_causes(df, profiled, keys=["run", "tenant"]), ["run", "tenant"]).collect()
+    ranks = {}
+    for r in causes:
+        ranks.setdefault((r.run, r.tenant), []).append(r.rank)
+        assert r.evidence_count == r.anomaly_count + len({"c1_0", "c2_0"} & set(r.affected_metrics))
+    assert set(ranks) == set(analyses) and all(sorted(v) == list(range(1, len(v) + 1)) for v in ranks.values())
 
 
 def test_causes_are_scored_and_ranked(spark):
