@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.plans.registry import QuerySet, table
-from tablewise.session import shared_folder
-from tablewise.sources import catalog, files, sql
+from tablewise.session import reliable_checkpoint, shared_folder
+from tablewise.sources import catalog, files, sql, workbooks
 
 SET = QuerySet()
 
@@ -43,6 +43,19 @@ def _(spark, folder):
     return guarded.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(len(guarded.columns)).alias("columns"))
 
 
+@SET.add("src_excel", """
+SELECT o_orderstatus, o_orderpriority, count(*) AS orders, sum(o_orderkey + o_custkey)::BIGINT AS keys, round(sum(o_totalprice), 2) AS total,
+  max(o_totalprice) AS dearest, min(o_orderdate) AS first_date FROM orders GROUP BY 1, 2""")
+def _(spark, folder):
+    orders = table(spark, folder, "orders")
+    # Workbooks in the shared folder, as rows of path and content.
+    books = reliable_checkpoint(workbooks.as_workbooks(orders))
+    read = workbooks.read_excel(books, schema=orders.schema)
+    return read.groupBy("o_orderstatus", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_orderkey") + F.col("o_custkey")).alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("total"),
+        F.max("o_totalprice").alias("dearest"), F.min("o_orderdate").alias("first_date"))
+
+
 @SET.add("src_records", "SELECT event_id, cast(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def _(spark, folder):
     return files.parse_records(table(spark, folder, "events").select("event_id", "props"), "props", "k bigint")

@@ -1,16 +1,11 @@
-"""CSV, Excel and JSON records as DataFrames."""
+"""CSV files and JSON records as DataFrames."""
 
 from __future__ import annotations
 
 import csv
-import io
-import zipfile
-from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
-from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +18,6 @@ DELIMITERS = ",;\t|"
 #: Combinations of dialect and header that a folder's files may have.
 MAX_DIALECTS = 100
 MAX_COLUMNS = 500
-# Limits of an Excel archive.
-MAX_ENTRIES, MAX_EXPANDED, MAX_RATIO = 5000, 100 * 1024 * 1024, 100
 # Bytes that cp1252 leaves undefined.
 CP1252_UNDEFINED = "81|8D|8F|90|9D"
 
@@ -200,73 +193,3 @@ def file_preview(df: DataFrame, first_rows: int = 5) -> dict[str, DataFrame]:
         "numeric": summary_numeric(df) if numeric_columns(df) else df.limit(0),
         "rows": df.limit(first_rows),
     }
-
-
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def check_archive(data: bytes) -> zipfile.ZipFile:
-    """The opened archive, or an error when it is broken or would expand unsafely."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as error:
-        raise ValueError("not a valid Excel file") from error
-    entries = archive.infolist()
-    packed, expanded = sum(e.compress_size for e in entries) or 1, sum(e.file_size for e in entries)
-    if len(entries) > MAX_ENTRIES or expanded > MAX_EXPANDED or expanded / packed > MAX_RATIO:
-        raise ValueError("Excel archive refused: unsafe expansion")
-    return archive
-
-
-def _column_number(reference: str) -> int:
-    number = 0
-    for letter in reference:
-        if not letter.isalpha():
-            break
-        number = number * 26 + ord(letter.upper()) - 64
-    return number - 1
-
-
-def workbook_rows(data: bytes, sheet: int = 1) -> list[list[str | None]]:
-    """Cells of one sheet as text, row by row; shared strings resolved."""
-    archive = check_archive(data)
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in archive.namelist():
-        root = ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))
-        shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in root.iter(f"{_MAIN}si")]
-    rows = []
-    for row in ElementTree.fromstring(archive.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{_MAIN}row"):
-        cells: list[str | None] = []
-        for cell in row.iter(f"{_MAIN}c"):
-            position = _column_number(cell.get("r", "")) if cell.get("r") else len(cells)
-            cells += [None] * (position + 1 - len(cells))
-            value = cell.find(f"{_MAIN}v")
-            if cell.get("t") == "inlineStr":
-                cells[position] = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
-            elif value is not None and value.text is not None:
-                cells[position] = shared[int(value.text)] if cell.get("t") == "s" else value.text
-        rows.append(cells)
-    return rows
-
-
-def read_workbooks(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
-    """``path, row_number, cells`` of every workbook under ``path``; one workbook per record.
-
-    A workbook is bounded by the archive guard, so a task never holds more than that.
-    """
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, content in zip(batch["path"], batch["content"]):
-                cells = workbook_rows(bytes(content), sheet)
-                yield pd.DataFrame({"path": file, "row_number": range(len(cells)), "cells": cells})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    return files.mapInPandas(rows, "path string, row_number int, cells array<string>")
-
-
-def workbook_table(rows: DataFrame) -> DataFrame:
-    """Workbook rows as named text columns, the header taken from the first row of the first file."""
-    header = rows.where(F.col("row_number") == 0).orderBy("path").first().cells
-    if len(header) > MAX_COLUMNS or len(set(header)) != len(header):
-        raise ValueError("too many or duplicate columns")
-    return rows.where(F.col("row_number") > 0).select(*[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(header)])

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tablewise.sources import catalog, files, sql
+from tablewise.sources import catalog, files, sql, workbooks
 from tablewise.streaming import monitors
 
 
@@ -81,15 +81,58 @@ def workbook(rows):
 def test_workbooks(spark, tmp_path):
     write(tmp_path, "one.xlsx", workbook([["name", "n"], ["a", 1], ["b", None]]))
     write(tmp_path, "two.xlsx", workbook([["name", "n"], [None, 3]]))
-    df = files.workbook_table(files.read_workbooks(spark, str(tmp_path)))
-    assert sorted((r.name or "", r.n or "") for r in df.collect()) == [("", "3"), ("a", "1"), ("b", "")]
+    found = workbooks.workbook_files(spark, str(tmp_path))
+    assert sorted((r.name or "", r.n or "") for r in workbooks.read_excel(found).collect()) == [("", "3"), ("a", "1"), ("b", "")]
+    assert sorted((r.who or "", r.n or 0) for r in workbooks.read_excel(found, 1, "who string, n int").collect()) == [("", 3), ("a", 1), ("b", 0)]
+    with pytest.raises(Exception, match="no sheet 'other'"):
+        workbooks.read_excel(found, "other")
+    write(tmp_path, "three.xlsx", workbook([["name", "m"], ["x", 3]]))
+    with pytest.raises(ValueError, match="different columns.*three.xlsx"):
+        workbooks.read_excel(workbooks.workbook_files(spark, str(tmp_path)))
     with pytest.raises(ValueError, match="valid"):
-        files.check_archive(b"nonsense")
+        workbooks.check_archive(b"nonsense")
     bomb = io.BytesIO()
     with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as archive:
         archive.writestr("x", b"0" * 10_000_000)
     with pytest.raises(ValueError, match="unsafe"):
-        files.check_archive(bomb.getvalue())
+        workbooks.check_archive(bomb.getvalue())
+    write(tmp_path, "four.xlsx", bomb.getvalue())
+    with pytest.raises(Exception, match="unsafe"):
+        workbooks.read_excel(workbooks.workbook_files(spark, str(tmp_path)))
+
+
+def test_sheets_shared_texts_and_reading_aids():
+    buffer, main = io.BytesIO(), 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(buffer, "w") as archive:
+        archive.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>plain</t></si><si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>aid</t></rPh></si></sst>")
+        archive.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+                         '<sheets><sheet name="B" r:id="r2"/><sheet name="A" r:id="r1"/></sheets></workbook>')
+        archive.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/>'
+                         '<Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        for i in (1, 2):
+            archive.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet {main}><sheetData><row><c r="AB1" t="s"><v>{i - 1}</v></c></row><row/></sheetData></worksheet>')
+    archive = workbooks.check_archive(buffer.getvalue())
+    assert workbooks.sheet_parts(archive) == [("B", "xl/worksheets/sheet2.xml"), ("A", "xl/worksheets/sheet1.xml")]
+    shared = workbooks._shared_texts(archive)
+    assert shared == ["plain", "rich"]
+    assert list(workbooks.sheet_rows(archive, "xl/worksheets/sheet2.xml", shared)) == [[None] * 27 + ["rich"], []]
+
+
+def test_workbooks_give_back_what_was_written(spark):
+    rows = [(1, 0.1, True, "a<&>\"'", "2024-05-01 10:00:00"), (None, None, None, None, None), (-(2**62), 1e-300, False, " _x0041_ \r\n\t\x01 é😀 ", None), (3, 2.0, None, "", None)]
+    df = spark.createDataFrame(rows * 40, "id long, x double, flag boolean, text string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    books = workbooks.as_workbooks(df.repartition(3), max_bytes=2000)
+    found = books.collect()
+    assert len(found) > 6 and len({r.path for r in found}) == len(found)
+    read = workbooks.read_excel(books, schema=df.schema)
+    assert read.dtypes == df.dtypes
+    assert read.exceptAll(df).count() == 0 and df.exceptAll(read).count() == 0
+    even = workbooks.as_workbooks(spark.range(30000).select(F.lit("a" * 50).alias("t")).coalesce(1))
+    assert workbooks.read_excel(even).count() == 30000
+    empty = workbooks.as_workbooks(df.limit(0))
+    assert workbooks.read_excel(empty, schema=df.schema).collect() == []
+    with pytest.raises(ValueError, match="no workbook"):
+        workbooks.read_excel(empty)
 
 
 @pytest.mark.parametrize("statement, allowed", [
