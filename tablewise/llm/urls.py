@@ -4,7 +4,7 @@ The method: variable-order Markov models (contexts of two, one and no symbols, m
 Witten-Bell weights) of accepted and of rejected URLs, trained on all rows. The mean over a URL's symbols of
 the difference of the log likelihoods, rejected less accepted, is compared with a threshold that
 separates held-out labelled URLs best. A URL counts as rejected in training if a rule blocks
-it or its host holds a word of ``REJECTED_WORDS``, else as accepted.
+it or a part of its host, between dots and dashes, is a word of ``REJECTED_WORDS``, else as accepted.
 
 Symbols are 32 classes, so a model has at most 32,768 counts whatever the table's size; they are
 turned into one table of log ratios, and every URL is scored where it is read.
@@ -24,7 +24,7 @@ from tablewise.llm.common import ascii_lower, bound
 
 #: (verdict, host and path that a URL's host ends with and its path begins with)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Words in hosts of which a rejected URL is made in training.
+#: Parts of hosts that make a URL rejected in training; "downloads" is no "ads".
 REJECTED_WORDS = ("spam", "pills", "casino", "bets", "adult", "ads", "porn", "viagra", "poker", "lottery")
 #: The 32nd class stands before a URL; "~" is any other character, "0" any digit.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0./-~^"
@@ -98,7 +98,7 @@ def labelled(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     base = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, ruled = fitting_rule(F.col("host"), F.col("path"), rules)
-    rejected = F.coalesce(ruled == "block", F.lit(False)) | F.col("host").rlike("|".join(REJECTED_WORDS))
+    rejected = F.coalesce(ruled == "block", F.lit(False)) | F.col("host").rlike(f"(^|[.-])({'|'.join(REJECTED_WORDS)})([.:-]|$)")
     return base.select("*", rule.alias("rule"), ruled.alias("ruled"), rejected.alias("rejected"))
 
 
