@@ -271,6 +271,8 @@ def anomaly_summary(anomalies: DataFrame) -> DataFrame:
 
 
 def top_anomalies(anomalies: DataFrame, limit: int = 10) -> DataFrame:
+    """The gravest records: by severity, confidence and size of the deviation, then by what names them."""
     return anomalies.orderBy(
-        severity_rank(F.col("severity")).desc(), F.desc("confidence_score"), "anomaly_id"
+        severity_rank(F.col("severity")).desc(), F.desc("confidence_score"), F.abs("deviation").desc_nulls_last(),
+        "anomaly_type", "affected_column", "affected_period", "observed_value", "row_id", "method",
     ).limit(limit)

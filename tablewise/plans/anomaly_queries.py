@@ -222,9 +222,27 @@ def _(spark, folder):
     return anomalies.anomaly_summary(all_anomalies(spark, folder))
 
 
-@SET.add("top_anomalies")
-def _(spark, folder):
-    return anomalies.top_anomalies(all_anomalies(spark, folder)).select("anomaly_id", *PUBLIC)
+_CHANGE_OF_M = "(recent - base) / abs(base) * 100"
+
+
+@SET.add("top_anomalies", _ALL_SQL + f""",
+ x AS (SELECT 'numeric_outlier' AS anomaly_type, {SEVERITY.format(r='r')} AS severity, NULL::VARCHAR AS period, round(value, 4) AS observed_value,
+   round(med, 4) AS expected_value, round(round(value, 4) - round(med, 4), 4) AS deviation,
+   CASE WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 'iqr' WHEN abs((value - mean) / sd) > 3 THEN 'zscore'
+     ELSE 'modified_zscore' END AS method, '{{"event_id":"' || event_id || '"}}' AS row_id FROM n, s
+  UNION ALL SELECT 'time_series_spike', {SEVERITY.format(r='abs((v - rm) / rs)')}, cast(period AS VARCHAR), v, rm, round(v - rm, 4), 'rolling_mean_std', NULL
+    FROM p WHERE rs > 0 AND v > rm + rs
+  UNION ALL SELECT 'sudden_change', {SEVERITY.format(r='abs(g) / 15.0')}, cast(period AS VARCHAR), v, rm, g, 'period_over_period_growth', NULL
+    FROM p WHERE abs(g) >= 15.0
+  UNION ALL SELECT 'performance_degradation', {SEVERITY.format(r=f'abs({_CHANGE_OF_M}) / 20.0')}, 'late', round(recent, 4), round(base, 4),
+    round({_CHANGE_OF_M}, 4), 'recent_window_vs_baseline_mean', NULL FROM m WHERE {_CHANGE_OF_M} >= 20
+  UNION ALL SELECT 'sla_violation', CASE WHEN rate >= 50 THEN 'critical' WHEN rate >= 25 THEN 'high' WHEN rate >= 10 THEN 'medium' ELSE 'low' END, NULL,
+    rate, 0.0, rate, 'threshold_comparison', NULL FROM q WHERE rate > 0)
+SELECT row_id, anomaly_type, severity, {CONFIDENCE.format(s='severity')} AS confidence_score, 'value' AS affected_column, observed_value, expected_value,
+  deviation, method FROM x
+ORDER BY confidence_score DESC, abs(deviation) DESC NULLS LAST, anomaly_type, period NULLS FIRST, observed_value, row_id NULLS FIRST, method LIMIT 10""")
+def _(spark, folder):
+    return anomalies.top_anomalies(all_anomalies(spark, folder)).select("row_id", *PUBLIC)
 
 
 @SET.add("extreme_from_summary", " UNION ALL ".join(

@@ -181,7 +181,7 @@ def _relation(target: str, kind: str) -> str:
 def _escaped(text: str) -> str:
     """XML text; characters that XML can't hold or would change become ``_xHHHH_``."""
     marked = re.sub("_(?=x[0-9A-Fa-f]{4}_)", "_x005F_", text)
-    return escape(re.sub("[\x00-\x08\x0b-\x1f￾￿]", lambda m: f"_x{ord(m[0]):04X}_", marked))
+    return escape(re.sub("[\x00-\x08\x0b-\x1f\ufffe\uffff]", lambda m: f"_x{ord(m[0]):04X}_", marked))
 
 
 def _cell_xml(value: object) -> str:

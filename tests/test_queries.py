@@ -10,12 +10,11 @@ from oracle_check import compare, duck
 SF = os.environ.get("TABLEWISE_TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="shared tables not present")
 
-# Checked by brute force elsewhere, or without an SQL form.
-WITHOUT_SQL = {"top_anomalies"}
 # One per family; set TABLEWISE_TEST_ALL=1 for every query.
 SAMPLE = (
     "cross_tab", "numeric_profile", "duplicate_sample", "corr_kendall", "trend_stats", "activation_profile", "detect_all", "business_extremes",
     "column_semantics", "run_diff", "kg_dimensions", "recurring_patterns", "decision_rank", "feedback_summary", "text_tagging", "catalog_profile",
+    "src_excel", "rca_components_keyed", "rca_rank_keyed", "rca_related_keyed", "top_anomalies",
 )
 
 
@@ -32,7 +31,7 @@ def test_registry():
     queries, sql = entry_points.queries(), entry_points.oracle_sql()
     assert set(sql) <= set(queries)
     plain = {name for name in set(queries) - set(sql) if queries[name].__module__.startswith("tablewise.plans")}
-    assert plain == WITHOUT_SQL
+    assert plain == set()
 
 
 def test_entry(spark):
