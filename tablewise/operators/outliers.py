@@ -34,6 +34,8 @@ def outlier_limits(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+# Numbers of equal rows that are made at a time.
+NUMBER_BLOCK = 100_000
 LIMIT_FIELDS = ("median", "iqr", "mad", "mean", "std_pop", "lower_bound", "upper_bound")
 
 
@@ -62,13 +64,13 @@ def outlier_rows(
 ) -> DataFrame:
     """One row per (row, column, method) hit: ``row_id, column, method, value`` and the limits.
 
-    ``row_id`` is the keys as JSON, nulls kept, or the row's place in the input where there is
-    no key, so that different rows, equal ones included, stay apart. Rows are tested in place;
-    only hits are multiplied out.
+    ``row_id`` is the keys as JSON, nulls kept. Where there is no key it is a hash of the row's fields and a number
+    among equal rows, so that equal rows stay apart and the ids don't depend on the partitions. Rows are tested in
+    place; only hits are multiplied out.
     """
     identity = (
         F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys]), {"ignoreNullFields": "false"})
-        if keys else F.monotonically_increasing_id().cast("string")
+        if keys else F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
     )
     hits = []
     for i, c in enumerate(columns):
@@ -79,7 +81,18 @@ def outlier_rows(
                 value.alias("value"), F.col(f"_limits_{i}").alias("limits"),
             )))
     found = _with_limits(df, columns).select(identity.alias("row_id"), F.explode(F.array_compact(F.array(*hits))).alias("_h"))
-    return found.select("row_id", "_h.column", "_h.method", "_h.method_order", "_h.value", "_h.limits.*")
+    found = found.select("row_id", "_h.column", "_h.method", "_h.method_order", "_h.value", "_h.limits.*")
+    return found if keys else _numbered(found)
+
+
+def _numbered(hits: DataFrame) -> DataFrame:
+    """Hits with the number among equal ones in ``row_id``: counted before the shuffle, then told off in blocks."""
+    counted = hits.groupBy(*hits.columns).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {NUMBER_BLOCK}"))))
+    left = F.least(F.lit(NUMBER_BLOCK), F.col("_n") - F.col("_block") * NUMBER_BLOCK)
+    numbers = blocks.withColumn("_i", F.explode(F.sequence(F.lit(1), left.cast("int"))))
+    number = (F.col("_block") * NUMBER_BLOCK + F.col("_i")).cast("string")
+    return numbers.withColumn("row_id", F.concat_ws("-", "row_id", number)).select(*hits.columns)
 
 
 def outlier_counts(

@@ -20,6 +20,17 @@ def test_numeric_outlier(spark):
     assert found[0].detection_methods == ["iqr", "zscore"] and found[0].method == "iqr" and found[0].detection_count == 2
 
 
+def test_rows_without_a_key_keep_their_ids_under_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(outliers, "NUMBER_BLOCK", 3)
+    df = spark.createDataFrame([(f"r{i}", 10.0 + i % 3) for i in range(60)] + [("x", 100.0)] * 7 + [(None, 100.0), ("y", 100.0)], "name string, duration double")
+    ids = [sorted((r.row_id, r.method, r.value) for r in outliers.outlier_rows(d, ["duration"], methods=["iqr", "zscore"]).collect())
+           for d in (df.coalesce(1), df.repartition(5), df.orderBy(F.rand(1)))]
+    assert ids[0] == ids[1] == ids[2] and len(set(ids[0])) == len(ids[0])
+    rows = [i for i, method, _ in ids[0] if method == "iqr"]
+    assert len(rows) == 9 and sorted(int(i.split("-")[1]) for i in rows) == [1, 1, 1, 2, 3, 4, 5, 6, 7]
+    assert anomalies.anomaly_dedup(anomalies.numeric_anomalies(df, ["duration"])).count() == 9
+
+
 def test_spike_needs_a_low_multiplier_or_an_excluding_window(spark):
     df = months(spark, [10, 10, 10, 100], "duration")
     assert [r.observed_value for r in anomalies.ts_spikes(df, "mese", "duration", window=3, multiplier=1.0).collect()] == [100.0]
