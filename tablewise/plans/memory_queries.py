@@ -288,6 +288,13 @@ def _(spark, folder):
     return monitors.rate_breaches(table(spark, folder, "events"), "ts", ["user_id"], 1, window="1 hour")
 
 
+@SET.add("rate_breach_sliding", """
+SELECT DISTINCT user_id, ts AS moment, requests FROM (SELECT user_id, ts, count(*) OVER (
+  PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) AS requests FROM events) WHERE requests > 1""")
+def _(spark, folder):
+    return monitors.sliding_breaches(table(spark, folder, "events"), "ts", ["user_id"], 1, seconds=3600)
+
+
 @SET.add("sla_monitor_stream", """
 SELECT date_trunc('day', ts) AS window_start, count(value) AS valid_count, count(*) FILTER (value <= 60) AS compliant_count,
  count(*) FILTER (value > 60) AS breach_count FROM events GROUP BY 1""")
