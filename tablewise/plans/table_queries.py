@@ -447,6 +447,20 @@ def _(spark, folder):
     )
 
 
+@SET.add("parity_rows", """
+WITH l AS (SELECT l_partkey, l_returnflag, l_tax FROM lineitem),
+ r AS (SELECT l_partkey, CASE WHEN l_quantity > 45 THEN NULL ELSE l_returnflag END AS l_returnflag, l_tax FROM lineitem WHERE l_linenumber <> 7)
+SELECT 'left_only' AS side, count(*) AS copies, * FROM (FROM l EXCEPT ALL FROM r) GROUP BY ALL
+UNION ALL SELECT 'right_only', count(*), * FROM (FROM r EXCEPT ALL FROM l) GROUP BY ALL""")
+def _(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    flag = F.when(F.col("l_quantity") > 45, None).otherwise(F.col("l_returnflag"))
+    return quality.differing_rows(
+        lines.select("l_partkey", "l_returnflag", "l_tax"),
+        lines.where("l_linenumber <> 7").select("l_partkey", flag.alias("l_returnflag"), "l_tax"),
+    )
+
+
 @SET.add("field_parity", """
 SELECT 'o_orderstatus' AS field, count(*) FILTER (o_totalprice <= 400000 AND o_custkey <> 7) AS matched,
   count(*) FILTER (o_totalprice > 400000 AND o_custkey <> 7) AS mismatched, count(*) FILTER (o_custkey = 7) AS unpaired FROM orders""")
