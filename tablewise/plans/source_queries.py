@@ -115,6 +115,31 @@ def _(spark, folder):
     return catalog.fk_infer(_linked(spark, folder))
 
 
+# Key columns, and columns that may refer to them.
+VALUE_KEYS = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name"], "customer": ["c_custkey", "c_name"], "orders": ["o_orderkey"]}
+VALUE_COLUMNS = VALUE_KEYS | {
+    "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "lineitem": ["l_orderkey", "l_returnflag"],
+}
+
+
+def _by_value_sql() -> str:
+    parts = []
+    for name, column in ((n, c) for n, columns in VALUE_COLUMNS.items() for c in columns):
+        for target, key in ((n, c) for n, keys in VALUE_KEYS.items() for c in keys):
+            textual = [any(c.endswith(e) for e in ("name", "segment", "status", "flag")) for c in (column, key)]
+            if (name, column) != (target, key) and textual[0] == textual[1]:
+                parts.append(f"""SELECT '{name}' AS from_table, '{column}' AS from_column, '{target}' AS to_table, '{key}' AS to_column, sum(n)::BIGINT AS rows,
+                  coalesce(sum(n) FILTER (NOT held), 0)::BIGINT AS orphan_rows FROM (SELECT {column} IN (SELECT {key} FROM {target}) AS held, count(*) AS n
+                  FROM {name} GROUP BY {column}, held) HAVING count(*) FILTER (held) >= 0.9 * count(*)""")
+    return " UNION ALL ".join(parts)
+
+
+@SET.add("fk_by_value", _by_value_sql())
+def _(spark, folder):
+    return catalog.fk_by_value({name: table(spark, folder, name).select(*columns) for name, columns in VALUE_COLUMNS.items()})
+
+
 @SET.add("nl_status_count", "SELECT count(*) AS total FROM orders WHERE o_orderstatus = 'F'")
 def _(spark, folder):
     status = F.when(F.col("o_orderstatus") == "F", "Delivered").otherwise("open")

@@ -170,6 +170,22 @@ def test_catalog(spark):
     assert catalog.status_count(tables, "weather") is None
 
 
+def test_references_by_value(spark):
+    people = spark.range(5000).select((F.col("id") * 7).alias("number"), F.lit("x").alias("note"), F.md5(F.col("id").cast("string")).alias("mail"))
+    visits = spark.range(20_000).select(
+        F.when(F.col("id") % 50 != 0, F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 4800 * 7)).alias("who"), F.col("id").cast("double").alias("d"),
+        F.md5((F.col("id") % 6000).cast("string")).alias("contact"), (F.col("id") % 10).cast("int").alias("few"), F.col("id").cast("string").alias("a.b"))
+    few = spark.createDataFrame([(i,) for i in range(9)] + [(None,)], "code int")
+    tables = {"people": people, "visits": visits, "few": few}
+    found = {tuple(r)[:4]: tuple(r)[4:] for r in catalog.fk_by_value(tables, least=0.8).collect()}
+    # 5,000 of 6,000 contacts are known; a key with a null or with repeats is none.
+    assert found == {("visits", "who", "people", "number"): (19_600, 0), ("visits", "contact", "people", "mail"): (20_000, 3000)}
+    assert catalog.fk_candidates(tables, 0.9) == [("visits", "who", "people", "number")]
+    assert catalog.fk_by_value({"e": few.limit(0), "f": people.limit(0)}).count() == 0
+    plan = catalog.fk_by_value(tables, least=0.9)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def run_stream(spark, tmp_path, rows, schema, build, mode):
     source, name = str(tmp_path / "in"), f"out_{mode}_{os.path.basename(tmp_path).replace('-', '_')}"
     frame = spark.createDataFrame(rows, schema)
