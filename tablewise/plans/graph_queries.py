@@ -6,12 +6,15 @@ lines the anomalies and suppliers the root causes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablewise.operators import graph, graph_quality
 from tablewise.operators.graph import PROPERTIES
+from tablewise.operators.store import BucketStore
 from tablewise.plans.registry import QuerySet, table
-from tablewise.session import reliable_checkpoint
+from tablewise.session import reliable_checkpoint, shared_folder
 
 SET = QuerySet()
 
@@ -222,19 +225,38 @@ def _(spark, folder):
     return graph.latest_run_diff(*stored_graph(spark, folder))
 
 
-@SET.add("graph_upsert", GRAPH_SQL + """
+UPSERT_SQL = GRAPH_SQL + """
 , incoming AS (SELECT id, type, 'renamed' AS label FROM nodes WHERE type = 'dataset' UNION ALL SELECT 'dataset:new', 'dataset', 'new' UNION ALL SELECT '', 'dataset', 'x'),
  merged AS (SELECT id, type, label FROM nodes WHERE type <> 'dataset' UNION ALL SELECT * FROM incoming WHERE id <> '')
-SELECT type, label, count(*) AS nodes FROM merged WHERE type IN ('dataset', 'root_cause') GROUP BY 1, 2""")
-def _(spark, folder):
-    nodes, _edges = analysis_graph(spark, folder)
+SELECT type, label, count(*) AS nodes FROM merged WHERE type IN ('dataset', 'root_cause') GROUP BY 1, 2"""
+
+
+def _incoming(spark, nodes):
     renamed = nodes.where("type = 'dataset'").withColumn("label", F.lit("renamed"))
     added = spark.range(1).select(
         F.explode(F.array(F.struct(F.lit("dataset:new").alias("id"), F.lit("new").alias("label")),
                           F.struct(F.lit("").alias("id"), F.lit("x").alias("label")))).alias("_n")
     ).select("_n.id", F.lit("dataset").alias("type"), "_n.label", F.create_map().cast(PROPERTIES).alias("properties"))
-    merged = graph.upsert_nodes(nodes, renamed.unionByName(added))
-    return merged.where("type in ('dataset', 'root_cause')").groupBy("type", "label").agg(F.count(F.lit(1)).alias("nodes"))
+    return renamed.unionByName(added)
+
+
+def _labels_of_two_types(nodes):
+    return nodes.where("type in ('dataset', 'root_cause')").groupBy("type", "label").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@SET.add("graph_upsert", UPSERT_SQL)
+def _(spark, folder):
+    nodes, _edges = analysis_graph(spark, folder)
+    return _labels_of_two_types(graph.upsert_nodes(nodes, _incoming(spark, nodes)))
+
+
+@SET.add("graph_store", UPSERT_SQL)
+def _(spark, folder):
+    nodes, _edges = analysis_graph(spark, folder)
+    stored = BucketStore.create(spark, f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}", nodes.schema, ["id"], buckets=32)
+    stored.upsert(nodes)
+    stored.upsert(_incoming(spark, nodes))
+    return _labels_of_two_types(stored.rows())
 
 
 @SET.add("graph_from_run", """
