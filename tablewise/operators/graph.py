@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tablewise.functions.jsonfn import drop_secrets, properties_match, property_value
 from tablewise.functions.text import search_tokens, slug, stable_hash
 from tablewise.operators.joins import latest_per_key, lookup_join
-from tablewise.operators.shape import is_missing, row_to_long, value_counts
+from tablewise.operators.shape import distinct_counts, is_missing, row_to_long
 
 # Relationship to lineage bucket.
 LINEAGE_BUCKETS = {
@@ -322,7 +322,7 @@ def graph_from_run(
             *[F.lit(df.schema[c].dataType.simpleString()).alias(f"{c}__dtype") for c in names],
         ), names, ["null_count", "rows", "dtype"],
     )
-    distinct = value_counts(df, names).groupBy("column").agg(F.count("value").alias("cardinality"))
+    distinct = distinct_counts(df, names).withColumnRenamed("distinct_values", "cardinality")
     columns = facts.join(F.broadcast(distinct), "column", "left")
     if semantics is not None:
         columns = columns.join(F.broadcast(semantics.select("column", "semantic_type")), "column", "left")

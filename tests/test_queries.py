@@ -15,6 +15,7 @@ SAMPLE = (
     "cross_tab", "numeric_profile", "duplicate_sample", "corr_kendall", "trend_stats", "activation_profile", "detect_all", "business_extremes",
     "column_semantics", "run_diff", "kg_dimensions", "recurring_patterns", "decision_rank", "feedback_summary", "text_tagging", "catalog_profile",
     "src_excel", "rca_components_keyed", "rca_rank_keyed", "rca_related_keyed", "top_anomalies",
+    "rate_breach_sliding", "parity_rows", "table_parity", "fk_by_value", "graph_store", "graph_from_run",
 )
 
 
