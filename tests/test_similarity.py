@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,38 @@ def test_equals_all_pairs(spark, threshold, part_rows):
     assert threshold > 0.9 or wanted
 
 
+@pytest.mark.parametrize("threshold, part_rows", [(0.2, None), (0.2, 13), (0.4, 1)])
+def test_tiles_equal_all_pairs(spark, threshold, part_rows):
+    rows = made_rows(3, 60)
+    frame = spark.createDataFrame(rows, "id int, g string, words array<string>")
+    _, classes = similarity.word_classes(frame, "id", F.col("words"), "g")
+    found = similarity.similar_classes(classes, threshold, part_rows)
+    assert sorted((r["class"], r.other, r.similarity) for r in found.collect()) == all_pairs(rows, threshold)[1]
+
+
+@pytest.mark.parametrize("square, frequent", [(5, 0), (7, 4), (100, 512)])
+def test_pairs_of_a_tile(monkeypatch, square, frequent):
+    monkeypatch.setattr(similarity, "SQUARE", square)
+    monkeypatch.setattr(similarity, "FREQUENT", frequent)
+    rnd = random.Random(5)
+    ids = [sorted(rnd.sample(range(25), rnd.randint(1, 9))) for _ in range(40)]
+    for sides in ([0] * 40, [n % 2 for n in range(40)]):
+        tile = pa.table({"class": range(40), "size": [len(i) + 1 for i in ids], "_ids": pa.array(ids, pa.list_(pa.int32())), "_side": sides})
+        shared = lambda x, y: len({*ids[x]} & {*ids[y]})
+        wanted = [(x, y) for x in range(40) for y in range(40) if (x < y if 1 not in sides else sides[x] < sides[y])
+                  and shared(x, y) / (len(ids[x]) + len(ids[y]) + 2 - shared(x, y)) >= 0.2]
+        found = pa.Table.from_batches(similarity._tile_pairs(tile, 0.2))
+        assert sorted(zip(found["class"].to_pylist(), found["other"].to_pylist())) == wanted and wanted
+
+
+def test_low_thresholds_shuffle_no_proposals(spark):
+    frame = spark.createDataFrame(made_rows(1, 50), "id int, g string, words array<string>")
+    found = similarity.similar_classes(similarity.word_classes(frame, "id", F.col("words"))[1], 0.2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Aggregate" not in plan.split("FlatMapGroupsInArrow")[0]
+    assert "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_cross_join_in_the_plan(spark):
     frame = spark.createDataFrame(made_rows(1, 50), "id int, g string, words array<string>")
     found = similarity.similar_classes(similarity.word_classes(frame, "id", F.col("words"))[1], 0.5)
