@@ -72,14 +72,17 @@ def run_table(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _overlap(values: DataFrame, wanted: Sequence[str], name: str) -> DataFrame:
-    """Jaccard of each run's distinct values with a fixed list, from two counts."""
-    chosen = sorted({w.strip().lower() for w in wanted if w and w.strip()})
-    hit = F.count_if(F.col("value").isin(*chosen)) if chosen else F.lit(0)
-    counted = values.where(F.col("value") != "").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"), hit.alias("_h"))
-    union = F.col("_n") + F.lit(len(chosen)) - F.col("_h")
-    score = F.when(F.lit(len(chosen)) > 0, F.col("_h") / union).otherwise(F.lit(0.0))
-    return counted.select("run_id", score.alias(name))
+def _overlaps(values: DataFrame, wanted: dict[str, Sequence[str]]) -> DataFrame:
+    """Jaccard of each run's distinct values of a part (``run_id, part, value``) with a fixed list for it, from two counts for each part."""
+    counts, scores = [], []
+    for part, listed in wanted.items():
+        chosen = sorted({w.strip().lower() for w in listed if w and w.strip()})
+        of_part = F.col("part") == part
+        hit = F.count_if(of_part & F.col("value").isin(*chosen)) if chosen else F.lit(0)
+        counts += [F.count_if(of_part).alias(f"_n_{part}"), hit.alias(f"_h_{part}")]
+        union = F.col(f"_n_{part}") + F.lit(len(chosen)) - F.col(f"_h_{part}")
+        scores.append((F.col(f"_h_{part}") / union if chosen else F.lit(0.0)).alias(part))
+    return values.where(F.col("value") != "").distinct().groupBy("run_id").agg(*counts).select("run_id", *scores)
 
 
 def run_similarity(nodes: DataFrame, edges: DataFrame, profile: dict, limit: int | None = None) -> DataFrame:
@@ -89,20 +92,18 @@ def run_similarity(nodes: DataFrame, edges: DataFrame, profile: dict, limit: int
     column_count, keywords. Every part is a count per run, never a set per run.
     """
     runs = run_table(nodes)
-    rows = lineage(nodes, edges)
-    labels = rows.select("run_id", "bucket", _clean(F.col("label")).alias("value"))
-    columns = labels.where("bucket = 'columns'").select("run_id", "value")
-    roles = rows.where("bucket = 'columns'").select("run_id", _clean(_prop("semantic_role")).alias("value"))
-    texts = runs.select("run_id", F.concat_ws(" ", "label", "user_input", "primary_metric", "time_axis").alias("text")).unionByName(
-        labels.where("bucket in ('columns', 'anomalies', 'root_causes')").select("run_id", F.col("value").alias("text"))
+    rows = lineage(nodes, edges).where(F.col("bucket").isin("columns", "anomalies", "root_causes"))
+    # The linked elements are walked once: their columns, roles and keywords come out of the same row.
+    found = F.array(
+        F.struct(F.lit("columns").alias("part"), F.when(F.col("bucket") == "columns", _clean(F.col("label"))).alias("value")),
+        F.struct(F.lit("roles").alias("part"), F.when(F.col("bucket") == "columns", _clean(_prop("semantic_role"))).alias("value")),
     )
-    keywords = texts.select("run_id", F.explode(keyword_tokens(F.col("text"), KEYWORD_STOPWORDS)).alias("value"))
-    joined = runs
-    for frame, name, wanted in (
-        (columns, "columns", profile.get("columns", ())), (roles, "roles", profile.get("roles", ())),
-        (keywords, "keywords", profile.get("keywords", ())),
-    ):
-        joined = joined.join(_overlap(frame, wanted, name), "run_id", "left")
+    texts = F.concat_ws(" ", "label", "user_input", "primary_metric", "time_axis")
+    words = lambda text: F.transform(
+        F.coalesce(keyword_tokens(text, KEYWORD_STOPWORDS), F.array().cast("array<string>")), lambda w: F.struct(F.lit("keywords").alias("part"), w.alias("value")))
+    values = rows.select("run_id", F.explode(F.concat(found, words(_clean(F.col("label"))))).alias("_v")).unionByName(
+        runs.select("run_id", F.explode(words(texts)).alias("_v"))).select("run_id", "_v.*")
+    joined = lookup_join(runs, _overlaps(values, {n: profile.get(n, ()) for n in ("columns", "roles", "keywords")}), "run_id", "run_id", "left")
 
     def exact(name: str) -> Column:
         wanted = str(profile.get(name) or "").strip().lower()
@@ -200,7 +201,9 @@ def _run_values(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     """
     runs = run_table(nodes)
     buckets = F.create_map(*[F.lit(v) for v in ("columns", "column", "anomalies", "anomaly", "root_causes", "root_cause")])
-    rows = lineage(nodes, edges)
+    # Of the properties only one is used, so that the others need not travel.
+    lean = nodes.withColumn("properties", F.map_filter("properties", lambda k, _v: k == "anomaly_type"))
+    rows = lineage(lean, edges)
     value = F.coalesce(F.when(F.trim("label") != "", F.trim("label")), F.when(F.col("bucket") == "anomalies", _prop("anomaly_type")))
     linked = rows.select("run_id", F.try_element_at(buckets, F.col("bucket")).alias("item_kind"), value.alias("value"))
     metrics = runs.select("run_id", F.lit("metric").alias("item_kind"), F.col("primary_metric").alias("value"))
@@ -214,45 +217,53 @@ def experience_build(
     """Headers and items of one kind (metric, anomaly, root_cause) shared by at least two runs."""
     if kind not in EXPERIENCE_CONFIDENCE:
         raise ValueError(f"unknown experience kind: {kind}")
-    return _build_kind(*_run_values(nodes, edges), kind)
+    return _build(*_run_values(nodes, edges), [kind])
 
 
-def _build_kind(runs: DataFrame, values: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    base, increment = EXPERIENCE_CONFIDENCE[kind]
-    experience_id = F.concat(F.lit(f"experience.{kind}."), label_slug(F.col("key")))
-    members = values.where(F.col("item_kind") == kind).select("run_id", F.col("value").alias("key"))
-    facts = lookup_join(members, runs.withColumnRenamed("run_id", "_run"), "run_id", "_run").groupBy("key").agg(
+def _build(runs: DataFrame, values: DataFrame, kinds: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Headers and items of the kinds, which are built side by side: every step takes the rows of all of them."""
+    def by_kind(choices: dict[str, Column]) -> Column:
+        chosen = F.when(F.lit(False), next(iter(choices.values())))
+        for kind, value in choices.items():
+            chosen = chosen.when(F.col("kind") == kind, value)
+        return chosen
+
+    experience_id = F.concat(F.lit("experience."), F.col("kind"), F.lit("."), label_slug(F.col("key")))
+    # The values are distinct, and so are their parts.
+    members = values.where(F.col("item_kind").isin(*kinds)).select("run_id", F.col("item_kind").alias("kind"), F.col("value").alias("key"))
+    facts = lookup_join(members, runs.withColumnRenamed("run_id", "_run"), "run_id", "_run").groupBy("kind", "key").agg(
         F.count(F.lit(1)).alias("evidence_count"), F.max("created_at").alias("updated_at"),
         F.min(F.when(F.col("primary_metric") != "", F.col("primary_metric"))).alias("_metric"),
         F.min_by("time_axis", F.when(F.col("time_axis") != "", F.col("run_id"))).alias("_axis"),
     ).where(F.col("evidence_count") >= 2)
     facts = reliable_checkpoint(facts)
     # Members of one kind meet values of the other kinds only, each once for a run.
-    others = values.where(F.col("item_kind") != kind).select("run_id", "item_kind", "value").distinct()
-    shared = members.join(facts.select("key"), "key", "left_semi").distinct().join(others, "run_id").select("key", "item_kind", "value")
-    items = shared.unionByName(facts.select("key", F.lit(kind).alias("item_kind"), F.col("key").alias("value"))).distinct()
+    here = members.join(facts.select("kind", "key"), ["kind", "key"], "left_semi").withColumn("_h", F.xxhash64("run_id"))
+    there = values.select("run_id", "item_kind", "value").withColumn("_h", F.xxhash64("run_id"))
+    shared = here.join(there, ["_h", "run_id"]).where(F.col("item_kind") != F.col("kind")).select("kind", "key", "item_kind", "value")
+    items = shared.unionByName(facts.select("kind", "key", F.col("kind").alias("item_kind"), F.col("key").alias("value"))).distinct()
     items = reliable_checkpoint(items)
-    flags = items.groupBy("key").agg(
+    flags = items.groupBy("kind", "key").agg(
         F.max(F.col("item_kind") == "anomaly").alias("_anomalies"),
         F.max((F.col("item_kind") == "root_cause") & is_infrastructure(F.col("value"))).alias("_infrastructure"),
     )
-    full = facts.join(flags, "key", "left")
+    full = facts.join(flags, ["kind", "key"], "left")
     steps = experience_steps(
-        F.col("key") if kind == "metric" else F.coalesce("_metric", F.lit("")), F.coalesce("_axis", F.lit("")),
+        F.when(F.col("kind") == "metric", F.col("key")).otherwise(F.coalesce("_metric", F.lit(""))), F.coalesce("_axis", F.lit("")),
         F.coalesce("_anomalies", F.lit(False)), F.coalesce("_infrastructure", F.lit(False)),
     )
-    tags = {
+    tags = by_kind({
         "metric": F.array(F.lit("metric"), F.col("key"), F.coalesce("_axis", F.lit(""))),
         "anomaly": F.array(F.lit("anomaly"), F.col("key"), F.lit("recurring")),
         "root_cause": F.array(F.lit("root-cause"), F.lit("recurring"), F.when(is_infrastructure(F.col("key")), "infrastructure").otherwise("general")),
-    }[kind]
-    extra = full.select("key", F.explode(F.concat(
+    })
+    extra = full.select("kind", "key", F.explode(F.concat(
         F.transform(steps, lambda v: F.struct(F.lit("step").alias("k"), v.alias("v"))),
         F.transform(tags, lambda v: F.struct(F.lit("tag").alias("k"), v.alias("v"))),
-    )).alias("_x")).select("key", F.col("_x.k").alias("item_kind"), F.col("_x.v").alias("value")).where(F.col("value") != "")
+    )).alias("_x")).select("kind", "key", F.col("_x.k").alias("item_kind"), F.col("_x.v").alias("value")).where(F.col("value") != "")
+    sure = by_kind({kind: F.lit(base) + F.col("evidence_count") * increment for kind, (base, increment) in EXPERIENCE_CONFIDENCE.items()})
     headers = facts.select(
-        experience_id.alias("experience_id"), F.lit(kind).alias("kind"), "key",
-        F.round(F.least(F.lit(1.0), F.lit(base) + F.col("evidence_count") * increment), 2).alias("confidence"),
+        experience_id.alias("experience_id"), "kind", "key", F.round(F.least(F.lit(1.0), sure), 2).alias("confidence"),
         "evidence_count", "updated_at",
     )
     all_items = items.unionByName(extra.distinct()).select(experience_id.alias("experience_id"), "item_kind", "value")
@@ -261,12 +272,7 @@ def _build_kind(runs: DataFrame, values: DataFrame, kind: str) -> tuple[DataFram
 
 def experience_all(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Metric, anomaly and root-cause experience together."""
-    runs, values = _run_values(nodes, edges)
-    built = [_build_kind(runs, values, kind) for kind in EXPERIENCE_CONFIDENCE]
-    headers, items = built[0]
-    for more_headers, more_items in built[1:]:
-        headers, items = headers.unionByName(more_headers), items.unionByName(more_items)
-    return headers, items
+    return _build(*_run_values(nodes, edges), list(EXPERIENCE_CONFIDENCE))
 
 
 def experience_signatures(headers: DataFrame, items: DataFrame) -> DataFrame:
