@@ -198,3 +198,50 @@ def test_lookups_read_their_inputs_once(spark, tmp_path):
     assert leaves(graph.induced_edges(nodes, edges)) == 3
     assert leaves(graph.dangling_edges(nodes, edges)) == 4
     assert leaves(graph_quality.checked_edges(edges, graph_quality.checked_nodes(nodes))) <= 12
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lookups_by_text_sort_by_a_hash(spark):
+    nodes, edges = build(spark, edges=[(None, "data", "ANALYZED_DATASET", {}), ("run", "gone", "HAS_COLUMN", {})])
+    found = graph.dangling_edges(nodes, edges)
+    assert sorted(map(tuple, found.collect()), key=str) == [("run", "gone", "HAS_COLUMN", "target"), (None, "data", "ANALYZED_DATASET", "source")]
+    assert "xxhash64" in plan(found) and "Aggregate" not in plan(found)
+
+
+def test_repeats_are_found_by_digests(spark):
+    twice = [("a", "dataset", "A", DATASET)] * 3 + [("", "dataset", "B", DATASET)] * 2 + [(None, "dataset", "C", DATASET)] * 2
+    nodes, edges = build(spark, twice, [("run", "a", "HAS_COLUMN", {})] * 2 + [("run", None, "HAS_COLUMN", {})] * 2)
+    checked = graph_quality.checked_nodes(nodes)
+    repeated = lambda frame, code: sorted(r.detail for r in frame.where(F.col("code") == code).collect())
+    assert repeated(graph_quality.node_issues(checked), "uniqueness.duplicate_node_id") == ["3"] * 3
+    found = graph_quality.edge_issues(graph_quality.checked_edges(edges, checked))
+    assert repeated(found, "uniqueness.duplicate_edge") == ["2"] * 2
+    # All records are only looked up: the repeated ids are counted apart and written.
+    assert "Aggregate" not in plan(checked)
+
+
+def test_equal_edges_collapse_and_others_stay(spark):
+    rows = [("r", "d", "USES_DATASET", {"b": "1"}), ("r", "d", "ANALYZED_DATASET", {"a": "1"}), ("r", None, "HAS_COLUMN", None), ("r", None, "HAS_COLUMN", None), ("r", "x", "HAS_COLUMN", {"k": "v"})]
+    found = graph_quality.canonical_relationships(spark.createDataFrame(rows, EDGE))
+    assert sorted(map(tuple, found.collect()), key=str) == [("r", "d", "ANALYZED_DATASET", {"a": "1"}), ("r", "x", "HAS_COLUMN", {"k": "v"}), ("r", None, "HAS_COLUMN", None)]
+    assert "xxhash64" in plan(found)
+
+
+def test_kinds_are_built_in_one_pass(spark):
+    headers, items = experience.experience_all(*history(spark))
+    assert leaves(headers) == 1
+    apart = [experience.experience_build(*history(spark), kind) for kind in experience.EXPERIENCE_CONFIDENCE]
+    assert sorted(map(tuple, headers.collect())) == sorted(tuple(r) for h, _ in apart for r in h.collect())
+    assert sorted(map(tuple, items.collect())) == sorted(tuple(r) for _, i in apart for r in i.collect())
+
+
+def test_similar_runs_walk_the_lineage_once(spark, tmp_path):
+    nodes, edges = build(spark)
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    edges.write.parquet(str(tmp_path / "edges"))
+    found = experience.run_similarity(spark.read.parquet(str(tmp_path / "nodes")), spark.read.parquet(str(tmp_path / "edges")), {"source_type": "csv", "keywords": ["run"]})
+    assert leaves(found) == 5
+    assert [r.run_id for r in found.collect()] == ["run"]
