@@ -245,3 +245,27 @@ def test_similar_runs_walk_the_lineage_once(spark, tmp_path):
     found = experience.run_similarity(spark.read.parquet(str(tmp_path / "nodes")), spark.read.parquet(str(tmp_path / "edges")), {"source_type": "csv", "keywords": ["run"]})
     assert leaves(found) == 5
     assert [r.run_id for r in found.collect()] == ["run"]
+
+
+def test_report_has_all_dimensions(spark):
+    nodes, edges = build(spark, [("odd", "Strange", "", {"Bad Key": "1"}), ("file", "python_file", "f", {}), ("alone", "python_file", "g", {"path": "g"})], [("run", "gone", "HAS_COLUMN", {})])
+    checked = graph_quality.validate_graph(nodes, edges)
+    report = graph_quality.quality_report(checked).first()
+    apart = {r.dimension: r for r in graph_quality.quality_dimensions(checked.issues).collect()}
+    assert set(apart) == set(graph_quality.DIMENSIONS)
+    for name, row in apart.items():
+        assert (report[name], report[f"{name}_errors"], report[f"{name}_warnings"], report[f"{name}_infos"]) == (row.status, row.errors, row.warnings, row.infos), name
+    assert (report.property_completeness, report.naming, report.uniqueness, report.referential_integrity) == ("fail", "warn", "pass", "fail")
+    assert (report.graph_coverage_infos, report.graph_coverage_warnings) == (1, 1)
+    assert (report.errors, report.infos) == (2, 1) and report.warnings == sum(r.warnings for r in apart.values())
+    assert (report.node_records_total, report.edge_records_total, report.quarantined_nodes, report.quarantined_edges) == (5, 2, 1, 1)
+
+
+@pytest.mark.parametrize("version, status, consume, code", [
+    (None, "degraded", True, "schema.version_missing_assumed_v1"), (2, "unsupported", False, "schema.future_version"), (0, "invalid", False, "schema.version_invalid")])
+def test_report_states_the_version(spark, version, status, consume, code):
+    checked = graph_quality.validate_graph(*build(spark), version=version)
+    report = graph_quality.quality_report(checked).first()
+    assert codes(checked) == [code] and (report.status, report.can_consume, report.can_write) == (status, consume, consume)
+    assert (report.quarantined_nodes, report.schema_compatibility) == (0, "fail" if not consume else "warn")
+    assert report.naming == ("pass" if consume else "not_evaluated")
