@@ -9,7 +9,8 @@ over all tiles by ``components``.
 
 Near copies (``without_near_copies``) are distinct texts whose sets of shingles have a Jaccard
 similarity of ``least``. Fingerprints of the sets only propose them: the groups that they link are cut into
-tiles again, which hold the sets, and each link is computed exactly before it counts.
+tiles again, which hold the sets, and each link is computed exactly before it counts. Sets whose sizes differ by more than
+``least`` can't be that similar, so that their cells are ranges of sizes and only cells that near each other are compared.
 
 A null or empty text has fingerprint zero and is linked like any other. Repeated rows share
 their fingerprint. A null ``doc_id`` takes part but never names a component that has an id.
@@ -18,6 +19,7 @@ their fingerprint. A null ``doc_id`` takes part but never names a component that
 from __future__ import annotations
 
 import itertools
+import math
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -29,9 +31,12 @@ from pyspark.sql import functions as F
 
 from tablewise.llm.common import free_names, row_key, text_slices, written
 from tablewise.llm.components import components
+from tablewise.operators.joins import spread
 
 SEED = 42
 TILE = 4096
+#: Fingerprints in one tile of a range of sizes, and ranges between a size and the least one that it can be similar to.
+SIZE_TILE, SIZE_STEPS = 16_384, 4
 BLOCK_HASHES = 1 << 16
 BLOCK_PAIRS = 1 << 20
 #: Text whose sets of shingles are made at once; they take many times its bytes.
@@ -70,21 +75,39 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     tokens = (text or "").encode().lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
-    found = [np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64, len(joined)) for joined in _shingles(tokens, words)]
-    return np.unique(np.concatenate(found))
+    line, count = b" ".join(tokens), max(1, len(tokens) - words + 1)
+    stops = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts, stops, found = np.append(0, stops[:-1] + 1)[:count], stops[-count:], []
+    for start in range(0, count, BLOCK_HASHES):
+        # Each shingle is a piece of the line of all words.
+        pieces = map(slice, starts[start : start + BLOCK_HASHES].tolist(), stops[start : start + BLOCK_HASHES].tolist())
+        hashes = map(xxhash.xxh64_intdigest, map(line.__getitem__, pieces), itertools.repeat(SEED))
+        found.append(np.fromiter(hashes, np.uint64, min(BLOCK_HASHES, count - start)))
+    ordered = np.sort(np.concatenate(found))
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])]
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of each row's hashes have each of the 64 bits; bytes of up to 255 hashes are summed eight at a time."""
+    lanes, count = hashes.shape
+    packed = np.unpackbits(hashes.astype("<u8").view(np.uint8), axis=1, bitorder="little").view(np.uint64).reshape(lanes, count, 8)
+    whole = count // 255 * 255
+    sums = packed[:, :whole].reshape(lanes, -1, 255, 8).sum(2, dtype=np.uint64)
+    sums = np.concatenate([sums, packed[:, whole:].sum(1, dtype=np.uint64, keepdims=True)], 1)
+    return sums.view(np.uint8).reshape(lanes, -1, 64).sum(1, dtype=np.int64)
 
 
 def set_signature(hashes: np.ndarray, lanes: int) -> np.ndarray:
     """Majority bits of a set of shingles, each counted once; further lanes mix the hashes anew."""
     ones = np.zeros((lanes, 64), np.int64)
     for start in range(0, len(hashes), BLOCK_HASHES):
-        mixed = hashes[start : start + BLOCK_HASHES]
-        for lane in range(lanes):
-            if lane:
-                mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
-                mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-                mixed ^= mixed >> np.uint64(31)
-            ones[lane] += np.unpackbits(mixed.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        mixed = [hashes[start : start + BLOCK_HASHES]]
+        for _ in range(lanes - 1):
+            last = mixed[-1]
+            last = (last ^ last >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+            last = (last ^ last >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            mixed.append(last ^ last >> np.uint64(31))
+        ones += _bit_counts(np.stack(mixed))
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
@@ -124,6 +147,14 @@ def joined_roots(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.
             return step[parent]
 
 
+def _true_places(found: np.ndarray) -> np.ndarray:
+    """``flatnonzero`` of rare hits: eight places at once, and then those of the eights that have one."""
+    whole = len(found) // 8 * 8
+    eights = np.flatnonzero(found[:whole].view(np.uint64))
+    hits = np.flatnonzero(found[:whole].reshape(-1, 8).take(eights, axis=0))
+    return np.concatenate([eights.take(hits >> 3) * 8 + (hits & 7), np.flatnonzero(found[whole:]) + whole])
+
+
 def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, whole: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places in the two tiles (b's after a's) and the roots that they are linked to, without the roots themselves.
 
@@ -132,13 +163,21 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, whole: int
     """
     a, b = a.view(np.uint64), b.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
     parent, shift = np.arange(len(a) + (0 if same else len(b))), 0 if same else len(a)
-    rows, first = max(1, BLOCK_PAIRS // max(1, len(b))), np.ascontiguousarray(b[:, 0])
+    rows, own, other = max(1, BLOCK_PAIRS // max(1, len(b))), np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     for start in range(0, len(a), rows):
-        i, j = np.nonzero(np.bitwise_count(a[start : start + rows, 0, None] ^ first[None, :]) <= radius)
+        differ = np.bitwise_count(own[0, start : start + rows, None] ^ other[0]).ravel()
+        near = _true_places(differ <= radius)
+        total = differ[near].astype(np.int64)
+        # A pair is dropped as soon as the lanes so far differ too much; few reach the last one.
+        for lane in range(1, 0 if whole is None else len(own)):
+            i, j = np.divmod(near, len(b))
+            total += np.bitwise_count(own[lane].take(i + start) ^ other[lane].take(j))
+            near, total = near[total <= whole], total[total <= whole]
+        if whole is not None:
+            near = near[total <= whole]
+        i, j = np.divmod(near, max(1, len(b)))
         i += start
         keep = i != j + shift
-        if whole is not None and keep.any():
-            keep &= np.bitwise_count(a[i] ^ b[j]).sum(1) <= whole
         if keep.any():
             parent = joined_roots(parent, i[keep], j[keep] + shift)
     moved = np.flatnonzero(parent != np.arange(len(parent)))
@@ -184,6 +223,43 @@ def links(prints: DataFrame, radius: int = 3, parts: int = 4, tile: int = TILE,
     return pairs.select("own_sigs", "sigs", "own_nodes", "nodes", same.alias("same")).mapInArrow(_compare(radius, whole, lanes), "a long, b long")
 
 
+def _compare_tiles(radius: int, whole: int, lanes: int) -> Callable[[pa.Table], pa.Table]:
+    def run(rows):
+        tiles = sorted(zip(rows["side"].to_pylist(), rows["sigs"], rows["nodes"]), key=lambda tile: tile[0])
+        names = [np.ascontiguousarray(tile[2].values.to_numpy()) for tile in tiles]
+        sigs = [np.ascontiguousarray(tile[1].values.to_numpy()).reshape(-1, lanes) for tile in tiles]
+        member, root = tile_links(sigs[0], sigs[-1], radius, len(tiles) == 1, whole)
+        every = np.concatenate(names)
+        return pa.table({"a": every[member], "b": every[root]})
+
+    return run
+
+
+def size_links(prints: DataFrame, radius: int, whole: int, lanes: int, least: float, tile: int = SIZE_TILE) -> DataFrame:
+    """Edges (a, b) that join all fingerprints (``node``, ``sig``, ``size``) within both radii whose sizes differ by ``least`` at most.
+
+    Further pairs within the radii may be joined. Each pair of tiles is a group of its own.
+    """
+    width = max(math.log(1 / least), 1e-6) / SIZE_STEPS * (1 + 1e-9)
+    celled = prints.select("node", "sig", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / width).alias("cell"))
+    sizes = celled.groupBy("cell").agg(F.ceil(F.count("node") / tile).alias("tiles"))
+    tiles = written(
+        celled.join(F.broadcast(sizes), "cell")
+        .groupBy("cell", F.pmod(F.xxhash64("node"), "tiles").alias("tile")).agg(F.collect_list(F.struct("node", "sig")).alias("all"))
+        .select("cell", "tile", F.flatten("all.sig").alias("sigs"), F.col("all.node").alias("nodes"))
+    )
+    named = tiles.select("cell", "tile")
+    later = named.select(F.col("cell").alias("later_cell"), F.col("tile").alias("later_tile"))
+    near = named.withColumn("later_cell", F.explode(F.sequence(F.col("cell"), F.col("cell") + SIZE_STEPS))).join(later, "later_cell")
+    pairs = written(near.where((F.col("cell") < F.col("later_cell")) | (F.col("tile") <= F.col("later_tile"))))
+    key = ["cell", "tile", "later_cell", "later_tile"]
+    left = tiles.join(pairs, ["cell", "tile"]).select(*key, F.lit(0).alias("side"), "sigs", "nodes")
+    apart = pairs.where((F.col("cell") != F.col("later_cell")) | (F.col("tile") != F.col("later_tile")))
+    right = tiles.withColumnsRenamed({"cell": "later_cell", "tile": "later_tile"}).join(apart, ["later_cell", "later_tile"]).select(
+        *key, F.lit(1).alias("side"), "sigs", "nodes")
+    return spread(left.unionByName(right), *key).groupBy(*key).applyInArrow(_compare_tiles(radius, whole, lanes), "a long, b long")
+
+
 def linked_documents(
     docs: DataFrame, words: int = 3, radius: int = 3, parts: int = 4, tile: int = TILE, lanes: int = 1, whole: int | None = None
 ) -> DataFrame:
@@ -207,7 +283,8 @@ def _set_signatures(words: int, lanes: int) -> Callable[[Iterator[pa.RecordBatch
             found = np.stack([set_signature(s, lanes) for s in sets]).view(np.int64)
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * lanes), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], lists, pa.array(nodes)], ["doc_id", "_k1", "_k2", "sig", "node"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], lists, pa.array(nodes), sizes], ["doc_id", "_k1", "_k2", "sig", "node", "size"])
 
     return run
 
@@ -286,16 +363,16 @@ def similar_edges(docs: DataFrame, prints: DataFrame, words: int, radius: int, w
 
 
 def without_near_copies(
-    docs: DataFrame, words: int, radius: int, whole: int, lanes: int = 1, parts: int = 1, least: float = 0.8, set_bytes: int = SET_BYTES
+    docs: DataFrame, words: int, radius: int, whole: int, lanes: int = 1, least: float = 0.8, set_bytes: int = SET_BYTES, tile: int = SIZE_TILE
 ) -> DataFrame:
     """One row of each group of near copies (that of the smallest ``doc_id``), with its columns as they are.
 
     Texts are linked where their sets of shingles have a Jaccard similarity of ``least``.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), "text")
-    marked = written(texts.mapInArrow(_set_signatures(words, lanes), "doc_id long, _k1 long, _k2 long, sig array<long>, node long"))
-    prints = written(marked.groupBy("node").agg(F.first("sig").alias("sig"), F.min(F.struct("_k1", "_k2")).alias("first_row")))
-    near = components(links(prints.select("node", "sig"), radius, parts, lanes=lanes, whole=whole))
+    marked = written(texts.mapInArrow(_set_signatures(words, lanes), "doc_id long, _k1 long, _k2 long, sig array<long>, node long, size long"))
+    prints = written(marked.groupBy("node").agg(F.first("sig").alias("sig"), F.first("size").alias("size"), F.min(F.struct("_k1", "_k2")).alias("first_row")))
+    near = components(size_links(prints.select("node", "sig", "size"), radius, whole, lanes, least, tile))
     roots = components(similar_edges(docs, prints, words, radius, whole, least, near, set_bytes))
     named = prints.select(F.col("node").alias("_node"), "first_row").join(roots, F.col("_node") == F.col("node"), "left")
     kept = named.groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min("first_row").alias("keeper"))
