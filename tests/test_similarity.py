@@ -143,3 +143,16 @@ def test_many_long_texts_are_matched_in_little_time():
     began = time.process_time()
     found = blocks.matched_characters(texts[:-1], texts[1:])
     assert time.process_time() - began < 30 and (found > 0).all()
+
+
+def test_links_of_one_request_in_several_tasks(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = [(f"{i:03}", "sql", " ".join(["orders", "by", "month", *rnd.sample("abcdefghij", rnd.randint(0, 3))]), 1.0) for i in range(60)]
+    history = spark.createDataFrame(rows, "id string, source_type string, description string, feedback_score double")
+    whole = learning.similar_requests(history, threshold=0.4)[1]
+    monkeypatch.setattr(learning, "LINK_ROWS", 3)
+    dealt = learning.similar_requests(history, threshold=0.4)[1]
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 100
+    # Links are sent on with one text each, and not again with both.
+    last = dealt._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[1].lstrip().splitlines()
+    assert not any("Repartition" in line for line in last[:last.index(next(line for line in last if "Join" in line))])
